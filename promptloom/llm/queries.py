@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from promptloom.llm import oracles
 from promptloom.llm.common import new_path, table
 
 
@@ -19,6 +20,27 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from promptloom.llm.quality import quality_rules
+
+    judged = quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from promptloom.llm.sharding import kd_shards
+
+    placed = kd_shards(table(spark, sf_dir, "documents"), 24)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from promptloom.llm.topk import top_k
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.where("vec_id % 20 = 0"), 20)
+
+
 def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     from promptloom.llm.token_file import document_checks, read_token_file, write_token_file
 
@@ -36,8 +58,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
+    "op4_quality_rules": op4_quality_rules,
+    "op5_sharding": op5_sharding,
+    "op7_top_k": op7_top_k,
     "op9_token_file": op9_token_file,
     "op10_packing": op10_packing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_quality_rules": oracles.QUALITY,
+    "op7_top_k": oracles.TOP_K,
+}
