@@ -12,6 +12,12 @@ from promptloom.llm import oracles
 from promptloom.llm.common import new_path, table
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from promptloom.llm.jaccard import jaccard_groups
+
+    return jaccard_groups(table(spark, sf_dir, "documents"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every run starts with a cache of its own, so that it encodes every distinct text."""
     from promptloom.llm.token_counts import token_counts
@@ -57,6 +63,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_token_counts": op2_token_counts,
     "op4_quality_rules": op4_quality_rules,
     "op5_sharding": op5_sharding,
