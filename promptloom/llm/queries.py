@@ -47,6 +47,12 @@ def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.where("vec_id % 20 = 0"), 20)
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from promptloom.llm.lines import line_dedup
+
+    return line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     from promptloom.llm.token_file import document_checks, read_token_file, write_token_file
 
@@ -68,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op5_sharding": op5_sharding,
     "op7_top_k": op7_top_k,
+    "op8_line_dedup": op8_line_dedup,
     "op9_token_file": op9_token_file,
     "op10_packing": op10_packing,
 }
@@ -75,4 +82,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op4_quality_rules": oracles.QUALITY,
     "op7_top_k": oracles.TOP_K,
+    "op8_line_dedup": oracles.LINES,
 }
