@@ -12,13 +12,14 @@ from promptloom.llm.common import write_table
 
 
 def keyed_docs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """key, doc_id, text (null as empty). The key is doc_id; where ids are null or repeated, rows are numbered and written once,
-    so that every stage sees the same keys."""
+    """key, doc_id, text (null as empty). The key is doc_id; where ids are null or repeated, rows are numbered in the order
+    of ids (nulls first) and written once, so that every stage sees the same keys."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     odd = rows.select("doc_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
     if odd.isEmpty():
         return rows.select(F.col("doc_id").alias("key"), "doc_id", "text")
-    return write_table(rows.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text"), "keyed")
+    ordered = rows.orderBy("doc_id", F.xxhash64("text"))
+    return write_table(ordered.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text"), "keyed")
 
 
 def bucket_bits(spark: SparkSession, per_partition: int = 4) -> int:
