@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from promptloom.llm.common import shuffle_partitions, write_table
-from promptloom.llm.keyed import bucket_bits, from_planes, in_larger_runs, keyed_docs, mix, release, runs, to_planes
+from promptloom.llm.keyed import bucket_bits, from_planes, in_larger_runs, keyed_docs, mix, release, runs, segments, to_planes
 from promptloom.llm.trie import Trie
 
 WORDS, SHARE = 5, 80
@@ -61,8 +61,7 @@ def _bucketed(bits: int):
             if kind == KNOWN:
                 order = np.argsort(bucket, kind="stable")
                 k, d, bucket = k[order], d[order], bucket[order]
-            starts = runs(bucket)
-            for a, b in zip(starts, [*starts[1:], len(bucket)], strict=True):
+            for a, b in segments(bucket):
                 part = k[a:b] & np.uint64((1 << KEY_BITS) - 1) if kind != KNOWN else k[a:b]
                 yield int(bucket[a]), kind, None, None, None, None, to_planes(part), to_planes(d[a:b].view(np.uint64)) if d is not None else None
 
@@ -127,8 +126,7 @@ def _shared(chunks: int):
             chunk = chunk_of(doc).astype(np.int64)
             order = np.argsort(chunk, kind="stable")
             key, doc, chunk = key[order], doc[order], chunk[order]
-            starts = runs(chunk)
-            out += [(int(chunk[a]), None, None, None, None, to_planes(key[a:b]), to_planes(doc[a:b])) for a, b in zip(starts, [*starts[1:], len(chunk)], strict=True)]
+            out += [(int(chunk[a]), None, None, None, None, to_planes(key[a:b]), to_planes(doc[a:b])) for a, b in segments(chunk)]
         return pd.DataFrame({c: pd.Series([r[i] for r in out], dtype="Int64" if c in ("key", "doc_id", "n") else None) for i, c in enumerate(columns)})
 
     return run
@@ -147,9 +145,8 @@ def _sets(share: int):
             key, doc = np.concatenate(list(map(from_planes, entries["blob"]))), np.concatenate(list(map(from_planes, entries["docs"]))).view(np.int64)
             order = np.lexsort((key, doc))
             key, doc = key[order], doc[order]
-            starts = runs(doc)
             sizes = dict(zip(docs["key"].astype("int64"), docs["n"].astype("int64"), strict=True))
-            for a, b in zip(starts, [*starts[1:], len(doc)], strict=True):
+            for a, b in segments(doc):
                 if 100 * (b - a) >= share * sizes[int(doc[a])]:
                     tokens[int(doc[a])] = to_planes(key[a:b])
         return docs[["key", "doc_id", "n", "digest"]].assign(tokens=[tokens.get(int(k)) for k in docs["key"]])

@@ -11,15 +11,20 @@ from pyspark.sql import functions as F
 from promptloom.llm.common import write_table
 
 
+def with_key(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """rows with a unique `key` (long). It is the id; where ids are null or repeated, rows are numbered in the order of ids (nulls
+    first) and written once, so that every stage sees the same keys. rows have no column `key` of their own."""
+    odd = rows.groupBy(id_col).agg(F.count("*").alias("n")).where((F.col("n") > 1) | F.col(id_col).isNull())
+    if odd.isEmpty():
+        return rows.withColumn("key", F.col(id_col).cast("long"))
+    ordered = rows.orderBy(id_col, F.xxhash64(*rows.columns))
+    return write_table(ordered.withColumn("key", F.monotonically_increasing_id()), "keyed")
+
+
 def keyed_docs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """key, doc_id, text (null as empty). The key is doc_id; where ids are null or repeated, rows are numbered in the order
-    of ids (nulls first) and written once, so that every stage sees the same keys."""
+    """key (with_key), doc_id, text (null as empty)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    odd = rows.select("doc_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
-    if odd.isEmpty():
-        return rows.select(F.col("doc_id").alias("key"), "doc_id", "text")
-    ordered = rows.orderBy("doc_id", F.xxhash64("text"))
-    return write_table(ordered.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text"), "keyed")
+    return with_key(rows).select("key", "doc_id", "text")
 
 
 def bucket_bits(spark: SparkSession, per_partition: int = 4) -> int:
@@ -61,6 +66,12 @@ def runs(sorted_values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], sorted_values[1:] != sorted_values[:-1]])) if len(sorted_values) else np.zeros(0, np.int64)
 
 
+def segments(sorted_values: np.ndarray) -> list[tuple[int, int]]:
+    """First and past-the-last position of each run of equal values."""
+    starts = runs(sorted_values).tolist()
+    return list(zip(starts, [*starts[1:], len(sorted_values)][: len(starts)], strict=True))
+
+
 def in_larger_runs(sorted_values: np.ndarray) -> np.ndarray:
     """Whether the value has an equal neighbour."""
     same = sorted_values[1:] == sorted_values[:-1]

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from promptloom.llm.bwt import window_classes
-from promptloom.llm.keyed import bucket_bits, from_planes, in_larger_runs, keyed_docs, mix, release, runs, to_planes
+from promptloom.llm.keyed import bucket_bits, from_planes, in_larger_runs, keyed_docs, mix, release, runs, segments, to_planes
 
 LENGTH = 100
 #: Bytes of the strings whose hashes choose anchors; bits of a hash kept besides its bucket; anchors that a map task looks at
@@ -94,8 +94,7 @@ def _anchor_entries(bits: int, length: int):
             (SEEN, (seen >> np.uint64(KEY_BITS)).astype(np.int64), seen, None, None),
             (KNOWN, spread[by], None, doc[many][by], at[many][by]),
         ):
-            starts = runs(bucket)
-            for a, b in zip(starts, [*starts[1:], len(bucket)], strict=True):
+            for a, b in segments(bucket):
                 own = to_planes(k[a:b] & np.uint64((1 << KEY_BITS) - 1)) if k is not None else None
                 out.append((int(bucket[a]), kind, own, to_planes(d[a:b]) if d is not None else None, to_planes(p[a:b]) if p is not None else None))
         cols = list(zip(*out, strict=True)) or [[]] * 5
@@ -131,8 +130,7 @@ def _by_chunk(doc: np.ndarray, at: np.ndarray, ends: np.ndarray | None, chunks:
     chunk = _chunk(doc, chunks)
     order = np.argsort(chunk, kind="stable")
     doc, at, chunk = doc[order], at[order], chunk[order]
-    starts = runs(chunk)
-    return [(int(chunk[a]), to_planes(doc[a:b]), to_planes(at[a:b]), to_planes(ends[order][a:b]) if ends is not None else None) for a, b in zip(starts, [*starts[1:], len(chunk)], strict=True)]
+    return [(int(chunk[a]), to_planes(doc[a:b]), to_planes(at[a:b]), to_planes(ends[order][a:b]) if ends is not None else None) for a, b in segments(chunk)]
 
 
 def _frame(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
@@ -177,8 +175,7 @@ def _slices(bits: int, chunks: int, length: int):
         known: dict[tuple, None] = {}
         keys, docs, firsts, skips, data = [], [], [], [], []
         span_docs, span_starts, span_ends = [], [], []
-        starts = runs(doc)
-        for a, b in zip(starts, [*starts[1:], len(doc)], strict=True):
+        for a, b in segments(doc):
             name = int(doc[a])
             raw = text[name].encode("utf-8", "surrogatepass")
             h, all_at, least = anchors(np.frombuffer(raw, np.uint8), length)
@@ -207,8 +204,7 @@ def _slices(bits: int, chunks: int, length: int):
             d, f, s = np.array(docs, np.int64)[by].view(np.uint64), np.array(firsts, np.uint64)[by], np.array(skips, np.uint64)[by]
             size = np.array([len(x) for x in data], np.uint64)[by]
             key, bucket, data = key[by], bucket[by], [data[i] for i in by]
-            cuts = runs(bucket)
-            for a, b in zip(cuts, [*cuts[1:], len(bucket)], strict=True):
+            for a, b in segments(bucket):
                 out.append((int(bucket[a]), to_planes(key[a:b], 8), to_planes(d[a:b]), to_planes(f[a:b]), to_planes(s[a:b]), to_planes(size[a:b]), b"".join(data[a:b]), None))
         if span_docs:
             where = int(mix(np.array([texts["chunk"].iloc[0]], np.uint64))[0] % np.uint64(1 << bits))
@@ -258,10 +254,9 @@ def _spans(chunks: int, length: int):
             starts.append(at[again].astype(np.uint64))
             ends.append((at[again] + size[again]).astype(np.uint64))
             several = once[in_larger_runs(key[once])]
-            groups = runs(key[several])
             held: list[int] = []
             total = 0
-            for a, b in zip(groups, [*groups[1:], len(several)], strict=True):
+            for a, b in segments(key[several]):
                 held += several[a:b].tolist()
                 total += int(size[several[a:b]].sum())
                 if held and (total >= BLOCK_BYTES or b == len(several)):
