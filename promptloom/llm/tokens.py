@@ -11,6 +11,7 @@ import hashlib
 import json
 import os
 import re
+from functools import lru_cache
 
 import numpy as np
 
@@ -18,20 +19,41 @@ MEMO_ENTRIES = 400_000
 MEMO_CHARS = 48
 
 _ODD_SPACE = re.compile(r"\s\s|[^\S \n]")
+_BEYOND_LATIN = re.compile(r"[^\x00-\u024f]")
 _BEFORE_WORD = re.compile(r"(?= \S)")
 
 
+def _letters() -> list[str]:
+    """Byte-level vocabularies write printable bytes of Latin-1 as themselves and the others, in order, from U+0100 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(0x100, 0x200))
+    return [chr(b) if b in shown else chr(next(others)) for b in range(256)]
+
+
+_LETTERS = _letters()
+
+
+def _byte_letters(s: str) -> str:
+    return s if s.isascii() and s.isalpha() else "".join(_LETTERS[b] for b in s.encode())
+
+
 class _Memo(dict):
     """word -> bytes of its ids (little-endian unsigned 32-bit); the newest MEMO_ENTRIES words and those used among as many before."""
 
-    def __init__(self, encode, restore):
+    def __init__(self, encode, restore, merge):
         super().__init__()
-        self.encode, self.restore, self.before = encode, restore, {}
+        self.encode, self.restore, self.merge, self.before = encode, restore, merge, {}
+        self.mark = lru_cache(lambda c: np.asarray(encode(c), dtype="<u4").tobytes())
 
     def __missing__(self, word: str) -> bytes:
         ids = self.before.get(word)
         if ids is None:
-            ids = np.asarray(self.encode(self.restore(word)), dtype="<u4").tobytes()
+            if word[-1:] in (",", ".") and word[-2:-1].isalpha() and word[-2] < "\u0250":
+                ids = self[word[:-1]] + self.mark(word[-1])  # a mark after a letter is a pre-token of its own
+            elif word.isalpha() and max(word) < "\u0250" and (ids := self.merge(word)) is not None:
+                pass  # letters alone are one pre-token, for the merges as they are
+            else:
+                ids = np.asarray(self.encode(self.restore(word)), dtype="<u4").tobytes()
         if len(word) <= MEMO_CHARS:
             if len(self) >= MEMO_ENTRIES:
                 self.before = dict(self)
@@ -54,10 +76,17 @@ class TokenIds:
         lib.no_padding()
         self.encode = lambda s: lib.encode(s, add_special_tokens=False).ids
         self.kind = self._kind(spec)
+        merges, space = lib.model, _byte_letters(" ")
+
+        def merge(word: str) -> bytes | None:
+            if self.kind == "dropped" and not word.islower():
+                return None
+            return np.array([t.id for t in merges.tokenize((space if self.kind == "spaced" else "") + _byte_letters(word))], "<u4").tobytes()
+
         if self.kind == "spaced":
-            self.memo = _Memo(self.encode, lambda w: w if w[:1] == "\n" else " " + w)
+            self.memo = _Memo(self.encode, lambda w: w if w[:1] == "\n" else " " + w, merge)
         elif self.kind == "dropped":
-            self.memo = _Memo(self.encode, lambda w: w)
+            self.memo = _Memo(self.encode, lambda w: w, merge)
 
     @staticmethod
     def _kind(spec: dict) -> str:
@@ -84,6 +113,8 @@ class TokenIds:
         if not text:
             return b""
         if self.kind == "dropped":
+            if not _BEYOND_LATIN.search(text):
+                text = text.lower()  # as the normalizer does: here every character stands for itself
             return b"".join(map(self.memo.__getitem__, text.replace("\n", " ").split(" ")))
         if self.kind == "spaced":
             if _ODD_SPACE.search(text):
