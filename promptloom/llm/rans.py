@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from functools import lru_cache
 
 import numpy as np
 
@@ -144,14 +145,21 @@ def _times(m: list[int], v: int) -> int:
     return s
 
 
-def crc32_joined(a: int, b: int, length: int) -> int:
-    """CRC-32 of two byte strings put together, from theirs and the second's length: a is carried over `length` zero bytes."""
+@lru_cache
+def _zeros(power: int) -> list[int]:
+    """What 2**power zero bytes do to a CRC-32."""
+    if power:
+        op = _zeros(power - 1)
+        return [_times(op, v) for v in op]
     op = [0xEDB88320] + [1 << i for i in range(31)]  # one zero bit
     for _ in range(3):
         op = [_times(op, v) for v in op]  # 2, 4, 8 bits
-    while length:
-        if length & 1:
-            a = _times(op, a)
-        op = [_times(op, v) for v in op]
-        length >>= 1
+    return op
+
+
+def crc32_joined(a: int, b: int, length: int) -> int:
+    """CRC-32 of two byte strings put together, from theirs and the second's length: a is carried over `length` zero bytes."""
+    for power in range(length.bit_length()):
+        if length >> power & 1:
+            a = _times(_zeros(power), a)
     return a ^ b

@@ -157,8 +157,9 @@ def _joined_crc(parts: pd.Series) -> pd.Series:
     """Of arrays of (piece_start, n, crc)."""
 
     def one(rows) -> int:
-        crc = 0
-        for r in sorted(rows, key=lambda r: r["piece_start"]):
+        first, *more = sorted(rows, key=lambda r: r["piece_start"])
+        crc = first["crc"]
+        for r in more:
             crc = rans.crc32_joined(crc, r["crc"], 4 * r["n"])
         return crc
 
