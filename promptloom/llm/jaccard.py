@@ -11,15 +11,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from promptloom.llm.common import shuffle_partitions, write_table
+from promptloom.llm.common import write_table
 from promptloom.llm.keyed import bucket_bits, from_planes, in_larger_runs, keyed_docs, mix, release, runs, segments, to_planes
 from promptloom.llm.trie import Trie
 
 WORDS, SHARE = 5, 80
 #: Bits of a shingle's hash that are kept besides its bucket; bytes of text that a map task looks at together; documents of a
-#: chunk; sets of one block of a cell.
-KEY_BITS, CHUNK_BYTES, CHUNK_DOCS, BLOCK_SETS = 40, 16 << 20, 2000, 256
+#: chunk; sets of one star's cell and of one block.
+KEY_BITS, CHUNK_BYTES, CHUNK_DOCS, STAR_SETS, BLOCK_SETS = 40, 16 << 20, 2000, 256, 4096
 STARS = 2
+#: Counts of a set's tokens by hash that stand for it in blocks.
+CELLS = 128
 
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -173,6 +175,38 @@ def _prefixes(share: int):
     return run
 
 
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A set -> how many of its tokens fall into each of CELLS parts. The sum of the smaller counts bounds an intersection."""
+    for b in batches:
+        counts = [to_planes(np.bincount((from_planes(t) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)) for t in b.column("tokens").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("set"), pa.array(counts, pa.binary())], ["set", "sketch"])
+
+
+def _possible(share: int):
+    """A cell of one block (side 2) or two (sides 0 and 1) -> the pairs of sets of different components whose sizes and
+    sketches allow a link."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("n")
+        left, right = (pdf, pdf) if (pdf["side"] == 2).all() else (pdf[pdf["side"] == 0], pdf[pdf["side"] == 1])
+        out = []
+        arrays = [(x["set"].to_numpy(np.int64), x["comp"].to_numpy(np.int64), x["n"].to_numpy(np.int64), np.stack([from_planes(v).astype(np.int32) for v in x["sketch"]])) for x in (left, right) if len(x)]
+        if len(arrays) == 2:
+            (a, ca, na, sa), (b, cb, nb, sb) = arrays
+            for i in range(len(a)):
+                lo, hi = np.searchsorted(nb, -(-share * na[i] // 100)), np.searchsorted(nb, na[i] * 100 // share, side="right")
+                if left is right:
+                    lo = max(lo, i + 1)
+                near = lo + np.flatnonzero(cb[lo:hi] != ca[i])
+                if len(near):
+                    bound = np.minimum(sb[near], sa[i]).sum(axis=1)
+                    near = near[(100 + share) * bound >= share * (na[i] + nb[near])]
+                    out += [(min(int(a[i]), x), max(int(a[i]), x)) for x in b[near].tolist()]
+        return pd.DataFrame(out, columns=["hub", "set"]).astype("int64")
+
+    return run
+
+
 class _Groups:
     def __init__(self):
         self.up: dict[int, int] = {}
@@ -240,8 +274,8 @@ def jaccard_groups(docs: DataFrame, share: int = SHARE, id_col: str = "doc_id",
     2. Documents with equal sets become one set. Sets are ordered by hash; similar ones share a token of their prefixes.
     3. Stars: every set is compared with the smallest set of its token groups, in cells of bounded size, by a prefix tree of
        ordered sets. Linked sets are merged. Token groups of one component are done.
-    4. What remains - groups with several components - is compared wholly, in blocks of BLOCK_SETS, by the same tree, which
-       skips sets that are already in one component.
+    4. What remains - groups with several components - is compared wholly, in blocks of BLOCK_SETS, by counts of tokens that
+       bound every intersection; the few pairs of different components that may be similar go to the tree again.
 
     No list of a group's pairs is ever made, and no task holds more than two blocks or a bucket.
 
@@ -252,7 +286,6 @@ def jaccard_groups(docs: DataFrame, share: int = SHARE, id_col: str = "doc_id",
     spark = docs.sparkSession
     rows, bits = keyed_docs(docs, id_col, text_col), bucket_bits(spark)
     chunks = rows.count() // CHUNK_DOCS + 1
-    parts = shuffle_partitions(spark)
     mapped = rows.mapInArrow(_bucketed(bits), MAPPED)
     found = mapped.groupBy("bucket").applyInPandas(_shared(chunks), SHARED)
     sets = write_table(found.groupBy("chunk").applyInPandas(_sets(share), SETS), "sets")
@@ -272,11 +305,15 @@ def jaccard_groups(docs: DataFrame, share: int = SHARE, id_col: str = "doc_id",
             pairs = pairs.join(tried, ["set", "hub"], "left_anti")
         pairs = write_table(pairs.groupBy("set").agg(F.min("hub").alias("hub")), "stars")
         tried = pairs if tried is None else tried.unionByName(pairs)
-        labels = components(labels, _compare(_stars(pairs, parts), alike, labels, share))
+        labels = components(labels, _compare(_stars(pairs), alike, labels, share))
         posts = open_posts.select("token", "set", "n")
     rest = write_table(_unsettled(posts, labels), "open")
     if not rest.isEmpty():
-        labels = components(labels, _compare(_blocks(rest), alike, labels, share))
+        sketches = alike.select("set", "tokens").mapInArrow(_sketches, "set long, sketch binary")
+        cells = _blocks(rest).join(alike.select("set", "n"), "set").join(labels, "set").join(sketches, "set")
+        pairs = cells.groupBy("cell").applyInPandas(_possible(share), "hub long, set long").distinct()
+        pairs = write_table(pairs.join(tried, ["set", "hub"], "left_anti"), "pairs")
+        labels = components(labels, _compare(_stars(pairs), alike, labels, share))
 
     named = labels.join(alike.select("set", "digest"), "set").select("digest", "comp")
     named = sets.where("tokens is not null and n > 0").groupBy("digest").agg(F.min("doc_id").alias("low")).join(named, "digest")
@@ -294,10 +331,10 @@ def _unsettled(posts: DataFrame, labels: DataFrame) -> DataFrame:
     return now.join(several, "token", "left_semi")
 
 
-def _stars(pairs: DataFrame, parts: int) -> DataFrame:
-    """cell, set, side: the sets of a hub in cells of about BLOCK_SETS, each with the hub."""
+def _stars(pairs: DataFrame) -> DataFrame:
+    """cell, set, side: the sets of a hub in cells of about STAR_SETS, each with the hub."""
     size = pairs.groupBy("hub").agg(F.count("*").alias("n"))
-    cells = pairs.join(size, "hub").select("hub", "set", F.xxhash64("hub", F.pmod(F.xxhash64("set"), F.floor(F.col("n") / BLOCK_SETS) + 1)).alias("cell"))
+    cells = pairs.join(size, "hub").select("hub", "set", F.xxhash64("hub", F.pmod(F.xxhash64("set"), F.floor(F.col("n") / STAR_SETS) + 1)).alias("cell"))
     hubs = cells.select("cell", F.col("hub").alias("set"), F.lit(0).alias("side")).distinct()
     return cells.select("cell", "set", F.lit(1).alias("side")).unionByName(hubs)
 
