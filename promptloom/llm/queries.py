@@ -66,7 +66,7 @@ def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = new_path(spark, "token-file")
     write_token_file(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), 2)
-    return document_checks(read_token_file(spark, path)).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return document_checks(read_token_file(spark, path, checks=True)).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,7 +46,7 @@ class Model:
         self.freq = shares.astype(np.uint64)
         self.start = np.concatenate([[0], np.cumsum(shares.astype(np.int64))[:-1]]).astype(np.uint64) if len(ids) else np.zeros(0, np.uint64)
         self.symbol = np.repeat(np.arange(len(ids), dtype=np.uint32), shares)  # slot -> index in ids
-        self.index = np.full(int(ids.max()) + 1 if len(ids) else 0, -1, np.int64)
+        self.index = np.zeros(int(ids.max()) + 1 if len(ids) else 0, np.uint32)
         self.index[ids] = np.arange(len(ids))
 
     def encode(self, blocks: list[np.ndarray]) -> list[bytes]:
@@ -54,23 +54,27 @@ class Model:
         lanes, steps = LANES, SEGMENT // LANES
         parts = [b[at : at + SEGMENT] for b in blocks for at in range(0, max(len(b), 1), SEGMENT)]
         sizes = np.array([len(p) for p in parts])
-        grid = np.zeros((len(parts), steps * lanes), np.int64)
+        least = int(sizes.min(initial=SEGMENT))
+        grid = np.zeros((len(parts), steps * lanes), np.uint32)
         for i, p in enumerate(parts):
             grid[i, : len(p)] = self.index[p]
         x = np.full((len(parts), lanes), _LOW, np.uint64)
         lane, bits = np.arange(lanes), np.uint64(self.bits)
         words, owners = [], []
         for s in range(-(-int(sizes.max(initial=0)) // lanes) - 1, -1, -1):
-            live = s * lanes + lane[None, :] < sizes[:, None]
+            live = s * lanes + lane[None, :] < sizes[:, None] if (s + 1) * lanes > least else None
             sym = grid[:, s * lanes : (s + 1) * lanes]
             f, c = self.freq[sym], self.start[sym]
-            out = live & (x >= f << np.uint64(63 - self.bits))
+            out = x >= f << np.uint64(63 - self.bits)
+            if live is not None:
+                out &= live
             if out.any():
                 words.append((x[out] & np.uint64(0xFFFFFFFF)).astype(np.uint32))
                 owners.append(np.nonzero(out)[0].astype(np.uint32))
-                x = np.where(out, x >> np.uint64(32), x)
+                x >>= out * np.uint64(32)
             q = x // f
-            x = np.where(live, (q << bits) + (x - q * f) + c, x)
+            coded = (q << bits) + (x - q * f) + c
+            x = coded if live is None else np.where(live, coded, x)
         flat = np.concatenate(words[::-1]) if words else np.zeros(0, np.uint32)
         owner = np.concatenate(owners[::-1]) if owners else np.zeros(0, np.uint32)
         flat = flat[np.argsort(owner, kind="stable")]
@@ -108,23 +112,26 @@ class Model:
             return []
         size, x = np.array(sizes), np.concatenate(states).astype(np.uint64)
         flat, ptr = np.concatenate(words).astype(np.uint64), np.concatenate(firsts)
-        flat = np.append(flat, np.uint64(0))
+        least = int(size.min())
         lane, bits, mask = np.arange(LANES), np.uint64(self.bits), np.uint64((1 << self.bits) - 1)
         steps = -(-int(size.max(initial=0)) // LANES)
         grid = np.zeros((len(size), steps * LANES), np.uint32)
         for s in range(steps):
-            live = s * LANES + lane[None, :] < size[:, None]
+            live = s * LANES + lane[None, :] < size[:, None] if (s + 1) * LANES > least else None
             slot = x & mask
             sym = self.symbol[slot]
             nxt = self.freq[sym] * (x >> bits) + slot - self.start[sym]
-            x = np.where(live, nxt, x)
+            x = nxt if live is None else np.where(live, nxt, x)
             grid[:, s * LANES : (s + 1) * LANES] = sym
-            need = live & (x < _LOW)
+            need = x < _LOW
+            if live is not None:
+                need &= live
             if need.any():
-                rank = np.cumsum(need, axis=1)
-                take = np.where(need, ptr[:, None] + rank - 1, len(flat) - 1)
-                x = np.where(need, (x << np.uint64(32)) | flat[take], x)
-                ptr = ptr + rank[:, -1]
+                row, col = np.nonzero(need)
+                taken = np.bincount(row, minlength=len(ptr))
+                words_at = np.arange(len(row)) + np.repeat(ptr - (np.cumsum(taken) - taken), taken)
+                x[row, col] = (x[row, col] << np.uint64(32)) | flat[words_at]
+                ptr = ptr + taken
         out, row = [], 0
         for n, k, crc in heads:
             ids = self.ids[grid[row : row + k].reshape(-1)[: n]] if k == 1 else self.ids[np.concatenate([grid[row + i, : size[row + i]] for i in range(k)])] if n else np.zeros(0, np.uint32)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,31 +23,40 @@ BLOCKS = "first long, doc_ids array<long>, doc_starts array<long>, lengths array
 TOGETHER = 16
 
 
-def _tokenize(tokenizer: str, end_id: int):
+def _narrow(tokenizer: str, end_id: int) -> bool:
+    """Whether ids are kept in 16 bits between the stages."""
+    return max(token_ids(tokenizer).largest, end_id) < 1 << 16
+
+
+def _tokenize(tokenizer: str, end_id: int, narrow: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, end, part, at = token_ids(tokenizer).ids, np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId(), 0
         for b in batches:
             ids = [ids_of(t.as_py()) + end for t in b.column("text")]
             starts = at + np.cumsum([0] + [len(x) // 4 for x in ids], dtype=np.int64)
+            if narrow:
+                ids = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids]
             at = int(starts[-1])
             yield pa.RecordBatch.from_arrays([pa.array([part] * len(ids), pa.int32()), pa.array(starts[:-1]), b.column("doc_id"), pa.array(ids, pa.binary())], ["part", "at", "doc_id", "ids"])
 
     return run
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(0, np.int64)
-    for b in batches:
-        ids = np.frombuffer(b"".join(b.column("ids").to_pylist()), "<u4")
-        n = np.bincount(ids)
-        if len(n) > len(total):
-            total = np.pad(total, (0, len(n) - len(total)))
-        total[: len(n)] += n
-    seen = np.nonzero(total)[0]
-    yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["id", "n"])
+def _count(kind: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0, np.int64)
+        for b in batches:
+            n = np.bincount(np.frombuffer(b"".join(b.column("ids").to_pylist()), kind))
+            if len(n) > len(total):
+                total = np.pad(total, (0, len(n) - len(total)))
+            total[: len(n)] += n
+        seen = np.nonzero(total)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["id", "n"])
+
+    return run
 
 
-def _encode(model_ids: bytes, shares: bytes, scale_bits: int, offsets: dict[int, int]):
+def _encode(model_ids: bytes, shares: bytes, scale_bits: int, offsets: dict[int, int], kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = rans.Model(np.frombuffer(model_ids, np.uint32), np.frombuffer(shares, np.uint32), scale_bits)
         held: list[tuple[int, list, np.ndarray]] = []
@@ -74,7 +84,7 @@ def _encode(model_ids: bytes, shares: bytes, scale_bits: int, offsets: dict[int,
 
         for b in batches:
             for part, at, doc, raw in zip(*(b.column(c).to_pylist() for c in ("part", "at", "doc_id", "ids")), strict=True):
-                start, ids = offsets[part] + at, np.frombuffer(raw, "<u4")
+                start, ids = offsets[part] + at, np.frombuffer(raw, kind)
                 if docs and first + size != start:
                     close()
                 done = 0
@@ -111,20 +121,22 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str, end_id: int, id
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     ordered = keyed.repartitionByRange(shuffle_partitions(spark), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     kept = new_path(spark, "ids")
-    ordered.mapInArrow(_tokenize(tokenizer, end_id), TOKENS).write.option("compression", "zstd").parquet(kept)
+    narrow = _narrow(tokenizer, end_id)
+    kind, width = ("<u2", 2) if narrow else ("<u4", 4)
+    ordered.mapInArrow(_tokenize(tokenizer, end_id, narrow), TOKENS).write.option("compression", "zstd").parquet(kept)
     tokens = spark.read.schema(TOKENS).parquet(kept)
 
-    counts = tokens.select("ids").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    counts = tokens.select("ids").mapInArrow(_count(kind), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     ids, shares = rans.frequencies(counts["id"].to_numpy(np.int64), counts["n"].to_numpy(np.int64), scale_bits)
     spark.createDataFrame(pd.DataFrame({"id": ids.astype(np.int64), "share": shares.astype(np.int64)}), "id long, share long").coalesce(1).write.parquet(f"{path}/table")
 
-    sizes = tokens.groupBy("part").agg(F.max(F.col("at") + F.octet_length("ids") / 4).cast("long").alias("n")).orderBy("part").collect()
+    sizes = tokens.groupBy("part").agg(F.max(F.col("at") + F.octet_length("ids") / width).cast("long").alias("n")).orderBy("part").collect()
     offsets = dict(zip([r["part"] for r in sizes], np.cumsum([0, *(r["n"] for r in sizes)]).tolist(), strict=False))
-    tokens.mapInArrow(_encode(ids.tobytes(), shares.tobytes(), scale_bits, offsets), BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
+    tokens.mapInArrow(_encode(ids.tobytes(), shares.tobytes(), scale_bits, offsets, kind), BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
     drop_path(spark, kept)
 
 
-def _decode(model_ids: bytes, shares: bytes, scale_bits: int):
+def _decode(model_ids: bytes, shares: bytes, scale_bits: int, checks: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = rans.Model(np.frombuffer(model_ids, np.uint32), np.frombuffer(shares, np.uint32), scale_bits)
         for b in batches:
@@ -132,24 +144,28 @@ def _decode(model_ids: bytes, shares: bytes, scale_bits: int):
                 c = b.slice(at, TOGETHER)
                 doc, start, piece, raw = [], [], [], []
                 for first, ids, docs, starts, lengths in zip(c.column("first").to_pylist(), model.decode(c.column("payload").to_pylist()), *(c.column(k).to_pylist() for k in ("doc_ids", "doc_starts", "lengths")), strict=True):
-                    cuts = np.concatenate([[0], np.cumsum(lengths)])
+                    cuts = np.concatenate([[0], np.cumsum(lengths)]).tolist()
                     data = ids.astype("<u4").tobytes()
                     doc += docs
                     start += starts
-                    piece += (first + cuts[:-1]).tolist()
+                    piece += [first + x for x in cuts[:-1]]
                     raw += [data[4 * i : 4 * j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(piece, pa.int64()), pa.array(raw, pa.binary())], ["doc_id", "start", "piece_start", "ids"])
+                cols = [pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(piece, pa.int64())]
+                if checks:
+                    yield pa.RecordBatch.from_arrays([*cols, pa.array([len(r) // 4 for r in raw], pa.int64()), pa.array([zlib.crc32(r) for r in raw], pa.int64())], ["doc_id", "start", "piece_start", "n", "crc"])
+                else:
+                    yield pa.RecordBatch.from_arrays([*cols, pa.array(raw, pa.binary())], ["doc_id", "start", "piece_start", "ids"])
 
     return run
 
 
-def read_token_file(spark: SparkSession, path: str, scale_bits: int = rans.SCALE_BITS) -> DataFrame:
-    """The pieces of documents in the blocks: doc_id, start (of the document), piece_start, ids (little-endian unsigned 32-bit).
-    Every block is decoded on its own; a damaged one raises ValueError."""
+def read_token_file(spark: SparkSession, path: str, scale_bits: int = rans.SCALE_BITS, checks: bool = False) -> DataFrame:
+    """The pieces of documents in the blocks: doc_id, start (of the document), piece_start and ids (little-endian unsigned
+    32-bit) or, with checks, their number n and CRC-32 crc. Every block is decoded on its own; a damaged one raises ValueError."""
     table = spark.read.schema("id long, share long").parquet(f"{path}/table").orderBy("id").toPandas()
     model = (table["id"].to_numpy(np.uint32).tobytes(), table["share"].to_numpy(np.uint32).tobytes())
     blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
-    return blocks.mapInArrow(_decode(*model, scale_bits), "doc_id long, start long, piece_start long, ids binary")
+    return blocks.mapInArrow(_decode(*model, scale_bits, checks), "doc_id long, start long, piece_start long, " + ("n long, crc long" if checks else "ids binary"))
 
 
 @F.pandas_udf(T.LongType())
@@ -167,9 +183,7 @@ def _joined_crc(parts: pd.Series) -> pd.Series:
 
 
 def document_checks(pieces: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of the documents in read_token_file's result. The checksums of a document's pieces are
-    joined, not its ids; a document is known by its start, as repeated doc_ids are different documents."""
-    n = (F.octet_length("ids") / 4).cast("long")
-    part = pieces.select("doc_id", "start", "piece_start", n.alias("n"), F.crc32("ids").alias("crc"))
-    docs = part.groupBy("start").agg(F.min("doc_id").alias("doc_id"), F.sum("n").alias("n_tokens"), F.collect_list(F.struct("piece_start", "n", "crc")).alias("parts"))
+    """doc_id, start, n_tokens, ids_crc32 of the documents in read_token_file's result with checks. The checksums of a document's
+    pieces are joined, not its ids; a document is known by its start, as repeated doc_ids are different documents."""
+    docs = pieces.groupBy("start").agg(F.min("doc_id").alias("doc_id"), F.sum("n").alias("n_tokens"), F.collect_list(F.struct("piece_start", "n", "crc")).alias("parts"))
     return docs.select("doc_id", "start", "n_tokens", _joined_crc("parts").alias("ids_crc32"))

@@ -15,7 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 600_000
 MEMO_CHARS = 48
 
 _ODD_SPACE = re.compile(r"\s\s|[^\S \n]")
@@ -74,6 +74,7 @@ class TokenIds:
         lib = Tokenizer.from_file(path)
         lib.no_truncation()
         lib.no_padding()
+        self.largest = max(lib.get_vocab(with_added_tokens=True).values(), default=0)
         self.encode = lambda s: lib.encode(s, add_special_tokens=False).ids
         self.kind = self._kind(spec)
         merges, space = lib.model, _byte_letters(" ")
