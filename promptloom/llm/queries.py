@@ -48,6 +48,19 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text and what they decode to, as lengths and checksums."""
+    from promptloom.llm.pieces import decode, encode
+    from promptloom.llm.token_file import joined_crc
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    parts = decode(encode(table(spark, sf_dir, "documents"), model), model)
+    size = lambda c: F.octet_length(c).cast("long")
+    cells = {c: F.struct(F.col("part").alias("at"), size(c).alias("bytes"), F.crc32(c).alias("crc")) for c in ("ids", "data")}
+    docs = parts.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_parts"), *(F.sum(size(c)).alias(f"n_{c}") for c in cells), *(F.collect_list(x).alias(c) for c, x in cells.items()))
+    return docs.select("doc_id", "n_parts", F.expr("n_ids div 4").alias("n_tokens"), joined_crc("ids").alias("ids_crc32"), F.col("n_data").alias("n_bytes"), joined_crc("data").alias("text_crc32"))
+
+
 def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from promptloom.llm.topk import top_k
 
@@ -82,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_sharding": op5_sharding,
+    "op6_sentencepiece": op6_sentencepiece,
     "op7_top_k": op7_top_k,
     "op8_line_dedup": op8_line_dedup,
     "op9_token_file": op9_token_file,

@@ -169,14 +169,14 @@ def read_token_file(spark: SparkSession, path: str, scale_bits: int = rans.SCALE
 
 
 @F.pandas_udf(T.LongType())
-def _joined_crc(parts: pd.Series) -> pd.Series:
-    """Of arrays of (piece_start, n, crc)."""
+def joined_crc(parts: pd.Series) -> pd.Series:
+    """The CRC-32 of what arrays of (at, bytes, crc) make up in the order of at."""
 
     def one(rows) -> int:
-        first, *more = sorted(rows, key=lambda r: r["piece_start"])
+        first, *more = sorted(rows, key=lambda r: r["at"])
         crc = first["crc"]
         for r in more:
-            crc = rans.crc32_joined(crc, r["crc"], 4 * r["n"])
+            crc = rans.crc32_joined(crc, r["crc"], r["bytes"])
         return crc
 
     return parts.map(one)
@@ -185,5 +185,5 @@ def _joined_crc(parts: pd.Series) -> pd.Series:
 def document_checks(pieces: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of the documents in read_token_file's result with checks. The checksums of a document's
     pieces are joined, not its ids; a document is known by its start, as repeated doc_ids are different documents."""
-    docs = pieces.groupBy("start").agg(F.min("doc_id").alias("doc_id"), F.sum("n").alias("n_tokens"), F.collect_list(F.struct("piece_start", "n", "crc")).alias("parts"))
-    return docs.select("doc_id", "start", "n_tokens", _joined_crc("parts").alias("ids_crc32"))
+    docs = pieces.groupBy("start").agg(F.min("doc_id").alias("doc_id"), F.sum("n").alias("n_tokens"), F.collect_list(F.struct(F.col("piece_start").alias("at"), (4 * F.col("n")).alias("bytes"), "crc")).alias("parts"))
+    return docs.select("doc_id", "start", "n_tokens", joined_crc("parts").alias("ids_crc32"))
