@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -82,9 +83,14 @@ def read_prompt_array(spark: SparkSession, path: str) -> DataFrame:
 
 
 def detect_format(spark: SparkSession, path: str) -> DataFrame:
-    """file, format: array where the first non-blank character of the first 64 is [, else lines."""
-    head = F.ltrim(F.regexp_replace(F.decode(F.substring("content", 1, 64), "UTF-8"), r"^\s+", ""))
-    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.when(F.startswith(head, F.lit("[")), "array").otherwise("lines").alias("format"))
+    """file, format: array where the first non-blank character of the first 64 is [, else lines. Spark reads no empty files;
+    they come from the listing that it makes anyway."""
+    heads = spark.read.format("binaryFile").load(path)
+    files = spark.createDataFrame([(unquote(f),) for f in heads.inputFiles()], "file string")
+    head = F.regexp_replace(F.decode(F.substring("content", 1, 64), "UTF-8"), r"^\s+", "")
+    kinds = heads.select(F.col("path").alias("file"), F.when(F.startswith(head, F.lit("[")), "array").otherwise("lines").alias("format"))
+    name = F.regexp_replace("file", "^file:/+", "/")
+    return files.withColumn("file", name).join(kinds.withColumn("file", name), "file", "left").select("file", F.coalesce("format", F.lit("lines")).alias("format"))
 
 
 def prompts_from_table(df: DataFrame, id_col: str, prompt_col: str, job_col: str, seq_col: str) -> DataFrame:
