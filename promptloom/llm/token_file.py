@@ -30,14 +30,18 @@ def _narrow(tokenizer: str, end_id: int) -> bool:
 
 def _tokenize(tokenizer: str, end_id: int, narrow: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, end, part, at = token_ids(tokenizer).ids, np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId(), 0
+        batched, part, at, kind = token_ids(tokenizer).batches, TaskContext.get().partitionId(), 0, "<u2" if narrow else "<u4"
+        end = np.array([end_id], kind).tobytes()
         for b in batches:
-            ids = [ids_of(t.as_py()) + end for t in b.column("text")]
-            starts = at + np.cumsum([0] + [len(x) // 4 for x in ids], dtype=np.int64)
-            if narrow:
-                ids = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids]
-            at = int(starts[-1])
-            yield pa.RecordBatch.from_arrays([pa.array([part] * len(ids), pa.int32()), pa.array(starts[:-1]), b.column("doc_id"), pa.array(ids, pa.binary())], ["part", "at", "doc_id", "ids"])
+            first = 0
+            for flat, offsets in batched(b.column("text").to_pylist()):
+                data, width, n = flat.astype(kind).tobytes(), int(kind[-1]), len(offsets) - 1
+                cut = (offsets * width).tolist()
+                ids = [data[x:y] + end for x, y in zip(cut[:-1], cut[1:], strict=True)]
+                starts = at + offsets[:-1] + np.arange(n)
+                at += int(offsets[-1]) + n
+                yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array(starts.astype(np.int64)), b.column("doc_id").slice(first, n), pa.array(ids, pa.binary())], ["part", "at", "doc_id", "ids"])
+                first += n
 
     return run
 

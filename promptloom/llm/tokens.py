@@ -11,15 +11,22 @@ import hashlib
 import json
 import os
 import re
+from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 MEMO_ENTRIES = 600_000
 MEMO_CHARS = 48
+#: Characters of text that are tokenized together.
+BATCH_CHARS = 8 << 20
 
 _ODD_SPACE = re.compile(r"\s\s|[^\S \n]")
-_BEYOND_LATIN = re.compile(r"[^\x00-\u024f]")
+#: Characters up to U+024F are composed already, and their lower case is one such character; but for U+0130.
+_BEYOND_LATIN = re.compile(r"[^\x00-\u024f]|\u0130")
 _BEFORE_WORD = re.compile(r"(?= \S)")
 
 
@@ -46,14 +53,14 @@ class _Memo(dict):
         self.mark = lru_cache(lambda c: np.asarray(encode(c), dtype="<u4").tobytes())
 
     def __missing__(self, word: str) -> bytes:
+        if word[-1:] in (",", ".") and word[-2:-1].isalpha() and word[-2] < "\u0250" and word[-2] != "\u0130":
+            return self[word[:-1]] + self.mark(word[-1])  # a mark after a letter is a pre-token of its own
         ids = self.before.get(word)
         if ids is None:
-            if word[-1:] in (",", ".") and word[-2:-1].isalpha() and word[-2] < "\u0250":
-                ids = self[word[:-1]] + self.mark(word[-1])  # a mark after a letter is a pre-token of its own
-            elif word.isalpha() and max(word) < "\u0250" and (ids := self.merge(word)) is not None:
-                pass  # letters alone are one pre-token, for the merges as they are
-            else:
-                ids = np.asarray(self.encode(self.restore(word)), dtype="<u4").tobytes()
+            # letters alone are one pre-token, for the merges as they are
+            ids = self.merge(word) if word.isalpha() and max(word) < "\u0250" else None
+            if ids is None:
+                ids = array("I", self.encode(self.restore(word))).tobytes()
         if len(word) <= MEMO_CHARS:
             if len(self) >= MEMO_ENTRIES:
                 self.before = dict(self)
@@ -77,12 +84,12 @@ class TokenIds:
         self.largest = max(lib.get_vocab(with_added_tokens=True).values(), default=0)
         self.encode = lambda s: lib.encode(s, add_special_tokens=False).ids
         self.kind = self._kind(spec)
-        merges, space = lib.model, _byte_letters(" ")
+        merges, lead = lib.model, _byte_letters(" ") if self.kind == "spaced" else ""
 
         def merge(word: str) -> bytes | None:
             if self.kind == "dropped" and not word.islower():
                 return None
-            return np.array([t.id for t in merges.tokenize((space if self.kind == "spaced" else "") + _byte_letters(word))], "<u4").tobytes()
+            return array("I", [t.id for t in merges.tokenize(lead + (word if word.isascii() else _byte_letters(word)))]).tobytes()
 
         if self.kind == "spaced":
             self.memo = _Memo(self.encode, lambda w: w if w[:1] == "\n" else " " + w, merge)
@@ -126,6 +133,37 @@ class TokenIds:
             return np.asarray(self.encode(first), dtype="<u4").tobytes() + b"".join(map(self.memo.__getitem__, words))
         return np.asarray(self.encode(text), dtype="<u4").tobytes()
 
+    def batches(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids, offsets) of some texts after others: text i has ids[offsets[i]:offsets[i + 1]]. Where white space is dropped,
+        words are split and told apart by Arrow, so that each distinct word of a few megabytes is looked up once."""
+        part: list[str] = []
+        size = 0
+        for t in texts:
+            part.append(t)
+            size += len(t)
+            if size >= BATCH_CHARS:
+                yield self._batch(part)
+                part, size = [], 0
+        if part:
+            yield self._batch(part)
+
+    def _batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if self.kind != "dropped":
+            ids = [self.ids(t) for t in texts]
+            return np.frombuffer(b"".join(ids), "<u4"), np.cumsum([0] + [len(x) // 4 for x in ids])
+        plain = [(t if _BEYOND_LATIN.search(t) else t.lower()).replace("\n", " ") for t in texts]
+        words = pc.split_pattern(pa.array(plain, pa.large_string()), " ")
+        ends = words.offsets.to_numpy()
+        coded = words.flatten().dictionary_encode()
+        known = list(map(self.memo.__getitem__, coded.dictionary.to_pylist()))
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        starts, flat = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(known), "<u4")
+        index = coded.indices.to_numpy()
+        size = sizes[index]
+        upto = np.concatenate([[0], np.cumsum(size)])
+        at = np.repeat(starts[index] - upto[:-1], size) + np.arange(upto[-1])
+        return flat[at], upto[ends - ends[0]]
+
 
 _loaded: dict[str, TokenIds] = {}
 
