@@ -102,16 +102,18 @@ def _packed(pieces: Iterator[tuple], size: int, keep: int, level: int, last: boo
 
 def _first(tokenizer: str, end_id: int, size: int, keep: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, end, step = token_ids(tokenizer).ids, np.array([end_id], "<u4").tobytes(), 4 * size
+        batched, end, step = token_ids(tokenizer).batches, np.array([end_id], "<u4").tobytes(), 4 * size
 
         def pieces() -> Iterator[tuple]:
             for b in batches:
-                for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-                    ids = ids_of(text.as_py()) + end
-                    n = len(ids) // 4
-                    for at in range(0, len(ids), step):
-                        part = ids[at : at + step]
-                        yield doc, at // 4, len(part) // 4, n, part
+                docs = iter(b.column("doc_id").to_pylist())
+                for flat, offsets in batched(b.column("text").to_pylist()):
+                    data, cut = flat.astype("<u4").tobytes(), (4 * offsets).tolist()
+                    for x, y in zip(cut[:-1], cut[1:], strict=True):
+                        ids, doc = data[x:y] + end, next(docs)
+                        for at in range(0, len(ids), step):
+                            part = ids[at : at + step]
+                            yield doc, at // 4, len(part) // 4, len(ids) // 4, part
 
         yield from _batches(_packed(pieces(), size, keep, 0, False))
 
