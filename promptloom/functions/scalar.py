@@ -96,8 +96,14 @@ def price(model: str | Column, side: int) -> Column:
     return F.coalesce(F.try_element_at(known, F.coalesce(col(model), F.lit(DEFAULT_MODEL))), F.lit(PRICES[DEFAULT_MODEL][side]))
 
 
+def cost_nanos(input_tokens: str | Column = "input_tokens", output_tokens: str | Column = "output_tokens", model: str | Column = "model") -> Column:
+    """Billionths of a dollar: whole numbers, as prices are whole thousandths a million, so that sums are exact in any order."""
+    parts = (col(n) * F.round(price(model, side) * 1000).cast("long") for side, n in enumerate((input_tokens, output_tokens)))
+    return sum(parts, F.lit(0).cast("long"))
+
+
 def cost_usd(input_tokens: str | Column = "input_tokens", output_tokens: str | Column = "output_tokens", model: str | Column = "model") -> Column:
-    return col(input_tokens) / 1e6 * price(model, 0) + col(output_tokens) / 1e6 * price(model, 1)
+    return cost_nanos(input_tokens, output_tokens, model) / 1e9
 
 
 def retry_limit(ingested: str | Column, share: float = RETRY_SHARE) -> Column:

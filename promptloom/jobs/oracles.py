@@ -12,7 +12,7 @@ def _cases(side: int) -> str:
 CLASS = f"CASE WHEN http_status = 200 AND malformed THEN 'transient' ELSE CASE http_status {_cases(0)} ELSE 'transient' END END"
 MOST = f"CASE WHEN http_status = 200 AND malformed THEN 2 ELSE CASE http_status {_cases(1)} ELSE 5 END END"
 PRICE_IN, PRICE_OUT = (f"CASE model {' '.join(f'WHEN {m!r} THEN CAST({p[i]} AS DOUBLE)' for m, p in PRICES.items())} ELSE CAST(0.2 AS DOUBLE) END" for i in (0, 1))
-COST = f"(input_tokens / 1e6 * {PRICE_IN} + output_tokens / 1e6 * {PRICE_OUT})"
+NANOS = f"(input_tokens * CAST(round({PRICE_IN} * 1000) AS BIGINT) + output_tokens * CAST(round({PRICE_OUT} * 1000) AS BIGINT))"
 
 PROMPTS = """prompts AS (
   SELECT source AS job_id, doc_id AS seq, 'doc-' || doc_id AS item_id, text AS prompt, 128 AS max_tokens,
@@ -69,7 +69,7 @@ counts AS (
   SELECT p.job_id, count(*) AS ingested, count(*) FILTER (o.status = 'success') AS succeeded, count(*) FILTER (o.status = 'error') AS failed,
     CAST(0 AS BIGINT) AS in_flight, count(*) FILTER (o.status IS NULL) AS pending
   FROM prompts p LEFT JOIN (SELECT * FROM outcomes WHERE seq % 13 <> 5) o USING (item_id) GROUP BY p.job_id),
-spend AS (SELECT job_id, sum({COST}) AS cost FROM outcomes WHERE status = 'success' AND seq % 13 <> 5 GROUP BY job_id)"""
+spend AS (SELECT job_id, sum({NANOS}) / 1e9 AS cost FROM outcomes WHERE status = 'success' AND seq % 13 <> 5 GROUP BY job_id)"""
 STATUS = "CASE WHEN cancelled THEN 'cancelled' WHEN aborted THEN 'failed' WHEN coalesce(ingested, 0) = 0 THEN 'succeeded' WHEN failed = 0 THEN 'succeeded' WHEN succeeded = 0 THEN 'failed' ELSE 'partial' END"
 RAW = """raw AS (SELECT doc_id AS seq, CASE doc_id % 10 WHEN 0 THEN '{"id": "a' || doc_id || '"}' WHEN 1 THEN '{"id": "a' || doc_id || '", "prompt": 3}'
   WHEN 2 THEN '{"prompt": "p' || doc_id || '"}' WHEN 3 THEN '{"id": "a' || doc_id || '", "prom' WHEN 4 THEN '{"id": "a' || doc_id || '", "prompt": "p"} x'
@@ -98,7 +98,7 @@ SELECT seq, http_status, CASE WHEN NOT fine THEN body WHEN ok THEN 't' || seq EL
   CASE http_status WHEN 200 THEN 800000000 - seq + 3 * (seq % 10) END AS remaining_day FROM attempts WHERE http_status IN (200, 429)""",
     "reset_wait": f"""WITH {ATTEMPTS} SELECT seq, round(CASE WHEN seq % 50 = 0 THEN 0.0 ELSE greatest(0.0, floor(epoch_us(ts) / 1e6) + seq % 7 - 2 - epoch_us(ts) / 1e6) END, 6) AS wait_s FROM attempts WHERE http_status = 429""",
     "backoff_bounds": f"WITH {DRAWS} SELECT item_id, attempt, least(30.0, 0.5 * pow(2, attempt)) AS envelope_s, round(least(30.0, 0.5 * pow(2, attempt)) * {u('backoff')}, 6) AS delay_s FROM draws",
-    "cost_per_row": f"WITH {DRAWS} SELECT item_id, model, input_tokens, output_tokens, round({COST}, 9) AS cost_usd FROM outcomes WHERE status = 'success'",
+    "cost_per_row": f"WITH {DRAWS} SELECT item_id, model, input_tokens, output_tokens, {NANOS} / 1e9 AS cost_usd FROM outcomes WHERE status = 'success'",
     "unit_hash": f"WITH {PROMPTS}, d0 AS (SELECT *, 1 AS attempt FROM prompts) SELECT item_id, round({u('x')}, 9) AS u FROM d0",
     "prompts_validate": "SELECT source AS job_id, doc_id AS seq, 'doc-' || doc_id AS item_id, CASE WHEN text IS NULL THEN 'invalid_input' END AS failure_class, CAST(length(text) AS INTEGER) AS chars FROM documents",
     "read_lines": f"WITH {RAW_ROWS} SELECT * FROM rows",
@@ -121,7 +121,7 @@ SELECT a.job_id, a.seq, a.item_id, CASE WHEN seq > cancel_seq THEN 'cancelled' W
 FROM attempts a LEFT JOIN c ON a.job_id = c.job_id LEFT JOIN k ON a.job_id = k.job_id""",
     "job_counts": f"WITH {JOBS} SELECT * FROM counts",
     "errors_by_class": f"WITH {DRAWS} SELECT job_id, final_class AS failure_class, count(*) AS errors FROM outcomes WHERE status = 'error' GROUP BY ALL",
-    "usage_cost": f"WITH {DRAWS} SELECT job_id, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, round(sum({COST}), 6) AS cost_usd, round(avg(CAST(input_tokens + output_tokens AS DOUBLE)), 6) AS avg_tokens FROM outcomes WHERE status = 'success' GROUP BY job_id",
+    "usage_cost": f"WITH {DRAWS} SELECT job_id, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, sum({NANOS}) / 1e9 AS cost_usd, avg(CAST(input_tokens + output_tokens AS DOUBLE)) AS avg_tokens FROM outcomes WHERE status = 'success' GROUP BY job_id",
     "final_status": f"WITH {JOBS} SELECT job_id, {STATUS} AS status FROM jobrows LEFT JOIN counts USING (job_id)",
     "progress_timing": f"""WITH {JOBS} SELECT job_id, round((succeeded + failed) / ingested * 100, 1) AS progress_pct, round((succeeded + failed) / elapsed_s, 3) AS throughput_rps,
   CASE WHEN running AND succeeded + failed > 0 THEN round((greatest(0, ingested - succeeded - failed) + pending) / ((succeeded + failed) / elapsed_s), 1) END AS eta_s FROM jobrows JOIN counts USING (job_id)""",
@@ -129,41 +129,41 @@ FROM attempts a LEFT JOIN c ON a.job_id = c.job_id LEFT JOIN k ON a.job_id = k.j
 made AS (SELECT d.* FROM draws d JOIN outcomes o ON d.item_id = o.item_id AND d.attempt <= o.attempt),
 att AS (SELECT job_id, count(*) AS attempts, count(*) FILTER (failure_class = 'throttled') AS throttle_events, count(*) - count(DISTINCT item_id) AS retries_issued FROM made GROUP BY job_id)
 SELECT job_id, CASE WHEN running THEN 'running' ELSE {STATUS} END AS status, coalesce(ingested, 0) AS ingested, coalesce(succeeded, 0) AS succeeded, coalesce(failed, 0) AS failed, coalesce(pending, 0) AS pending,
-  round(coalesce(cost, 0), 6) AS cost_usd, coalesce(errors, '') AS errors, coalesce(throttle_events, 0) AS throttle_events, coalesce(retries_issued, 0) AS retries_issued
+  coalesce(cost, 0) AS cost_usd, coalesce(errors, '') AS errors, coalesce(throttle_events, 0) AS throttle_events, coalesce(retries_issued, 0) AS retries_issued
 FROM jobrows LEFT JOIN counts USING (job_id) LEFT JOIN spend USING (job_id) LEFT JOIN err USING (job_id) LEFT JOIN att USING (job_id)""",
     "attempt_summary": f"""WITH {DRAWS}, made AS (SELECT d.* FROM draws d JOIN outcomes o ON d.item_id = o.item_id AND d.attempt <= o.attempt), per AS (SELECT job_id, item_id, count(*) AS a, count(*) FILTER (failure_class = 'throttled') AS t FROM made GROUP BY ALL)
 SELECT job_id, CAST(sum(a) AS BIGINT) AS attempts, CAST(sum(t) AS BIGINT) AS throttle_events, CAST(sum(a) - count(*) AS BIGINT) AS retries_issued, count(*) AS items, max(a) AS max_attempts_of_item FROM per GROUP BY job_id""",
     "latency_profile": f"""WITH {ATTEMPTS} SELECT CASE WHEN extract(day FROM ts) BETWEEN 10 AND 13 THEN 'storm' ELSE 'normal' END AS condition, failure_class AS outcome, count(*) AS n, round(quantile_cont(latency_s, 0.5), 6) AS p50, round(quantile_cont(latency_s, 0.95), 6) AS p95, round(avg(latency_s), 6) AS mean FROM attempts GROUP BY ALL""",
     "replay_counts": f"WITH {DIRTY} SELECT job_id, count(*) FILTER (status = 'success') AS succeeded, count(*) FILTER (status <> 'success') AS failed, count(DISTINCT item_id) AS items FROM dirty GROUP BY job_id",
     "latest_result": f"WITH {DIRTY} SELECT job_id, item_id, status, log_seq FROM dirty QUALIFY row_number() OVER (PARTITION BY job_id, item_id ORDER BY (status = 'success') DESC, log_seq DESC) = 1",
-    "spend_ledger": f"""WITH {JOBS}, c AS (SELECT job_id, submitted_at, round(coalesce(cost, 0), 6) * CASE WHEN i % 4 = 1 THEN -1 ELSE 500 END AS cost_usd FROM jobrows LEFT JOIN spend USING (job_id)),
+    "spend_ledger": f"""WITH {JOBS}, c AS (SELECT job_id, submitted_at, coalesce(cost, 0) * CASE WHEN i % 4 = 1 THEN -1 ELSE 500 END AS cost_usd FROM jobrows LEFT JOIN spend USING (job_id)),
 r AS (SELECT *, greatest(0.0, cost_usd) AS spent, sum(greatest(0.0, cost_usd)) OVER (ORDER BY submitted_at, job_id) AS after FROM c)
 SELECT job_id, round(after - spent, 6) AS total_before, round(after, 6) AS total_after, round(after - spent, 6) >= 1.0 AS refused FROM r""",
-    "metrics_rows": f"""WITH {JOBS}, r AS (SELECT job_id, {STATUS} AS status, coalesce(ingested, 0) AS a, coalesce(succeeded, 0) AS b, coalesce(failed, 0) AS c, coalesce(in_flight, 0) AS d, round(coalesce(cost, 0), 6) AS h FROM jobrows LEFT JOIN counts USING (job_id) LEFT JOIN spend USING (job_id)),
-m(metric, kind, pick) AS (VALUES ('batchengine_job_ingested_total', 'counter', 1), ('batchengine_job_succeeded_total', 'counter', 2), ('batchengine_job_failed_total', 'counter', 3), ('batchengine_job_in_flight', 'gauge', 4),
-  ('batchengine_job_throttle_events_total', 'counter', 5), ('batchengine_job_retries_issued_total', 'counter', 6), ('batchengine_job_current_rate_limit_rps', 'gauge', 7), ('batchengine_job_estimated_cost_usd', 'gauge', 8))
+    "metrics_rows": f"""WITH {JOBS}, r AS (SELECT job_id, {STATUS} AS status, coalesce(ingested, 0) AS a, coalesce(succeeded, 0) AS b, coalesce(failed, 0) AS c, coalesce(in_flight, 0) AS d, coalesce(cost, 0) AS h FROM jobrows LEFT JOIN counts USING (job_id) LEFT JOIN spend USING (job_id)),
+m(metric, kind, pick) AS (VALUES ('promptloom_job_ingested_total', 'counter', 1), ('promptloom_job_succeeded_total', 'counter', 2), ('promptloom_job_failed_total', 'counter', 3), ('promptloom_job_in_flight', 'gauge', 4),
+  ('promptloom_job_throttle_events_total', 'counter', 5), ('promptloom_job_retries_issued_total', 'counter', 6), ('promptloom_job_current_rate_limit_rps', 'gauge', 7), ('promptloom_job_estimated_cost_usd', 'gauge', 8))
 SELECT metric, kind, job_id, status, CAST(CASE pick WHEN 1 THEN a WHEN 2 THEN b WHEN 3 THEN c WHEN 4 THEN d WHEN 5 THEN 7 WHEN 6 THEN 3 WHEN 7 THEN 1.5 ELSE h END AS DOUBLE) AS value FROM r, m""",
     "cost_projection": f"""WITH {DRAWS}, avgs AS (SELECT avg(CAST(input_tokens AS DOUBLE)) AS i, avg(CAST(output_tokens AS DOUBLE)) AS o FROM outcomes WHERE status = 'success'),
 p(model, pi, po) AS (VALUES {", ".join(f"({m!r}, CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))" for m, (a, b) in PRICES.items())}), n(items) AS (VALUES (1000), (10000), (100000), (500000))
 SELECT model, CAST(items AS BIGINT) AS items, round((i / 1e6 * pi + o / 1e6 * po) * items, 6) AS cost_usd FROM p, n, avgs""",
-    "cost_ranking": f"""WITH {DRAWS}, t AS (SELECT model, sum({COST}) / count(*) AS per FROM outcomes WHERE status = 'success' GROUP BY model)
-SELECT model, round(per * 1000, 6) AS usd_per_1000, row_number() OVER (ORDER BY round(per * 1000, 6), model) AS place FROM t""",
-    "cost_variance": f"""WITH {DRAWS}, t AS (SELECT job_id, model, count(*) AS items, sum({COST}) AS actual, avg(CAST(input_tokens + output_tokens AS DOUBLE)) AS tokens FROM outcomes WHERE status = 'success' GROUP BY job_id, model)
-SELECT job_id, model, items, round(items * (0.00015 * {PRICE_IN} + 0.0002 * {PRICE_OUT}), 6) AS estimated_usd, round(actual, 6) AS actual_usd, round(actual / (items * (0.00015 * {PRICE_IN} + 0.0002 * {PRICE_OUT})), 6) AS ratio, round(tokens, 6) AS tokens_per_item FROM t""",
+    "cost_ranking": f"""WITH {DRAWS}, t AS (SELECT model, sum({NANOS}) / count(*) / 1e6 AS per FROM outcomes WHERE status = 'success' GROUP BY model)
+SELECT model, per AS usd_per_1000, row_number() OVER (ORDER BY per, model) AS place FROM t""",
+    "cost_variance": f"""WITH {DRAWS}, t AS (SELECT job_id, model, count(*) AS items, sum({NANOS}) / 1e9 AS actual, avg(CAST(input_tokens + output_tokens AS DOUBLE)) AS tokens FROM outcomes WHERE status = 'success' GROUP BY job_id, model)
+SELECT job_id, model, items, round(items * (0.00015 * {PRICE_IN} + 0.0002 * {PRICE_OUT}), 6) AS estimated_usd, actual AS actual_usd, round(actual / (items * (0.00015 * {PRICE_IN} + 0.0002 * {PRICE_OUT})), 6) AS ratio, tokens AS tokens_per_item FROM t""",
     "model_comparison": f"""WITH {ATTEMPTS}, x AS (SELECT *, coalesce(http_status = 200 AND NOT malformed, FALSE) AS ok FROM attempts)
-SELECT model, count(*) AS items, round(avg(CAST(ok AS DOUBLE)), 6) AS usable_share, round(avg(CAST(input_tokens AS DOUBLE)) FILTER (ok), 6) AS avg_input, round(avg(CAST(output_tokens AS DOUBLE)) FILTER (ok), 6) AS avg_output,
-  round(avg(CAST(output_tokens = max_tokens AS DOUBLE)) FILTER (ok), 6) AS capped_share, round(avg({COST}) FILTER (ok) * 1000, 6) AS usd_per_1000 FROM x GROUP BY model""",
+SELECT model, count(*) AS items, avg(CAST(ok AS DOUBLE)) AS usable_share, avg(CAST(input_tokens AS DOUBLE)) FILTER (ok) AS avg_input, avg(CAST(output_tokens AS DOUBLE)) FILTER (ok) AS avg_output,
+  avg(CAST(output_tokens = max_tokens AS DOUBLE)) FILTER (ok) AS capped_share, sum({NANOS}) FILTER (ok) / count(*) FILTER (ok) / 1e6 AS usd_per_1000 FROM x GROUP BY model""",
     "capacity_plan": f"""WITH {ATTEMPTS}, t AS (SELECT job_id, count(*) AS items, avg(latency_s) AS w, CAST(substr(job_id, 5) AS INTEGER) * 2 + 1 AS concurrency FROM attempts GROUP BY job_id),
 l AS (SELECT *, CASE WHEN w <= 0 THEN 1 ELSE greatest(1, CAST(ceil(2.0 * w) AS BIGINT)) END AS need FROM t)
 SELECT job_id, items, concurrency, round(items / 120.0 / 60, 6) AS floor_hours, round(500000 / 120.0, 6) AS tokens_crossover, need AS in_flight, CAST(4 AS BIGINT) AS start_guess, concurrency > 2 * need AS over_provisioned FROM l""",
     "attempt_outcomes": f"WITH {DRAWS} SELECT job_id, item_id, attempt, status, final_class, message FROM outcomes",
-    "rolling_latency": f"WITH {ATTEMPTS} SELECT job_id, seq, round(sum(CAST(round(latency_s * 1e6) AS BIGINT)) OVER w / count(*) OVER w / 1e6, 6) AS mean_latency_s FROM attempts WHERE failure_class = 'success' WINDOW w AS (PARTITION BY job_id ORDER BY ts, seq, attempt ROWS BETWEEN 199 PRECEDING AND CURRENT ROW)",
+    "rolling_latency": f"WITH {ATTEMPTS} SELECT job_id, seq, sum(CAST(round(latency_s * 1e6) AS BIGINT)) OVER w / count(*) OVER w / 1e6 AS mean_latency_s FROM attempts WHERE failure_class = 'success' WINDOW w AS (PARTITION BY job_id ORDER BY ts, seq, attempt ROWS BETWEEN 199 PRECEDING AND CURRENT ROW)",
     "rolling_failure_rate": f"""WITH {ATTEMPTS}, x AS (SELECT job_id, seq, sum(CAST(failure_class IN ('transient', 'fatal_auth', 'fatal_billing') AS INT)) OVER w AS f, count(*) OVER w AS n FROM attempts
   WINDOW w AS (PARTITION BY job_id ORDER BY ts, seq, attempt ROWS BETWEEN 99 PRECEDING AND CURRENT ROW))
-SELECT job_id, seq, round(f / n, 6) AS failure_rate, n >= 10 AND f / n > 0.5 AS trips FROM x""",
-    "spend_guard": f"""WITH {DRAWS}, x AS (SELECT job_id, seq, status, row_number() OVER w AS done, sum(CASE WHEN status = 'success' THEN {COST} ELSE 0.0 END) OVER w AS cost, count(*) OVER (PARTITION BY job_id) AS ingested FROM outcomes WINDOW w AS (PARTITION BY job_id ORDER BY seq ROWS UNBOUNDED PRECEDING)),
+SELECT job_id, seq, f / n AS failure_rate, n >= 10 AND f / n > 0.5 AS trips FROM x""",
+    "spend_guard": f"""WITH {DRAWS}, x AS (SELECT job_id, seq, status, row_number() OVER w AS done, sum(CASE WHEN status = 'success' THEN {NANOS} ELSE 0 END) OVER w / 1e9 AS cost, count(*) OVER (PARTITION BY job_id) AS ingested FROM outcomes WINDOW w AS (PARTITION BY job_id ORDER BY seq ROWS UNBOUNDED PRECEDING)),
 y AS (SELECT *, cost / done * greatest(ingested, done) AS projected FROM x)
-SELECT job_id, seq, done, round(cost, 6) AS cost_so_far, round(projected, 6) AS projected FROM y WHERE status = 'success' AND done % 10 = 0 AND (cost >= 0.002 OR projected >= 0.002) QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY seq) = 1""",
+SELECT job_id, seq, done, cost AS cost_so_far, projected FROM y WHERE status = 'success' AND done % 10 = 0 AND (cost >= 0.002 OR projected >= 0.002) QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY seq) = 1""",
     "quota_compliance": f"""WITH {ATTEMPTS}, x AS (SELECT job_id, count(*) OVER (PARTITION BY job_id ORDER BY ts RANGE BETWEEN CURRENT ROW AND INTERVAL 999999 MICROSECONDS FOLLOWING) AS w1,
   count(*) OVER (PARTITION BY job_id ORDER BY ts RANGE BETWEEN CURRENT ROW AND INTERVAL 4999999 MICROSECONDS FOLLOWING) AS w5, count(*) OVER (PARTITION BY job_id ORDER BY ts RANGE BETWEEN CURRENT ROW AND INTERVAL 9999999 MICROSECONDS FOLLOWING) AS w10 FROM attempts),
 y AS (SELECT job_id, 1 AS window_s, w1 AS n FROM x UNION ALL SELECT job_id, 5, w5 FROM x UNION ALL SELECT job_id, 10, w10 FROM x)
@@ -216,4 +216,8 @@ g{k} AS (SELECT job_id, item_id FROM r{k} WHERE granted), used{k} AS (SELECT u.j
 
 
 ORACLES["retry_budget"] = ORACLES["score_batch"] = _budget()
+ORACLES["stream_score"] = _budget()
+ORACLES["paced_attempts"] = ORACLES["run_attempts"]
+ORACLES["score_resumed"] = f"WITH {PROMPTS} SELECT job_id, count(*) AS ok, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS duplicate, CAST(0 AS BIGINT) AS unexpected, TRUE AS conserved FROM prompts GROUP BY job_id"
+ORACLES["detect_format"] = f"WITH {PROMPTS} SELECT job_id, CASE WHEN min(seq) % 2 = 0 THEN 'array' ELSE 'lines' END AS format FROM prompts GROUP BY job_id"
 ORACLES["stream_rate_policy"] = f"WITH r AS ({ORACLES['rate_policy_replay']}) SELECT job_id, final_rate, decreases, throttle_events FROM r"

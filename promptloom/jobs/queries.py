@@ -130,7 +130,7 @@ def backoff_bounds(spark, d):
 
 @query
 def cost_per_row(spark, d):
-    return _outcomes(spark, d).where("status = 'success'").select("item_id", "model", "input_tokens", "output_tokens", F.round(S.cost_usd(), 9).alias("cost_usd"))
+    return _outcomes(spark, d).where("status = 'success'").select("item_id", "model", "input_tokens", "output_tokens", S.cost_usd().alias("cost_usd"))
 
 
 @query
@@ -264,19 +264,19 @@ def latest_result(spark, d):
 
 
 def _costs(spark: SparkSession, d: str) -> DataFrame:
-    return _live(spark, d).where("status = 'success'").groupBy("job_id").agg(F.sum(S.cost_usd()).alias("cost"))
+    return _live(spark, d).where("status = 'success'").groupBy("job_id").agg((F.sum(S.cost_nanos()) / 1e9).alias("cost"))
 
 
 @query
 def spend_ledger(spark, d):
     x = _jobs(spark, d).join(_costs(spark, d), "job_id", "left")
-    cost = F.round(F.coalesce("cost", F.lit(0.0)), 6) * F.when(F.col("i") % 4 == 1, -1).otherwise(500)
+    cost = F.coalesce("cost", F.lit(0.0)) * F.when(F.col("i") % 4 == 1, -1).otherwise(500)
     return R.spend_ledger(x.select("job_id", "submitted_at", cost.alias("cost_usd"))).select("job_id", "total_before", "total_after", "refused")
 
 
 def _report(spark: SparkSession, d: str) -> DataFrame:
     x = _jobs(spark, d).join(_counts(spark, d), "job_id", "left").join(_costs(spark, d), "job_id", "left").na.fill(0, ["ingested", "succeeded", "failed", "in_flight", "cost"])
-    return x.select("job_id", R.final_status().alias("status"), "ingested", "succeeded", "failed", "in_flight", F.lit(7).alias("throttle_events"), F.lit(3).alias("retries_issued"), F.lit(1.5).alias("rate_limit_rps"), F.round("cost", 6).alias("cost_usd"))
+    return x.select("job_id", R.final_status().alias("status"), "ingested", "succeeded", "failed", "in_flight", F.lit(7).alias("throttle_events"), F.lit(3).alias("retries_issued"), F.lit(1.5).alias("rate_limit_rps"), F.col("cost").alias("cost_usd"))
 
 
 @query
@@ -297,7 +297,7 @@ def cost_projection(spark, d):
 
 @query
 def cost_ranking(spark, d):
-    per = _outcomes(spark, d).where("status = 'success'").groupBy("model").agg(F.round(F.sum(S.cost_usd()) / F.count("*") * 1000, 6).alias("usd_per_1000"))
+    per = _outcomes(spark, d).where("status = 'success'").groupBy("model").agg((F.sum(S.cost_nanos()) / F.count("*") / 1e6).alias("usd_per_1000"))
     place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("usd_per_1000", "model"))
     return per.select("model", "usd_per_1000", place.cast("long").alias("place")).orderBy("place")
 
@@ -434,12 +434,12 @@ class _DrawResponder:
         return batch[["o_status", "o_error", "o_malformed", "o_text", "o_in", "o_out"]].set_axis(["http_status", "transport_error", "malformed", "response_text", "input_tokens", "output_tokens"], axis=1).assign(latency_s=0.0)
 
 
-def _called(prompts: DataFrame) -> DataFrame:
+def _called(prompts: DataFrame, max_rps: float | None = None) -> DataFrame:
     """One attempt through the responder's interface."""
     o = offline_response()
     names = {"http_status": "o_status", "transport_error": "o_error", "malformed": "o_malformed", "response_text": "o_text", "input_tokens": "o_in", "output_tokens": "o_out"}
     x = prompts.select("*", *(o[k].alias(v) for k, v in names.items()))
-    return run_attempts(x, _DrawResponder, slots=8).drop(*names.values(), "granted_s")
+    return run_attempts(x, _DrawResponder, slots=8, max_rps=max_rps).drop(*names.values(), "granted_s")
 
 
 @query
@@ -448,6 +448,13 @@ def run_attempts_once(spark, d):
     return S.classify(x).select("item_id", "http_status", "malformed", "input_tokens", "output_tokens", "failure_class")
 
 
+@query
+def paced_attempts(spark, d):
+    """As run_attempts, under a quota of 4000 calls a second for all tasks."""
+    x = _called(X.prompts(spark, d).withColumn("attempt", F.lit(1)), 4000.0)
+    return S.classify(x).select("item_id", "http_status", "malformed", "input_tokens", "output_tokens", "failure_class")
+
+
 QUERIES["run_attempts"] = QUERIES.pop("run_attempts_once")
 
 

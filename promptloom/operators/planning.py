@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptloom.functions.scalar import col, cost_usd, price
+from promptloom.functions.scalar import col, cost_nanos, price
 from promptloom.schemas import PRICES
 
 
@@ -44,9 +44,9 @@ def capacity_plan(rates: DataFrame, rpm: float = 120, tpm: float = 500_000) -> D
 
 def cost_variance(results: DataFrame, avg_in: float = 150, avg_out: float = 200) -> DataFrame:
     """job_id, model, items, estimated_usd, actual_usd, ratio, tokens_per_item over successes."""
-    ok = results.where("status = 'success'").groupBy("job_id", "model").agg(F.count("*").alias("items"), F.sum(cost_usd()).alias("actual"), F.avg((F.col("input_tokens") + F.col("output_tokens")).cast("double")).alias("tokens"))
+    ok = results.where("status = 'success'").groupBy("job_id", "model").agg(F.count("*").alias("items"), (F.sum(cost_nanos()) / 1e9).alias("actual"), F.avg((F.col("input_tokens") + F.col("output_tokens")).cast("double")).alias("tokens"))
     guess = F.col("items") * (F.lit(avg_in / 1e6) * price("model", 0) + F.lit(avg_out / 1e6) * price("model", 1))
-    return ok.select("job_id", "model", "items", F.round(guess, 6).alias("estimated_usd"), F.round("actual", 6).alias("actual_usd"), F.round(F.col("actual") / guess, 6).alias("ratio"), F.round("tokens", 6).alias("tokens_per_item"))
+    return ok.select("job_id", "model", "items", F.round(guess, 6).alias("estimated_usd"), F.col("actual").alias("actual_usd"), F.round(F.col("actual") / guess, 6).alias("ratio"), F.col("tokens").alias("tokens_per_item"))
 
 
 def model_comparison(attempts: DataFrame) -> DataFrame:
@@ -55,10 +55,10 @@ def model_comparison(attempts: DataFrame) -> DataFrame:
     share = F.avg(F.coalesce(usable, F.lit(False)).cast("double"))
     x = attempts.groupBy("model").agg(
         F.count("*").alias("items"),
-        F.round(share, 6).alias("usable_share"),
-        F.round(F.avg(F.when(usable, F.col("input_tokens").cast("double"))), 6).alias("avg_input"),
-        F.round(F.avg(F.when(usable, F.col("output_tokens").cast("double"))), 6).alias("avg_output"),
-        F.round(F.avg(F.when(usable, (F.col("output_tokens") == F.col("max_tokens")).cast("double"))), 6).alias("capped_share"),
-        F.round(F.avg(F.when(usable, cost_usd())) * 1000, 6).alias("usd_per_1000"),
+        share.alias("usable_share"),
+        F.avg(F.when(usable, F.col("input_tokens").cast("double"))).alias("avg_input"),
+        F.avg(F.when(usable, F.col("output_tokens").cast("double"))).alias("avg_output"),
+        F.avg(F.when(usable, (F.col("output_tokens") == F.col("max_tokens")).cast("double"))).alias("capped_share"),
+        (F.sum(F.when(usable, cost_nanos())) / F.count_if(F.coalesce(usable, F.lit(False))) / 1e6).alias("usd_per_1000"),
     )
     return x.orderBy(F.desc(F.col("usable_share") > 0), "usd_per_1000", "model")

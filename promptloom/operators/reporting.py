@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from promptloom.functions.scalar import cost_usd
+from promptloom.functions.scalar import cost_nanos
 from promptloom.schemas import LEDGER_CAP
 
 
@@ -40,8 +40,8 @@ def usage_and_cost(results: DataFrame) -> DataFrame:
     return ok.groupBy("job_id").agg(
         F.sum("input_tokens").alias("input_tokens"),
         F.sum("output_tokens").alias("output_tokens"),
-        F.round(F.sum(cost_usd()), 6).alias("cost_usd"),
-        F.round(F.avg((F.col("input_tokens") + F.col("output_tokens")).cast("double")), 6).alias("avg_tokens"),
+        (F.sum(cost_nanos()) / 1e9).alias("cost_usd"),
+        F.avg((F.col("input_tokens") + F.col("output_tokens")).cast("double")).alias("avg_tokens"),
     )
 
 
@@ -102,32 +102,32 @@ def spend_ledger(reports: DataFrame, prior: float = 0.0, cap: float = LEDGER_CAP
     return reports.select("*", F.round(after - spent, 6).alias("total_before"), F.round(after, 6).alias("total_after"), (F.round(after - spent, 6) >= cap).alias("refused"))
 
 
-# Metric -> (type, help, column of the report).
+# Metric, after the prefix -> (type, help, column of the report).
 METRICS = {
-    "batchengine_job_ingested_total": ("counter", "Items ingested for a job.", "ingested"),
-    "batchengine_job_succeeded_total": ("counter", "Items that completed successfully.", "succeeded"),
-    "batchengine_job_failed_total": ("counter", "Items that terminally failed.", "failed"),
-    "batchengine_job_in_flight": ("gauge", "Items currently in flight to the provider.", "in_flight"),
-    "batchengine_job_throttle_events_total": ("counter", "429 responses observed.", "throttle_events"),
-    "batchengine_job_retries_issued_total": ("counter", "Retries issued.", "retries_issued"),
-    "batchengine_job_current_rate_limit_rps": ("gauge", "Current AIMD-controlled request rate.", "rate_limit_rps"),
-    "batchengine_job_estimated_cost_usd": ("gauge", "Estimated spend for a job so far.", "cost_usd"),
+    "job_ingested_total": ("counter", "Prompts taken in.", "ingested"),
+    "job_succeeded_total": ("counter", "Prompts with a success.", "succeeded"),
+    "job_failed_total": ("counter", "Prompts with a final error.", "failed"),
+    "job_in_flight": ("gauge", "Prompts on their way.", "in_flight"),
+    "job_throttle_events_total": ("counter", "Responses with status 429.", "throttle_events"),
+    "job_retries_issued_total": ("counter", "Attempts after the first.", "retries_issued"),
+    "job_current_rate_limit_rps": ("gauge", "Requests a second that the rate policy allows.", "rate_limit_rps"),
+    "job_estimated_cost_usd": ("gauge", "Dollars spent.", "cost_usd"),
 }
 
 
-def metrics_rows(reports: DataFrame) -> DataFrame:
-    """metric, kind, job_id, status, value: eight rows a job."""
-    rows = [F.struct(F.lit(m).alias("metric"), F.lit(kind).alias("kind"), F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias("value")) for m, (kind, _, c) in METRICS.items()]
+def metrics_rows(reports: DataFrame, prefix: str = "promptloom") -> DataFrame:
+    """metric, kind, job_id, status, value: eight rows a job. prefix names the service whose metrics these are."""
+    rows = [F.struct(F.lit(f"{prefix}_{m}").alias("metric"), F.lit(kind).alias("kind"), F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias("value")) for m, (kind, _, c) in METRICS.items()]
     return reports.select("job_id", "status", F.explode(F.array(*rows)).alias("m")).select("m.metric", "m.kind", "job_id", "status", "m.value")
 
 
-def metrics_text(reports: DataFrame) -> DataFrame:
-    """at, value: the exposition's lines, in order of `at`."""
-    order = F.create_map(*[F.lit(x) for i, m in enumerate(METRICS) for x in (m, i)])
-    rows = metrics_rows(reports)
+def metrics_text(reports: DataFrame, prefix: str = "promptloom") -> DataFrame:
+    """at, by, value: the lines of the text exposition, in order of at and by."""
+    order = F.create_map(*[F.lit(x) for i, m in enumerate(METRICS) for x in (f"{prefix}_{m}", i)])
+    rows = metrics_rows(reports, prefix)
     line = F.format_string('%s{job_id="%s",status="%s"} %s', "metric", "job_id", "status", F.col("value").cast("string"))
     body = rows.select(order[F.col("metric")].alias("at"), F.concat(F.lit("2"), "job_id").alias("by"), line.alias("value"))
-    heads = reports.sparkSession.createDataFrame([(i, str(k), t) for i, (m, (kind, text, _)) in enumerate(METRICS.items()) for k, t in enumerate((f"# HELP {m} {text}", f"# TYPE {m} {kind}"))], "at int, by string, value string")
+    heads = reports.sparkSession.createDataFrame([(i, str(k), t) for i, (m, (kind, text, _)) in enumerate(METRICS.items()) for k, t in enumerate((f"# HELP {prefix}_{m} {text}", f"# TYPE {prefix}_{m} {kind}"))], "at int, by string, value string")
     return body.unionByName(heads).orderBy("at", "by")
 
 

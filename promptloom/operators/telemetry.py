@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from promptloom.functions.scalar import cost_usd, is_breaker_failure, rate_headers
+from promptloom.functions.scalar import cost_nanos, is_breaker_failure, rate_headers
 from promptloom.operators.ordered import ORDER, by_hour, numbered, rolling, running_totals
 from promptloom.schemas import JOB_SPEND_CAP
 
@@ -24,7 +24,7 @@ def rolling_latency(classified: DataFrame, size: int = 200) -> DataFrame:
     ok = numbered(classified.where("failure_class = 'success'"), ["job_id"], by_hour(), ORDER)
     ok = ok.withColumn("_us", F.round(F.col("latency_s") * 1e6).cast("long"))
     out = rolling(ok, ["job_id"], "n", size, {"_sum": F.sum("_us"), "_rows": F.count("*")})
-    return out.withColumn("mean_latency_s", F.round(F.col("_sum") / F.col("_rows") / 1e6, 6)).drop("_us", "_sum", "_rows")
+    return out.withColumn("mean_latency_s", F.col("_sum") / F.col("_rows") / 1e6).drop("_us", "_sum", "_rows")
 
 
 def rolling_failure_rate(classified: DataFrame, size: int = 100, least: int = 10, threshold: float = 0.5) -> DataFrame:
@@ -32,7 +32,7 @@ def rolling_failure_rate(classified: DataFrame, size: int = 100, least: int = 10
     x = numbered(classified, ["job_id"], by_hour(), ORDER).withColumn("_f", is_breaker_failure().cast("long"))
     out = rolling(x, ["job_id"], "n", size, {"failures": F.sum("_f"), "outcomes": F.count("*")})
     rate = F.col("failures") / F.col("outcomes")
-    return out.withColumns({"failure_rate": F.round(rate, 6), "trips": (F.col("outcomes") >= least) & (rate > threshold)}).drop("_f")
+    return out.withColumns({"failure_rate": rate, "trips": (F.col("outcomes") >= least) & (rate > threshold)}).drop("_f")
 
 
 def spend_guard(outcomes: DataFrame, cap: float = JOB_SPEND_CAP, every: int = 50) -> DataFrame:
@@ -44,12 +44,12 @@ def spend_guard(outcomes: DataFrame, cap: float = JOB_SPEND_CAP, every: int = 50
         ["job_id"],
         F.floor(F.col("seq") / 100_000),
         ["seq"],
-        {"done": F.lit(1).cast("long"), "cost_so_far": F.when(F.col("status") == "success", cost_usd()).otherwise(F.lit(0.0))},
+        {"done": F.lit(1).cast("long"), "nanos": F.when(F.col("status") == "success", cost_nanos()).otherwise(0)},
     )
-    x = x.withColumn("projected", F.col("cost_so_far") / F.col("done") * F.greatest("ingested", "done"))
+    x = x.withColumn("cost_so_far", F.col("nanos") / 1e9).withColumn("projected", F.col("cost_so_far") / F.col("done") * F.greatest("ingested", "done"))
     hit = x.where((F.col("status") == "success") & (F.col("done") % every == 0) & ((F.col("cost_so_far") >= cap) | (F.col("projected") >= cap)))
     first = hit.groupBy("job_id").agg(F.min_by(F.struct("seq", "done", "cost_so_far", "projected"), "seq").alias("b"))
-    return first.select("job_id", "b.seq", "b.done", F.round("b.cost_so_far", 6).alias("cost_so_far"), F.round("b.projected", 6).alias("projected"))
+    return first.select("job_id", "b.seq", "b.done", "b.cost_so_far", "b.projected")
 
 
 def quota_compliance(grants: DataFrame, rate: float, capacity: float, windows: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
