@@ -19,6 +19,12 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("source").alias("job_id"), F.col("doc_id").alias("seq"), F.concat(F.lit("doc-"), "doc_id").alias("item_id"), F.col("text").alias("prompt"), model.alias("model"), F.lit(128).alias("max_tokens"))
 
 
+def event_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events: a prompt each, in eight jobs."""
+    e = table(spark, sf_dir, "events")
+    return e.select(F.concat(F.lit("job-"), F.col("user_id") % 8).alias("job_id"), F.col("event_id").alias("seq"), F.concat(F.lit("evt-"), "event_id").alias("item_id"), F.col("event_type").alias("prompt"), F.lit("mistral-3-14B").alias("model"), F.lit(128).alias("max_tokens"))
+
+
 def draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attempts 1..8 of every prompt by the offline responder, classified; without texts."""
     x = prompts(spark, sf_dir).withColumn("attempt", F.explode(F.sequence(F.lit(1), F.lit(8))))

@@ -202,6 +202,9 @@ SELECT job_id, round(rate, 6) AS final_rate, down AS decreases, hits AS throttle
 }
 
 
+EVENT_PROMPTS = """prompts AS (SELECT 'job-' || (user_id % 8) AS job_id, event_id AS seq, 'evt-' || event_id AS item_id, event_type AS prompt, 128 AS max_tokens, 'mistral-3-14B' AS model FROM events)"""
+
+
 def _budget(share: float = 0.2) -> str:
     """Waves written out: what each one ends, refuses and grants."""
     out = f"{DRAWS}, lim AS (SELECT job_id, greatest(1, CAST(floor(count(*) * {share}) AS BIGINT)) AS lim FROM prompts GROUP BY job_id), used0 AS (SELECT job_id, lim, CAST(0 AS BIGINT) AS used FROM lim), g0 AS (SELECT job_id, item_id FROM prompts)"
@@ -216,6 +219,8 @@ g{k} AS (SELECT job_id, item_id FROM r{k} WHERE granted), used{k} AS (SELECT u.j
 
 
 ORACLES["retry_budget"] = ORACLES["score_batch"] = _budget()
+ORACLES["score_events"] = _budget().replace(PROMPTS, EVENT_PROMPTS)
+ORACLES["spend_guard_cutoff"] = f"WITH b AS ({ORACLES['spend_guard']}), {DRAWS} SELECT o.job_id, o.seq, item_id, CASE WHEN o.seq > b.seq THEN 'fatal_auth' END AS failure_class, CASE WHEN o.seq > b.seq THEN 'fatal_auth' END AS message FROM outcomes o LEFT JOIN b ON o.job_id = b.job_id"
 ORACLES["stream_score"] = _budget()
 ORACLES["paced_attempts"] = ORACLES["run_attempts"]
 ORACLES["score_resumed"] = f"WITH {PROMPTS} SELECT job_id, count(*) AS ok, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS duplicate, CAST(0 AS BIGINT) AS unexpected, TRUE AS conserved FROM prompts GROUP BY job_id"

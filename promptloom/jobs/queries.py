@@ -357,6 +357,20 @@ def spend_guard(spark, d):
     return telemetry.spend_guard(o.join(n, "job_id"), cap=0.002, every=10)
 
 
+@query
+def spend_guard_cutoff(spark, d):
+    o = _outcomes(spark, d)
+    n = o.groupBy("job_id").agg(F.count("*").alias("ingested"))
+    cuts = telemetry.spend_cutoffs(telemetry.spend_guard(o.join(n, "job_id"), cap=0.002, every=10), 0.002)
+    none = spark.createDataFrame([], "job_id string, cancel_seq long")
+    return O.apply_cutoffs(o.select("job_id", "seq", "item_id"), cuts, none)
+
+
+@query
+def backpressure(spark, d):
+    return policy.backpressure(X.attempts(spark, d), 2.0, 0.2, 3.0).select("job_id", "backpressure.*")
+
+
 @query
 def quota_compliance(spark, d):
     return telemetry.quota_compliance(X.attempts(spark, d), 0.01, 1.5)
@@ -466,6 +480,15 @@ def score_batch(spark, d):
     return done.results.select("job_id", "item_id", "attempt", "failure_class", "message").withColumnRenamed("failure_class", "final_class")
 
 
+@query
+def score_events(spark, d):
+    """A prompt for each event: the larger table."""
+    o = offline_response()
+    attempt = lambda df: df.select("*", *(c.alias(n) for n, c in o.items()))
+    done = score(X.event_prompts(spark, d), attempt, work_path(spark, "score"))
+    return done.results.select("job_id", "item_id", "attempt", F.col("failure_class").alias("final_class"), "message")
+
+
 @query
 def score_resumed(spark, d):
     """An earlier run's results and the rest, audited: one row a job."""

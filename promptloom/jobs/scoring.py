@@ -69,27 +69,34 @@ def score(prompts: DataFrame, attempt: Attempt, path: str, policy: Policy | None
     for f in firsts[1:]:
         wave = wave.unionByName(f)
     ingested = wave.groupBy("job_id").agg(F.count("*").alias("n"))
-    limits = ingested.select("job_id", retry_limit("n", policy.budget_share).alias("limit"), F.lit(0).cast("long").alias("used"))
-    attempts, outcomes = wave, None
+    limits = ingested.select("job_id", retry_limit("n", policy.budget_share).alias("limit"))
+    wave = wave.join(limits, "job_id").withColumn("used", F.lit(0).cast("long"))
+    kept = [c for c in wave.columns if c not in ("limit", "used")]
+    attempts, outcomes = wave.select(*kept), None
     for k in range(1, policy.waves + 1):
-        over = wave.where(ends_item()).withColumns(outcome_columns())
+        over = wave.where(ends_item()).withColumns(outcome_columns()).withColumn("granted", F.lit(False))
         fatal = wave.where(is_fatal()).groupBy("job_id").agg(F.min_by("failure_class", "seq").alias("abort_class"))
-        aborted = fatal if aborted is None else aborted.unionByName(fatal)
-        aborted = _stored(spark, aborted.groupBy("job_id").agg(F.min("abort_class").alias("abort_class")), f"{path}/aborted/wave={k}")
-        wants = wave.where(~ends_item()).join(aborted, "job_id", "left")
-        stopped = wants.where("abort_class is not null").withColumns({"status": F.lit("error"), "final_class": F.col("abort_class"), "message": F.concat("abort_class", F.lit(" before retry"))}).drop("abort_class")
-        wants = wants.where("abort_class is null").drop("abort_class").join(limits, "job_id").withColumn("_r", rank)
-        allowed = F.col("used") + F.col("_r") <= F.col("limit")
-        refused = wants.where(~allowed).drop("limit", "used", "_r").withColumns(outcome_columns(F.lit("retry budget exhausted")))
-        ended = _stored(spark, over.unionByName(stopped).unionByName(refused), f"{path}/outcomes/wave={k}")
+        wants = wave.where(~ends_item()).join(fatal, "job_id", "left").withColumn("_r", rank)
+        stop = F.col("abort_class").isNotNull()
+        grant = ~stop & (F.col("used") + F.col("_r") <= F.col("limit"))
+        issued = F.count_if(grant).over(Window.partitionBy("job_id"))
+        wants = wants.select(
+            *kept,
+            "limit",
+            (F.col("used") + issued).alias("used"),
+            F.when(~grant, "error").alias("status"),
+            F.when(stop, F.col("abort_class")).when(~grant, "transient_exhausted").alias("final_class"),
+            F.when(stop, F.concat("abort_class", F.lit(" before retry"))).when(~grant, "retry budget exhausted").alias("message"),
+            grant.alias("granted"),
+        )
+        decided = _stored(spark, over.unionByName(wants), f"{path}/decided/wave={k}")
+        ended = decided.where("not granted").drop("granted", "limit", "used")
         outcomes = ended if outcomes is None else outcomes.unionByName(ended)
-        again = _stored(spark, wants.where(allowed).select(*prompts.columns, (F.col("attempt") + 1).alias("attempt")), f"{path}/pending/wave={k}")
-        if again.isEmpty():
+        again = decided.where("granted").select(*prompts.columns, (F.col("attempt") + 1).alias("attempt"), "limit", "used")
+        if k == policy.waves or again.isEmpty():
             break
-        issued = again.groupBy("job_id").agg(F.count("*").alias("_i"))
-        limits = _stored(spark, limits.join(issued, "job_id", "left").select("job_id", "limit", (F.col("used") + F.coalesce("_i", F.lit(0))).alias("used")), f"{path}/budget/wave={k}")
         wave = _stored(spark, classify(attempt(again)), f"{path}/attempts/wave={k + 1}")
-        attempts = attempts.unionByName(wave)
+        attempts = attempts.unionByName(wave.select(*kept))
     good = F.col("status") == "success"
     results = outcomes.select(
         "job_id",

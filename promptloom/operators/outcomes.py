@@ -101,7 +101,7 @@ def apply_cutoffs(items: DataFrame, cutoffs: DataFrame, cancels: DataFrame) -> D
     return x.select(
         *items.columns,
         F.when(cancelled, "cancelled").when(aborted, F.col("_class")).alias("failure_class"),
-        F.when(cancelled, "job cancelled before dispatch").when(aborted, F.concat(F.col("_class"), F.lit(" (HTTP "), F.col("_code"), F.lit(")"))).alias("message"),
+        F.when(cancelled, "job cancelled before dispatch").when(aborted, F.concat(F.col("_class"), F.coalesce(F.concat(F.lit(" (HTTP "), F.col("_code"), F.lit(")")), F.lit("")))).alias("message"),
     )
 
 

@@ -52,6 +52,14 @@ def spend_guard(outcomes: DataFrame, cap: float = JOB_SPEND_CAP, every: int = 50
     return first.select("job_id", "b.seq", "b.done", "b.cost_so_far", "b.projected")
 
 
+def spend_cutoffs(breaches: DataFrame, cap: float = JOB_SPEND_CAP) -> DataFrame:
+    """Breaches of spend_guard as cut-offs of jobs (outcomes.apply_cutoffs). What comes after is classed fatal_auth, as ever;
+    abort_reason says why."""
+    dollars = lambda c: F.format_number(c, 4)
+    reason = F.concat(F.lit("spend guard: cost $"), dollars("cost_so_far"), F.lit(" / projected $"), dollars("projected"), F.lit(f" >= cap ${cap}"))
+    return breaches.select("job_id", F.col("seq").alias("cutoff_seq"), F.lit("fatal_auth").alias("failure_class"), F.lit(None).cast("int").alias("http_status"), reason.alias("abort_reason"))
+
+
 def quota_compliance(grants: DataFrame, rate: float, capacity: float, windows: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
     """job_id, window_s, checked, most, allowed, violations: for every grant at t, the grants in [t, t + window) are at most
     rate * window + capacity. Hours are windows of their own, each with the first seconds of the next one."""
