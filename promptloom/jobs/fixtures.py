@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from promptloom.functions.scalar import classify
-from promptloom.jobs.responders import offline_response
+from promptloom.jobs.responders import respond_offline
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,9 +27,9 @@ def event_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attempts 1..8 of every prompt by the offline responder, classified; without texts."""
-    x = prompts(spark, sf_dir).withColumn("attempt", F.explode(F.sequence(F.lit(1), F.lit(8))))
-    x = x.select("*", *(c.alias(n) for n, c in offline_response().items() if n != "response_text"))
-    return classify(x.drop("prompt").withColumn("latency_s", F.col("attempt") * 0.1))
+    x = prompts(spark, sf_dir).withColumns({"chars": F.length("prompt"), "prompt": F.substring("prompt", 1, 32)})
+    x = x.withColumn("attempt", F.explode(F.sequence(F.lit(1), F.lit(8))))
+    return classify(respond_offline(x, chars=F.col("chars")).drop("prompt", "chars", "response_text").withColumn("latency_s", F.col("attempt") * 0.1))
 
 
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:

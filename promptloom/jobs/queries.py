@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from promptloom.functions import scalar as S
 from promptloom.jobs import fixtures as X
-from promptloom.jobs.responders import offline_response, run_attempts
+from promptloom.jobs.responders import respond_offline, run_attempts
 from promptloom.jobs.scoring import Policy, resume, score
 from promptloom.jobs.workdir import work_path
 from promptloom.operators import outcomes as O
@@ -450,9 +450,8 @@ class _DrawResponder:
 
 def _called(prompts: DataFrame, max_rps: float | None = None) -> DataFrame:
     """One attempt through the responder's interface."""
-    o = offline_response()
     names = {"http_status": "o_status", "transport_error": "o_error", "malformed": "o_malformed", "response_text": "o_text", "input_tokens": "o_in", "output_tokens": "o_out"}
-    x = prompts.select("*", *(o[k].alias(v) for k, v in names.items()))
+    x = respond_offline(prompts).drop("latency_s").withColumnsRenamed(names)
     return run_attempts(x, _DrawResponder, slots=8, max_rps=max_rps).drop(*names.values(), "granted_s")
 
 
@@ -474,29 +473,23 @@ QUERIES["run_attempts"] = QUERIES.pop("run_attempts_once")
 
 @query
 def score_batch(spark, d):
-    o = offline_response()
-    attempt = lambda df: df.select("*", *(c.alias(n) for n, c in o.items()))
-    done = score(X.prompts(spark, d), attempt, work_path(spark, "score"))
+    done = score(X.prompts(spark, d), respond_offline, work_path(spark, "score"))
     return done.results.select("job_id", "item_id", "attempt", "failure_class", "message").withColumnRenamed("failure_class", "final_class")
 
 
 @query
 def score_events(spark, d):
     """A prompt for each event: the larger table."""
-    o = offline_response()
-    attempt = lambda df: df.select("*", *(c.alias(n) for n, c in o.items()))
-    done = score(X.event_prompts(spark, d), attempt, work_path(spark, "score"))
+    done = score(X.event_prompts(spark, d), respond_offline, work_path(spark, "score"))
     return done.results.select("job_id", "item_id", "attempt", F.col("failure_class").alias("final_class"), "message")
 
 
 @query
 def score_resumed(spark, d):
     """An earlier run's results and the rest, audited: one row a job."""
-    o = offline_response()
-    attempt = lambda df: df.select("*", *(c.alias(n) for n, c in o.items()))
     p = X.prompts(spark, d)
-    first = score(p.where("seq % 3 = 1"), attempt, work_path(spark, "score")).results
-    return O.conservation(p, resume(p, first, attempt, work_path(spark, "score"), Policy(chunk=0)))
+    first = score(p.where("seq % 3 = 1"), respond_offline, work_path(spark, "score")).results
+    return O.conservation(p, resume(p, first, respond_offline, work_path(spark, "score"), Policy(chunk=0)))
 
 
 @query
@@ -556,8 +549,6 @@ def stream_prompts(spark, d):
 @query
 def stream_score(spark, d):
     """Streamed prompts, scored by batches; one row an item."""
-    o = offline_response()
-    attempt = lambda df: df.select("*", *(c.alias(n) for n, c in o.items()))
     src = _written(spark, X.prompts(spark, d), "prompts")
-    scored = feeds.stream_score(feeds.stream_table(spark, src, 64), lambda df, path: score(df, attempt, path).results, work_path(spark, "stream"))
+    scored = feeds.stream_score(feeds.stream_table(spark, src, 64), lambda df, path: score(df, respond_offline, path).results, work_path(spark, "stream"))
     return scored.select("job_id", "item_id", "attempt", F.col("failure_class").alias("final_class"), "message")

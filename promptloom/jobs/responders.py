@@ -21,29 +21,31 @@ class Responder(Protocol):
     def __call__(self, batch: pd.DataFrame) -> pd.DataFrame: ...
 
 
-def offline_response(attempt: str | Column = "attempt", seed: int = 7, p_error: float = 0.0, p_timeout: float = 0.05, p_429: float = 0.2, p_500: float = 0.2, p_400: float = 0.05, p_malformed: float = 0.05) -> dict[str, Column]:
-    """RESPONSES without a network, as columns over prompts with an attempt: the first draw that hits wins; draws depend on the
-    seed, item, attempt and kind alone."""
-    a = F.col(attempt) if isinstance(attempt, str) else attempt
-
-    def hit(kind: str, p: float) -> Column:
-        return unit_hash("item_id", a, F.lit(kind), seed=seed) < p
-
-    error, timeout = hit("error", p_error), hit("timeout", p_timeout)
-    status = F.when(error | timeout, F.lit(None).cast("int")).when(hit("429", p_429), 429).when(hit("500", p_500), 500).when(hit("400", p_400), 400).otherwise(200)
-    malformed = (status == 200) & hit("malformed", p_malformed)
+def respond_offline(df: DataFrame, seed: int = 7, p_error: float = 0.0, p_timeout: float = 0.05, p_429: float = 0.2, p_500: float = 0.2, p_400: float = 0.05, p_malformed: float = 0.05, attempt: str = "attempt", chars: Column | None = None) -> DataFrame:
+    """df (prompts with an attempt) with RESPONSES, without a network or Python: the first draw that hits wins; draws depend on
+    the seed, item, attempt and kind alone. Draws that can't hit are not made, and each is made once."""
+    kinds = {"error": p_error, "timeout": p_timeout, "429": p_429, "500": p_500, "400": p_400, "malformed": p_malformed}
+
+    def hit(kind: str) -> Column:
+        return unit_hash("item_id", attempt, F.lit(kind), seed=seed) < kinds[kind] if kinds[kind] > 0 else F.lit(False)
+
+    code = F.when(hit("error"), -2).when(hit("timeout"), -1).when(hit("429"), 429).when(hit("500"), 500).when(hit("400"), 400).otherwise(200)
+    x = df.withColumn("_code", code)
+    x = x.withColumn("_bad", F.when(F.col("_code") == 200, hit("malformed")).otherwise(F.lit(False)))
+    ok = F.col("_code") == 200
     low = F.greatest(F.lit(1), F.floor(F.col("max_tokens") / 2))
-    out = F.least(F.col("max_tokens").cast("long"), low + F.floor(unit_hash("item_id", a, F.lit("length"), seed=seed) * (F.col("max_tokens") - low + 1)))
-    ok = status == 200
-    return {
-        "http_status": status,
-        "transport_error": F.when(error, "unexpected error: offline").when(timeout, "timeout"),
-        "malformed": F.coalesce(malformed, F.lit(False)),
-        "response_text": F.when(ok & malformed, "").when(ok, F.concat(F.lit("mock completion for: '"), F.substring("prompt", 1, 32), F.lit("'"))),
-        "input_tokens": F.when(ok, F.greatest(F.lit(1), F.floor(F.length("prompt") / 4))).otherwise(F.lit(0)).cast("long"),
-        "output_tokens": F.when(ok, out).otherwise(F.lit(0)).cast("long"),
-        "latency_s": F.lit(0.0),
-    }
+    out = F.least(F.col("max_tokens").cast("long"), low + F.floor(unit_hash("item_id", attempt, F.lit("length"), seed=seed) * (F.col("max_tokens") - low + 1)))
+    return x.withColumns(
+        {
+            "http_status": F.when(F.col("_code") > 0, F.col("_code")),
+            "transport_error": F.when(F.col("_code") == -2, "unexpected error: offline").when(F.col("_code") == -1, "timeout"),
+            "malformed": F.col("_bad"),
+            "response_text": F.when(ok & F.col("_bad"), "").when(ok, F.concat(F.lit("mock completion for: '"), F.substring("prompt", 1, 32), F.lit("'"))),
+            "input_tokens": F.when(ok, F.greatest(F.lit(1), F.floor((F.length("prompt") if chars is None else chars) / 4))).otherwise(F.lit(0)).cast("long"),
+            "output_tokens": F.when(ok, out).otherwise(F.lit(0)).cast("long"),
+            "latency_s": F.lit(0.0),
+        }
+    ).drop("_code", "_bad")
 
 
 class TokenBucket:

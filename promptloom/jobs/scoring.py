@@ -41,6 +41,12 @@ def _stored(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _made(df: DataFrame, attempt: Attempt) -> DataFrame:
+    """Attempts, classified. Only rows that may be retried keep their prompt."""
+    made = classify(attempt(df))
+    return made.withColumn("prompt", F.when(~ends_item(), F.col("prompt")))
+
+
 def score(prompts: DataFrame, attempt: Attempt, path: str, policy: Policy | None = None) -> Scored:
     """prompts: PROMPTS. attempt(df) makes one attempt for each row and adds RESPONSES. Tables below path: attempts of each wave
     and its outcomes. Budget, fatal abort and restart are decided between waves, from written tables.
@@ -58,7 +64,7 @@ def score(prompts: DataFrame, attempt: Attempt, path: str, policy: Policy | None
         part = todo.where(F.col("slice") == s).drop("slice")
         if aborted is not None:
             part = part.join(F.broadcast(aborted.select("job_id")), "job_id", "left_anti")
-        made = _stored(spark, classify(attempt(part.withColumn("attempt", F.lit(1)))), f"{path}/attempts/wave=1-{s}")
+        made = _stored(spark, _made(part.withColumn("attempt", F.lit(1)), attempt), f"{path}/attempts/wave=1-{s}")
         firsts.append(made)
         if policy.chunk:
             hits = made.where(is_fatal()).groupBy("job_id").agg(F.min_by("failure_class", "seq").alias("abort_class")).collect()
@@ -81,7 +87,7 @@ def score(prompts: DataFrame, attempt: Attempt, path: str, policy: Policy | None
         grant = ~stop & (F.col("used") + F.col("_r") <= F.col("limit"))
         issued = F.count_if(grant).over(Window.partitionBy("job_id"))
         wants = wants.select(
-            *kept,
+            *(F.when(grant, F.col(c)).alias(c) if c == "prompt" else c for c in kept),
             "limit",
             (F.col("used") + issued).alias("used"),
             F.when(~grant, "error").alias("status"),
@@ -95,7 +101,7 @@ def score(prompts: DataFrame, attempt: Attempt, path: str, policy: Policy | None
         again = decided.where("granted").select(*prompts.columns, (F.col("attempt") + 1).alias("attempt"), "limit", "used")
         if k == policy.waves or again.isEmpty():
             break
-        wave = _stored(spark, classify(attempt(again)), f"{path}/attempts/wave={k + 1}")
+        wave = _stored(spark, _made(again, attempt), f"{path}/attempts/wave={k + 1}")
         attempts = attempts.unionByName(wave.select(*kept))
     good = F.col("status") == "success"
     results = outcomes.select(

@@ -27,9 +27,10 @@ def outcome_columns(exhausted_message: Column | None = None) -> dict[str, Column
 
 
 def attempt_outcomes(classified: DataFrame) -> DataFrame:
-    """The first terminal attempt of each item with its outcome; later ones don't count. One aggregation by item."""
+    """The first terminal attempt of each item with its outcome; later ones don't count. One aggregation by item; which attempts
+    end an item is a condition in it, as a filter would be pushed below whatever made the attempts and be computed twice."""
     rest = [c for c in classified.columns if c not in KEY]
-    first = classified.where(ends_item()).groupBy(*KEY).agg(F.min_by(F.struct(*rest), "attempt").alias("r"))
+    first = classified.groupBy(*KEY).agg(F.min_by(F.struct(*rest), F.when(ends_item(), F.col("attempt"))).alias("r")).where("r is not null")
     return first.select(*KEY, "r.*").withColumns(outcome_columns())
 
 

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from promptloom.jobs.responders import TokenBucket, offline_response, run_attempts
+from promptloom.jobs.responders import TokenBucket, respond_offline, run_attempts
 from promptloom.jobs.scoring import Policy, resume, score
 from promptloom.operators import outcomes as O
 from promptloom.operators import telemetry
@@ -19,8 +19,7 @@ def prompts(spark, n, job="j"):
 
 
 def offline(**faults):
-    o = offline_response(**faults)
-    return lambda df: df.select("*", *(c.alias(k) for k, c in o.items()))
+    return lambda df: respond_offline(df, **faults)
 
 
 MIXES = [dict(p_429=0.5), dict(p_500=0.5), dict(p_timeout=0.3), dict(p_400=0.3, p_malformed=0.2), dict(p_error=0.4, p_429=0.3)]
