@@ -35,8 +35,8 @@ def test_query(spark, con, name):
         want = con.execute(ORACLES[name])
         names = [x[0] for x in want.description]
         assert sorted(names) == cols
-        a = sorted(tuple(plain(r[c]) for c in cols) for r in rows)
-        assert a == sorted(tuple(plain(r[names.index(c)]) for c in cols) for r in want.fetchall())
+        a = sorted((tuple(plain(r[c]) for c in cols) for r in rows), key=repr)
+        assert a == sorted((tuple(plain(r[names.index(c)]) for c in cols) for r in want.fetchall()), key=repr)
 
 
 def test_entry(spark):
