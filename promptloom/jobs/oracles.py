@@ -198,7 +198,7 @@ SELECT job_id, round(rate, 6) AS final_rate, down AS decreases, hits AS throttle
     "stream_quota": f"WITH {ATTEMPTS} SELECT job_id, date_trunc('minute', ts) AS minute, count(*) AS requests, count(*) FILTER (http_status = 429) AS throttled FROM attempts GROUP BY ALL",
     "stream_dedupe": f"WITH {ATTEMPTS} SELECT job_id, item_id FROM attempts",
     "stream_rate_policy": "",
-    "stream_prompts": f"WITH {RAW_ROWS} SELECT item_id, prompt, failure_class FROM rows WHERE seq % 10 NOT IN (2, 3, 4)",
+    "stream_prompts": f"WITH {RAW_ROWS} SELECT regexp_replace(item_id, '^(offset|line)-.*', '\\1') AS item_id, prompt, failure_class FROM rows",
 }
 
 
