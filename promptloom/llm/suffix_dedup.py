@@ -106,7 +106,7 @@ def _anchor_entries(bits: int, length: int):
             for key, text in zip(b.column("key").to_pylist(), b.column("text"), strict=True):
                 h, at, _ = anchors(_bytes(text.as_py()), length)
                 if len(at):
-                    keys.append(h[at])
+                    keys.append(mix(h[at]))  # least hashes are small; mixed, they spread over all buckets
                     docs.append(key)
                     places.append(at)
                     size += len(at)
@@ -181,10 +181,11 @@ def _slices(bits: int, chunks: int, length: int):
             h, all_at, least = anchors(np.frombuffer(raw, np.uint8), length)
             first, last = owned(h, all_at, least)
             which = np.searchsorted(all_at, at[a:b])
-            for i in which[first[which] <= last[which]].tolist():
+            which = which[first[which] <= last[which]]
+            for i, k in zip(which.tolist(), mix(h[all_at[which]]).tolist(), strict=True):
                 lo, hi, p = int(first[i]), int(last[i]) + length, int(all_at[i])
                 part = raw[lo:hi]
-                same = (int(h[p]), p - lo, part)
+                same = (k, p - lo, part)
                 if same in known:
                     span_docs.append(name)
                     span_starts.append(lo)
