@@ -25,7 +25,7 @@ def u(kind: str) -> str:
     return f"(CAST('0x' || substr(md5('7|' || item_id || '|' || attempt || '|{kind}'), 1, 8) AS BIGINT) / 4294967296.0)"
 
 
-DRAWS = f"""{PROMPTS}, d0 AS (SELECT p.*, unnest(range(1, 9)) AS attempt FROM prompts p),
+DRAWS = f"""{PROMPTS}, d0 AS (SELECT p.*, CAST(unnest(range(1, 9)) AS INTEGER) AS attempt FROM prompts p),
 d1 AS (
   SELECT *, CASE WHEN {u('timeout')} < 0.05 THEN NULL WHEN {u('429')} < 0.2 THEN 429 WHEN {u('500')} < 0.2 THEN 500
     WHEN {u('400')} < 0.05 THEN 400 ELSE 200 END AS http_status, {u('malformed')} AS u_m, {u('length')} AS u_l FROM d0),
