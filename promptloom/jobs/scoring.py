@@ -51,7 +51,7 @@ def score(prompts: DataFrame, attempt: Attempt, path: str, policy: Policy | None
     """prompts: PROMPTS. attempt(df) makes one attempt for each row and adds RESPONSES. Tables below path: attempts of each wave
     and its outcomes. Budget, fatal abort and restart are decided between waves, from written tables.
 
-    A wave sees only the rows that the last one left; what the driver holds is one row for a job in a chunk. A fatal response
+    A wave sees only the rows that the last one left, and the driver holds none of them. A fatal response
     ends the job: waiting items of its launched chunks end in its class, later chunks are not ingested.
     """
     policy = policy or Policy()
@@ -63,14 +63,12 @@ def score(prompts: DataFrame, attempt: Attempt, path: str, policy: Policy | None
     for s in range(last + 1):
         part = todo.where(F.col("slice") == s).drop("slice")
         if aborted is not None:
-            part = part.join(F.broadcast(aborted.select("job_id")), "job_id", "left_anti")
+            part = part.join(aborted, "job_id", "left_anti")
         made = _stored(spark, _made(part.withColumn("attempt", F.lit(1)), attempt), f"{path}/attempts/wave=1-{s}")
         firsts.append(made)
         if policy.chunk:
-            hits = made.where(is_fatal()).groupBy("job_id").agg(F.min_by("failure_class", "seq").alias("abort_class")).collect()
-            if hits:
-                more = spark.createDataFrame([tuple(h) for h in hits], "job_id string, abort_class string")
-                aborted = more if aborted is None else aborted.unionByName(more)
+            hits = _stored(spark, made.where(is_fatal()).select("job_id").distinct(), f"{path}/aborted/slice={s}")
+            aborted = hits if aborted is None else aborted.unionByName(hits)
     wave = firsts[0]
     for f in firsts[1:]:
         wave = wave.unionByName(f)
