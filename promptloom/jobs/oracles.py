@@ -221,6 +221,24 @@ g{k} AS (SELECT job_id, item_id FROM r{k} WHERE granted), used{k} AS (SELECT u.j
 ORACLES["retry_budget"] = ORACLES["score_batch"] = _budget()
 ORACLES["score_events"] = _budget().replace(PROMPTS, EVENT_PROMPTS)
 ORACLES["spend_guard_cutoff"] = f"WITH b AS ({ORACLES['spend_guard']}), {DRAWS} SELECT o.job_id, o.seq, item_id, CASE WHEN o.seq > b.seq THEN 'fatal_auth' END AS failure_class, CASE WHEN o.seq > b.seq THEN 'fatal_auth' END AS message FROM outcomes o LEFT JOIN b ON o.job_id = b.job_id"
+ORACLES["export_array"] = f"""WITH {DRAWS}, j AS (SELECT CASE WHEN status = 'success'
+    THEN json_object('item_id', item_id, 'status', status, 'response_text', 't', 'input_tokens', input_tokens, 'output_tokens', output_tokens, 'latency_s', latency_s, 'attempt', attempt)
+    ELSE json_object('item_id', item_id, 'status', status, 'failure_class', final_class, 'message', message, 'attempt', attempt, 'http_status', http_status) END AS j,
+  row_number() OVER (ORDER BY job_id, seq) AS n, count(*) OVER () AS m FROM outcomes)
+SELECT CASE WHEN n = 1 THEN '[' ELSE ',' END || j || CASE WHEN n = m THEN ']' ELSE '' END AS value FROM j"""
+ORACLES["breaker_replay"] = f"""WITH RECURSIVE {ATTEMPTS}, o AS (SELECT job_id, epoch_us(ts) / 1e6 AS t, seq, failure_class IN ('transient', 'fatal_auth', 'fatal_billing') AS bad,
+  row_number() OVER (PARTITION BY job_id ORDER BY ts, seq, attempt) AS i FROM attempts),
+f AS (
+  SELECT job_id, CAST(0 AS BIGINT) AS i, CAST(0 AS DOUBLE) AS t, CAST(0 AS BIGINT) AS seq, 'closed' AS s0, 'closed' AS s1, 'closed' AS s2, CAST(0 AS DOUBLE) AS opened, CAST([] AS INTEGER[]) AS recent FROM (SELECT DISTINCT job_id FROM o)
+  UNION ALL
+  SELECT job_id, i, t, seq, s0, s1, s2, CASE WHEN s2 = 'open' AND s1 <> 'open' THEN t ELSE opened END,
+    CASE WHEN s1 = 'open' THEN recent WHEN s1 = 'half_open' AND s2 = 'closed' THEN CAST([] AS INTEGER[]) ELSE added END
+  FROM (
+    SELECT *, CASE WHEN s1 = 'open' THEN 'open' WHEN s1 = 'half_open' THEN CASE WHEN bad THEN 'open' ELSE 'closed' END
+      WHEN len(added) >= 10 AND list_sum(added) / len(added) > 0.5 THEN 'open' ELSE 'closed' END AS s2
+    FROM (SELECT f.job_id, o.i, o.t, o.seq, o.bad, f.opened, f.recent, f.s2 AS s0, CASE WHEN f.s2 = 'open' AND o.t - f.opened >= 30 THEN 'half_open' ELSE f.s2 END AS s1,
+      list_append(f.recent, CAST(o.bad AS INTEGER))[-100:] AS added FROM f JOIN o ON f.job_id = o.job_id AND o.i = f.i + 1)))
+SELECT job_id, round(t, 6) AS t, seq, s0 AS before, s1 AS after FROM f WHERE s0 <> s1 UNION ALL SELECT job_id, round(t, 6), seq, s1, s2 FROM f WHERE s1 <> s2"""
 ORACLES["stream_score"] = _budget()
 ORACLES["paced_attempts"] = ORACLES["run_attempts"]
 ORACLES["score_resumed"] = f"WITH {PROMPTS} SELECT job_id, count(*) AS ok, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS duplicate, CAST(0 AS BIGINT) AS unexpected, TRUE AS conserved FROM prompts GROUP BY job_id"

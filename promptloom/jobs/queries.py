@@ -419,7 +419,7 @@ def export_filter(spark, d):
 @query
 def export_array(spark, d):
     r = _outcomes(spark, d).withColumns({"response_text": F.lit("t"), "failure_class": F.col("final_class")})
-    return logs.array_lines(r).select("at", "value")
+    return logs.array_lines(r).select("value")
 
 
 @query
