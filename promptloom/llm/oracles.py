@@ -114,3 +114,20 @@ SELECT d.key AS doc_id, CAST(len(all_lines) AS BIGINT) AS n_lines, CAST(coalesce
   sha256(array_to_string(list_filter(all_lines, lambda x, i: drop IS NULL OR NOT list_contains(drop, i - 1)), chr(10))) AS kept_sha256
 FROM d LEFT JOIN gone ON d.key = gone.key
 """
+
+NEAR = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+  FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) END AS sh
+  FROM w
+), n AS (SELECT doc_id, CAST(len(sh) AS BIGINT) AS n FROM s),
+u AS (SELECT doc_id, unnest(sh) AS h FROM s),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM u a JOIN u b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY ALL),
+near AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 80 * (x.n + y.n - i)),
+links AS (SELECT a, b FROM near UNION ALL SELECT b, a FROM near),
+reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT l.b, reach.r FROM reach JOIN links l ON l.a = reach.doc_id)
+SELECT n.doc_id, n.n AS n_shingles, min(r) AS component_id FROM n JOIN reach ON n.doc_id = reach.doc_id GROUP BY n.doc_id, n.n
+"""

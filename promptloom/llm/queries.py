@@ -103,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_ngram_jaccard": oracles.NEAR,
     "op4_quality_rules": oracles.QUALITY,
     "op7_top_k": oracles.TOP_K,
     "op8_line_dedup": oracles.LINES,
