@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from promptloom.llm.common import write_table
 from promptloom.llm.jaccard import jaccard_groups
 from promptloom.llm.keyed import with_key
-from promptloom.llm.lines import line_dedup
+from promptloom.llm.lines import line_dedup, recurring_lines
 from promptloom.llm.packing import pack
 from promptloom.llm.quality import quality_rules
 from promptloom.llm.suffix_dedup import suffix_dedup
@@ -42,7 +42,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines whose templates recur; those that lose all their words by it go."""
     rows = _rows(docs)
-    out = line_dedup(rows.select(F.col("key").alias("row"), "text"), "row")
+    out = line_dedup(rows.select(F.col("key").alias("row"), "text"), "row", find=recurring_lines)
     stays = (F.col("n_dropped") == 0) | F.col("text").rlike(WORD)
     return _with_text(rows, out.where(stays).select("key", F.col("text").alias("new")))
 

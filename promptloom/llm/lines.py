@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from promptloom.llm.common import write_table
@@ -33,6 +35,15 @@ def _in_documents(lines: DataFrame, by: str) -> DataFrame:
     return lines.select(by, "key").distinct().groupBy(by).agg(F.min("key").alias("first"), F.count("*").alias("docs")).where(F.col("docs") >= MIN_DOCS).drop("docs")
 
 
+def _mixed(rows: DataFrame, narrow: DataFrame) -> DataFrame:
+    """key, line_no, leaf, n, tokens of the lines in leaves that have several forms, in MIN_DOCS or more documents."""
+    several = narrow.groupBy("leaf").agg(F.min("form").alias("a"), F.max("form").alias("b"), F.min("key").alias("c"), F.max("key").alias("d")).where("a <> b and c <> d").select("leaf")
+    leaves = write_table(several.join(_in_documents(narrow, "leaf"), "leaf", "left_semi"), "leaves")
+    leaves_here = F.broadcast(leaves) if leaves.count() <= BROADCAST_LEAVES else leaves
+    mixed = _parsed(rows).join(leaves_here, "leaf", "left_semi").select("key", "line_no", "leaf", "n", F.split("form", " ").alias("tokens"))
+    return write_table(mixed, "mixed-leaves")
+
+
 def line_templates(rows: DataFrame) -> DataFrame:
     """key, line_no of the lines to drop from rows (key, text).
 
@@ -41,11 +52,7 @@ def line_templates(rows: DataFrame) -> DataFrame:
     fixed ones as the leaf's template.
     """
     narrow = write_table(_parsed(rows).select("key", "line_no", "leaf", F.xxhash64("form").alias("form")), "lines")
-    several = narrow.groupBy("leaf").agg(F.min("form").alias("a"), F.max("form").alias("b"), F.min("key").alias("c"), F.max("key").alias("d")).where("a <> b and c <> d").select("leaf")
-    leaves = write_table(several.join(_in_documents(narrow, "leaf"), "leaf", "left_semi"), "leaves")
-    leaves_here = F.broadcast(leaves) if leaves.count() <= BROADCAST_LEAVES else leaves
-    mixed = _parsed(rows).join(leaves_here, "leaf", "left_semi").select("key", "line_no", "leaf", "n", F.split("form", " ").alias("tokens"))
-    mixed = write_table(mixed, "mixed-leaves")
+    mixed = _mixed(rows, narrow)
 
     votes = mixed.select("leaf", F.posexplode("tokens").alias("at", "token")).groupBy("leaf", "at", "token").agg(F.count("*").alias("votes"))
     size = mixed.groupBy("leaf").agg(F.count("*").alias("lines"), F.max("n").alias("n"))
@@ -60,7 +67,40 @@ def line_templates(rows: DataFrame) -> DataFrame:
     return by_form.unionByName(by_leaf)
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _template_words(mixed: DataFrame) -> DataFrame:
+    """key, line_no, template (a hash of leaf and fixed words) of each way to leave words of a line open that may recur.
+
+    A word is fixed by its place. Words that under MIN_DOCS documents of the leaf have at their place are open in every way;
+    then the rarest of the others, one more step of support each time, and besides each single word of a line that has no rare ones. Fields are open
+    always; the fixed words are at least FIXED % of the tokens. Support counts documents and has no share in it, so other lines
+    of a leaf can't outvote a template.
+    """
+    words = mixed.select("key", "line_no", "leaf", "n", F.size(F.array_remove("tokens", FIELD)).alias("m"), F.posexplode("tokens").alias("at", "token")).where(F.col("token") != FIELD)
+    words = words.select("key", "line_no", "leaf", "n", "m", F.xxhash64("at", "token").alias("word"))
+    support = words.select("leaf", "word", "key").distinct().groupBy("leaf", "word").agg(F.count("*").alias("docs")).where(F.col("docs") >= MIN_DOCS)
+    line = Window.partitionBy("key", "line_no")
+    down = line.orderBy(F.desc("docs"))  # words of equal support are taken at once
+    both = {"all": line, "top": down}
+    words = words.join(support, ["leaf", "word"])
+    words = words.select("*", *(F.count("*").over(w).alias(f"n_{k}") for k, w in both.items()), *(F.bit_xor("word").over(w).alias(k) for k, w in both.items()))
+    enough = lambda c: 100 * c >= FIXED * F.col("n")
+    one_open = F.when((F.col("n_all") == F.col("m")) & enough(F.col("n_all") - 1), F.xxhash64("leaf", F.col("all").bitwiseXOR(F.col("word"))))
+    rest_open = F.when(enough(F.col("n_top")), F.xxhash64("leaf", "top"))
+    return words.select("key", "line_no", F.explode(F.array(one_open, rest_open)).alias("template")).where("template is not null").distinct()
+
+
+def recurring_lines(rows: DataFrame) -> DataFrame:
+    """key, line_no of the lines to drop from rows (key, text); as line_templates, but a leaf may have any number of templates,
+    each found by the documents that it occurs in."""
+    narrow = write_table(_parsed(rows).select("key", "line_no", "leaf", F.xxhash64("form").alias("form")), "lines")
+    mixed = _mixed(rows, narrow)
+    found = write_table(_template_words(mixed), "templates")
+    by_form = narrow.join(_in_documents(narrow, "form"), "form").where("key <> first").select("key", "line_no")
+    by_template = found.join(_in_documents(found, "template"), "template").where("key <> first").select("key", "line_no")
+    return by_form.unionByName(by_template)
+
+
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", find: Callable[[DataFrame], DataFrame] = line_templates) -> DataFrame:
     """key, doc_id, n_lines, n_dropped, text (what is kept) for each row of docs; key as in keyed_docs.
 
     Lines (between line feeds) are parsed by a tree of fixed depth: token count, then LEADING leading tokens, tokens with digits
@@ -70,6 +110,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Null and empty texts have one empty line and stay so; a text loses whole lines only; ties cannot arise, as ids are unique
     (repeated or null ones are numbered); an empty table gives no rows; other columns are ignored.
+
+    find tells the lines to drop: line_templates by the rules above, which are those of the SQL of op8_line_dedup;
+    recurring_lines, which the pipeline takes, by wider ones.
     """
     rows = keyed_docs(docs, id_col, text_col)
     drop = line_templates(rows).groupBy("key").agg(F.array_sort(F.collect_set("line_no")).alias("drop"))

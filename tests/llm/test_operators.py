@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 from promptloom.llm import bwt, rans
 from promptloom.llm.common import new_path
 from promptloom.llm.jaccard import jaccard_groups
-from promptloom.llm.lines import line_dedup
+from promptloom.llm.lines import line_dedup, recurring_lines
 from promptloom.llm.packing import pack
 from promptloom.llm.pieces import Pieces, boundary_states, decode, encode
 from promptloom.llm.quality import quality_features, risk_controlled
@@ -291,6 +291,26 @@ def test_line_dedup(spark, none):
     assert line_dedup(none).collect() == []
 
 
+def dropped(spark, texts):
+    return [r.n_dropped for r in line_dedup(table(spark, texts), find=recurring_lines).orderBy("doc_id").collect()]
+
+
+def test_other_lines_of_a_leaf_hide_no_template(spark, none):
+    names = ["ann", "bob", "cid", "dan"]
+    made = [f"the cat sat on the mat with {x} again and slept" for x in names]
+    other = ["the cat sat " + " ".join(f"{w}{chr(97 + i)}" for w in "pqrstuvw") for i in range(9)]
+    assert dropped(spark, made + other) == [0, 1, 1, 1] + [0] * 9
+    assert dropped(spark, [*made, "\n".join(other)]) == [0, 1, 1, 1, 0]
+    second = [f"the cat sat under seven big trees {x} rain came down" for x in names]
+    assert dropped(spark, made + second + other[:1]) == [0, 1, 1, 1, 0, 1, 1, 1, 0]
+    two = [f"the cat sat on {y} mat with {x} again and slept" for x, y in zip(names, "abcd", strict=True)]
+    assert dropped(spark, two + other) == [0, 1, 1, 1] + [0] * 9
+    often = ["the cat sat " + " ".join(f"{w}{chr(97 + i)}" for w in "pqrs") + f" {x} " + " ".join(f"{w}{chr(97 + i)}" for w in "uvw") for x in names for i in range(9)]
+    assert sum(dropped(spark, often)) == 27 and sum(dropped(spark, made + often)[:4]) == 3
+    assert dropped(spark, made[:2] + other) == [0] * 11
+    assert line_dedup(none, find=recurring_lines).collect() == []
+
+
 def test_rans_round_trip_and_damage():
     r = np.random.default_rng(1)
     ids = np.minimum(r.zipf(1.3, 200_000), 49_000).astype(np.uint32)
