@@ -115,7 +115,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     recurring_lines, which the pipeline takes, by wider ones.
     """
     rows = keyed_docs(docs, id_col, text_col)
-    drop = line_templates(rows).groupBy("key").agg(F.array_sort(F.collect_set("line_no")).alias("drop"))
+    drop = find(rows).groupBy("key").agg(F.array_sort(F.collect_set("line_no")).alias("drop"))
     out = rows.join(drop, "key", "left").withColumn("lines", F.split("text", "\n"))
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("drop"))
     text = F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get("lines", i)), "\n"))
