@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from promptloom.llm.common import write_table
@@ -13,26 +13,31 @@ from promptloom.llm.keyed import keyed_docs
 #: Tokens that lead to a leaf; documents in which a template must occur; tokens that a line must have to be dropped; per cent of
 #: a leaf's lines that must agree for a token to be fixed, and of a template's tokens that must be fixed.
 LEADING, MIN_DOCS, MIN_TOKENS, AGREE, FIXED = 3, 3, 4, 50, 70
+#: In recurring_lines: documents in which an exact or masked line must occur, from MIN_TOKENS tokens on and below.
+TWICE, SHORT_DOCS = 2, 3
 FIELD = "<*>"
 #: Leaves (8 bytes each) up to which they are sent to all executors; more are joined by a shuffle.
 BROADCAST_LEAVES = 1_000_000
 
 
-def _parsed(rows: DataFrame) -> DataFrame:
-    """key, line_no, form (the line with its variable fields masked), n (tokens), leaf; only lines of MIN_TOKENS or more."""
+def _parsed(rows: DataFrame, short: bool = False) -> DataFrame:
+    """key, line_no, form (the line with its variable fields masked), n (tokens), leaf; only lines of MIN_TOKENS or more, and, if
+    short, shorter ones with a letter or digit."""
     lines = rows.select("key", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     clean = F.trim(F.col("line"))
     clean = F.when(clean.contains("  ") | clean.rlike(r"[\t\x0b\f\r]"), F.trim(F.regexp_replace(clean, r"[ \t\x0b\f\r]+", " "))).otherwise(clean)
     lines = lines.select("key", "line_no", clean.alias("c"))
-    lines = lines.select("key", "line_no", "c", (F.char_length("c") - F.char_length(F.replace(F.col("c"), F.lit(" "), F.lit(""))) + 1).alias("n")).where(F.col("n") >= MIN_TOKENS)
+    lines = lines.select("key", "line_no", "c", (F.char_length("c") - F.char_length(F.replace(F.col("c"), F.lit(" "), F.lit(""))) + 1).alias("n"))
+    long = F.col("n") >= MIN_TOKENS
+    lines = lines.where(long | F.col("c").rlike(r"[\p{L}\p{N}]") if short else long)
     masked = F.when(F.col("c").rlike("[0-9]"), F.regexp_replace("c", "[^ ]*[0-9][^ ]*", FIELD)).otherwise(F.col("c"))
     lines = lines.select("key", "line_no", "n", masked.alias("form"))
     return lines.withColumn("leaf", F.xxhash64("n", F.substring_index("form", " ", LEADING)))
 
 
-def _in_documents(lines: DataFrame, by: str) -> DataFrame:
-    """by, first (the smallest key) of what at least MIN_DOCS documents have; counted by document before the shuffle."""
-    return lines.select(by, "key").distinct().groupBy(by).agg(F.min("key").alias("first"), F.count("*").alias("docs")).where(F.col("docs") >= MIN_DOCS).drop("docs")
+def _in_documents(lines: DataFrame, *by: str, least: int | Column = MIN_DOCS) -> DataFrame:
+    """by, first (the smallest key) of what at least so many documents have; counted by document before the shuffle."""
+    return lines.select(*by, "key").distinct().groupBy(*by).agg(F.min("key").alias("first"), F.count("*").alias("docs")).where(F.col("docs") >= least).drop("docs")
 
 
 def _mixed(rows: DataFrame, narrow: DataFrame) -> DataFrame:
@@ -91,11 +96,13 @@ def _template_words(mixed: DataFrame) -> DataFrame:
 
 def recurring_lines(rows: DataFrame) -> DataFrame:
     """key, line_no of the lines to drop from rows (key, text); as line_templates, but a leaf may have any number of templates,
-    each found by the documents that it occurs in."""
-    narrow = write_table(_parsed(rows).select("key", "line_no", "leaf", F.xxhash64("form").alias("form")), "lines")
+    each found by the documents that it occurs in; lines under MIN_TOKENS tokens count too, in SHORT_DOCS documents; and longer
+    exact or masked lines recur in TWICE."""
+    narrow = write_table(_parsed(rows, short=True).select("key", "line_no", "leaf", F.xxhash64("form").alias("form"), (F.col("n") < MIN_TOKENS).alias("short")), "lines")
     mixed = _mixed(rows, narrow)
     found = write_table(_template_words(mixed), "templates")
-    by_form = narrow.join(_in_documents(narrow, "form"), "form").where("key <> first").select("key", "line_no")
+    again = _in_documents(narrow, "form", "short", least=F.when(F.col("short"), SHORT_DOCS).otherwise(TWICE)).drop("short")
+    by_form = narrow.join(again, "form").where("key <> first").select("key", "line_no")
     by_template = found.join(_in_documents(found, "template"), "template").where("key <> first").select("key", "line_no")
     return by_form.unionByName(by_template)
 

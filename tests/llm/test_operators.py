@@ -311,6 +311,14 @@ def test_other_lines_of_a_leaf_hide_no_template(spark, none):
     assert line_dedup(none, find=recurring_lines).collect() == []
 
 
+def test_short_lines_and_lines_of_two_documents_recur(spark):
+    only = [" ".join(f"{w}{chr(97 + i)}" for w in "pqrst") for i in range(3)]
+    assert dropped(spark, [f"Read more\n}}\n\n{x}" for x in only]) == [0, 1, 1]
+    assert dropped(spark, [f"Read more\n{x}" for x in only[:2]]) == [0, 0]
+    assert dropped(spark, [f"{x}\nthe same line in both" for x in only[:2]]) == [0, 1]
+    assert dropped(spark, [f"{x}\nwe saw them all on day {i}" for i, x in enumerate(only[:2])]) == [0, 1]
+
+
 def test_rans_round_trip_and_damage():
     r = np.random.default_rng(1)
     ids = np.minimum(r.zipf(1.3, 200_000), 49_000).astype(np.uint32)
