@@ -20,19 +20,24 @@ FIELD = "<*>"
 BROADCAST_LEAVES = 1_000_000
 
 
-def _parsed(rows: DataFrame, short: bool = False) -> DataFrame:
-    """key, line_no, form (the line with its variable fields masked), n (tokens), leaf; only lines of MIN_TOKENS or more, and, if
-    short, shorter ones with a letter or digit."""
+def _parsed(rows: DataFrame, wide: bool = False) -> DataFrame:
+    """key, line_no, form (the line with its variable fields masked), n (tokens), leaf; only lines of MIN_TOKENS or more. If wide,
+    shorter ones with a letter or digit, too, and lines in which fields leave under FIXED % of words stay unmasked and in no leaf."""
     lines = rows.select("key", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     clean = F.trim(F.col("line"))
     clean = F.when(clean.contains("  ") | clean.rlike(r"[\t\x0b\f\r]"), F.trim(F.regexp_replace(clean, r"[ \t\x0b\f\r]+", " "))).otherwise(clean)
     lines = lines.select("key", "line_no", clean.alias("c"))
     lines = lines.select("key", "line_no", "c", (F.char_length("c") - F.char_length(F.replace(F.col("c"), F.lit(" "), F.lit(""))) + 1).alias("n"))
     long = F.col("n") >= MIN_TOKENS
-    lines = lines.where(long | F.col("c").rlike(r"[\p{L}\p{N}]") if short else long)
+    lines = lines.where(long | F.col("c").rlike(r"[\p{L}\p{N}]") if wide else long)
     masked = F.when(F.col("c").rlike("[0-9]"), F.regexp_replace("c", "[^ ]*[0-9][^ ]*", FIELD)).otherwise(F.col("c"))
-    lines = lines.select("key", "line_no", "n", masked.alias("form"))
-    return lines.withColumn("leaf", F.xxhash64("n", F.substring_index("form", " ", LEADING)))
+    lines = lines.select("key", "line_no", "n", "c", masked.alias("form"))
+    leaf = F.xxhash64("n", F.substring_index("form", " ", LEADING))
+    if not wide:
+        return lines.drop("c").withColumn("leaf", leaf)
+    words = F.when(F.col("form").contains(FIELD), F.size(F.array_remove(F.split("form", " "), FIELD))).otherwise(F.col("n"))
+    lines = lines.withColumn("enough", 100 * words >= FIXED * F.col("n"))
+    return lines.select("key", "line_no", "n", F.when(F.col("enough"), F.col("form")).otherwise(F.col("c")).alias("form"), F.when(F.col("enough") & long, leaf).alias("leaf"))
 
 
 def _in_documents(lines: DataFrame, *by: str, least: int | Column = MIN_DOCS) -> DataFrame:
@@ -40,12 +45,12 @@ def _in_documents(lines: DataFrame, *by: str, least: int | Column = MIN_DOCS) ->
     return lines.select(*by, "key").distinct().groupBy(*by).agg(F.min("key").alias("first"), F.count("*").alias("docs")).where(F.col("docs") >= least).drop("docs")
 
 
-def _mixed(rows: DataFrame, narrow: DataFrame) -> DataFrame:
+def _mixed(rows: DataFrame, narrow: DataFrame, wide: bool = False) -> DataFrame:
     """key, line_no, leaf, n, tokens of the lines in leaves that have several forms, in MIN_DOCS or more documents."""
     several = narrow.groupBy("leaf").agg(F.min("form").alias("a"), F.max("form").alias("b"), F.min("key").alias("c"), F.max("key").alias("d")).where("a <> b and c <> d").select("leaf")
     leaves = write_table(several.join(_in_documents(narrow, "leaf"), "leaf", "left_semi"), "leaves")
     leaves_here = F.broadcast(leaves) if leaves.count() <= BROADCAST_LEAVES else leaves
-    mixed = _parsed(rows).join(leaves_here, "leaf", "left_semi").select("key", "line_no", "leaf", "n", F.split("form", " ").alias("tokens"))
+    mixed = _parsed(rows, wide).join(leaves_here, "leaf", "left_semi").select("key", "line_no", "leaf", "n", F.split("form", " ").alias("tokens"))
     return write_table(mixed, "mixed-leaves")
 
 
@@ -97,9 +102,9 @@ def _template_words(mixed: DataFrame) -> DataFrame:
 def recurring_lines(rows: DataFrame) -> DataFrame:
     """key, line_no of the lines to drop from rows (key, text); as line_templates, but a leaf may have any number of templates,
     each found by the documents that it occurs in; lines under MIN_TOKENS tokens count too, in SHORT_DOCS documents; and longer
-    exact or masked lines recur in TWICE."""
-    narrow = write_table(_parsed(rows, short=True).select("key", "line_no", "leaf", F.xxhash64("form").alias("form"), (F.col("n") < MIN_TOKENS).alias("short")), "lines")
-    mixed = _mixed(rows, narrow)
+    exact or masked lines recur in TWICE. Lines with too many fields recur by their unmasked text only."""
+    narrow = write_table(_parsed(rows, wide=True).select("key", "line_no", "leaf", F.xxhash64("form").alias("form"), (F.col("n") < MIN_TOKENS).alias("short")), "lines")
+    mixed = _mixed(rows, narrow.where("leaf is not null"), wide=True)
     found = write_table(_template_words(mixed), "templates")
     again = _in_documents(narrow, "form", "short", least=F.when(F.col("short"), SHORT_DOCS).otherwise(TWICE)).drop("short")
     by_form = narrow.join(again, "form").where("key <> first").select("key", "line_no")

@@ -319,6 +319,12 @@ def test_short_lines_and_lines_of_two_documents_recur(spark):
     assert dropped(spark, [f"{x}\nwe saw them all on day {i}" for i, x in enumerate(only[:2])]) == [0, 1]
 
 
+def test_lines_of_fields_recur_unmasked_only(spark):
+    rows = [f"{i} {i + 1} {i + 2} {i * 3}\non {i} of {i} and {i}\nrow {i} of the same long table" for i in range(10, 14)]
+    assert dropped(spark, rows) == [0, 1, 1, 1]
+    assert dropped(spark, [*rows, rows[0]]) == [0, 1, 1, 1, 3]
+
+
 def test_rans_round_trip_and_damage():
     r = np.random.default_rng(1)
     ids = np.minimum(r.zipf(1.3, 200_000), 49_000).astype(np.uint32)
