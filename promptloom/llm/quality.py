@@ -124,7 +124,8 @@ def risk_controlled(features: DataFrame, labels: DataFrame, risk: float = RISK,
 
     held = marked.where("half = 1 and good = 1").withColumnsRenamed({r: f"b_{r}" for r in RULES}).select("stratum", score.alias("score"))
     per = held.groupBy("stratum").agg(F.count("*").alias("n"), *(F.count_if(F.col("score") >= c).alias(f"k{c}") for c in cutoffs))
-    tests = per.select("stratum", "n", F.count("*").over(Window.partitionBy(F.lit(0))).alias("strata"), F.explode(F.array(*(F.struct(F.lit(c).alias("cutoff"), F.col(f"k{c}").alias("k")) for c in cutoffs))).alias("x"))
+    per = per.withColumn("strata", F.count("*").over(Window.partitionBy(F.lit(0))))  # before cutoffs multiply the rows
+    tests = per.select("stratum", "n", "strata", F.explode(F.array(*(F.struct(F.lit(c).alias("cutoff"), F.col(f"k{c}").alias("k")) for c in cutoffs))).alias("x"))
     tests = tests.select("stratum", "x.cutoff", (_tail(F.col("n"), F.col("x.k"), risk) <= error / (F.col("strata") * len(cutoffs))).alias("sure"))
     failed = F.max(F.when(~F.col("sure"), F.col("cutoff")))
     chosen = tests.groupBy("stratum").agg(F.min(F.when(F.col("sure"), F.col("cutoff"))).alias("low"), failed.alias("fail"), F.collect_list(F.when(F.col("sure"), F.col("cutoff"))).alias("all"))
@@ -137,5 +138,9 @@ def risk_controlled(features: DataFrame, labels: DataFrame, risk: float = RISK,
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, stratum_col: str = "lang") -> DataFrame:
-    """The features, score, cutoff and kept of every document. Features are computed once and written, as narrow rows."""
+    """The features, score, cutoff and kept of every document. Features are computed once and written, as narrow rows.
+
+    Null and empty texts fail the base; rows with repeated or null ids are judged one by one, and a label counts for every row
+    of its id (a null id has none); a null stratum is a stratum of its own; an empty table gives no rows; without labels the base
+    alone decides; other columns are ignored."""
     return risk_controlled(write_table(quality_features(docs, stratum_col=stratum_col), "features"), labels)
