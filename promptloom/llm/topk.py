@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+import operator
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,13 +38,25 @@ class _Best:
         self.ids[q], self.scores[q] = ids[order], scores[order]
 
 
+def _best_of_large(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> Iterator[tuple[int, int, int]]:
+    whole = [[int(x) for x in r] for r in rows]
+    for query, q in zip(query_ids.tolist(), queries, strict=True):
+        q = [int(x) for x in q]
+        scored = ((-max(-(1 << 63), min((1 << 63) - 1, sum(map(operator.mul, q, r)))), i) for i, r in zip(ids.tolist(), whole, strict=True) if i != query)
+        yield from ((query, i, -s) for s, i in heapq.nsmallest(k, scored))
+
+
 def best_in_cell(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> Iterator[tuple[int, int, int]]:
     """(query id, id, score) of the k best rows of each query, but for the query's own id.
 
     Rows lie in tiles, dimension by dimension. All queries meet the first STEP dimensions of a tile at once; then each query
     goes on alone, STEP dimensions at a time, with the rows whose partial score plus the product of the remaining norms
-    (Cauchy-Schwarz) still reaches its k-th best score, until no dimension is left. Scores are integers and exact in float64.
+    (Cauchy-Schwarz) still reaches its k-th best score, until no dimension is left. Scores are integers and exact in float64;
+    where they might not be, they are computed whole, in Python's integers.
     """
+    if np.abs(queries).max(initial=0) * np.abs(rows).max(initial=0) * queries.shape[1] >= 1 << 52:
+        yield from _best_of_large(query_ids, queries, ids, rows, k)
+        return
     best, width = _Best(len(query_ids), k), queries.shape[1]
     cuts = [*range(0, width, STEP), width] if width else [0]
 
@@ -82,6 +96,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "ve
     searched by one task; a row goes to every block of queries and a query to every block of rows, as an exact search must
     compare them, but only the k best of a cell leave it. The winners of a query's cells are ranked in the end.
 
+    Components and scores beyond 64 bits are the largest or smallest such integer.
+
     Vectors that are null or hold null, NaN or infinite components take no part; shorter vectors count as ending in zeros (an
     empty one scores 0); rows with the same id count once, the largest vector of them; null ids take no part; other columns
     are ignored; no queries or no rows give no result.
