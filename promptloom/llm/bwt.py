@@ -5,27 +5,34 @@ from __future__ import annotations
 import numpy as np
 
 
+def _small(n: int) -> type:
+    """The narrowest kind of integers for positions up to n."""
+    return np.int32 if n < 1 << 31 else np.int64
+
+
 def _ranks(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order, rank): positions by key, equal ones by position; rank from 1, equal for equal keys."""
-    order = np.argsort(keys, kind="stable")
+    kind = _small(len(keys) + 1)
+    order = np.argsort(keys, kind="stable").astype(kind)
     s = keys[order]
-    rank = np.empty(len(keys), np.int64)
-    rank[order] = np.cumsum(np.concatenate([[1], (s[1:] != s[:-1]).astype(np.int64)]))
+    rank = np.empty(len(keys), kind)
+    rank[order] = np.cumsum(np.concatenate([[True], s[1:] != s[:-1]]), dtype=kind)
     return order, rank
 
 
 def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
     """Starts of suffixes by their first `depth` symbols (0..256) at least, then by position: prefix doubling from 7 symbols."""
     n = len(symbols)
-    key, padded = np.zeros(n, np.uint64), np.concatenate([symbols, np.zeros(7, symbols.dtype)]).astype(np.uint64)
+    key, padded = np.zeros(n, np.uint64), np.concatenate([symbols, np.zeros(7, symbols.dtype)])
     for i in range(7):
-        key = (key << np.uint64(9)) | padded[i : i + n]
+        key <<= np.uint64(9)
+        key |= padded[i : i + n].astype(np.uint64)
     order, rank = _ranks(key)
     have = 7
     while have < depth and rank[order[-1]] < n:
-        ahead = np.zeros(n, np.int64)
-        ahead[: max(0, n - have)] = rank[have:]
-        order, rank = _ranks(rank * (n + 1) + ahead)
+        key = rank.astype(np.int64) * (n + 1)
+        key[: max(0, n - have)] += rank[have:]
+        order, rank = _ranks(key)
         have *= 2
     return order
 
@@ -40,25 +47,26 @@ def window_classes(symbols: np.ndarray, length: int) -> np.ndarray:
     closes once; those still open after `length` rounds have `length` or more.
     """
     n = len(symbols)
+    kind = _small(n + 1)
     if not n:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, kind)
     order = suffix_order(symbols, length + 1)
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
-    before = np.where(order > 0, symbols[order - 1], 0).astype(np.int64)  # the transform
+    place = np.empty(n, kind)
+    place[order] = np.arange(n, dtype=kind)
+    before = np.where(order > 0, symbols[order - 1], 0).astype(np.int16)  # the transform
     step = place[order - 1]  # where the suffix one symbol longer is
+    del place
     closed = np.zeros(n + 1, bool)
-    low, high = np.array([0]), np.array([n])
+    low, high = np.array([0], kind), np.array([n], kind)
     for _ in range(length):
         size = high - low
-        owner = np.repeat(np.arange(len(low)), size)
-        at = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size) + low[owner]
-        c = before[at]
-        real = c > 0
-        owner, at, c = owner[real], at[real], c[real]
+        owner = np.repeat(np.arange(len(low), dtype=kind), size)
+        at = np.arange(len(owner), dtype=kind) + (low - (np.cumsum(size, dtype=kind) - size))[owner]
+        real = before[at] > 0
+        owner, at = owner[real], at[real]
         if not len(at):
             break
-        key = owner * 257 + c
+        key = owner.astype(np.int64) * 257 + before[at]
         by = np.argsort(key, kind="stable")
         key, to = key[by], step[at[by]]
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -69,6 +77,6 @@ def window_classes(symbols: np.ndarray, length: int) -> np.ndarray:
         if not len(low):
             break
     # suffixes that start with a separator come first and are no windows
-    classes = np.empty(n, np.int64)
-    classes[order] = np.cumsum(closed[:n])
+    classes = np.empty(n, kind)
+    classes[order] = np.cumsum(closed[:n], dtype=kind)
     return classes

@@ -9,14 +9,19 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from promptloom.llm.bwt import window_classes
+from promptloom.llm.common import write_table
 from promptloom.llm.keyed import bucket_bits, from_planes, in_larger_runs, keyed_docs, mix, release, runs, segments, to_planes
 
 LENGTH = 100
 #: Bytes of the strings whose hashes choose anchors; bits of a hash kept besides its bucket; anchors that a map task looks at
-#: together; documents of a chunk; bytes of text in one transform.
-GRAM, KEY_BITS, CHUNK_ANCHORS, CHUNK_DOCS, BLOCK_BYTES = 32, 40, 1 << 20, 1000, 1 << 20
+#: together; documents and bytes of a chunk; bytes of text in one transform.
+GRAM, KEY_BITS, CHUNK_ANCHORS, CHUNK_DOCS, CHUNK_BYTES, BLOCK_BYTES = 32, 40, 1 << 20, 1000, 4 << 20, 1 << 20
+#: Places from which on an anchor is hot (but no more than HOT_KEYS anchors of the input are), how many times as many make it very
+#: hot, and the offsets of an anchor in a string that stay together then.
+HOT_PLACES, HOT_KEYS, VERY, HOT_OFFSETS, VERY_OFFSETS = 1024, 1 << 20, 16, 18, 1
 
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -75,7 +80,7 @@ ENTRY, KNOWN, SEEN = range(3)
 
 def _anchor_entries(bits: int, length: int):
     """Texts -> for every bucket the anchors in it: ENTRY (hash, document, position) for hashes seen once in a part of the task,
-    SEEN (hash) for others, whose places are KNOWN to recur."""
+    SEEN (hash, how often) for others, whose places are KNOWN to recur."""
     shift, buckets = np.uint64(64 - bits - KEY_BITS), 1 << bits
 
     def blobs(keys: list, docs: list, places: list) -> pa.RecordBatch:
@@ -85,13 +90,14 @@ def _anchor_entries(bits: int, length: int):
         order = np.argsort(key, kind="stable")
         key, doc, at = key[order], doc[order], at[order]
         many = in_larger_runs(key)
-        seen = key[many][runs(key[many])]
+        first = runs(key[many])
+        seen, often = key[many][first], np.diff(np.append(first, many.sum())).astype(np.uint64)
         spread = (mix(doc[many]) % np.uint64(buckets)).astype(np.int64)
         by = np.argsort(spread, kind="stable")
         out = []
         for kind, bucket, k, d, p in (
             (ENTRY, (key[~many] >> np.uint64(KEY_BITS)).astype(np.int64), key[~many], doc[~many], at[~many]),
-            (SEEN, (seen >> np.uint64(KEY_BITS)).astype(np.int64), seen, None, None),
+            (SEEN, (seen >> np.uint64(KEY_BITS)).astype(np.int64), seen, None, often),
             (KNOWN, spread[by], None, doc[many][by], at[many][by]),
         ):
             for a, b in segments(bucket):
@@ -137,44 +143,79 @@ def _frame(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
     return pd.DataFrame({c: pd.Series([r[i] for r in rows], dtype=object) for i, c in enumerate(columns)})
 
 
-def _recurring(chunks: int):
-    """A bucket -> the places of anchors whose hash occurs more than once, dealt by the chunks of their documents."""
+def _recurring(chunks: int, hot: int):
+    """A bucket -> the places of anchors whose hash occurs more than once, dealt by the chunks of their documents; and in chunk -1
+    the hashes that have `hot` places or more, with their number."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         entry, seen, known = (pdf[pdf["kind"] == k] for k in (ENTRY, SEEN, KNOWN))
-        docs, at = [from_planes(d) for d in known["docs"]], [from_planes(p) for p in known["at"]]
-        if len(entry):
-            own = np.concatenate(list(map(from_planes, entry["blob"])))
+        docs, at, rows = [from_planes(d) for d in known["docs"]], [from_planes(p) for p in known["at"]], []
+        if len(entry) or len(seen):
+            own = _joined(entry["blob"])
             key = np.concatenate([own, *map(from_planes, seen["blob"])])
+            times = np.concatenate([np.ones(len(own), np.uint64), *map(from_planes, seen["at"])])
             order = np.argsort(key, kind="stable")
+            key = key[order]
             more = np.zeros(len(key), bool)
-            more[order] = in_larger_runs(key[order])
-            docs.append(np.concatenate(list(map(from_planes, entry["docs"])))[more[: len(own)]])
-            at.append(np.concatenate(list(map(from_planes, entry["at"])))[more[: len(own)]])
-        rows = _by_chunk(np.concatenate(docs), np.concatenate(at), None, chunks) if docs else []
+            more[order] = in_larger_runs(key)
+            docs.append(_joined(entry["docs"])[more[: len(own)]])
+            at.append(_joined(entry["at"])[more[: len(own)]])
+            first = runs(key)
+            total = np.add.reduceat(times[order], first)
+            if (often := total >= hot).any():
+                top = np.uint64(int(pdf["bucket"].iloc[0]) << KEY_BITS)
+                rows.append((-1, to_planes(key[first][often] | top), to_planes(total[often]), None))
+        rows += _by_chunk(np.concatenate(docs), np.concatenate(at), None, chunks) if docs else []
         return _frame(rows, ["chunk", "docs", "at", "ends"])
 
     return run
 
 
+def _joined(planes: pd.Series) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.uint64), *map(from_planes, planes)])
+
+
 SLICES = "bucket int, keys binary, docs binary, at binary, skips binary, sizes binary, data binary, ends binary"
 
 
-def _slices(bits: int, chunks: int, length: int):
+def _slices(bits: int, chunks: int, length: int, hot: dict[int, int]):
     """A chunk: its texts and the places of recurring anchors -> for every bucket of anchors the stretches of text that hold
     the strings they own. Equal stretches of a chunk go once, at their first place; the strings of the others recur: spans,
-    which go on in the bucket of the chunk."""
+    which go on in the bucket of the chunk.
+
+    hot: anchor -> how many of its offsets in a string stay together. Strings that are equal have their anchor at the same offset,
+    and all strings with an anchor at offsets a to b share the bytes between the last start and the first end: their core. So a
+    stretch of a hot anchor is cut by offsets, and each part goes by its core, too: an anchor in very many surroundings is
+    spread over buckets and transforms, with no string lost."""
+    shift = np.uint64(64 - bits - KEY_BITS)
 
     def run(texts: pd.DataFrame, places: pd.DataFrame) -> pd.DataFrame:
         if not len(places) or not len(texts):
             return _frame([], ["bucket", "keys", "docs", "at", "skips", "sizes", "data", "ends"])
-        doc, at = np.concatenate(list(map(from_planes, places["docs"]))).view(np.int64), np.concatenate(list(map(from_planes, places["at"]))).astype(np.int64)
+        doc, at = _joined(places["docs"]).view(np.int64), _joined(places["at"]).astype(np.int64)
         order = np.lexsort((at, doc))
         doc, at = doc[order], at[order]
         text = dict(zip(texts["key"].astype("int64"), texts["text"], strict=True))
-        known: dict[tuple, None] = {}
+        known: set[tuple] = set()
         keys, docs, firsts, skips, data = [], [], [], [], []
         span_docs, span_starts, span_ends = [], [], []
+
+        def new(key: int, name: int, lo: int, skip: int, part: bytes) -> bool:
+            if (key, skip, part) in known:
+                span_docs.append(name)
+                span_starts.append(lo)
+                span_ends.append(lo + len(part))
+                return False
+            known.add((key, skip, part))
+            return True
+
+        def keep(key: int, name: int, lo: int, skip: int, part: bytes) -> None:
+            keys.append(key)
+            docs.append(name)
+            firsts.append(lo)
+            skips.append(skip)
+            data.append(part)
+
         for a, b in segments(doc):
             name = int(doc[a])
             raw = text[name].encode("utf-8", "surrogatepass")
@@ -182,21 +223,23 @@ def _slices(bits: int, chunks: int, length: int):
             first, last = owned(h, all_at, least)
             which = np.searchsorted(all_at, at[a:b])
             which = which[first[which] <= last[which]]
-            for i, k in zip(which.tolist(), mix(h[all_at[which]]).tolist(), strict=True):
-                lo, hi, p = int(first[i]), int(last[i]) + length, int(all_at[i])
-                part = raw[lo:hi]
-                same = (k, p - lo, part)
-                if same in known:
-                    span_docs.append(name)
-                    span_starts.append(lo)
-                    span_ends.append(hi)
+            mixed = mix(h[all_at[which]])
+            for i, k, short in zip(which.tolist(), mixed.tolist(), (mixed >> shift).tolist(), strict=True):
+                lo, hi, p = int(first[i]), int(last[i]), int(all_at[i])
+                part = raw[lo : hi + length]
+                if not new(k, name, lo, p - lo, part):
+                    continue
+                together = hot.get(short)
+                if together is None:
+                    keep(k, name, lo, p - lo, part)
                     continue
-                known[same] = None
-                keys.append(same[0])
-                docs.append(name)
-                firsts.append(lo)
-                skips.append(p - lo)
-                data.append(part)
+                for a0 in range((p - hi) // together * together, p - lo + 1, together):
+                    a1 = a0 + together - 1
+                    core = xxhash.xxh3_64_intdigest(raw[p - a0 : p - a1 + length], (k + a0) % (1 << 64))
+                    start = max(lo, p - a1)
+                    cut = raw[start : min(hi, p - a0) + length]
+                    if new(core, name, start, p - start, cut):
+                        keep(core, name, start, p - start, cut)
         out = []
         if keys:
             key = np.array(keys, np.uint64)
@@ -219,9 +262,9 @@ def _later_strings(parts: list[bytes], docs: np.ndarray, firsts: np.ndarray, len
     """(part, start within it) of the strings that also start earlier, by (document, start), in these parts."""
     size = np.array([len(p) for p in parts])
     begin = np.concatenate([[0], np.cumsum(size + 1)])
-    symbols = np.zeros(begin[-1], np.int64)
-    flat = np.frombuffer(b"\xff".join([*parts, b""]), np.uint8).astype(np.int64) + 1
-    symbols[: len(flat)] = flat
+    symbols = np.zeros(begin[-1], np.int16)
+    symbols[:] = np.frombuffer(b"\xff".join([*parts, b""]), np.uint8)
+    symbols += 1
     symbols[begin[1:] - 1] = 0
     classes = window_classes(symbols, length)
     count = size - length + 1
@@ -246,10 +289,11 @@ def _spans(chunks: int, length: int):
             doc, at, size = doc.view(np.int64), at.astype(np.int64), size.astype(np.int64)
             data = b"".join(own["data"])
             cut = np.concatenate([[0], np.cumsum(size)])
-            text = np.array([xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)], np.uint64)
-            order = np.lexsort((at, doc, text, skip, key))
+            ends_at = cut.tolist()
+            text = np.frombuffer(b"".join([xxhash.xxh3_128_digest(data[a:b]) for a, b in zip(ends_at[:-1], ends_at[1:], strict=True)]), "<u8").reshape(-1, 2)
+            order = np.lexsort((at, doc, text[:, 0], text[:, 1], skip, key))
             k, s, t = key[order], skip[order], text[order]
-            new = np.concatenate([[True], (k[1:] != k[:-1]) | (s[1:] != s[:-1]) | (t[1:] != t[:-1])])
+            new = np.concatenate([[True], (k[1:] != k[:-1]) | (s[1:] != s[:-1]) | (t[1:] != t[:-1]).any(axis=1)])
             again, once = order[~new], order[new]
             docs.append(doc[again].view(np.uint64))
             starts.append(at[again].astype(np.uint64))
@@ -257,16 +301,24 @@ def _spans(chunks: int, length: int):
             several = once[in_larger_runs(key[once])]
             held: list[int] = []
             total = 0
+
+            def resolve() -> None:
+                which = np.array(held)
+                part, offset = _later_strings([data[ends_at[i] : ends_at[i + 1]] for i in held], doc[which], at[which], length)
+                docs.append(doc[which[part]].view(np.uint64))
+                starts.append((at[which[part]] + offset).astype(np.uint64))
+                ends.append((at[which[part]] + offset + length).astype(np.uint64))
+                held.clear()
+
             for a, b in segments(key[several]):
+                more = int(size[several[a:b]].sum())
+                if held and total + more > BLOCK_BYTES:
+                    resolve()
+                    total = 0
                 held += several[a:b].tolist()
-                total += int(size[several[a:b]].sum())
-                if held and (total >= BLOCK_BYTES or b == len(several)):
-                    which = np.array(held)
-                    part, offset = _later_strings([data[cut[i] : cut[i + 1]] for i in held], doc[which], at[which], length)
-                    docs.append(doc[which[part]].view(np.uint64))
-                    starts.append((at[which[part]] + offset).astype(np.uint64))
-                    ends.append((at[which[part]] + offset + length).astype(np.uint64))
-                    held, total = [], 0
+                total += more
+            if held:
+                resolve()
         if not docs:
             return _frame([], ["chunk", "docs", "at", "ends"])
         d, a, e = joined_spans(np.concatenate(docs).view(np.int64), np.concatenate(starts).astype(np.int64), np.concatenate(ends).astype(np.int64))
@@ -317,24 +369,32 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     smaller doc_id, or before in the same document. Strings are judged on the input and don't cross documents.
 
     1. Every string of `length` bytes has an anchor: its first gram of GRAM bytes with the least hash, about one position in 35.
-       Anchors go to hash buckets as packed (hash, document, position); what occurs once is dropped.
+       Anchors go to hash buckets as packed (hash, document, position); what occurs once is dropped; those with HOT_PLACES
+       places or more are told to all tasks (HOT_KEYS at most).
     2. Recurring anchors go back to their documents, where the stretch of text that holds the strings of an anchor is cut out;
-       stretches go to the bucket of their anchor, equal ones of a chunk once. So all equal strings meet in a bucket.
-    3. There, equal stretches become one; anchors with different stretches are resolved by a Burrows-Wheeler transform of these:
-       intervals are expanded backward, breadth by breadth, which gives common prefixes by increasing value up to `length`. The
-       first string of each class stays, the others are spans.
+       stretches go to the bucket of their anchor, equal ones of a chunk once. So all equal strings meet in a bucket. Hot anchors
+       go by more of the bytes around them.
+    3. There, equal stretches (by 128-bit hash) become one; anchors with different stretches are resolved by a Burrows-Wheeler
+       transform of these: intervals are expanded backward, breadth by breadth, which gives common prefixes by increasing value
+       up to `length`. The first string of each class stays, the others are spans.
     4. Spans meet the texts of their chunk again.
 
-    Rounds 1 and 3 ship places in byte planes; texts are shuffled twice. Null and empty texts have no bytes and no spans; texts
-    shorter than `length` lose nothing; repeated or null ids are told apart by row, in the order of ids (nulls first), equal
-    ones in a fixed order; an empty table gives no rows; other columns are ignored.
+    A chunk has about CHUNK_BYTES of text, a transform about BLOCK_BYTES or one anchor's different stretches, fewer than
+    VERY * HOT_PLACES. Places are shipped in byte planes; texts are shuffled twice. Null and empty texts have no bytes and no
+    spans; texts shorter than `length` lose nothing; repeated or null ids are told apart by row and come after other ids (see
+    with_key); an empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     rows, bits = keyed_docs(docs, id_col, text_col), bucket_bits(spark)
-    chunks = rows.count() // CHUNK_DOCS + 1
+    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    chunks = max(n // CHUNK_DOCS, size // CHUNK_BYTES) + 1
+    least = max(HOT_PLACES, size // 35 // HOT_KEYS + 1)
     texts = rows.mapInArrow(_with_chunk(chunks), "chunk int, key long, doc_id long, text string")
-    places = rows.mapInArrow(_anchor_entries(bits, length), ENTRIES).groupBy("bucket").applyInPandas(_recurring(chunks), PLACES)
-    slices = texts.groupBy("chunk").cogroup(places.groupBy("chunk")).applyInPandas(_slices(bits, chunks, length), SLICES)
+    places = write_table(rows.mapInArrow(_anchor_entries(bits, length), ENTRIES).groupBy("bucket").applyInPandas(_recurring(chunks, least), PLACES), "places")
+    found = places.where("chunk < 0").select("docs", "at").toPandas()
+    many = _joined(found["at"]) >= VERY * least
+    hot = dict(zip(_joined(found["docs"]).tolist(), np.where(many, VERY_OFFSETS, HOT_OFFSETS).tolist(), strict=True))
+    slices = texts.groupBy("chunk").cogroup(places.where("chunk >= 0").groupBy("chunk")).applyInPandas(_slices(bits, chunks, length, hot), SLICES)
     spans = slices.groupBy("bucket").applyInPandas(_spans(chunks, length), PLACES)
     release(spark)
     return texts.groupBy("chunk").cogroup(spans.groupBy("chunk")).applyInPandas(_kept, KEPT)
