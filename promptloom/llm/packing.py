@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promptloom.llm.common import write_table
@@ -15,7 +15,7 @@ from promptloom.llm.tokens import token_ids
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary, sequence_id long, offset long, fill int, closed boolean"
 #: Open windows of one task, and how many tasks' leftovers meet in one task of the next round.
-OPEN_WINDOWS, FAN_IN = 1024, 16
+OPEN_WINDOWS, FAN_IN = 1024, 8
 
 
 class Windows:
@@ -131,6 +131,16 @@ def _again(size: int, keep: int, level: int, last: bool):
     return run
 
 
+def _task() -> Column:
+    """The task that packed a sequence."""
+    return F.shiftright("sequence_id", 32).bitwiseAND((1 << 25) - 1)
+
+
+def _dealt(rest: DataFrame, tasks: int) -> DataFrame:
+    """The leftovers of a round in `tasks` partitions, those of a task together and FAN_IN tasks at most in each."""
+    return rest.repartitionById(tasks, F.pmod(_task(), F.lit(tasks)).cast("int"))
+
+
 def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = 2048, keep: int = OPEN_WINDOWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of documents in sequences of at most `size` tokens: doc_id, start (its ids before the piece), length, doc_tokens,
     ids (little-endian unsigned 32-bit), sequence_id, offset (of the piece in its sequence).
@@ -138,8 +148,9 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = 2048, keep: i
     A document's ids are those of its text and then end_id. Every scan task packs its own documents as they come, with `keep`
     open windows: whole windows of a long document leave at once, what is left of it goes where it fits best, and the fullest
     window leaves when it fits nowhere. The windows still open at the end of a task are merged: their pieces, longest first, are
-    packed again by fewer and fewer tasks (FAN_IN to 1), until one task holds what at most FAN_IN tasks had open. So no task
-    or round holds more than a fixed number of windows, and only leftovers are shuffled.
+    packed again by fewer and fewer tasks, each of which gets the leftovers of FAN_IN tasks at most (dealt by the tasks' numbers,
+    not by a hash of them), until there is one. So no task or round holds more than a fixed number of windows, and only
+    leftovers are shuffled.
 
     Null texts are empty: a document of end_id alone. Repeated rows and null ids are packed like others; an empty table gives no
     rows; other columns are ignored.
@@ -147,14 +158,12 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = 2048, keep: i
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text)
     done = write_table(rows.mapInArrow(_first(tokenizer, end_id, size, keep), PIECES), "packed")
-    task = F.shiftright("sequence_id", 32).bitwiseAND((1 << 25) - 1)
-    tasks = (done.agg(F.max(task)).first()[0] or 0) + 1
+    tasks = (done.agg(F.max(_task())).first()[0] or 0) + 1
     out, level = done.where("closed"), 0
     rest = done.where("not closed")
     while True:
         tasks, level = -(-tasks // FAN_IN), level + 1
-        spread = rest.repartition(tasks, F.pmod(task, F.lit(tasks))) if tasks > 1 else rest.repartition(1)
-        ordered = spread.sortWithinPartitions(F.desc("length"), "doc_id", "start")
+        ordered = _dealt(rest, tasks).sortWithinPartitions(F.desc("length"), "doc_id", "start")
         part = write_table(ordered.mapInArrow(_again(size, keep, level, tasks <= 1), PIECES), "packed")
         out = out.unionByName(part.where("closed"))
         rest = part.where("not closed")
