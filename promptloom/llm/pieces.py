@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from promptloom.llm.common import write_table
+from promptloom.llm.common import shuffle_partitions, write_table
 from promptloom.llm.keyed import keyed_docs
 
 #: Characters of a chunk; longer texts are cut.
@@ -243,8 +243,8 @@ def _states(pdf: pd.DataFrame) -> pd.DataFrame:
     n = int(pdf["part"].max()) + 1
     matrices: list[Matrix] = [{} for _ in range(n)]
     clean = lambda x: x if isinstance(x, str) else None
-    for r in pdf.itertuples():
-        matrices[r.part].setdefault((r.from_at, clean(r.from_piece)), {})[r.to_at, clean(r.to_piece)] = r.score
+    for part, at, piece, to, then, score in zip(*(pdf[c].tolist() for c in ("part", "from_at", "from_piece", "to_at", "to_piece", "score")), strict=True):
+        matrices[part].setdefault((at, clean(piece)), {})[to, clean(then)] = score
     s = boundary_states(matrices)
     rows = [(pdf["key"].iloc[0], i, s[i][0], s[i][1], s[i + 1][0], s[i + 1][1]) for i in range(n)]
     return pd.DataFrame(rows, columns=["key", "part", "from_at", "from_piece", "to_at", "to_piece"])
@@ -276,14 +276,17 @@ def encode(docs: DataFrame, model: str, chunk: int = CHUNK, id_col: str = "doc_i
     long = F.octet_length("text") > chunk
     whole = rows.where(~long).mapInArrow(_whole(model), ENCODED)
     chunks = write_table(rows.where(long).mapInArrow(_cut(model, chunk), CHUNKS).repartition(F.col("key"), F.col("part")), "chunks")
-    states = chunks.mapInPandas(_matrices(model), ENTRIES).groupBy("key").applyInPandas(_states, ENTRIES.rsplit(", ", 1)[0])
+    # a number of partitions, as adaptive execution would put the few bytes of all matrices into one task
+    entries = chunks.mapInPandas(_matrices(model), ENTRIES).repartition(shuffle_partitions(docs.sparkSession), "key")
+    states = entries.groupBy("key").applyInPandas(_states, ENTRIES.rsplit(", ", 1)[0])
     parts = chunks.join(states, ["key", "part"]).mapInPandas(_backtrace(model), ENCODED)
     return whole.unionByName(parts)
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
     """encoded with data: the bytes of each part; a document's parts put together are its text, without the space that the
-    library puts in front."""
+    library puts in front. A part without ids has no bytes; ids that are no text give their bytes as they are; an empty table
+    gives no rows; other columns are ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pieces_of(model).bytes
