@@ -2,11 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptloom.functions.scalar import classify
-from promptloom.jobs.responders import respond_offline
+from promptloom.functions.scalar import classify, unit_hash
+
+#: What answers offline, and the share of attempts that get it; the others are answered well.
+SHARES = {"error": 0.0, "timeout": 0.05, "429": 0.2, "500": 0.2, "400": 0.05, "malformed": 0.05}
+SEED = 7
+
+
+def shares(**changed: float) -> dict[str, tuple[float, float]]:
+    """kind -> the part of [0, 1) that brings it."""
+    out, at = {}, 0.0
+    for kind, share in (SHARES | changed).items():
+        out[kind] = (round(at, 9), round(at + share, 9))
+        at += share
+    return out
+
+
+def respond_offline(df: DataFrame, seed: int = SEED, attempt: str = "attempt", chars: Column | None = None, **changed: float) -> DataFrame:
+    """df (prompts with an attempt) with RESPONSES, for queries and tests without a network: one number in [0, 1), which hangs on
+    the seed, the item and the attempt alone, tells the kind of answer. changed: other shares, as p_429=0.5."""
+    parts = shares(**{k.removeprefix("p_"): v for k, v in changed.items()})
+    u = unit_hash("item_id", attempt, F.lit("kind"), seed=seed)
+    x = df.withColumn("_u", u)
+    hit = lambda kind: (F.col("_u") >= parts[kind][0]) & (F.col("_u") < parts[kind][1])
+    code = F.when(hit("error"), -2).when(hit("timeout"), -1).when(hit("429"), 429).when(hit("500"), 500).when(hit("400"), 400).otherwise(200)
+    x = x.withColumn("_code", code)
+    ok = F.col("_code") == 200
+    half = F.greatest(F.lit(1), F.floor(F.col("max_tokens") / 2))
+    length = F.least(F.col("max_tokens").cast("long"), half + F.floor(unit_hash("item_id", attempt, F.lit("length"), seed=seed) * (F.col("max_tokens") - half + 1)))
+    none = F.lit(0).cast("long")
+    return x.withColumns(
+        {
+            "http_status": F.when(F.col("_code") > 0, F.col("_code")),
+            "transport_error": F.when(F.col("_code") == -2, "offline").when(F.col("_code") == -1, "timeout"),
+            "malformed": hit("malformed"),
+            "response_text": F.when(ok, F.when(hit("malformed"), "").otherwise(F.concat(F.lit("reply to "), "item_id"))),
+            "input_tokens": F.when(ok, F.greatest(F.lit(1), F.floor((F.length("prompt") if chars is None else chars) / 4))).otherwise(none).cast("long"),
+            "output_tokens": F.when(ok, length).otherwise(none).cast("long"),
+            "latency_s": F.lit(0.0),
+        }
+    ).drop("_u", "_code")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +57,13 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("source").alias("job_id"), F.col("doc_id").alias("seq"), F.concat(F.lit("doc-"), "doc_id").alias("item_id"), F.col("text").alias("prompt"), model.alias("model"), F.lit(128).alias("max_tokens"))
 
 
+def conversation_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conversations: a prompt for each turn of a user, named by conversation and turn; five jobs."""
+    c = table(spark, sf_dir, "conversations").where("role = 'user'")
+    name = F.concat_ws("-", "conv_id", "turn")
+    return c.select(F.concat(F.lit("conv-"), F.col("conv_id") % 5).alias("job_id"), (F.col("conv_id") * 100 + F.col("turn")).alias("seq"), name.alias("item_id"), F.col("text").alias("prompt"), F.lit("mistral-3-14B").alias("model"), F.lit(128).alias("max_tokens"))
+
+
 def event_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events: a prompt each, in eight jobs."""
     e = table(spark, sf_dir, "events")
@@ -27,9 +72,9 @@ def event_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attempts 1..8 of every prompt by the offline responder, classified; without texts."""
-    x = prompts(spark, sf_dir).withColumns({"chars": F.length("prompt"), "prompt": F.substring("prompt", 1, 32)})
+    x = prompts(spark, sf_dir).withColumn("chars", F.length("prompt")).drop("prompt")
     x = x.withColumn("attempt", F.explode(F.sequence(F.lit(1), F.lit(8))))
-    return classify(respond_offline(x, chars=F.col("chars")).drop("prompt", "chars", "response_text").withColumn("latency_s", F.col("attempt") * 0.1))
+    return classify(respond_offline(x, chars=F.col("chars")).drop("chars", "response_text").withColumn("latency_s", F.col("attempt") * 0.1))
 
 
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 from promptloom.functions import scalar as S
 from promptloom.jobs import fixtures as X
-from promptloom.jobs.responders import respond_offline, run_attempts
+from promptloom.jobs.fixtures import respond_offline
+from promptloom.jobs.responders import run_attempts
 from promptloom.jobs.scoring import Policy, resume, score
 from promptloom.jobs.workdir import work_path
 from promptloom.operators import outcomes as O
 from promptloom.operators import planning as P
-from promptloom.operators import policy, telemetry
+from promptloom.operators import telemetry
+from promptloom.operators.ordered import numbered
 from promptloom.operators import reporting as R
 from promptloom.sources import prompts as intake
 from promptloom.sources import results as logs
@@ -70,15 +72,34 @@ def _counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _raw(spark: SparkSession, d: str) -> DataFrame:
+    """seq, line: a kind of fault for each last digit of doc_id; the others hold the whole text."""
     line = F.expr(
         """CASE doc_id % 10 WHEN 0 THEN concat('{"id": "a', doc_id, '"}') WHEN 1 THEN concat('{"id": "a', doc_id, '", "prompt": 3}')
         WHEN 2 THEN concat('{"prompt": "p', doc_id, '"}') WHEN 3 THEN concat('{"id": "a', doc_id, '", "prom') WHEN 4 THEN concat('{"id": "a', doc_id, '", "prompt": "p"} x')
-        WHEN 5 THEN '' WHEN 6 THEN concat('{"id": ', doc_id, ', "prompt": "p', doc_id, '"}') WHEN 7 THEN '{"id": null, "prompt": "p"}'
-        ELSE concat('{"id": "a', doc_id, '", "prompt": "p', doc_id, '"}') END"""
+        WHEN 5 THEN '' WHEN 6 THEN to_json(named_struct('id', doc_id, 'prompt', text)) WHEN 7 THEN '{"id": null, "prompt": "p"}'
+        ELSE to_json(named_struct('id', concat('a', doc_id), 'prompt', text)) END"""
     )
     return X.table(spark, d, "documents").select(F.col("doc_id").alias("seq"), line.alias("line"))
 
 
+#: Documents of a file of lines, elements of a file with an array.
+FILE_LINES, FILE_ELEMENTS = 500, 200
+
+
+def _raw_files(spark: SparkSession, d: str) -> str:
+    """The raw lines in files of FILE_LINES documents each, by ranges of doc_id and in its order."""
+    path = work_path(spark, "lines")
+    lines = _raw(spark, d).withColumn("part", F.floor(F.col("seq") / FILE_LINES))
+    lines.repartition("part").sortWithinPartitions("part", "seq").select("part", "line").write.partitionBy("part").text(path)
+    return path
+
+
+def _with_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Outcomes; successes have the document as response."""
+    texts = X.prompts(spark, d).select("item_id", F.coalesce("prompt", F.lit("")).alias("response_text"))
+    return _outcomes(spark, d).join(texts, "item_id").withColumn("failure_class", F.col("final_class"))
+
+
 def _made(spark: SparkSession, d: str) -> DataFrame:
     """The attempts that an item needed."""
     ended = _outcomes(spark, d).select("job_id", "item_id", F.col("attempt").alias("last"))
@@ -147,22 +168,26 @@ def prompts_validate(spark, d):
 
 @query
 def read_lines(spark, d):
-    path = work_path(spark, "lines")
-    _raw(spark, d).coalesce(1).orderBy("seq").select("line").write.text(path)
-    rows = intake.read_prompt_lines(spark, path)
+    rows = intake.read_prompt_lines(spark, _raw_files(spark, d))
     # the parser's position differs by engine; its kind does not
-    return rows.select("item_id", "seq", "prompt", "failure_class", F.regexp_replace("message", "^(malformed JSON line).*", "$1").alias("message"))
+    return rows.select(F.regexp_extract("file", "part=([0-9]+)/", 1).cast("long").alias("part"), "item_id", "seq", F.md5("prompt").alias("prompt_md5"), "failure_class", F.regexp_replace("message", "^(malformed JSON line).*", "$1").alias("message"))
 
 
 @query
 def read_array(spark, d):
-    lines = X.prompts(spark, d).select("job_id", "seq", F.to_json(F.struct(F.col("item_id").alias("id"), F.substring("prompt", 1, 20).alias("prompt"))).alias("j"))
-    one = lines.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("seq", "j"))).alias("a"))
-    texts = one.select("job_id", F.concat(F.lit("["), F.array_join(F.transform("a", lambda x: x["j"]), ","), F.lit("]")).alias("value"))
-    v = texts.select("job_id", F.parse_json("value").alias("v"))
-    v.createOrReplaceTempView("promptloom_arrays")
-    cells = spark.sql("SELECT job_id, CAST(e.pos AS BIGINT) AS seq, try_variant_get(e.value, '$.id', 'string') AS item_id, schema_of_variant(try_variant_get(e.value, '$.prompt', 'variant')) = 'STRING' AS fine FROM promptloom_arrays, LATERAL variant_explode(v) AS e")
-    return cells.select("job_id", "seq", "item_id", F.when(~F.coalesce("fine", F.lit(False)), "invalid_input").alias("failure_class"))
+    """Every job's prompts, whole, in files of FILE_ELEMENTS elements, a JSON array each; some elements have no id or no text."""
+    path = work_path(spark, "arrays")
+    seq = F.col("seq")
+    element = F.when(seq % 17 == 3, F.to_json(F.struct(F.col("item_id").alias("id"), seq.alias("prompt")))).when(seq % 17 == 5, F.to_json(F.struct("prompt"))).otherwise(F.to_json(F.struct(F.col("item_id").alias("id"), "prompt")))
+    x = numbered(X.prompts(spark, d), ["job_id"], F.floor(seq / 100_000), ["seq"])
+    x = x.select("job_id", "n", F.floor((F.col("n") - 1) / FILE_ELEMENTS).alias("part"), element.alias("j"))
+    last = x.groupBy("job_id", "part").agg(F.max("n").alias("last"))
+    x = x.join(last, ["job_id", "part"])
+    line = F.concat(F.when((F.col("n") - 1) % FILE_ELEMENTS == 0, "[").otherwise(","), "j", F.when(F.col("n") == F.col("last"), "]").otherwise(""))
+    x.repartition("job_id", "part").sortWithinPartitions("job_id", "part", "n").select("job_id", "part", line.alias("value")).write.partitionBy("job_id", "part").text(path)
+    rows = intake.read_prompt_array(spark, path)
+    from_path = lambda k, kind: F.regexp_extract("file", f"{k}=([^/]+)/", 1).cast(kind)
+    return rows.select(from_path("job_id", "string").alias("job_id"), from_path("part", "long").alias("part"), "seq", "item_id", F.md5("prompt").alias("prompt_md5"), "failure_class", "message")
 
 
 @query
@@ -239,12 +264,12 @@ def job_report(spark, d):
     jobs = _jobs(spark, d).withColumn("abort_reason", F.lit(None).cast("string"))
     r = R.job_report(X.prompts(spark, d), _live(spark, d), _made(spark, d), jobs)
     errors = F.array_join(F.transform(F.map_entries("errors_by_class"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
-    return r.select("job_id", "status", "ingested", "succeeded", "failed", "pending", "cost_usd", errors.alias("errors"), "throttle_events", "retries_issued")
+    return r.select("job_id", "status", "ingested", "succeeded", "failed", "pending", "cost_usd", errors.alias("errors"), "throttle_events", "retries_issued", "submitted_at", "backpressure.retry_budget_remaining", "backpressure.observed_mean_latency_s", "backpressure.littles_law_optimal_concurrency")
 
 
 @query
 def attempt_summary(spark, d):
-    return R.attempt_summary(_made(spark, d))
+    return R.attempt_summary(_made(spark, d)).withColumn("mean_latency_s", F.round("mean_latency_s", 9))
 
 
 @query
@@ -350,6 +375,11 @@ def rolling_failure_rate(spark, d):
     return telemetry.rolling_failure_rate(X.attempts(spark, d)).select("job_id", "seq", "failure_rate", "trips")
 
 
+@query
+def breaker_openings(spark, d):
+    return telemetry.breaker_openings(X.attempts(spark, d))
+
+
 @query
 def spend_guard(spark, d):
     o = _outcomes(spark, d)
@@ -366,11 +396,6 @@ def spend_guard_cutoff(spark, d):
     return O.apply_cutoffs(o.select("job_id", "seq", "item_id"), cuts, none)
 
 
-@query
-def backpressure(spark, d):
-    return policy.backpressure(X.attempts(spark, d), 2.0, 0.2, 3.0).select("job_id", "backpressure.*")
-
-
 @query
 def quota_compliance(spark, d):
     return telemetry.quota_compliance(X.attempts(spark, d), 0.01, 1.5)
@@ -381,16 +406,6 @@ def success_streaks(spark, d):
     return telemetry.success_streaks(X.attempts(spark, d))
 
 
-@query
-def rate_policy_replay(spark, d):
-    return policy.replay_rate_policy(X.attempts(spark, d), 2.0, 0.2, 3.0)
-
-
-@query
-def breaker_replay(spark, d):
-    return policy.replay_breaker(X.attempts(spark, d))
-
-
 @query
 def merge_outcomes(spark, d):
     bad = intake.split_rows(intake.check_lines(_raw(spark, d))).where("failure_class is not null").select("item_id", "seq", "failure_class", "attempt")
@@ -418,16 +433,23 @@ def export_filter(spark, d):
 
 @query
 def export_array(spark, d):
-    r = _outcomes(spark, d).withColumns({"response_text": F.lit("t"), "failure_class": F.col("final_class")})
-    return logs.array_lines(r).select("value")
+    return logs.array_lines(_with_texts(spark, d)).select("value")
+
+
+@query
+def export_files(spark, d):
+    """Errors of finished jobs as lines, read back."""
+    reports = _jobs(spark, d).select("job_id", F.when(F.col("running"), "running").otherwise("partial").alias("status"))
+    path = work_path(spark, "export")
+    logs.write_export(logs.export_results(_with_texts(spark, d), reports, "errors"), path)
+    return spark.read.text(path)
 
 
 @query
 def results_roundtrip(spark, d):
     path = work_path(spark, "results")
-    r = _outcomes(spark, d).withColumns({"response_text": F.lit("t"), "failure_class": F.col("final_class")})
-    logs.write_results(r, path)
-    return logs.read_results(spark, path).select("job_id", "item_id", "status", F.col("attempt"), "input_tokens", "failure_class", "http_status")
+    logs.write_results(_with_texts(spark, d), path)
+    return logs.read_results(spark, path).select("job_id", "item_id", "status", "attempt", "input_tokens", F.md5("response_text").alias("text_md5"), "failure_class", "message", "http_status")
 
 
 @query
@@ -452,7 +474,7 @@ def _called(prompts: DataFrame, max_rps: float | None = None) -> DataFrame:
     """One attempt through the responder's interface."""
     names = {"http_status": "o_status", "transport_error": "o_error", "malformed": "o_malformed", "response_text": "o_text", "input_tokens": "o_in", "output_tokens": "o_out"}
     x = respond_offline(prompts).drop("latency_s").withColumnsRenamed(names)
-    return run_attempts(x, _DrawResponder, slots=8, max_rps=max_rps).drop(*names.values(), "granted_s")
+    return run_attempts(x, _DrawResponder, slots=8, max_rps=max_rps, batch=64).drop(*names.values(), "granted_s")
 
 
 @query
@@ -471,25 +493,61 @@ def paced_attempts(spark, d):
 QUERIES["run_attempts"] = QUERIES.pop("run_attempts_once")
 
 
+def _scored(results: DataFrame) -> DataFrame:
+    return results.select("job_id", "item_id", "attempt", F.col("failure_class").alias("final_class"), "message", "http_status")
+
+
 @query
 def score_batch(spark, d):
-    done = score(X.prompts(spark, d), respond_offline, work_path(spark, "score"))
-    return done.results.select("job_id", "item_id", "attempt", "failure_class", "message").withColumnRenamed("failure_class", "final_class")
+    return _scored(score(X.prompts(spark, d), respond_offline, work_path(spark, "score")).results)
+
+
+@query
+def score_conversations(spark, d):
+    """Prompts whose ids are made of two numbers."""
+    return _scored(score(X.conversation_prompts(spark, d), respond_offline, work_path(spark, "score")).results)
+
+
+@query
+def score_capped(spark, d):
+    """The first 20 prompts of each job, in slices of 3 and 30."""
+    return _scored(score(X.prompts(spark, d), respond_offline, work_path(spark, "score"), Policy(max_items=20, chunk=3)).results)
+
+
+@query
+def score_cancelled(spark, d):
+    """Two jobs are cancelled after the first attempts."""
+    return _scored(score(X.prompts(spark, d), respond_offline, work_path(spark, "score"), Policy(cancelled=lambda step: ["src1", "src3"] if step == 0 else [])).results)
+
+
+@query
+def score_guarded(spark, d):
+    """Jobs that spend too much by their first attempts are stopped."""
+    return _scored(score(X.prompts(spark, d), respond_offline, work_path(spark, "score"), Policy(spend_cap=0.006)).results)
+
+
+@query
+def score_aborted(spark, d):
+    """Some first attempts are refused for good, which stops their jobs."""
+
+    def attempt(df: DataFrame) -> DataFrame:
+        return respond_offline(df).withColumn("http_status", F.when(F.col("seq") % 211 == 3, 401).otherwise(F.col("http_status")))
+
+    return _scored(score(X.prompts(spark, d), attempt, work_path(spark, "score")).results)
 
 
 @query
 def score_events(spark, d):
     """A prompt for each event: the larger table."""
-    done = score(X.event_prompts(spark, d), respond_offline, work_path(spark, "score"))
-    return done.results.select("job_id", "item_id", "attempt", F.col("failure_class").alias("final_class"), "message")
+    return _scored(score(X.event_prompts(spark, d), respond_offline, work_path(spark, "score")).results)
 
 
 @query
 def score_resumed(spark, d):
-    """An earlier run's results and the rest, audited: one row a job."""
+    """An earlier run's results and the rest of the prompts, which is a run with a budget of its own."""
     p = X.prompts(spark, d)
     first = score(p.where("seq % 3 = 1"), respond_offline, work_path(spark, "score")).results
-    return O.conservation(p, resume(p, first, respond_offline, work_path(spark, "score"), Policy(chunk=0)))
+    return _scored(resume(p, first, respond_offline, work_path(spark, "score")))
 
 
 @query
@@ -515,10 +573,14 @@ def stream_status(spark, d):
 def stream_quota(spark, d):
     """Closed by a last row far ahead, so that the watermark passes every minute of the table."""
     log = X.attempts(spark, d).select("job_id", "ts", "http_status")
-    src = _written(spark, log.repartition(1).sortWithinPartitions("ts"), "attempts")
+    src, parts, files = work_path(spark, "attempts"), 3, 2
+    low, high = log.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    for i in range(parts if low is not None else 0):  # written one after another, so that batches come in the order of time
+        at = F.floor((F.unix_micros("ts") - low) * parts / (high - low + 1))
+        log.where(at == i).repartition(files).write.mode("append").parquet(src)
     end = log.agg(F.max("ts").alias("ts")).select(F.lit("end").alias("job_id"), (F.col("ts") + F.make_interval(days=F.lit(2))).alias("ts"), F.lit(None).cast("int").alias("http_status"))
     end.write.mode("append").parquet(src)
-    out = feeds.run_available(feeds.stream_quota_usage(feeds.stream_table(spark, src, 1)), work_path(spark, "stream"))
+    out = feeds.run_available(feeds.stream_quota_usage(feeds.stream_table(spark, src, files)), work_path(spark, "stream"))
     return out.where("job_id <> 'end'").select("job_id", F.col("minute").cast("timestamp_ntz").alias("minute"), "requests", "throttled")
 
 
@@ -529,22 +591,11 @@ def stream_dedupe(spark, d):
     return feeds.run_available(feeds.stream_dedupe(feeds.stream_table(spark, src, 64), "60 days"), work_path(spark, "stream")).select("job_id", "item_id")
 
 
-@query
-def stream_rate_policy(spark, d):
-    log = X.attempts(spark, d).select("job_id", "ts", "seq", "attempt", "http_status", "malformed")
-    src = _written(spark, log.repartition(1), "attempts")
-    out = feeds.run_available(feeds.stream_rate_policy(feeds.stream_table(spark, src), 2.0, 0.2, 3.0), work_path(spark, "stream"), "update")
-    last = out.groupBy("job_id").agg(F.max_by(F.struct("rate", "decreases", "throttle_events"), "batch").alias("s"))
-    return last.select("job_id", F.round("s.rate", 6).alias("final_rate"), "s.decreases", "s.throttle_events")
-
-
 @query
 def stream_prompts(spark, d):
     """Names of rows without an id hang on a hash of their file; their kind does not."""
-    src = work_path(spark, "lines")
-    _raw(spark, d).select("line").write.text(src)
-    out = feeds.run_available(feeds.stream_prompts(spark, src), work_path(spark, "stream"))
-    return out.select(F.regexp_replace("item_id", "^(offset|line)-.*", "$1").alias("item_id"), "prompt", "failure_class")
+    out = feeds.run_available(feeds.stream_prompts(spark, f"{_raw_files(spark, d)}/*"), work_path(spark, "stream"))
+    return out.select("seq", F.regexp_replace("item_id", "^(offset|line)-.*", "$1").alias("item_id"), F.md5("prompt").alias("prompt_md5"), "failure_class")
 
 
 @query
@@ -552,4 +603,4 @@ def stream_score(spark, d):
     """Streamed prompts, scored by batches; one row an item."""
     src = _written(spark, X.prompts(spark, d), "prompts")
     scored = feeds.stream_score(feeds.stream_table(spark, src, 64), lambda df, path: score(df, respond_offline, path).results, work_path(spark, "stream"))
-    return scored.select("job_id", "item_id", "attempt", F.col("failure_class").alias("final_class"), "message")
+    return _scored(scored)

@@ -7,10 +7,8 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from promptloom.functions.scalar import unit_hash
 from promptloom.schemas import RESPONSES
 
 
@@ -21,76 +19,52 @@ class Responder(Protocol):
     def __call__(self, batch: pd.DataFrame) -> pd.DataFrame: ...
 
 
-def respond_offline(df: DataFrame, seed: int = 7, p_error: float = 0.0, p_timeout: float = 0.05, p_429: float = 0.2, p_500: float = 0.2, p_400: float = 0.05, p_malformed: float = 0.05, attempt: str = "attempt", chars: Column | None = None) -> DataFrame:
-    """df (prompts with an attempt) with RESPONSES, without a network or Python: the first draw that hits wins; draws depend on
-    the seed, item, attempt and kind alone. Draws that can't hit are not made, and each is made once."""
-    kinds = {"error": p_error, "timeout": p_timeout, "429": p_429, "500": p_500, "400": p_400, "malformed": p_malformed}
-
-    def hit(kind: str) -> Column:
-        return unit_hash("item_id", attempt, F.lit(kind), seed=seed) < kinds[kind] if kinds[kind] > 0 else F.lit(False)
-
-    code = F.when(hit("error"), -2).when(hit("timeout"), -1).when(hit("429"), 429).when(hit("500"), 500).when(hit("400"), 400).otherwise(200)
-    x = df.withColumn("_code", code)
-    x = x.withColumn("_bad", F.when(F.col("_code") == 200, hit("malformed")).otherwise(F.lit(False)))
-    ok = F.col("_code") == 200
-    low = F.greatest(F.lit(1), F.floor(F.col("max_tokens") / 2))
-    out = F.least(F.col("max_tokens").cast("long"), low + F.floor(unit_hash("item_id", attempt, F.lit("length"), seed=seed) * (F.col("max_tokens") - low + 1)))
-    return x.withColumns(
-        {
-            "http_status": F.when(F.col("_code") > 0, F.col("_code")),
-            "transport_error": F.when(F.col("_code") == -2, "unexpected error: offline").when(F.col("_code") == -1, "timeout"),
-            "malformed": F.col("_bad"),
-            "response_text": F.when(ok & F.col("_bad"), "").when(ok, F.concat(F.lit("mock completion for: '"), F.substring("prompt", 1, 32), F.lit("'"))),
-            "input_tokens": F.when(ok, F.greatest(F.lit(1), F.floor((F.length("prompt") if chars is None else chars) / 4))).otherwise(F.lit(0)).cast("long"),
-            "output_tokens": F.when(ok, out).otherwise(F.lit(0)).cast("long"),
-            "latency_s": F.lit(0.0),
-        }
-    ).drop("_code", "_bad")
-
-
-class TokenBucket:
-    """Paces a task: `rate` grants a second, bursts of `capacity`. clock and sleep are given, so that tests need no time."""
-
-    def __init__(self, rate: float, capacity: float, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
-        self.rate, self.capacity, self.clock, self.sleep = rate, capacity, clock, sleep
-        self.tokens, self.at = capacity, clock()
-
-    def take(self) -> float:
-        """Waits for a grant; the time of the grant."""
-        while True:
-            now = self.clock()
-            self.tokens, self.at = min(self.capacity, self.tokens + (now - self.at) * self.rate), now
-            if self.tokens >= 1 - 1e-9:
-                self.tokens -= 1
-                return now
-            self.sleep((1 - self.tokens) / self.rate)
-
-
-def pacing(max_rps: float, slots: int) -> tuple[float, float]:
-    """(rate, capacity) of one of `slots` tasks that share a quota."""
-    return max_rps / slots, max(2.0, max_rps) / slots
-
-
-def run_attempts(prompts: DataFrame, make_responder: Callable[[], Responder], slots: int, max_rps: float | None = None, batch: int = 64) -> DataFrame:
-    """One attempt for each row (with the columns it has), in `slots` tasks at once. What a responder raises is a transport
-    failure of its batch's rows; no row is lost. The caller writes the result before it is used, so that no call is made twice;
-    speculation should be off."""
+def spaced(max_rps: float, slots: int, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep) -> Callable[[int], float]:
+    """wait(n) for one of `slots` tasks that share a quota: returns when n calls may be made, and when that is. Calls lie slots /
+    max_rps seconds apart; time that was not used is not made up for. A task so makes at most one call more than its share in
+    any span of time, or n - 1 where n are made at once."""
+    gap, due = slots / max_rps, clock()
+
+    def wait(n: int) -> float:
+        nonlocal due
+        while (now := clock()) < due:
+            sleep(due - now)
+        due = max(due, now) + n * gap
+        return now
+
+    return wait
+
+
+def _failed(e: Exception, n: int) -> pd.DataFrame:
+    return pd.DataFrame({"http_status": None, "transport_error": f"unexpected error: {e}", "malformed": False, "response_text": None, "input_tokens": 0, "output_tokens": 0, "latency_s": 0.0}, index=range(n))
+
+
+def run_attempts(prompts: DataFrame, make_responder: Callable[[], Responder], slots: int, max_rps: float | None = None, batch: int = 1) -> DataFrame:
+    """One attempt for each row (with the columns it has), in `slots` tasks at once. What a responder, or making one, raises is a
+    transport failure of the rows it was called for; no row is lost. With batch > 1 it gets so many rows at once, which then fail
+    together: for responders that catch what a row raises. The caller writes the result before it is used, so that no call is
+    made twice; speculation should be off."""
     names = [c.split()[0] for c in RESPONSES.split(", ")]
     fields = ", ".join(f"`{n}` {t}" for n, t in prompts.dtypes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        responder = make_responder()
-        bucket = TokenBucket(*pacing(max_rps, slots)) if max_rps else None
+        responder, wait = None, spaced(max_rps, slots) if max_rps else lambda n: 0.0
         for b in batches:
+            out, granted = [], []
             for at in range(0, len(b), batch):
                 part = b.iloc[at : at + batch].reset_index(drop=True)
-                granted = [bucket.take() if bucket else 0.0 for _ in range(len(part))]
+                granted += [wait(len(part))] * len(part)
                 try:
-                    got = responder(part)[names].reset_index(drop=True)
+                    responder = responder or make_responder()
+                    got = responder(part)[names]
                     if len(got) != len(part):
                         raise ValueError(f"{len(got)} responses for {len(part)} prompts")
                 except Exception as e:  # any failure of user code is data
-                    got = pd.DataFrame({"http_status": None, "transport_error": f"unexpected error: {e}", "malformed": False, "response_text": None, "input_tokens": 0, "output_tokens": 0, "latency_s": 0.0}, index=range(len(part)))
-                yield pd.concat([part, got, pd.Series(granted, name="granted_s", dtype="float64")], axis=1)
+                    got = _failed(e, len(part))
+                out.append(got)
+            if out:
+                kinds = {n: "object" for n in names}
+                answers = pd.concat([x.astype(kinds) for x in out], ignore_index=True)
+                yield pd.concat([b.reset_index(drop=True), answers, pd.Series(granted, name="granted_s", dtype="float64")], axis=1)
 
     return prompts.repartition(slots).mapInPandas(run, f"{fields}, {RESPONSES}, granted_s double")

@@ -2,27 +2,41 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from promptloom.functions.scalar import classify, is_fatal, retry_limit
-from promptloom.operators.outcomes import KEY, ends_item, outcome_columns
+from promptloom.functions.scalar import classify, cost_nanos, is_fatal, retry_limit
+from promptloom.operators.ordered import numbered
+from promptloom.operators.outcomes import ABORTED_MESSAGE, BUDGET_MESSAGE, CANCELLED_MESSAGE, EXHAUSTED_MESSAGE, ends_item, outcome_columns, pending_prompts, same
+from promptloom.operators.telemetry import spend_reason
 from promptloom.schemas import MAX_WAVES
 
 Attempt = Callable[[DataFrame], DataFrame]
+#: Waiting rows of a job up to which one window ranks them; more are ranked by ranges of seq. Rows of such a range.
+WINDOW_ROWS, RANGE_ROWS = 1_000_000, 100_000
+#: How many times as many first attempts the next slice of a job has.
+GROWTH = 10
 
 
 @dataclass
 class Policy:
-    """budget_share: retries a job may issue per item. chunk: first attempts of a job that are launched together; after a chunk
-    with a fatal response no further one is launched (0: all at once)."""
+    """budget_share: retries a job may issue per item. chunk: first attempts of a job that are launched together; every later
+    slice has GROWTH times as many, and a job that is stopped launches no further one (0: all at once). max_items: prompts of a
+    job that are taken in, in the order of seq (None: all). spend_cap: dollars at which a job is stopped, by its cost or the
+    projection of its cost on all items taken in (None: no cap). cancelled: asked after every step (0, 1, ...) for the jobs to
+    stop. audit: compare what was taken in with the results, and raise if an item is lost or there twice."""
 
     budget_share: float = 0.20
     chunk: int = 0
     waves: int = MAX_WAVES
+    max_items: int | None = None
+    spend_cap: float | None = None
+    cancelled: Callable[[int], Sequence[str]] | None = None
+    audit: bool = True
 
 
 @dataclass
@@ -30,14 +44,20 @@ class Scored:
     results: DataFrame
     attempts: DataFrame
     ingested: DataFrame
+    stopped: DataFrame
     paths: list[str] = field(default_factory=list)
 
 
-def _stored(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
+class NotConserved(RuntimeError):
+    """Items taken in and results differ."""
+
+
+def _stored(spark: SparkSession, df: DataFrame, path: str, by: str | None = None) -> DataFrame:
     """Write once; a path that is complete already is read instead, so a restart repeats no call."""
     p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
-        df.write.mode("overwrite").parquet(path)
+        out = df.write.mode("overwrite")
+        (out.partitionBy(by) if by else out).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -47,62 +67,144 @@ def _made(df: DataFrame, attempt: Attempt) -> DataFrame:
     return made.withColumn("prompt", F.when(~ends_item(), F.col("prompt")))
 
 
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _slices(prompts: DataFrame, path: str, policy: Policy) -> list[DataFrame]:
+    """The prompts that are taken in, in slices that are launched one after another. Ranks are counted once, by ranges of seq."""
+    if not policy.chunk and policy.max_items is None:
+        return [prompts]
+    spark = prompts.sparkSession
+    ranked = numbered(prompts, ["job_id"], F.floor(F.col("seq") / RANGE_ROWS), ["seq", "item_id"], "_rank")
+    if policy.max_items is not None:
+        ranked = ranked.where(F.col("_rank") <= policy.max_items)
+    ends, at = [], policy.chunk
+    while policy.chunk and at < 1 << 62:
+        ends.append(at)
+        at += policy.chunk * GROWTH ** len(ends)
+    number = sum(((F.col("_rank") > e).cast("int") for e in ends), F.lit(0))
+    stored = _stored(spark, ranked.select(*prompts.columns, number.alias("_slice")), f"{path}/slices", "_slice")
+    last = stored.agg(F.max("_slice")).first()[0] or 0
+    return [stored.where(F.col("_slice") == s).drop("_slice") for s in range(last + 1)]
+
+
+def _jobs(made: DataFrame, before: DataFrame | None, first: bool, step: int, last: bool, policy: Policy) -> DataFrame:
+    """A row a job after a step: n (items taken in), done, nanos (spent), wants (items that wait for a retry), used (retries
+    granted so far), grant (how many of those that wait get one), stop_class and stop_message."""
+    zero = F.lit(0).cast("long")
+    paid = F.when(F.col("failure_class") == "success", cost_nanos()).otherwise(zero)
+    x = made.groupBy("job_id").agg(
+        F.count("*").alias("rows"),
+        F.count_if(ends_item()).alias("ended"),
+        F.sum(paid).alias("paid"),
+        F.min_by(F.struct("failure_class", "http_status"), F.when(is_fatal(), F.col("seq"))).alias("fatal"),
+    )
+    names = ("n", "done", "nanos", "wants", "used", "grant", "stop_class", "stop_message")
+    if before is None:
+        x = x.withColumns({b: F.lit(None).cast("string") if b.startswith("stop") else zero for b in names})
+    else:
+        x = before.withColumnRenamed("job_id", "_job").join(x, same("_job", "job_id"), "left").drop("job_id").withColumnRenamed("_job", "job_id")
+    rows, ended, spent = (F.coalesce(c, zero) for c in ("rows", "ended", "paid"))
+    # the first attempts so far are counted anew; a later wave adds to what was done, as do those that got no retry
+    n = rows if first else F.col("n")
+    done = ended if first else F.col("done") + F.col("wants") - F.col("grant") + ended
+    nanos = spent if first else F.col("nanos") + spent
+    x = x.select("job_id", n.alias("n"), done.alias("done"), nanos.alias("nanos"), (rows - ended).alias("wants"), "used", "fatal", "stop_class", "stop_message")
+
+    stops: list[tuple[Column, Column, Column]] = []
+    jobs = list(policy.cancelled(step)) if policy.cancelled else []
+    if jobs:
+        stops.append((F.col("job_id").isin(jobs), F.lit("cancelled"), F.lit(CANCELLED_MESSAGE)))
+    stops.append((F.col("fatal").isNotNull(), F.col("fatal.failure_class"), F.format_string(ABORTED_MESSAGE, "fatal.failure_class", "fatal.http_status")))
+    if policy.spend_cap is not None:
+        cost = F.col("nanos") / 1e9
+        projected = cost / F.greatest(F.col("done"), F.lit(1)) * F.greatest("n", "done")
+        stops.append(((F.col("done") > 0) & ((cost >= policy.spend_cap) | (projected >= policy.spend_cap)), F.lit("fatal_auth"), spend_reason(cost, projected, policy.spend_cap)))
+    found = F.when(F.col("stop_class").isNotNull(), F.struct("stop_class", "stop_message"))
+    for when, kind, text in stops:
+        found = found.when(when, F.struct(kind.alias("stop_class"), text.alias("stop_message")))
+    x = x.withColumn("_s", found).withColumns({"stop_class": F.col("_s.stop_class"), "stop_message": F.col("_s.stop_message")})
+    left = F.greatest(zero, retry_limit("n", policy.budget_share) - F.col("used"))
+    grant = zero if last else F.when(F.col("stop_class").isNull(), F.least("wants", left)).otherwise(zero)
+    return x.withColumn("grant", grant).withColumn("used", F.col("used") + F.col("grant")).select("job_id", *names)
+
+
+def _refused(waiting: DataFrame, worn: bool) -> dict[str, Column]:
+    """Columns of items that get no retry: their job was stopped, its retries are used up, or (worn) no wave is left."""
+    stop = F.col("stop_class").isNotNull()
+    return {
+        "status": F.lit("error"),
+        "final_class": F.coalesce("stop_class", F.lit("transient_exhausted")),
+        "message": F.coalesce("stop_message", F.lit(EXHAUSTED_MESSAGE if worn else BUDGET_MESSAGE)),
+        "http_status": F.when(~stop, F.col("http_status")),
+    }
+
+
+def _checked(taken: DataFrame, results: DataFrame) -> None:
+    """Raise unless both have the same items equally often: counts and order-free checksums of the keys of each job."""
+    key = F.xxhash64("job_id", "item_id")
+    low = F.sum(key.bitwiseAND((1 << 32) - 1))
+    sides = [df.groupBy("job_id").agg(F.count("*").alias("n"), low.alias("low"), F.bit_xor(key).alias("xor")) for df in (taken, results)]
+    both = sides[0].unionByName(sides[1]).groupBy("job_id", "n", "low", "xor").agg(F.count("*").alias("sides")).where("sides <> 2")
+    odd = [r.job_id for r in both.select("job_id").distinct().limit(10).collect()]
+    if odd:
+        raise NotConserved(f"items taken in and results differ in {', '.join(map(str, odd))}")
+
+
 def score(prompts: DataFrame, attempt: Attempt, path: str, policy: Policy | None = None) -> Scored:
-    """prompts: PROMPTS. attempt(df) makes one attempt for each row and adds RESPONSES. Tables below path: attempts of each wave
-    and its outcomes. Budget, fatal abort and restart are decided between waves, from written tables.
+    """prompts: PROMPTS. attempt(df) makes one attempt for each row and adds RESPONSES. Tables below path: slices, attempts of each
+    wave, a row a job after each step, and what was decided about the items that wait for a retry.
 
-    A wave sees only the rows that the last one left, and the driver holds none of them. A fatal response
-    ends the job: waiting items of its launched chunks end in its class, later chunks are not ingested.
+    A wave sees only the rows that the last one left, and the driver holds none of them. A job stops when it is cancelled, at a
+    fatal response or when its spending reaches the cap, whichever is seen first after a step: items that wait end in that class
+    and later slices are not taken in. Null job_ids are a job of their own. A restart with the same path repeats no call.
     """
     policy = policy or Policy()
-    spark = prompts.sparkSession
-    rank = F.row_number().over(Window.partitionBy("job_id").orderBy("seq"))
-    todo = prompts.withColumn("slice", F.floor((rank - 1) / policy.chunk)) if policy.chunk else prompts.withColumn("slice", F.lit(0).cast("long"))
-    last = todo.agg(F.max("slice")).first()[0] or 0
-    firsts, aborted = [], None
-    for s in range(last + 1):
-        part = todo.where(F.col("slice") == s).drop("slice")
-        if aborted is not None:
-            part = part.join(aborted, "job_id", "left_anti")
-        made = _stored(spark, _made(part.withColumn("attempt", F.lit(1)), attempt), f"{path}/attempts/wave=1-{s}")
-        firsts.append(made)
-        if policy.chunk:
-            hits = _stored(spark, made.where(is_fatal()).select("job_id").distinct(), f"{path}/aborted/slice={s}")
-            aborted = hits if aborted is None else aborted.unionByName(hits)
-    wave = firsts[0]
-    for f in firsts[1:]:
-        wave = wave.unionByName(f)
-    ingested = wave.groupBy("job_id").agg(F.count("*").alias("n"))
-    limits = ingested.select("job_id", retry_limit("n", policy.budget_share).alias("limit"))
-    wave = wave.join(limits, "job_id").withColumn("used", F.lit(0).cast("long"))
-    kept = [c for c in wave.columns if c not in ("limit", "used")]
-    attempts, outcomes = wave.select(*kept), None
+    spark, step = prompts.sparkSession, 0
+    slices = _slices(prompts, path, policy)
+    firsts: list[DataFrame] = []
+    taken: list[DataFrame] = []
+    jobs: DataFrame | None = None
+    for s, part in enumerate(slices):
+        if jobs is not None:
+            halted = jobs.where("stop_class is not null").select(F.col("job_id").alias("_job"))
+            part = part.join(halted, same("job_id", "_job"), "left_anti")
+        firsts.append(_stored(spark, _made(part.withColumn("attempt", F.lit(1)), attempt), f"{path}/attempts/wave=1-{s}"))
+        taken.append(part.select("job_id", "item_id"))
+        begun = jobs.select("job_id", *(F.lit(0).cast("long").alias(c) if c in ("wants", "used", "grant") else c for c in jobs.columns[1:])) if jobs is not None else None
+        jobs = _stored(spark, _jobs(_union(firsts), begun, True, step, policy.waves <= 1, policy), f"{path}/jobs/step={step}")
+        step += 1
+
+    wave, attempts, outcomes, ingested = _union(firsts), [*firsts], [], jobs.select("job_id", "n")
+    kept = wave.columns
     for k in range(1, policy.waves + 1):
-        over = wave.where(ends_item()).withColumns(outcome_columns()).withColumn("granted", F.lit(False))
-        fatal = wave.where(is_fatal()).groupBy("job_id").agg(F.min_by("failure_class", "seq").alias("abort_class"))
-        wants = wave.where(~ends_item()).join(fatal, "job_id", "left").withColumn("_r", rank)
-        stop = F.col("abort_class").isNotNull()
-        grant = ~stop & (F.col("used") + F.col("_r") <= F.col("limit"))
-        issued = F.count_if(grant).over(Window.partitionBy("job_id"))
-        wants = wants.select(
-            *(F.when(grant, F.col(c)).alias(c) if c == "prompt" else c for c in kept),
-            "limit",
-            (F.col("used") + issued).alias("used"),
-            F.when(~grant, "error").alias("status"),
-            F.when(stop, F.col("abort_class")).when(~grant, "transient_exhausted").alias("final_class"),
-            F.when(stop, F.concat("abort_class", F.lit(" before retry"))).when(~grant, "retry budget exhausted").alias("message"),
-            grant.alias("granted"),
-        )
-        decided = _stored(spark, over.unionByName(wants), f"{path}/decided/wave={k}")
-        ended = decided.where("not granted").drop("granted", "limit", "used")
-        outcomes = ended if outcomes is None else outcomes.unionByName(ended)
-        again = decided.where("granted").select(*prompts.columns, (F.col("attempt") + 1).alias("attempt"), "limit", "used")
-        if k == policy.waves or again.isEmpty():
+        outcomes.append(wave.where(ends_item()).withColumns(outcome_columns()))
+        total = jobs.agg(F.sum("wants").alias("wants"), F.sum("grant").alias("grants"), F.max(F.when((F.col("grant") > 0) & (F.col("grant") < F.col("wants")), F.col("wants"))).alias("partial")).first()
+        if not total["wants"]:
+            break
+        told = jobs.select(F.col("job_id").alias("_job"), "grant", "stop_class", "stop_message")
+        waiting = wave.where(~ends_item()).join(told, same("job_id", "_job")).drop("_job")
+        if not total["grants"]:
+            outcomes.append(waiting.withColumns(_refused(waiting, k == policy.waves)).drop("grant", "stop_class", "stop_message"))
             break
+        if total["partial"] is None:
+            granted = F.col("grant") > 0
+        elif total["partial"] <= WINDOW_ROWS:
+            granted = F.row_number().over(Window.partitionBy("job_id").orderBy("seq", "item_id")) <= F.col("grant")
+        else:
+            waiting, granted = numbered(waiting, ["job_id"], F.floor(F.col("seq") / RANGE_ROWS), ["seq", "item_id"], "_rank"), F.col("_rank") <= F.col("grant")
+        decided = waiting.withColumn("granted", granted).withColumn("prompt", F.when(F.col("granted"), F.col("prompt")))
+        decided = _stored(spark, decided.select(*kept, "stop_class", "stop_message", "granted"), f"{path}/decided/wave={k}")
+        lost = decided.where("not granted")
+        outcomes.append(lost.withColumns(_refused(lost, False)).drop("granted", "stop_class", "stop_message"))
+        again = decided.where("granted").select(*prompts.columns, (F.col("attempt") + 1).alias("attempt"))
         wave = _stored(spark, _made(again, attempt), f"{path}/attempts/wave={k + 1}")
-        attempts = attempts.unionByName(wave.select(*kept))
+        attempts.append(wave)
+        jobs = _stored(spark, _jobs(wave, jobs, False, step, k + 1 >= policy.waves, policy), f"{path}/jobs/step={step}")
+        step += 1
     good = F.col("status") == "success"
-    results = outcomes.select(
+    results = _union(outcomes).select(
         "job_id",
         "seq",
         "item_id",
@@ -116,10 +218,11 @@ def score(prompts: DataFrame, attempt: Attempt, path: str, policy: Policy | None
         "message",
         F.when(~good, F.col("http_status")).alias("http_status"),
     )
-    return Scored(results, attempts, ingested)
+    if policy.audit:
+        _checked(_union(taken), results)
+    return Scored(results, _union(attempts), ingested, jobs.where("stop_class is not null").select("job_id", "stop_class", F.col("stop_message").alias("abort_reason")))
 
 
 def resume(prompts: DataFrame, earlier: DataFrame, attempt: Attempt, path: str, policy: Policy | None = None) -> DataFrame:
     """Results of all prompts: earlier ones as they are, the rest scored."""
-    left = prompts.join(earlier.select(*KEY).distinct(), KEY, "left_anti").select(*prompts.columns)
-    return earlier.unionByName(score(left, attempt, path, policy).results)
+    return earlier.unionByName(score(pending_prompts(prompts, earlier), attempt, path, policy).results)

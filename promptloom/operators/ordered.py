@@ -8,6 +8,8 @@ is many tasks' work.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,14 +23,16 @@ def by_hour(ts: str = "ts") -> Column:
 
 def running_totals(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[str], sums: dict[str, Column]) -> DataFrame:
     """df with, for each name in sums, the total of its column over the key's rows up to this one. bucket must not decrease
-    along order."""
+    along order; null keys are equal."""
     x = df.withColumn("_b", bucket)
     within = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     x = x.withColumns({f"_s_{n}": c for n, c in sums.items()})
     totals = x.groupBy(*keys, "_b").agg(*(F.sum(f"_s_{n}").alias(f"_t_{n}") for n in sums))
     ahead = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*keys, "_b", *(F.coalesce(F.sum(f"_t_{n}").over(ahead), F.lit(0)).alias(f"_p_{n}") for n in sums))
-    x = x.select("*", *(F.sum(f"_s_{n}").over(within).alias(f"_w_{n}") for n in sums)).join(totals, [*keys, "_b"])
+    at = {k: f"_k{i}" for i, k in enumerate([*keys, "_b"])}
+    totals = totals.select(*(F.col(k).alias(a) for k, a in at.items()), *(F.coalesce(F.sum(f"_t_{n}").over(ahead), F.lit(0)).alias(f"_p_{n}") for n in sums))
+    met = reduce(and_, (F.col(k).eqNullSafe(F.col(a)) for k, a in at.items()))
+    x = x.select("*", *(F.sum(f"_s_{n}").over(within).alias(f"_w_{n}") for n in sums)).join(totals, met)
     return x.select(*df.columns, *((F.coalesce(F.col(f"_w_{n}"), F.lit(0)) + F.col(f"_p_{n}")).alias(n) for n in sums))
 
 

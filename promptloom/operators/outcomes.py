@@ -2,13 +2,34 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from promptloom.functions.scalar import is_fatal, is_retryable, retry_limit
 from promptloom.jobs.workdir import work_path
+from promptloom.operators.ordered import numbered
 
 KEY = ["job_id", "item_id"]
+# Messages of results. A fatal response, one that no attempt is left for, one that the budget has no retry for; the
+# reason of a job's abort (class, code); items of a cancelled job.
+FATAL_MESSAGE, EXHAUSTED_MESSAGE, BUDGET_MESSAGE = "fatal: HTTP ", "max attempts exhausted", "retry budget exhausted"
+ABORTED_MESSAGE, CANCELLED_MESSAGE = "%s (HTTP %d)", "job cancelled before dispatch"
+
+
+def same(*names: str) -> Column:
+    """Whether pairs of columns (a, b, a, b ...) are equal, null to null."""
+    return reduce(and_, (F.col(a).eqNullSafe(F.col(b)) for a, b in zip(names[::2], names[1::2], strict=True)))
+
+
+def _named(df: DataFrame, *more: str) -> DataFrame:
+    """df with its key under other names, and the columns in more."""
+    return df.select(F.col("job_id").alias("_job"), F.col("item_id").alias("_item"), *more)
+
+
+_SAME_KEY = ("job_id", "_job", "item_id", "_item")
 
 
 def ends_item() -> Column:
@@ -16,13 +37,15 @@ def ends_item() -> Column:
     return ~is_retryable() | (F.col("attempt") >= F.col("max_attempts"))
 
 
-def outcome_columns(exhausted_message: Column | None = None) -> dict[str, Column]:
-    """status, final_class and message of a terminal attempt."""
-    worn = is_retryable()
+def outcome_columns(exhausted_message: Column | None = None, code: Column | None = None) -> dict[str, Column]:
+    """status, final_class and message of a terminal attempt. code: its HTTP status."""
+    good, worn = F.col("failure_class") == "success", is_retryable()
     return {
-        "status": F.when(F.col("failure_class") == "success", "success").otherwise("error"),
-        "final_class": F.when(F.col("failure_class") == "success", F.lit(None).cast("string")).when(worn, "transient_exhausted").otherwise(F.col("failure_class")),
-        "message": F.when(worn, exhausted_message if exhausted_message is not None else F.lit("max attempts exhausted")),
+        "status": F.when(good, "success").otherwise("error"),
+        "final_class": F.when(good, F.lit(None).cast("string")).when(worn, "transient_exhausted").otherwise(F.col("failure_class")),
+        "message": F.when(is_fatal(), F.concat(F.lit(FATAL_MESSAGE), F.coalesce((F.col("http_status") if code is None else code).cast("string"), F.lit("None")))).when(
+            ~good, F.lit(EXHAUSTED_MESSAGE) if exhausted_message is None else exhausted_message
+        ),
     }
 
 
@@ -31,7 +54,7 @@ def attempt_outcomes(classified: DataFrame) -> DataFrame:
     end an item is a condition in it, as a filter would be pushed below whatever made the attempts and be computed twice."""
     rest = [c for c in classified.columns if c not in KEY]
     first = classified.groupBy(*KEY).agg(F.min_by(F.struct(*rest), F.when(ends_item(), F.col("attempt"))).alias("r")).where("r is not null")
-    return first.select(*KEY, "r.*").withColumns(outcome_columns())
+    return first.select(*KEY, "r.*").withColumns(outcome_columns(code=None if "http_status" in rest else F.lit(None)))
 
 
 def _cut(df: DataFrame) -> DataFrame:
@@ -44,7 +67,7 @@ def _cut(df: DataFrame) -> DataFrame:
 def apply_retry_budget(classified: DataFrame, ingested: DataFrame, waves: int = 8) -> DataFrame:
     """Outcomes when a job may issue only retry_limit(ingested) retries: classified has an item's attempts in advance (attempt
     1..waves); ingested has job_id, n. In each wave the items that want a retry get it in the order of seq while the job's budget
-    lasts; the others end as exhausted. Every wave handles only what the last one left: its rank is a window over failed rows."""
+    lasts; the others end as exhausted. Every wave handles only what the last one left, and ranks it by ranges of seq."""
     limits = ingested.select("job_id", retry_limit("n").alias("limit"))
     attempts = _cut(classified)
     going, done = attempts.where("attempt = 1").join(limits, "job_id").withColumn("used", F.lit(0).cast("long")), None
@@ -52,9 +75,9 @@ def apply_retry_budget(classified: DataFrame, ingested: DataFrame, waves: int =
         going = _cut(going)
         over = going.where(ends_item()).withColumns(outcome_columns())
         wants = going.where(~ends_item())
-        rank = F.row_number().over(Window.partitionBy("job_id").orderBy("seq"))
-        ranked = _cut(wants.withColumn("rank", rank).withColumn("granted", F.col("used") + F.col("rank") <= F.col("limit")))
-        refused = ranked.where("not granted").drop("rank", "granted").withColumns(outcome_columns(F.lit("retry budget exhausted")))
+        ranked = numbered(wants, ["job_id"], F.floor(F.col("seq") / 100_000), ["seq", "item_id"], "rank")
+        ranked = _cut(ranked.withColumn("granted", F.col("used") + F.col("rank") <= F.col("limit")))
+        refused = ranked.where("not granted").drop("rank", "granted").withColumns(outcome_columns(F.lit(BUDGET_MESSAGE)))
         part = over.unionByName(refused)
         done = part if done is None else done.unionByName(part)
         if wave == waves:
@@ -66,16 +89,17 @@ def apply_retry_budget(classified: DataFrame, ingested: DataFrame, waves: int =
 
 
 def pending_prompts(prompts: DataFrame, results: DataFrame) -> DataFrame:
-    """Prompts without a result: what is left to do after a stop."""
-    return prompts.join(results.select(*KEY).distinct(), KEY, "left_anti")
+    """Prompts without a result: what is left to do after a stop. Null ids are equal to each other."""
+    return prompts.join(_named(results), same(*_SAME_KEY), "left_anti")
 
 
 def reconcile(prompts: DataFrame, results: DataFrame) -> DataFrame:
     """job_id, item_id, expected, found, verdict (ok, missing, duplicate, unexpected). Both sides are counted by item before
-    they meet, on the same key."""
+    they meet, on the same key. Null ids are equal to each other."""
     want = prompts.groupBy(*KEY).agg(F.count("*").alias("expected"))
-    have = results.groupBy(*KEY).agg(F.count("*").alias("found"))
-    both = want.join(have, KEY, "full_outer").na.fill(0, ["expected", "found"])
+    have = _named(results.groupBy(*KEY).agg(F.count("*").alias("found")), "found")
+    both = want.join(have, same(*_SAME_KEY), "full_outer").na.fill(0, ["expected", "found"])
+    both = both.select(F.coalesce("job_id", "_job").alias("job_id"), F.coalesce("item_id", "_item").alias("item_id"), "expected", "found")
     verdict = F.when(F.col("expected") == 0, "unexpected").when(F.col("found") == 0, "missing").when((F.col("found") > 1) | (F.col("expected") > 1), "duplicate").otherwise("ok")
     return both.withColumn("verdict", verdict)
 
@@ -95,14 +119,15 @@ def fatal_cutoffs(attempts: DataFrame) -> DataFrame:
 
 def apply_cutoffs(items: DataFrame, cutoffs: DataFrame, cancels: DataFrame) -> DataFrame:
     """items (job_id, seq, item_id) with failure_class and message of those not dispatched: after the job's cancel_seq (checked
-    first) or after its first fatal attempt. One row a job on the small sides."""
-    fatal = cutoffs.select("job_id", "cutoff_seq", F.col("failure_class").alias("_class"), F.col("http_status").alias("_code"))
+    first) or after its cut-off: the first fatal attempt, or what abort_reason says. One row a job on the small sides."""
+    reason = F.col("abort_reason") if "abort_reason" in cutoffs.columns else F.lit(None).cast("string")
+    fatal = cutoffs.select("job_id", "cutoff_seq", F.col("failure_class").alias("_class"), F.coalesce(reason, F.format_string(ABORTED_MESSAGE, "failure_class", "http_status")).alias("_why"))
     x = items.join(cancels.select("job_id", "cancel_seq"), "job_id", "left").join(fatal, "job_id", "left")
     cancelled, aborted = F.col("seq") > F.col("cancel_seq"), F.col("seq") > F.col("cutoff_seq")
     return x.select(
         *items.columns,
         F.when(cancelled, "cancelled").when(aborted, F.col("_class")).alias("failure_class"),
-        F.when(cancelled, "job cancelled before dispatch").when(aborted, F.concat(F.col("_class"), F.coalesce(F.concat(F.lit(" (HTTP "), F.col("_code"), F.lit(")")), F.lit("")))).alias("message"),
+        F.when(cancelled, CANCELLED_MESSAGE).when(aborted, F.col("_why")).alias("message"),
     )
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from promptloom.functions.scalar import cost_nanos
+from promptloom.functions.scalar import cost_nanos, iso_utc, retry_limit
+from promptloom.operators.planning import littles_law
 from promptloom.schemas import LEDGER_CAP
 
 
@@ -72,20 +73,49 @@ def progress(counts: DataFrame) -> DataFrame:
 
 
 def attempt_summary(classified: DataFrame) -> DataFrame:
-    """job_id, attempts, throttle_events, retries_issued, items, max_attempts_of_item. A retry is an attempt after the first."""
-    per = classified.groupBy("job_id", "item_id").agg(F.count("*").alias("a"), F.count_if(F.col("failure_class") == "throttled").alias("t"))
-    return per.groupBy("job_id").agg(F.sum("a").alias("attempts"), F.sum("t").alias("throttle_events"), (F.sum("a") - F.count("*")).alias("retries_issued"), F.count("*").alias("items"), F.max("a").alias("max_attempts_of_item"))
+    """job_id, attempts, throttle_events, retries_issued, items, max_attempts_of_item, mean_latency_s (of successes, from whole
+    microseconds). A retry is an attempt after the first."""
+    good = F.col("failure_class") == "success"
+    per = classified.groupBy("job_id", "item_id").agg(
+        F.count("*").alias("a"),
+        F.count_if(F.col("failure_class") == "throttled").alias("t"),
+        F.count_if(good).alias("g"),
+        F.sum(F.when(good, F.round(F.col("latency_s") * 1e6).cast("long"))).alias("us"),
+    )
+    return per.groupBy("job_id").agg(
+        F.sum("a").alias("attempts"),
+        F.sum("t").alias("throttle_events"),
+        (F.sum("a") - F.count("*")).alias("retries_issued"),
+        F.count("*").alias("items"),
+        F.max("a").alias("max_attempts_of_item"),
+        (F.sum("us") / F.sum("g") / 1e6).alias("mean_latency_s"),
+    )
 
 
 def job_report(prompts: DataFrame, results: DataFrame, classified: DataFrame, jobs: DataFrame) -> DataFrame:
-    """One status row a job: jobs has job_id, started_at, elapsed_s, running, cancelled, aborted, abort_reason; results have
-    model. Every part is aggregated by job before they are joined on it."""
+    """One status row a job: jobs has job_id, elapsed_s, running, cancelled, aborted, abort_reason and perhaps submitted_at,
+    started_at, finished_at, which are written as UTC text; results have model. Every part is aggregated by job before they are
+    joined on it."""
     counts = jobs.join(job_counts(prompts, results), "job_id", "left").na.fill(0, ["ingested", "succeeded", "failed", "in_flight", "pending"])
     status = F.when(F.col("running"), "running").otherwise(final_status())
     x = progress(counts).withColumn("status", status)
     x = x.join(usage_and_cost(results), "job_id", "left").join(errors_map(results), "job_id", "left").join(attempt_summary(classified), "job_id", "left")
     none = F.create_map().cast("map<string,bigint>")
-    return x.na.fill(0, ["input_tokens", "output_tokens", "cost_usd", "throttle_events", "retries_issued"]).withColumn("errors_by_class", F.coalesce("errors_by_class", none))
+    x = x.na.fill(0, ["input_tokens", "output_tokens", "cost_usd", "throttle_events", "retries_issued", "mean_latency_s"])
+    stamps = {c: iso_utc(c) for c in ("submitted_at", "started_at", "finished_at") if c in jobs.columns}
+    return x.withColumns({"errors_by_class": F.coalesce("errors_by_class", none), "backpressure": backpressure(), **stamps}).drop("mean_latency_s")
+
+
+def backpressure() -> Column:
+    """What logged attempts tell about the service: 429s, retries, retries left, mean latency of successes, and the requests in
+    flight that would keep up the job's throughput at it."""
+    return F.struct(
+        F.col("throttle_events").alias("throttle_events_429"),
+        F.col("retries_issued"),
+        F.greatest(F.lit(0).cast("long"), retry_limit("ingested") - F.col("retries_issued")).alias("retry_budget_remaining"),
+        F.round("mean_latency_s", 4).alias("observed_mean_latency_s"),
+        littles_law("throughput_rps", "mean_latency_s").alias("littles_law_optimal_concurrency"),
+    )
 
 
 def replay_counts(log: DataFrame) -> DataFrame:
@@ -102,7 +132,7 @@ def spend_ledger(reports: DataFrame, prior: float = 0.0, cap: float = LEDGER_CAP
     return reports.select("*", F.round(after - spent, 6).alias("total_before"), F.round(after, 6).alias("total_after"), (F.round(after - spent, 6) >= cap).alias("refused"))
 
 
-# Metric, after the prefix -> (type, help, column of the report).
+#: Metric, after the prefix -> (type, help, column of the report). Names and types are fixed values.
 METRICS = {
     "job_ingested_total": ("counter", "Prompts taken in.", "ingested"),
     "job_succeeded_total": ("counter", "Prompts with a success.", "succeeded"),
@@ -117,15 +147,16 @@ METRICS = {
 
 def metrics_rows(reports: DataFrame, prefix: str = "promptloom") -> DataFrame:
     """metric, kind, job_id, status, value: eight rows a job. prefix names the service whose metrics these are."""
-    rows = [F.struct(F.lit(f"{prefix}_{m}").alias("metric"), F.lit(kind).alias("kind"), F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias("value")) for m, (kind, _, c) in METRICS.items()]
-    return reports.select("job_id", "status", F.explode(F.array(*rows)).alias("m")).select("m.metric", "m.kind", "job_id", "status", "m.value")
+    rows = [F.struct(F.lit(f"{prefix}_{m}").alias("metric"), F.lit(kind).alias("kind"), F.lit(text).alias("help"), F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias("value")) for m, (kind, text, c) in METRICS.items()]
+    return reports.select("job_id", "status", F.explode(F.array(*rows)).alias("m")).select("m.metric", "m.kind", "m.help", "job_id", "status", "m.value")
 
 
 def metrics_text(reports: DataFrame, prefix: str = "promptloom") -> DataFrame:
     """at, by, value: the lines of the text exposition, in order of at and by."""
     order = F.create_map(*[F.lit(x) for i, m in enumerate(METRICS) for x in (f"{prefix}_{m}", i)])
     rows = metrics_rows(reports, prefix)
-    line = F.format_string('%s{job_id="%s",status="%s"} %s', "metric", "job_id", "status", F.col("value").cast("string"))
+    digits = F.regexp_replace(F.format_string("%.9f", "value"), r"(\.\d+?)0+$", "$1")  # whole billionths, without an exponent
+    line = F.format_string('%s{job_id="%s",status="%s"} %s', "metric", "job_id", "status", digits)
     body = rows.select(order[F.col("metric")].alias("at"), F.concat(F.lit("2"), "job_id").alias("by"), line.alias("value"))
     heads = reports.sparkSession.createDataFrame([(i, str(k), t) for i, (m, (kind, text, _)) in enumerate(METRICS.items()) for k, t in enumerate((f"# HELP {prefix}_{m} {text}", f"# TYPE {prefix}_{m} {kind}"))], "at int, by string, value string")
     return body.unionByName(heads).orderBy("at", "by")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from promptloom.functions.scalar import cost_nanos, is_breaker_failure, rate_headers
@@ -35,6 +35,14 @@ def rolling_failure_rate(classified: DataFrame, size: int = 100, least: int = 10
     return out.withColumns({"failure_rate": rate, "trips": (F.col("outcomes") >= least) & (rate > threshold)}).drop("_f")
 
 
+def breaker_openings(classified: DataFrame, size: int = 100, least: int = 10, threshold: float = 0.5) -> DataFrame:
+    """job_id, seq, failure_rate of the attempts at which a job's rolling failure rate comes to trip a breaker: the attempt before
+    them did not. A comparison of neighbours by number, without a state that passes from row to row."""
+    x = rolling_failure_rate(classified, size, least, threshold).select("job_id", "seq", "n", "failure_rate", "trips")
+    before = x.where("not trips").select(F.col("job_id").alias("_job"), (F.col("n") + 1).alias("_n"))
+    return x.where("trips").join(before, F.col("job_id").eqNullSafe(F.col("_job")) & (F.col("n") == F.col("_n")), "left_semi").select("job_id", "seq", "failure_rate")
+
+
 def spend_guard(outcomes: DataFrame, cap: float = JOB_SPEND_CAP, every: int = 50) -> DataFrame:
     """job_id, seq, done, cost_so_far, projected of each job's first breach: after a success that makes the number of outcomes a
     multiple of `every`, when the cost or its projection to all items reaches the cap. outcomes: job_id, seq, status, model,
@@ -55,11 +63,15 @@ def spend_guard(outcomes: DataFrame, cap: float = JOB_SPEND_CAP, every: int = 50
 def spend_cutoffs(breaches: DataFrame, cap: float = JOB_SPEND_CAP) -> DataFrame:
     """Breaches of spend_guard as cut-offs of jobs (outcomes.apply_cutoffs). What comes after is classed fatal_auth, as ever;
     abort_reason says why."""
-    dollars = lambda c: F.format_number(c, 4)
-    reason = F.concat(F.lit("spend guard: cost $"), dollars("cost_so_far"), F.lit(" / projected $"), dollars("projected"), F.lit(f" >= cap ${cap}"))
+    reason = spend_reason(F.col("cost_so_far"), F.col("projected"), cap)
     return breaches.select("job_id", F.col("seq").alias("cutoff_seq"), F.lit("fatal_auth").alias("failure_class"), F.lit(None).cast("int").alias("http_status"), reason.alias("abort_reason"))
 
 
+def spend_reason(cost: Column, projected: Column, cap: float) -> Column:
+    """Fixed text: why a job stopped that reached its cap."""
+    return F.format_string(f"spend guard: cost $%.4f / projected $%.4f >= cap ${cap}", cost, projected)
+
+
 def quota_compliance(grants: DataFrame, rate: float, capacity: float, windows: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
     """job_id, window_s, checked, most, allowed, violations: for every grant at t, the grants in [t, t + window) are at most
     rate * window + capacity. Hours are windows of their own, each with the first seconds of the next one."""

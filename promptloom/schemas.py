@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-# Failure classes.
-CLASSES = ("success", "throttled", "transient", "invalid_input", "fatal_auth", "fatal_billing", "transient_exhausted", "cancelled")
-# Job states.
-STATES = ("queued", "running", "succeeded", "partial", "failed", "cancelled")
 # Http status -> (failure class, attempts allowed).
 STATUS_CLASSES = {
     200: ("success", 1),
@@ -22,7 +18,7 @@ STATUS_CLASSES = {
     503: ("transient", 5),
     504: ("transient", 5),
 }
-#: Other statuses and transport failures; malformed bodies with status 200.
+# Other statuses and transport failures; malformed bodies with status 200; attempts of an item at most.
 OTHER_CLASS, MALFORMED_CLASS = ("transient", 5), ("transient", 2)
 MAX_WAVES = 8
 # Model -> dollars per million input and output tokens.
@@ -33,12 +29,24 @@ PRICES = {
     "gemma-4-31B-it": (0.18, 0.50),
     "llama-4-maverick": (0.20, 0.696),
 }
+# Defaults of a request.
 DEFAULT_MODEL, DEFAULT_MAX_TOKENS = "mistral-3-14B", 128
 # Rate headers.
-RATE_HEADERS = tuple(f"x-ratelimit-{kind}-{unit}" for unit in ("requests", "tokens-per-minute", "tokens-per-day") for kind in ("limit", "remaining", "reset"))
+RATE_HEADERS = (
+    "x-ratelimit-limit-requests",
+    "x-ratelimit-remaining-requests",
+    "x-ratelimit-reset-requests",
+    "x-ratelimit-limit-tokens-per-minute",
+    "x-ratelimit-remaining-tokens-per-minute",
+    "x-ratelimit-reset-tokens-per-minute",
+    "x-ratelimit-limit-tokens-per-day",
+    "x-ratelimit-remaining-tokens-per-day",
+    "x-ratelimit-reset-tokens-per-day",
+)
+# Fixed value: message of a row without a prompt.
 BAD_ROW = "row missing a string 'prompt' field"
-#: Caps: dollars of a job and of all runs, items of a paid run, share of retries.
-JOB_SPEND_CAP, LEDGER_CAP, PAID_ITEMS, RETRY_SHARE = 0.25, 1.00, 50, 0.20
+# Dollars of a job and of all runs, share of retries.
+JOB_SPEND_CAP, LEDGER_CAP, RETRY_SHARE = 0.25, 1.00, 0.20
 
 PROMPTS = "job_id string, seq long, item_id string, prompt string, model string, max_tokens int"
 RESPONSES = "http_status int, transport_error string, malformed boolean, response_text string, input_tokens long, output_tokens long, latency_s double"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from urllib.parse import unquote
 
@@ -28,25 +29,32 @@ def _check(text: str) -> tuple:
     return True, True, "id" in raw, str(raw["id"]) if "id" in raw else None, prompt if isinstance(prompt, str) else None, None
 
 
-def _checked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        b = b[b["line"].fillna("").str.strip() != ""]
-        rows = [_check(x.strip()) for x in b["line"]]
-        out = pd.DataFrame(rows, columns=["ok", "is_object", "has_id", "item_id", "prompt", "error"], index=b.index)
-        yield pd.concat([b["seq"], out, b["line"]], axis=1)
+def _checked(keep: list[str]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b = b[b["line"].fillna("").str.strip() != ""]
+            rows = [_check(x.strip()) for x in b["line"]]
+            out = pd.DataFrame(rows, columns=["ok", "is_object", "has_id", "item_id", "prompt", "error"], index=b.index)
+            yield pd.concat([b[[*keep, "seq"]], out, b["line"]], axis=1)
+
+    return run
 
 
 def check_lines(lines: DataFrame) -> DataFrame:
-    """(seq, line) -> CHECKED, blank lines left out; vectorized, without a shuffle."""
-    return lines.select("seq", "line").mapInPandas(_checked, CHECKED)
+    """(seq, line) -> CHECKED after file, if there is one; blank lines left out; vectorized, without a shuffle."""
+    keep = [c for c in ("file",) if c in lines.columns]
+    return lines.select(*keep, "seq", "line").mapInPandas(_checked(keep), ", ".join([*(f"{c} string" for c in keep), CHECKED]))
 
 
-def split_rows(checked: DataFrame) -> DataFrame:
-    """CHECKED -> item_id, seq, prompt, failure_class, message, attempt: prompts have no failure_class, bad rows no prompt."""
-    named = F.when(F.col("has_id"), F.col("item_id")).otherwise(F.concat(F.lit("offset-"), F.col("seq")))
+def split_rows(checked: DataFrame, place: Column | None = None) -> DataFrame:
+    """CHECKED -> item_id, seq, prompt, failure_class, message, attempt (and file): prompts have no failure_class, bad rows no
+    prompt. Rows without an id are named by place, which is seq if none is given."""
+    place = F.col("seq") if place is None else place
+    named = F.when(F.col("has_id"), F.col("item_id")).otherwise(F.concat(F.lit("offset-"), place))
     good = F.col("ok") & F.col("prompt").isNotNull()
     return checked.select(
-        F.when(F.col("ok"), named).otherwise(F.concat(F.lit("line-"), F.col("seq"))).alias("item_id"),
+        *(c for c in ("file",) if c in checked.columns),
+        F.when(F.col("ok"), named).otherwise(F.concat(F.lit("line-"), place)).alias("item_id"),
         "seq",
         F.when(good, F.col("prompt")).alias("prompt"),
         F.when(~good, F.lit("invalid_input")).alias("failure_class"),
@@ -66,31 +74,43 @@ def number_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_prompt_lines(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON-lines file -> split_rows."""
+    """JSON-lines files -> split_rows with file; seq counts the lines of each file."""
     return split_rows(check_lines(number_lines(spark, path)))
 
 
 def array_elements(texts: DataFrame, text_col: str = "value") -> DataFrame:
-    """A JSON array in each row -> (seq, line) of its elements. A row is one task's; a syntax error fails the query."""
-    v = texts.select(F.parse_json(F.col(text_col)).alias("v"))
-    v.createOrReplaceTempView("promptloom_array")
-    return v.sparkSession.sql("SELECT CAST(e.pos AS BIGINT) AS seq, to_json(e.value) AS line FROM promptloom_array, LATERAL variant_explode(v) AS e")
+    """A JSON array in each row -> (seq, line) of its elements, and file, if there is one. A row is one task's; a syntax error
+    fails the query."""
+    keep = [c for c in ("file",) if c in texts.columns]
+    v = texts.select(*keep, F.parse_json(F.col(text_col)).alias("v"))
+    cells = v.lateralJoin(v.sparkSession.tvf.variant_explode(F.col("v").outer()).alias("e"))
+    return cells.select(*keep, F.col("e.pos").cast("long").alias("seq"), F.to_json("e.value").alias("line"))
 
 
 def read_prompt_array(spark: SparkSession, path: str) -> DataFrame:
-    """A file that is one JSON array -> split_rows; the file must fit a string (2 GB), as an array can't be split."""
-    return split_rows(check_lines(array_elements(spark.read.text(path, wholetext=True))))
+    """Files that are one JSON array each -> split_rows with file; seq is the position in it. A file must fit a string (2 GB), as
+    an array can't be split."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    return split_rows(check_lines(array_elements(files)))
+
+
+#: Characters in which a file's first mark is looked for.
+HEAD = 64
 
 
 def detect_format(spark: SparkSession, path: str) -> DataFrame:
-    """file, format: array where the first non-blank character of the first 64 is [, else lines. Spark reads no empty files;
-    they come from the listing that it makes anyway."""
-    heads = spark.read.format("binaryFile").load(path)
-    files = spark.createDataFrame([(unquote(f),) for f in heads.inputFiles()], "file string")
-    head = F.regexp_replace(F.decode(F.substring("content", 1, 64), "UTF-8"), r"^\s+", "")
-    kinds = heads.select(F.col("path").alias("file"), F.when(F.startswith(head, F.lit("[")), "array").otherwise("lines").alias("format"))
-    name = F.regexp_replace("file", "^file:/+", "/")
-    return files.withColumn("file", name).join(kinds.withColumn("file", name), "file", "left").select("file", F.coalesce("format", F.lit("lines")).alias("format"))
+    """file, format: array where the first non-blank character of the first HEAD is [, else lines. Of each file its first lines'
+    beginnings are gathered, HEAD of each at most. Spark reads no empty files; they come from the listing that it makes anyway."""
+    text = spark.read.text(path)
+    files = spark.createDataFrame([(re.sub("^file:/+", "/", f), re.sub("^file:/+", "/", unquote(f))) for f in text.inputFiles()], "_file string, name string")
+    own = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/")
+    first = text.select(own.alias("file"), F.expr("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.substring("value", 1, HEAD).alias("line")).where("block = 0")
+    begin = first.groupBy("file").agg(F.min("at").alias("begin")).withColumnRenamed("file", "_f")
+    first = first.join(begin, F.col("file") == F.col("_f")).where(F.col("at") < F.col("begin") + HEAD)
+    lines = first.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("at", "line"))).alias("lines"))
+    head = F.substring(F.array_join(F.transform("lines", lambda x: x["line"]), "\n"), 1, HEAD)
+    kinds = lines.select("file", F.when(F.regexp_replace(head, r"^\s+", "").startswith("["), "array").otherwise("lines").alias("format"))
+    return files.join(kinds, F.col("_file") == F.col("file"), "left").select(F.col("name").alias("file"), F.coalesce("format", F.lit("lines")).alias("format"))
 
 
 def prompts_from_table(df: DataFrame, id_col: str, prompt_col: str, job_col: str, seq_col: str) -> DataFrame:

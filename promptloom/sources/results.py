@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from promptloom.jobs.workdir import work_path
 from promptloom.schemas import RESULTS
-from promptloom.sources.prompts import check_lines
 
 SUCCESS_KEYS = ("item_id", "status", "response_text", "input_tokens", "output_tokens", "latency_s", "attempt")
 ERROR_KEYS = ("item_id", "status", "failure_class", "message", "attempt", "http_status")
@@ -21,16 +21,9 @@ def result_line() -> Column:
 
 
 def write_results(results: DataFrame, path: str) -> None:
-    """Append JSON lines, a folder for each job; rows of a job are together, so that a small job is one file."""
-    results.select("job_id", result_line().alias("value")).repartition("job_id").write.mode("append").partitionBy("job_id").text(path)
-
-
-def read_result_lines(lines: DataFrame) -> DataFrame:
-    """(job_id, seq, line) -> RESULTS of the lines that are whole JSON objects; blank and torn ones are skipped."""
-    whole = check_lines(lines).where("ok and is_object").select("seq", "line")
-    shape = T._parse_datatype_string(RESULTS)
-    row = F.from_json("line", T.StructType([f for f in shape if f.name not in ("job_id", "seq")]))
-    return whole.select("seq", row.alias("r")).select("seq", "r.*")
+    """Append JSON lines, a folder for each job. Rows are rebalanced by job: those of a small job are together, in one file; a job
+    with more than a task's share of bytes is split."""
+    results.select("job_id", result_line().alias("value")).hint("rebalance", "job_id").write.mode("append").partitionBy("job_id").text(path)
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
@@ -59,20 +52,34 @@ def _whole_objects(batches):
 
 
 def export_results(results: DataFrame, reports: DataFrame, include: str = "all", partial: bool = False) -> DataFrame:
-    """The results of finished jobs (with partial, of all): all, success or errors."""
+    """The results of finished jobs (with partial, of all): all, success or errors. write_export puts them into files."""
     keep = {"all": F.lit(True), "success": F.col("status") == "success", "errors": F.col("status") != "success"}[include]
     jobs = reports.select("job_id", F.col("status").alias("_state")) if partial else reports.where(~F.col("status").isin("queued", "running")).select("job_id")
     return results.where(keep).join(jobs.select("job_id"), "job_id", "left_semi")
 
 
 def array_lines(results: DataFrame, order: tuple[str, ...] = ("job_id", "seq")) -> DataFrame:
-    """value: lines of one JSON array, in files that follow each other. Rows are sorted by range; only each partition's first
-    and last row get framed, so nothing is gathered."""
-    placed = results.select(*order, result_line().alias("j")).orderBy(*order)
-    placed = placed.select(*order, "j", F.monotonically_increasing_id().alias("at"))
-    ends = placed.agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
-    framed = F.concat(F.when(F.col("at") == F.col("lo"), "[").otherwise(","), F.col("j"), F.when(F.col("at") == F.col("hi"), "]").otherwise(""))
-    return placed.join(F.broadcast(ends)).select("at", framed.alias("value"))
+    """at, value: lines of one JSON array, in the order of at. Rows are sorted by range and written once, numbered; the first and
+    the last one of these get the brackets, so nothing is gathered. No results are an empty array."""
+    spark, path = results.sparkSession, work_path(results.sparkSession, "sorted")
+    results.select(*order, result_line().alias("j")).orderBy(*order).select(F.monotonically_increasing_id().alias("at"), "j").write.parquet(path)
+    placed = spark.read.schema("at long, j string").parquet(path)
+    low, high = placed.agg(F.min("at"), F.max("at")).first()
+    if low is None:
+        return spark.createDataFrame([(0, "[]")], "at long, value string")
+    return placed.select("at", F.concat(F.when(F.col("at") == low, "[").otherwise(","), "j", F.when(F.col("at") == high, "]").otherwise("")).alias("value"))
+
+
+def write_export(results: DataFrame, path: str, fmt: str = "ndjson") -> None:
+    """Results as text files in the order of (job_id, seq): ndjson, a line each, or array, whose files put together in the order of
+    their names are one JSON array."""
+    if fmt == "ndjson":
+        lines = results.select("job_id", "seq", result_line().alias("value")).orderBy("job_id", "seq")
+    elif fmt == "array":
+        lines = array_lines(results).orderBy("at")
+    else:
+        raise ValueError(f"fmt is ndjson or array, not {fmt}")
+    lines.select("value").write.text(path)
 
 
 def upsert_reports(existing: DataFrame, updates: DataFrame) -> DataFrame:

@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from promptloom.functions.scalar import classify
-from promptloom.operators.policy import COOLDOWN_S, FACTOR, STEP, STREAK
 from promptloom.sources.prompts import check_lines, split_rows
 
 
@@ -28,9 +24,12 @@ def run_available(stream: DataFrame, path: str, mode: str = "append", each: Call
 
 
 def stream_prompts(spark: SparkSession, folder: str, files_per_trigger: int = 16) -> DataFrame:
-    """JSON lines of a growing folder -> split_rows; seq is a hash of file and line, as a stream has no line numbers."""
-    lines = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(folder).select(F.abs(F.xxhash64(F.col("_metadata.file_path"), "value")).alias("seq"), F.col("value").alias("line"))
-    return split_rows(check_lines(lines))
+    """JSON lines of a growing folder -> split_rows with file (a hash of its path); seq is the line's number in its file, and rows
+    without an id are named by both, so that equal lines have different ids, the same ones when a batch is repeated. A file is
+    one task's, and at most 2 GB."""
+    files = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(folder, wholetext=True)
+    lines = files.select(F.hex(F.xxhash64(F.col("_metadata.file_path"))).alias("file"), F.posexplode(F.split("value", "\r\n|\n|\r", -1)).alias("at", "line"))
+    return split_rows(check_lines(lines.select("file", F.col("at").cast("long").alias("seq"), "line")), F.concat_ws("-", "file", "seq"))
 
 
 def stream_table(spark: SparkSession, path: str, files_per_trigger: int = 16) -> DataFrame:
@@ -65,28 +64,3 @@ def stream_dedupe(results: DataFrame, late: str = "1 day") -> DataFrame:
     """The first row of each item; ids are kept for `late`."""
     return results.withWatermark("ts", late).dropDuplicatesWithinWatermark(["job_id", "item_id"])
 
-
-RATE_STATE = "rate double, last double, streak long, decreases long, throttle_events long"
-
-
-def stream_rate_policy(attempts: DataFrame, start: float, least: float, most: float) -> DataFrame:
-    """job_id, rate, decreases, throttle_events after each micro-batch: the rate policy as per-job state. Attempts must arrive in
-    time order across batches; within one they are sorted."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rate, last, streak, down, hits = state.get if state.exists else (start, -1e300, 0, 0, 0)
-        rows = pd.concat(list(batches)).sort_values(["t", "seq", "attempt"])
-        for t, c in zip(rows["t"], rows["failure_class"], strict=True):
-            if c == "success":
-                streak += 1
-                if streak >= STREAK:
-                    rate, streak = min(most, rate + STEP), 0
-            elif c == "throttled":
-                hits, streak = hits + 1, 0
-                if t - last >= COOLDOWN_S:
-                    rate, last, down = max(least, rate * FACTOR), t, down + 1
-        state.update((rate, last, streak, down, hits))
-        yield pd.DataFrame({"job_id": [key[0]], "rate": [rate], "decreases": [down], "throttle_events": [hits]})
-
-    narrow = classify(attempts).select("job_id", (F.unix_micros("ts") / 1e6).alias("t"), "seq", "attempt", "failure_class")
-    return narrow.groupBy("job_id").applyInPandasWithState(step, "job_id string, rate double, decreases long, throttle_events long", RATE_STATE, "update", GroupStateTimeout.NoTimeout)

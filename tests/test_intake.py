@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import os
 
+from pyspark.sql import functions as F
+
 from promptloom.sources import prompts as intake
 from promptloom.sources import results as logs
 
@@ -45,6 +47,41 @@ def test_array_and_format(spark, tmp_path):
     assert kinds == {"a.json": "array", "b.json": "lines", "c.json": "lines"}
 
 
+def test_arrays_of_many_files_keep_file_and_position(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"a{i}.json").write_text(json.dumps([{"id": f"{i}-{k}", "prompt": "q\n\"ü\" " * 500} for k in range(4)] + [7]))
+    rows = intake.read_prompt_array(spark, str(tmp_path)).collect()
+    assert sorted((os.path.basename(r.file), r.seq, r.item_id, len(r.prompt or "")) for r in rows) == sorted((f"a{i}.json", k, f"{i}-{k}" if k < 4 else "offset-4", 3000 if k < 4 else 0) for i in range(3) for k in range(5))
+
+
+def test_format_is_told_by_the_first_64_characters(spark, tmp_path):
+    for name, text in {"a": "\n" * 63 + "[", "b": "\n" * 64 + "[", "c": " \r\n\t[1]", "d": "x" * 70_000 + "\n[", "e e": "\n\n"}.items():
+        (tmp_path / f"{name}.json").write_text(text)
+    kinds = {os.path.basename(r.file): r.format for r in intake.detect_format(spark, str(tmp_path / "*.json")).collect()}
+    assert kinds == {"a.json": "array", "b.json": "lines", "c.json": "array", "d.json": "lines", "e e.json": "lines"}
+
+
+def test_streamed_lines_have_names_of_their_own(spark, tmp_path):
+    from promptloom.streaming import feeds
+
+    (tmp_path / "in").mkdir()
+    for i in range(2):
+        (tmp_path / "in" / f"{i}.jsonl").write_text('{"prompt": "same"}\n\n{"prompt": "same"}\n{"id": "x", "prompt": "p"}\n{broken\n')
+    rows = feeds.run_available(feeds.stream_prompts(spark, str(tmp_path / "in")), str(tmp_path / "out")).collect()
+    assert sorted(r.seq for r in rows) == [0, 0, 2, 2, 3, 3, 4, 4] and len({r.item_id for r in rows}) == 7
+    assert len({r.item_id for r in rows if r.item_id.startswith("line-")}) == 2
+
+
+def test_sliding_quota_windows(spark, tmp_path):
+    from promptloom.streaming import feeds
+
+    rows = spark.sql("SELECT 'j' AS job_id, timestamp_seconds(s) AS ts, CASE WHEN s % 20 = 0 THEN 429 ELSE 200 END AS http_status FROM (SELECT explode(sequence(600, 700, 10)) AS s) UNION ALL SELECT 'end', timestamp_seconds(90000), 200")
+    rows.write.parquet(str(tmp_path / "in"))
+    out = feeds.run_available(feeds.stream_quota_usage(feeds.stream_table(spark, str(tmp_path / "in")), "1 minute", "60 seconds", "30 seconds"), str(tmp_path / "out"))
+    got = {int(r.minute.timestamp()): (r.requests, r.throttled) for r in out.where("job_id = 'j'").collect()}
+    assert got == {w: (sum(w <= s < w + 60 for s in range(600, 701, 10)), sum(w <= s < w + 60 for s in range(600, 701, 20))) for w in range(570, 701, 30)}
+
+
 RESULTS = [("j", 0, "a", "success", "hi", 1, 2, 0.5, 1, None, None, None), ("j", 1, "b", "error", None, None, None, None, 5, "transient_exhausted", "m", None), ("k", 0, "c", "error", None, None, None, None, 1, "invalid_input", "m", 400)]
 
 
@@ -74,6 +111,18 @@ def test_export(spark):
     assert [x["item_id"] for x in json.loads("".join(r.value for r in parts))] == ["a", "b", "c"]
 
 
+def test_export_files(spark, tmp_path):
+    many = spark.range(300).select(F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("job_id"), F.col("id").alias("seq"), F.concat(F.lit("i"), "id").alias("item_id"), F.lit("success").alias("status"), F.lit('two\nlines "q"').alias("response_text"), *(F.lit(1).alias(c) for c in ("input_tokens", "output_tokens", "latency_s", "attempt", "http_status")), *(F.lit(None).cast("string").alias(c) for c in ("failure_class", "message")))
+    read = lambda name: "\n".join(p.read_text() for p in sorted((tmp_path / name).glob("part-*")))
+    logs.write_export(many.repartition(5), str(tmp_path / "array"), "array")
+    want = [f"i{i}" for i in range(300) if i % 3 == 0] + [f"i{i}" for i in range(300) if i % 3]
+    assert [x["item_id"] for x in json.loads(read("array"))] == want
+    logs.write_export(many, str(tmp_path / "lines"))
+    assert [json.loads(x)["item_id"] for x in read("lines").split("\n") if x] == want
+    logs.write_export(many.limit(0), str(tmp_path / "none"), "array")
+    assert json.loads(read("none")) == []
+
+
 def test_records(spark):
     old = spark.createDataFrame([("a", 1, {"x": 1}), ("b", 1, {})], "job_id string, updated_at int, e map<string,int>")
     new = spark.createDataFrame([("a", 2, {"y": 2})], old.schema)

@@ -6,7 +6,7 @@ from collections import deque
 
 from pyspark.sql import functions as F
 
-from promptloom.operators import ordered, policy, reporting, telemetry
+from promptloom.operators import ordered, reporting, telemetry
 
 
 def log(spark, rows):
@@ -23,23 +23,16 @@ def test_rolling_over_small_chunks_equals_a_plain_window(spark):
     assert got == {i: (i + 1, sum(range(max(0, i - 4), i + 1))) for i in range(57)}
 
 
-def test_rate_policy_golden(spark):
-    burst = [(0.0, "throttled")] * 20 + [(5.0, "throttled")]
-    r = policy.replay_rate_policy(log(spark, burst), 10.0, 0.1, 20.0).first()
-    assert (r.final_rate, r.decreases, r.throttle_events) == (5.625, 2, 21)
-    r = policy.replay_rate_policy(log(spark, [(i, "success") for i in range(50)]), 10.0, 0.1, 20.0).first()
-    assert (r.final_rate, r.increases) == (10.5, 1)
-    mixed = [(i, "success") for i in range(49)] + [(49, "invalid_input"), (50, "success")]
-    assert policy.replay_rate_policy(log(spark, mixed), 10.0, 0.1, 20.0).first().final_rate == 10.5
-    broken = [(i, "success") for i in range(49)] + [(49, "throttled")] + [(50 + i, "success") for i in range(49)]
-    assert policy.replay_rate_policy(log(spark, broken), 10.0, 0.1, 20.0).first().final_rate == 7.5
+def test_breaker_openings(spark):
+    rows = [(i, "transient") for i in range(12)] + [(20 + i, "success") for i in range(14)] + [(50 + i, "transient") for i in range(9)]
+    got = [(r.seq, round(r.failure_rate, 6)) for r in telemetry.breaker_openings(log(spark, rows)).orderBy("seq").collect()]
+    assert got == [(9, 1.0), (28, round(15 / 29, 6))]
 
 
-def test_breaker_opens_probes_and_closes(spark):
-    rows = [(i, "transient") for i in range(12)] + [(20, "success"), (45, "transient"), (60, "success"), (80, "success"), (81, "success")]
-    got = [(r.before, r.after, r.t) for r in policy.replay_breaker(log(spark, rows)).orderBy("t", "seq", F.desc("before")).collect()]
-    assert ("closed", "open", 9.0) in got and ("open", "half_open", 45.0) in got and ("half_open", "open", 45.0) in got
-    assert ("open", "half_open", 80.0) in got and ("half_open", "closed", 80.0) in got and len(got) == 5
+def test_latency_profile_by_sketches(spark):
+    df = log(spark, [(i, "success") for i in range(101)]).withColumnsRenamed({"failure_class": "outcome", "job_id": "condition"})
+    exact, near = (telemetry.latency_profile(df, exact=e).first() for e in (True, False))
+    assert (exact.n, exact.p50, exact.p95) == (101, 0.5, 0.95) and abs(near.p50 - 0.5) < 0.02 and abs(near.p95 - 0.95) < 0.02
 
 
 def test_failure_rate_matches_a_deque(spark):
