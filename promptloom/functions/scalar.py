@@ -20,17 +20,15 @@ def unit_hash(*parts: str | Column, seed: int = 0) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
 
 
-def failure_class(http_status: str | Column = "http_status", malformed: str | Column = "malformed") -> Column:
-    """struct(failure_class, max_attempts). A null status is a transport failure."""
-    status, bad = col(http_status), F.coalesce(col(malformed), F.lit(False))
+def _pair(p: tuple[str, int]) -> str:
+    return f"named_struct('failure_class', '{p[0]}', 'max_attempts', {p[1]})"
 
-    def pair(p: tuple[str, int]) -> Column:
-        return F.struct(F.lit(p[0]).alias("failure_class"), F.lit(p[1]).alias("max_attempts"))
 
-    out = F.when((status == 200) & bad, pair(MALFORMED_CLASS))
-    for code, known in STATUS_CLASSES.items():
-        out = out.when(status == code, pair(known))
-    return out.otherwise(pair(OTHER_CLASS))
+def failure_class(http_status: str = "http_status", malformed: str = "malformed") -> Column:
+    """struct(failure_class, max_attempts). A null status is a transport failure. One expression from text: a call to the JVM for
+    each part of it would take longer than a small job."""
+    known = " ".join(f"WHEN {http_status} = {code} THEN {_pair(p)}" for code, p in STATUS_CLASSES.items())
+    return F.expr(f"CASE WHEN {http_status} = 200 AND coalesce({malformed}, false) THEN {_pair(MALFORMED_CLASS)} {known} ELSE {_pair(OTHER_CLASS)} END")
 
 
 def classify(attempts: DataFrame) -> DataFrame:
@@ -38,12 +36,12 @@ def classify(attempts: DataFrame) -> DataFrame:
     return attempts.withColumn("_c", failure_class()).select("*", "_c.failure_class", "_c.max_attempts").drop("_c")
 
 
-def is_fatal(c: str | Column = "failure_class") -> Column:
-    return col(c).isin("fatal_auth", "fatal_billing")
+def is_fatal(c: str = "failure_class") -> Column:
+    return F.expr(f"{c} IN ('fatal_auth', 'fatal_billing')")
 
 
-def is_retryable(c: str | Column = "failure_class") -> Column:
-    return col(c).isin("throttled", "transient")
+def is_retryable(c: str = "failure_class") -> Column:
+    return F.expr(f"{c} IN ('throttled', 'transient')")
 
 
 def is_breaker_failure(c: str | Column = "failure_class") -> Column:
@@ -96,13 +94,17 @@ def price(model: str | Column, side: int) -> Column:
     return F.coalesce(F.try_element_at(known, F.coalesce(col(model), F.lit(DEFAULT_MODEL))), F.lit(PRICES[DEFAULT_MODEL][side]))
 
 
-def cost_nanos(input_tokens: str | Column = "input_tokens", output_tokens: str | Column = "output_tokens", model: str | Column = "model") -> Column:
+def cost_nanos(input_tokens: str = "input_tokens", output_tokens: str = "output_tokens", model: str = "model") -> Column:
     """Billionths of a dollar: whole numbers, as prices are whole thousandths a million, so that sums are exact in any order."""
-    parts = (col(n) * F.round(price(model, side) * 1000).cast("long") for side, n in enumerate((input_tokens, output_tokens)))
-    return sum(parts, F.lit(0).cast("long"))
 
+    def nanos(side: int) -> str:
+        known = " ".join(f"WHEN '{m}' THEN {round(p[side] * 1000)}" for m, p in PRICES.items())
+        return f"(CASE {model} {known} ELSE {round(PRICES[DEFAULT_MODEL][side] * 1000)} END)"
 
-def cost_usd(input_tokens: str | Column = "input_tokens", output_tokens: str | Column = "output_tokens", model: str | Column = "model") -> Column:
+    return F.expr(f"CAST({input_tokens} * {nanos(0)} + {output_tokens} * {nanos(1)} AS BIGINT)")
+
+
+def cost_usd(input_tokens: str = "input_tokens", output_tokens: str = "output_tokens", model: str = "model") -> Column:
     return cost_nanos(input_tokens, output_tokens, model) / 1e9
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptloom.functions.scalar import classify, unit_hash
+from promptloom.functions.scalar import classify
 
 #: What answers offline, and the share of attempts that get it; the others are answered well.
 SHARES = {"error": 0.0, "timeout": 0.05, "429": 0.2, "500": 0.2, "400": 0.05, "malformed": 0.05}
@@ -24,27 +24,25 @@ def shares(**changed: float) -> dict[str, tuple[float, float]]:
 def respond_offline(df: DataFrame, seed: int = SEED, attempt: str = "attempt", chars: Column | None = None, **changed: float) -> DataFrame:
     """df (prompts with an attempt) with RESPONSES, for queries and tests without a network: one number in [0, 1), which hangs on
     the seed, the item and the attempt alone, tells the kind of answer. changed: other shares, as p_429=0.5."""
+    def u(kind: str) -> str:
+        return f"(CAST(conv(substring(md5(concat_ws('|', '{seed}', item_id, {attempt}, '{kind}')), 1, 8), 16, 10) AS BIGINT) / 4294967296.0D)"
+
     parts = shares(**{k.removeprefix("p_"): v for k, v in changed.items()})
-    u = unit_hash("item_id", attempt, F.lit("kind"), seed=seed)
-    x = df.withColumn("_u", u)
-    hit = lambda kind: (F.col("_u") >= parts[kind][0]) & (F.col("_u") < parts[kind][1])
-    code = F.when(hit("error"), -2).when(hit("timeout"), -1).when(hit("429"), 429).when(hit("500"), 500).when(hit("400"), 400).otherwise(200)
-    x = x.withColumn("_code", code)
-    ok = F.col("_code") == 200
-    half = F.greatest(F.lit(1), F.floor(F.col("max_tokens") / 2))
-    length = F.least(F.col("max_tokens").cast("long"), half + F.floor(unit_hash("item_id", attempt, F.lit("length"), seed=seed) * (F.col("max_tokens") - half + 1)))
-    none = F.lit(0).cast("long")
+    kind = " ".join(f"WHEN _u >= {lo}D AND _u < {hi}D THEN '{k}'" for k, (lo, hi) in parts.items())
+    x = df.withColumn("_u", F.expr(u("kind"))).withColumn("_kind", F.expr(f"CASE {kind} ELSE 'good' END"))
+    ok = "_kind IN ('good', 'malformed')"
+    half = "greatest(1, max_tokens div 2)"
     return x.withColumns(
         {
-            "http_status": F.when(F.col("_code") > 0, F.col("_code")),
-            "transport_error": F.when(F.col("_code") == -2, "offline").when(F.col("_code") == -1, "timeout"),
-            "malformed": hit("malformed"),
-            "response_text": F.when(ok, F.when(hit("malformed"), "").otherwise(F.concat(F.lit("reply to "), "item_id"))),
-            "input_tokens": F.when(ok, F.greatest(F.lit(1), F.floor((F.length("prompt") if chars is None else chars) / 4))).otherwise(none).cast("long"),
-            "output_tokens": F.when(ok, length).otherwise(none).cast("long"),
+            "http_status": F.expr(f"CASE WHEN {ok} THEN 200 WHEN _kind IN ('429', '500', '400') THEN CAST(_kind AS INT) END"),
+            "transport_error": F.expr("CASE _kind WHEN 'error' THEN 'offline' WHEN 'timeout' THEN 'timeout' END"),
+            "malformed": F.expr("_kind = 'malformed'"),
+            "response_text": F.expr("CASE _kind WHEN 'good' THEN concat('reply to ', item_id) WHEN 'malformed' THEN '' END"),
+            "input_tokens": F.when(F.expr(ok), F.greatest(F.lit(1), F.floor((F.length("prompt") if chars is None else chars) / 4))).otherwise(F.lit(0)).cast("long"),
+            "output_tokens": F.expr(f"CASE WHEN {ok} THEN least(CAST(max_tokens AS BIGINT), {half} + floor({u('length')} * (max_tokens - {half} + 1))) ELSE 0L END"),
             "latency_s": F.lit(0.0),
         }
-    ).drop("_u", "_code")
+    ).drop("_u", "_kind")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

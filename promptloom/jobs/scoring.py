@@ -6,12 +6,12 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from promptloom.functions.scalar import classify, cost_nanos, is_fatal, retry_limit
 from promptloom.operators.ordered import numbered
-from promptloom.operators.outcomes import ABORTED_MESSAGE, BUDGET_MESSAGE, CANCELLED_MESSAGE, EXHAUSTED_MESSAGE, ends_item, outcome_columns, pending_prompts, same
+from promptloom.operators.outcomes import ABORTED_MESSAGE, BUDGET_MESSAGE, CANCELLED_MESSAGE, ENDS_ITEM, EXHAUSTED_MESSAGE, ends_item, outcome_columns, pending_prompts, same
 from promptloom.operators.telemetry import spend_reason
 from promptloom.schemas import MAX_WAVES
 
@@ -91,26 +91,21 @@ def _slices(prompts: DataFrame, path: str, policy: Policy) -> list[DataFrame]:
 
 def _jobs(made: DataFrame, before: DataFrame | None, first: bool, step: int, last: bool, policy: Policy) -> DataFrame:
     """A row a job after a step: n (items taken in), done, nanos (spent), wants (items that wait for a retry), used (retries
-    granted so far), grant (how many of those that wait get one), stop_class and stop_message."""
-    zero = F.lit(0).cast("long")
-    paid = F.when(F.col("failure_class") == "success", cost_nanos()).otherwise(zero)
+    granted so far), grant (how many of those that wait get one), left (retries after that), stop_class and stop_message."""
     x = made.groupBy("job_id").agg(
         F.count("*").alias("rows"),
         F.count_if(ends_item()).alias("ended"),
-        F.sum(paid).alias("paid"),
+        F.sum(F.when(F.expr("failure_class = 'success'"), cost_nanos())).alias("paid"),
         F.min_by(F.struct("failure_class", "http_status"), F.when(is_fatal(), F.col("seq"))).alias("fatal"),
     )
-    names = ("n", "done", "nanos", "wants", "used", "grant", "stop_class", "stop_message")
     if before is None:
-        x = x.withColumns({b: F.lit(None).cast("string") if b.startswith("stop") else zero for b in names})
+        x = x.selectExpr("*", *(f"0L AS {c}" for c in ("n", "done", "nanos", "wants", "used", "grant", "left")), "CAST(NULL AS STRING) AS stop_class", "CAST(NULL AS STRING) AS stop_message")
     else:
         x = before.withColumnRenamed("job_id", "_job").join(x, same("_job", "job_id"), "left").drop("job_id").withColumnRenamed("_job", "job_id")
-    rows, ended, spent = (F.coalesce(c, zero) for c in ("rows", "ended", "paid"))
+    rows, ended, spent = (f"coalesce({c}, 0L)" for c in ("rows", "ended", "paid"))
     # the first attempts so far are counted anew; a later wave adds to what was done, as do those that got no retry
-    n = rows if first else F.col("n")
-    done = ended if first else F.col("done") + F.col("wants") - F.col("grant") + ended
-    nanos = spent if first else F.col("nanos") + spent
-    x = x.select("job_id", n.alias("n"), done.alias("done"), nanos.alias("nanos"), (rows - ended).alias("wants"), "used", "fatal", "stop_class", "stop_message")
+    counts = (rows, ended, spent) if first else ("n", f"done + wants - grant + {ended}", f"nanos + {spent}")
+    x = x.selectExpr("job_id", *(f"{c} AS {k}" for c, k in zip(counts, ("n", "done", "nanos"), strict=True)), f"{rows} - {ended} AS wants", "used", "fatal", "stop_class", "stop_message")
 
     stops: list[tuple[Column, Column, Column]] = []
     jobs = list(policy.cancelled(step)) if policy.cancelled else []
@@ -121,40 +116,53 @@ def _jobs(made: DataFrame, before: DataFrame | None, first: bool, step: int, las
         cost = F.col("nanos") / 1e9
         projected = cost / F.greatest(F.col("done"), F.lit(1)) * F.greatest("n", "done")
         stops.append(((F.col("done") > 0) & ((cost >= policy.spend_cap) | (projected >= policy.spend_cap)), F.lit("fatal_auth"), spend_reason(cost, projected, policy.spend_cap)))
-    found = F.when(F.col("stop_class").isNotNull(), F.struct("stop_class", "stop_message"))
+    found = F.when(F.expr("stop_class IS NOT NULL"), F.struct("stop_class", "stop_message"))
     for when, kind, text in stops:
         found = found.when(when, F.struct(kind.alias("stop_class"), text.alias("stop_message")))
-    x = x.withColumn("_s", found).withColumns({"stop_class": F.col("_s.stop_class"), "stop_message": F.col("_s.stop_message")})
-    left = F.greatest(zero, retry_limit("n", policy.budget_share) - F.col("used"))
-    grant = zero if last else F.when(F.col("stop_class").isNull(), F.least("wants", left)).otherwise(zero)
-    return x.withColumn("grant", grant).withColumn("used", F.col("used") + F.col("grant")).select("job_id", *names)
+    x = x.withColumn("_s", found).withColumn("_limit", retry_limit("n", policy.budget_share))
+    grant = "0L" if last else "CASE WHEN _s IS NULL THEN least(wants, greatest(0L, _limit - used)) ELSE 0L END"
+    left = "0L" if last else f"IF(_s IS NULL, greatest(0L, _limit - used - {grant}), 0L)"
+    return x.selectExpr("job_id", "n", "done", "nanos", "wants", f"used + {grant} AS used", f"{grant} AS grant", f"{left} AS left", "_s.stop_class", "_s.stop_message")
 
 
-def _refused(waiting: DataFrame, worn: bool) -> dict[str, Column]:
+def _total(jobs: DataFrame) -> Row:
+    """Of all jobs: items that wait, retries granted and left, and the most that wait in a job where only some get one."""
+    return jobs.selectExpr("sum(wants) AS wants", "sum(grant) AS grants", "sum(left) AS left", "max(IF(grant > 0 AND grant < wants, wants, NULL)) AS partial").first()
+
+
+def _later(wave: DataFrame, jobs: DataFrame, total: Row, step: int, last: bool, path: str, policy: Policy) -> tuple[DataFrame, Row]:
+    """The rows of jobs and their total after a later wave. Where no retry is left and no job can stop, one count tells all."""
+    if not total["left"] and policy.spend_cap is None and not policy.cancelled:
+        seen = wave.selectExpr(f"count_if(NOT {ENDS_ITEM}) AS wants", "count_if(failure_class IN ('fatal_auth', 'fatal_billing')) AS fatal").first()
+        if not seen["fatal"]:
+            return jobs.withColumn("grant", F.lit(0).cast("long")), Row(wants=seen["wants"], grants=0, left=0, partial=None)
+    jobs = _stored(wave.sparkSession, _jobs(wave, jobs, False, step, last, policy), f"{path}/jobs/step={step}")
+    return jobs, _total(jobs)
+
+
+def _refused(worn: bool) -> dict[str, Column]:
     """Columns of items that get no retry: their job was stopped, its retries are used up, or (worn) no wave is left."""
-    stop = F.col("stop_class").isNotNull()
     return {
         "status": F.lit("error"),
-        "final_class": F.coalesce("stop_class", F.lit("transient_exhausted")),
+        "final_class": F.expr("coalesce(stop_class, 'transient_exhausted')"),
         "message": F.coalesce("stop_message", F.lit(EXHAUSTED_MESSAGE if worn else BUDGET_MESSAGE)),
-        "http_status": F.when(~stop, F.col("http_status")),
+        "http_status": F.expr("IF(stop_class IS NULL, http_status, NULL)"),
     }
 
 
 def _checked(taken: DataFrame, results: DataFrame) -> None:
     """Raise unless both have the same items equally often: counts and order-free checksums of the keys of each job."""
-    key = F.xxhash64("job_id", "item_id")
-    low = F.sum(key.bitwiseAND((1 << 32) - 1))
-    sides = [df.groupBy("job_id").agg(F.count("*").alias("n"), low.alias("low"), F.bit_xor(key).alias("xor")) for df in (taken, results)]
-    both = sides[0].unionByName(sides[1]).groupBy("job_id", "n", "low", "xor").agg(F.count("*").alias("sides")).where("sides <> 2")
-    odd = [r.job_id for r in both.select("job_id").distinct().limit(10).collect()]
+    key = "xxhash64(job_id, item_id)"
+    sides = taken.selectExpr("job_id", "1L AS side", f"{key} AS key").unionByName(results.selectExpr("job_id", "-1L AS side", f"{key} AS key"))
+    sums = [F.expr(x) for x in ("sum(side) AS n", "sum(side * (key & 4294967295L)) AS low", "bit_xor(key) AS xor")]
+    odd = [r.job_id for r in sides.groupBy("job_id").agg(*sums).where("n <> 0 OR low <> 0 OR xor <> 0").select("job_id").limit(10).collect()]
     if odd:
         raise NotConserved(f"items taken in and results differ in {', '.join(map(str, odd))}")
 
 
 def score(prompts: DataFrame, attempt: Attempt, path: str, policy: Policy | None = None) -> Scored:
     """prompts: PROMPTS. attempt(df) makes one attempt for each row and adds RESPONSES. Tables below path: slices, attempts of each
-    wave, a row a job after each step, and what was decided about the items that wait for a retry.
+    wave, and a row a job after a step. What is decided between waves follows from these tables alone.
 
     A wave sees only the rows that the last one left, and the driver holds none of them. A job stops when it is cancelled, at a
     fatal response or when its spending reaches the cap, whichever is seen first after a step: items that wait end in that class
@@ -172,51 +180,53 @@ def score(prompts: DataFrame, attempt: Attempt, path: str, policy: Policy | None
             part = part.join(halted, same("job_id", "_job"), "left_anti")
         firsts.append(_stored(spark, _made(part.withColumn("attempt", F.lit(1)), attempt), f"{path}/attempts/wave=1-{s}"))
         taken.append(part.select("job_id", "item_id"))
-        begun = jobs.select("job_id", *(F.lit(0).cast("long").alias(c) if c in ("wants", "used", "grant") else c for c in jobs.columns[1:])) if jobs is not None else None
+        begun = jobs.select("job_id", *(F.lit(0).cast("long").alias(c) if c in ("wants", "used", "grant", "left") else c for c in jobs.columns[1:])) if jobs is not None else None
         jobs = _stored(spark, _jobs(_union(firsts), begun, True, step, policy.waves <= 1, policy), f"{path}/jobs/step={step}")
         step += 1
 
     wave, attempts, outcomes, ingested = _union(firsts), [*firsts], [], jobs.select("job_id", "n")
-    kept = wave.columns
+    kept, total = wave.columns, None
     for k in range(1, policy.waves + 1):
         outcomes.append(wave.where(ends_item()).withColumns(outcome_columns()))
-        total = jobs.agg(F.sum("wants").alias("wants"), F.sum("grant").alias("grants"), F.max(F.when((F.col("grant") > 0) & (F.col("grant") < F.col("wants")), F.col("wants"))).alias("partial")).first()
+        if k > 1:
+            jobs, total = _later(wave, jobs, total, step, k == policy.waves, path, policy)
+            step += 1
+        else:
+            total = _total(jobs)
         if not total["wants"]:
             break
         told = jobs.select(F.col("job_id").alias("_job"), "grant", "stop_class", "stop_message")
         waiting = wave.where(~ends_item()).join(told, same("job_id", "_job")).drop("_job")
+        lost = waiting
+        if total["grants"]:
+            # equal rows aside, ranks are the same whenever they are computed
+            order = ("seq", "item_id", F.xxhash64(*kept))
+            if total["partial"] is None:
+                granted = F.col("grant") > 0
+            elif total["partial"] <= WINDOW_ROWS:
+                waiting = waiting.withColumn("_rank", F.row_number().over(Window.partitionBy("job_id").orderBy(*order)))
+                granted = F.col("_rank") <= F.col("grant")
+            else:
+                waiting = numbered(waiting, ["job_id"], F.floor(F.col("seq") / RANGE_ROWS), order, "_rank")
+                granted = F.col("_rank") <= F.col("grant")
+            again = waiting.where(granted).select(*prompts.columns, (F.col("attempt") + 1).alias("attempt"))
+            wave = _stored(spark, _made(again, attempt), f"{path}/attempts/wave={k + 1}")
+            attempts.append(wave)
+            lost = waiting.where(~granted)
+        outcomes.append(lost.withColumns(_refused(k == policy.waves)).select(*kept, "status", "final_class", "message"))
         if not total["grants"]:
-            outcomes.append(waiting.withColumns(_refused(waiting, k == policy.waves)).drop("grant", "stop_class", "stop_message"))
             break
-        if total["partial"] is None:
-            granted = F.col("grant") > 0
-        elif total["partial"] <= WINDOW_ROWS:
-            granted = F.row_number().over(Window.partitionBy("job_id").orderBy("seq", "item_id")) <= F.col("grant")
-        else:
-            waiting, granted = numbered(waiting, ["job_id"], F.floor(F.col("seq") / RANGE_ROWS), ["seq", "item_id"], "_rank"), F.col("_rank") <= F.col("grant")
-        decided = waiting.withColumn("granted", granted).withColumn("prompt", F.when(F.col("granted"), F.col("prompt")))
-        decided = _stored(spark, decided.select(*kept, "stop_class", "stop_message", "granted"), f"{path}/decided/wave={k}")
-        lost = decided.where("not granted")
-        outcomes.append(lost.withColumns(_refused(lost, False)).drop("granted", "stop_class", "stop_message"))
-        again = decided.where("granted").select(*prompts.columns, (F.col("attempt") + 1).alias("attempt"))
-        wave = _stored(spark, _made(again, attempt), f"{path}/attempts/wave={k + 1}")
-        attempts.append(wave)
-        jobs = _stored(spark, _jobs(wave, jobs, False, step, k + 1 >= policy.waves, policy), f"{path}/jobs/step={step}")
-        step += 1
-    good = F.col("status") == "success"
-    results = _union(outcomes).select(
+    good = "IF(status = 'success', {0}, NULL) AS {0}"
+    results = _union(outcomes).selectExpr(
         "job_id",
         "seq",
         "item_id",
         "status",
-        F.when(good, F.col("response_text")).alias("response_text"),
-        F.when(good, F.col("input_tokens")).alias("input_tokens"),
-        F.when(good, F.col("output_tokens")).alias("output_tokens"),
-        F.when(good, F.col("latency_s")).alias("latency_s"),
+        *(good.format(c) for c in ("response_text", "input_tokens", "output_tokens", "latency_s")),
         "attempt",
-        F.col("final_class").alias("failure_class"),
+        "final_class AS failure_class",
         "message",
-        F.when(~good, F.col("http_status")).alias("http_status"),
+        "IF(status = 'success', NULL, http_status) AS http_status",
     )
     if policy.audit:
         _checked(_union(taken), results)

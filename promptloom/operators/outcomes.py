@@ -32,20 +32,22 @@ def _named(df: DataFrame, *more: str) -> DataFrame:
 _SAME_KEY = ("job_id", "_job", "item_id", "_item")
 
 
+ENDS_ITEM = "(failure_class NOT IN ('throttled', 'transient') OR attempt >= max_attempts)"
+
+
 def ends_item() -> Column:
     """Whether an attempt is its item's last: a success, a class that isn't retried, or the last attempt that its class allows."""
-    return ~is_retryable() | (F.col("attempt") >= F.col("max_attempts"))
+    return F.expr(ENDS_ITEM)
 
 
 def outcome_columns(exhausted_message: Column | None = None, code: Column | None = None) -> dict[str, Column]:
     """status, final_class and message of a terminal attempt. code: its HTTP status."""
-    good, worn = F.col("failure_class") == "success", is_retryable()
+    code = F.col("http_status") if code is None else code
+    worn = F.lit(EXHAUSTED_MESSAGE) if exhausted_message is None else exhausted_message
     return {
-        "status": F.when(good, "success").otherwise("error"),
-        "final_class": F.when(good, F.lit(None).cast("string")).when(worn, "transient_exhausted").otherwise(F.col("failure_class")),
-        "message": F.when(is_fatal(), F.concat(F.lit(FATAL_MESSAGE), F.coalesce((F.col("http_status") if code is None else code).cast("string"), F.lit("None")))).when(
-            ~good, F.lit(EXHAUSTED_MESSAGE) if exhausted_message is None else exhausted_message
-        ),
+        "status": F.expr("CASE WHEN failure_class = 'success' THEN 'success' ELSE 'error' END"),
+        "final_class": F.expr("CASE WHEN failure_class = 'success' THEN NULL WHEN failure_class IN ('throttled', 'transient') THEN 'transient_exhausted' ELSE failure_class END"),
+        "message": F.when(is_fatal(), F.concat(F.lit(FATAL_MESSAGE), F.coalesce(code.cast("string"), F.lit("None")))).when(F.expr("failure_class <> 'success'"), worn),
     }
 
 
