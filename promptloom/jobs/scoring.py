@@ -18,6 +18,8 @@ from promptloom.schemas import MAX_WAVES
 Attempt = Callable[[DataFrame], DataFrame]
 #: Waiting rows of a job up to which one window ranks them; more are ranked by ranges of seq. Rows of such a range.
 WINDOW_ROWS, RANGE_ROWS = 1_000_000, 100_000
+#: Jobs whose rows pass through the driver between steps.
+DRIVER_JOBS = 10_000
 #: How many times as many first attempts the next slice of a job has.
 GROWTH = 10
 
@@ -125,9 +127,19 @@ def _jobs(made: DataFrame, before: DataFrame | None, first: bool, step: int, las
     return x.selectExpr("job_id", "n", "done", "nanos", "wants", f"used + {grant} AS used", f"{grant} AS grant", f"{left} AS left", "_s.stop_class", "_s.stop_message")
 
 
-def _total(jobs: DataFrame) -> Row:
-    """Of all jobs: items that wait, retries granted and left, and the most that wait in a job where only some get one."""
-    return jobs.selectExpr("sum(wants) AS wants", "sum(grant) AS grants", "sum(left) AS left", "max(IF(grant > 0 AND grant < wants, wants, NULL)) AS partial").first()
+def _settled(jobs: DataFrame, path: str, policy: Policy) -> tuple[DataFrame, Row]:
+    """The rows of jobs, for good, and of all of them: items that wait, retries granted and left, and the most that wait in a job
+    where only some get one. Up to DRIVER_JOBS rows pass through the driver, as they follow from written attempts; more, and any
+    in which cancelling may have had a part, are written."""
+    spark = jobs.sparkSession
+    if not policy.cancelled:
+        few = jobs.limit(DRIVER_JOBS + 1).toArrow()
+        if few.num_rows <= DRIVER_JOBS:
+            rows = few.select(["wants", "grant", "left"]).to_pylist()
+            partial = max((r["wants"] for r in rows if 0 < r["grant"] < r["wants"]), default=None)
+            return spark.createDataFrame(few, jobs.schema), Row(wants=sum(r["wants"] for r in rows), grants=sum(r["grant"] for r in rows), left=sum(r["left"] for r in rows), partial=partial)
+    jobs = _stored(spark, jobs, path)
+    return jobs, jobs.selectExpr("sum(wants) AS wants", "sum(grant) AS grants", "sum(left) AS left", "max(IF(grant > 0 AND grant < wants, wants, NULL)) AS partial").first()
 
 
 def _later(wave: DataFrame, jobs: DataFrame, total: Row, step: int, last: bool, path: str, policy: Policy) -> tuple[DataFrame, Row]:
@@ -136,8 +148,7 @@ def _later(wave: DataFrame, jobs: DataFrame, total: Row, step: int, last: bool,
         seen = wave.selectExpr(f"count_if(NOT {ENDS_ITEM}) AS wants", "count_if(failure_class IN ('fatal_auth', 'fatal_billing')) AS fatal").first()
         if not seen["fatal"]:
             return jobs.withColumn("grant", F.lit(0).cast("long")), Row(wants=seen["wants"], grants=0, left=0, partial=None)
-    jobs = _stored(wave.sparkSession, _jobs(wave, jobs, False, step, last, policy), f"{path}/jobs/step={step}")
-    return jobs, _total(jobs)
+    return _settled(_jobs(wave, jobs, False, step, last, policy), f"{path}/jobs/step={step}", policy)
 
 
 def _refused(worn: bool) -> dict[str, Column]:
@@ -173,7 +184,7 @@ def score(prompts: DataFrame, attempt: Attempt, path: str, policy: Policy | None
     slices = _slices(prompts, path, policy)
     firsts: list[DataFrame] = []
     taken: list[DataFrame] = []
-    jobs: DataFrame | None = None
+    jobs, total = None, Row(wants=0, grants=0, left=0, partial=None)
     for s, part in enumerate(slices):
         if jobs is not None:
             halted = jobs.where("stop_class is not null").select(F.col("job_id").alias("_job"))
@@ -181,18 +192,16 @@ def score(prompts: DataFrame, attempt: Attempt, path: str, policy: Policy | None
         firsts.append(_stored(spark, _made(part.withColumn("attempt", F.lit(1)), attempt), f"{path}/attempts/wave=1-{s}"))
         taken.append(part.select("job_id", "item_id"))
         begun = jobs.select("job_id", *(F.lit(0).cast("long").alias(c) if c in ("wants", "used", "grant", "left") else c for c in jobs.columns[1:])) if jobs is not None else None
-        jobs = _stored(spark, _jobs(_union(firsts), begun, True, step, policy.waves <= 1, policy), f"{path}/jobs/step={step}")
+        jobs, total = _settled(_jobs(_union(firsts), begun, True, step, policy.waves <= 1, policy), f"{path}/jobs/step={step}", policy)
         step += 1
 
     wave, attempts, outcomes, ingested = _union(firsts), [*firsts], [], jobs.select("job_id", "n")
-    kept, total = wave.columns, None
+    kept = wave.columns
     for k in range(1, policy.waves + 1):
         outcomes.append(wave.where(ends_item()).withColumns(outcome_columns()))
         if k > 1:
             jobs, total = _later(wave, jobs, total, step, k == policy.waves, path, policy)
             step += 1
-        else:
-            total = _total(jobs)
         if not total["wants"]:
             break
         told = jobs.select(F.col("job_id").alias("_job"), "grant", "stop_class", "stop_message")
@@ -200,7 +209,7 @@ def score(prompts: DataFrame, attempt: Attempt, path: str, policy: Policy | None
         lost = waiting
         if total["grants"]:
             # equal rows aside, ranks are the same whenever they are computed
-            order = ("seq", "item_id", F.xxhash64(*kept))
+            order = ("seq", "item_id", F.xxhash64("prompt", "http_status", "response_text", "latency_s"))
             if total["partial"] is None:
                 granted = F.col("grant") > 0
             elif total["partial"] <= WINDOW_ROWS:
