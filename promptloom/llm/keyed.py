@@ -11,14 +11,32 @@ from pyspark.sql import functions as F
 from promptloom.llm.common import write_table
 
 
+#: Ids that are null or repeated: up to so many are sent to all executors; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
+_ROOM = 1 << 62
+
+
 def with_key(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """rows with a unique `key` (long). It is the id; where ids are null or repeated, rows are numbered in the order of ids (nulls
-    first) and written once, so that every stage sees the same keys. rows have no column `key` of their own."""
-    odd = rows.groupBy(id_col).agg(F.count("*").alias("n")).where((F.col("n") > 1) | F.col(id_col).isNull())
+    """rows with a unique `key` (long). It is the id. Rows whose id is null or repeated get keys above all ids, in the order of
+    their ids (nulls first; equal ones in a fixed order): only these rows are sorted, and written once, so that every stage sees
+    the same keys. Where ids leave no room above, all rows are numbered so. rows have no column `key` of their own."""
+    ids = rows.select(F.col(id_col).cast("long").alias("_id"))
+    odd = ids.groupBy("_id").agg(F.count("*").alias("n")).where((F.col("n") > 1) | F.col("_id").isNull()).select("_id")
     if odd.isEmpty():
         return rows.withColumn("key", F.col(id_col).cast("long"))
-    ordered = rows.orderBy(id_col, F.xxhash64(*rows.columns))
-    return write_table(ordered.withColumn("key", F.monotonically_increasing_id()), "keyed")
+    odd, own = write_table(odd, "odd-ids"), F.col(id_col).cast("long")
+    top = ids.agg(F.max("_id")).first()[0]
+    top = -1 if top is None else top
+    named = odd.where("_id is not null")
+    named = F.broadcast(named) if named.count() <= BROADCAST_IDS else named
+    if top < _ROOM:
+        plain = rows.where(own.isNotNull()).join(named, own == F.col("_id"), "left_anti").withColumn("key", own)
+        rest = rows.where(own.isNull()).unionByName(rows.join(named, own == F.col("_id"), "left_semi"))
+    else:
+        plain, rest, top = None, rows, -1
+    ordered = rest.orderBy(id_col, F.xxhash64(*rows.columns))
+    rest = write_table(ordered.withColumn("key", F.monotonically_increasing_id() + F.lit(top + 1).cast("long")), "keyed")
+    return rest if plain is None else plain.unionByName(rest)
 
 
 def keyed_docs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -54,6 +72,15 @@ def from_planes(data: bytes) -> np.ndarray:
     return out.view("<u8").reshape(-1)
 
 
+def to_steps(ascending: np.ndarray) -> bytes:
+    """Ascending 64-bit integers as the byte planes of their steps."""
+    return to_planes(np.diff(ascending, prepend=ascending.dtype.type(0)))
+
+
+def from_steps(data: bytes) -> np.ndarray:
+    return np.cumsum(from_planes(data), dtype=np.uint64)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit (the finalizer of splitmix64)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from promptloom.llm.common import path_exists
+from promptloom.llm.common import path_exists, write_table
 from promptloom.llm.tokens import token_ids, version_digest
 
 #: Up to so many missing digests (of 32 bytes) are sent to all executors; more are joined by a shuffle.
@@ -46,11 +46,9 @@ def token_counts(docs: DataFrame, tokenizer: str, cache_dir: str, id_col: str =
     known = None
     if path_exists(spark, cache_path):
         known = spark.read.schema(schema).parquet(cache_path)
-        missing = keyed.select("digest").distinct().join(known, "digest", "left_anti").persist()
-        n = missing.count()
-        if n <= BROADCAST_DIGESTS:
+        missing = write_table(keyed.select("digest").distinct().join(known, "digest", "left_anti"), "missing")
+        if missing.count() <= BROADCAST_DIGESTS:
             wanted, known = keyed.join(F.broadcast(missing), "digest", "left_semi"), None
-        missing.unpersist()
     once = wanted.groupBy("digest").agg(F.any_value("text").alias("text"))
     if known is not None:
         once = once.join(known, "digest", "left_anti")
