@@ -1,4 +1,6 @@
-"""A training corpus from documents: quality rules, line dedup, near duplicates, repeated passages, packing."""
+"""A training corpus from documents: quality rules, line dedup, near duplicates, repeated passages, packing.
+
+Every stage takes and gives the columns of documents, whatever other columns its input has; an empty table gives no rows."""
 
 from __future__ import annotations
 
@@ -32,7 +34,7 @@ def _with_text(rows: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep; of repeated ids, the rows that they keep."""
+    """Documents that the quality rules keep. Rows with repeated or null ids are judged one by one; null and empty texts go."""
     rows = _rows(docs)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").join(rows.select("doc_id", "key"), "doc_id").select(F.col("key").alias("doc_id"), "quality")
     kept = quality_rules(rows.select(F.col("key").alias("doc_id"), "text", "lang"), labels).where("kept").select(F.col("doc_id").alias("key"))
@@ -40,7 +42,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines whose templates recur; those that lose all their words by it go."""
+    """Documents without the lines whose templates recur; those that lose all their words by it go. Rows with repeated or null ids
+    are different documents; null and empty texts stay, empty."""
     rows = _rows(docs)
     out = line_dedup(rows.select(F.col("key").alias("row"), "text"), "row", find=recurring_lines)
     stays = (F.col("n_dropped") == 0) | F.col("text").rlike(WORD)
@@ -48,7 +51,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the document with the smallest id."""
+    """Of each group of near duplicates, the document with the smallest id. Rows with repeated or null ids are different documents,
+    after the others; null and empty texts are like nothing and stay."""
     rows = _rows(docs)
     groups = jaccard_groups(rows.select(F.col("key").alias("row"), "text"), id_col="row")
     first = groups.where("doc_id = component_id").select(F.col("doc_id").alias("key"))
@@ -57,7 +61,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that occur earlier; bytes that are no whole character after a cut go with them, and so do
-    documents of which nothing is left."""
+    documents of which nothing is left. Rows with repeated or null ids are different documents, after the others; null and empty
+    texts stay, empty."""
     rows = _rows(docs)
     out = suffix_dedup(rows.select(F.col("key").alias("row"), "text"), id_col="row")
     kept = F.col("kept").cast("string")
@@ -67,7 +72,8 @@ def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of at most 2048 tokens."""
+    """Pieces of documents in sequences of at most 2048 tokens; null and empty texts are a document of the end id alone; rows with
+    repeated or null ids are packed like others."""
     pieces = pack(docs, public_tokenizers.path("word_bpe_49k.json"), 1, 2048)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
