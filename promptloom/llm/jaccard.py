@@ -12,16 +12,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from promptloom.llm.common import write_table
-from promptloom.llm.keyed import bucket_bits, from_planes, in_larger_runs, keyed_docs, mix, release, runs, segments, to_planes
+from promptloom.llm.keyed import bucket_bits, from_planes, from_steps, in_larger_runs, keyed_docs, mix, release, runs, segments, to_planes, to_steps
 from promptloom.llm.trie import Trie
 
 WORDS, SHARE = 5, 80
-#: Bits of a shingle's hash that are kept besides its bucket; bytes of text that a map task looks at together; documents of a
-#: chunk; sets of one star's cell and of one block.
-KEY_BITS, CHUNK_BYTES, CHUNK_DOCS, STAR_SETS, BLOCK_SETS = 40, 16 << 20, 2000, 256, 4096
+#: Bytes of hashes that a map task looks at together; documents of a chunk; sets of one star's cell; sets and bytes of one block.
+CHUNK_BYTES, CHUNK_DOCS, STAR_SETS, BLOCK_SETS, BLOCK_BYTES = 16 << 20, 2000, 256, 4096, 16 << 20
 STARS = 2
-#: Counts of a set's tokens by hash that stand for it in blocks.
-CELLS = 128
+#: Counts of a set's tokens by hash that stand for it in blocks; how many are added up for a first look.
+CELLS, COARSE = 512, 4
 
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -47,25 +46,25 @@ DOC, ENTRY, KNOWN, SEEN = range(4)
 def _bucketed(bits: int):
     """Texts -> a DOC row each, and for every bucket of a chunk of texts the shingles in it: ENTRY (shingle, document) for
     those of one document of the chunk, SEEN (shingle) for those of several, whose documents are KNOWN to share them."""
-    shift, buckets = np.uint64(64 - bits - KEY_BITS), 1 << bits
+    low, buckets = np.uint64(64 - bits), 1 << bits
 
     def blobs(keys: list[np.ndarray], docs: list[int]) -> Iterator[tuple]:
-        key = np.concatenate(keys) >> shift
+        key = np.concatenate(keys)
         doc = np.repeat(np.array(docs, np.int64), [len(k) for k in keys])
         order = np.argsort(key, kind="stable")
         key, doc = key[order], doc[order]
         many = in_larger_runs(key)
         for kind, k, d, bucket in (
-            (ENTRY, key[~many], doc[~many], (key[~many] >> np.uint64(KEY_BITS)).astype(np.int64)),
-            (SEEN, key[many][runs(key[many])], None, (key[many][runs(key[many])] >> np.uint64(KEY_BITS)).astype(np.int64)),
+            (ENTRY, key[~many], doc[~many], (key[~many] >> low).astype(np.int64)),
+            (SEEN, key[many][runs(key[many])], None, (key[many][runs(key[many])] >> low).astype(np.int64)),
             (KNOWN, key[many], doc[many], (mix(doc[many].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)),
         ):
             if kind == KNOWN:
                 order = np.argsort(bucket, kind="stable")
                 k, d, bucket = k[order], d[order], bucket[order]
             for a, b in segments(bucket):
-                part = k[a:b] & np.uint64((1 << KEY_BITS) - 1) if kind != KNOWN else k[a:b]
-                yield int(bucket[a]), kind, None, None, None, None, to_planes(part), to_planes(d[a:b].view(np.uint64)) if d is not None else None
+                part = k[a:b] - (np.uint64(bucket[a]) << low) if kind != KNOWN else k[a:b]
+                yield int(bucket[a]), kind, None, None, None, None, to_steps(part), to_planes(d[a:b].view(np.uint64)) if d is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, ids, rows, size = [], [], [], 0
@@ -95,7 +94,7 @@ def _mapped(rows: list[tuple]) -> pa.RecordBatch:
 SHARED = "chunk int, key long, doc_id long, n long, digest binary, blob binary, docs binary"
 
 
-def _shared(chunks: int):
+def _shared(bits: int, chunks: int):
     """A bucket -> its shingles that several documents have, dealt by the chunks of the documents; DOC rows go on."""
 
     columns = ["chunk", "key", "doc_id", "n", "digest", "blob", "docs"]
@@ -107,11 +106,11 @@ def _shared(chunks: int):
         if len(docs):
             chunk = chunk_of(docs["key"].to_numpy(np.int64)).astype(np.int64)
             out += zip(chunk.tolist(), docs["key"], docs["doc_id"], docs["n"], docs["digest"], docs["blob"], docs["docs"], strict=True)
-        top = np.uint64(bucket << KEY_BITS)
+        top = np.uint64(bucket << (64 - bits))
         entry, seen, known = (pdf[pdf["kind"] == k] for k in (ENTRY, SEEN, KNOWN))
-        keys = [*map(from_planes, entry["blob"]), *map(from_planes, seen["blob"])]
+        keys = [*map(from_steps, entry["blob"]), *map(from_steps, seen["blob"])]
         doc = [from_planes(d) for d in entry["docs"]]
-        kept_keys, kept_docs = list(map(from_planes, known["blob"])), [from_planes(d) for d in known["docs"]]
+        kept_keys, kept_docs = list(map(from_steps, known["blob"])), [from_planes(d) for d in known["docs"]]
         if keys:
             key = np.concatenate(keys)
             n_entries = sum(map(len, doc))
@@ -126,9 +125,9 @@ def _shared(chunks: int):
         if kept_keys:
             key, doc = np.concatenate(kept_keys), np.concatenate(kept_docs)
             chunk = chunk_of(doc).astype(np.int64)
-            order = np.argsort(chunk, kind="stable")
+            order = np.lexsort((key, chunk))
             key, doc, chunk = key[order], doc[order], chunk[order]
-            out += [(int(chunk[a]), None, None, None, None, to_planes(key[a:b]), to_planes(doc[a:b])) for a, b in segments(chunk)]
+            out += [(int(chunk[a]), None, None, None, None, to_steps(key[a:b]), to_planes(doc[a:b])) for a, b in segments(chunk)]
         return pd.DataFrame({c: pd.Series([r[i] for r in out], dtype="Int64" if c in ("key", "doc_id", "n") else None) for i, c in enumerate(columns)})
 
     return run
@@ -144,13 +143,13 @@ def _sets(share: int):
         docs, entries = pdf[pdf["key"].notna()], pdf[pdf["key"].isna()]
         tokens: dict[int, bytes] = {}
         if len(entries):
-            key, doc = np.concatenate(list(map(from_planes, entries["blob"]))), np.concatenate(list(map(from_planes, entries["docs"]))).view(np.int64)
+            key, doc = np.concatenate(list(map(from_steps, entries["blob"]))), np.concatenate(list(map(from_planes, entries["docs"]))).view(np.int64)
             order = np.lexsort((key, doc))
             key, doc = key[order], doc[order]
             sizes = dict(zip(docs["key"].astype("int64"), docs["n"].astype("int64"), strict=True))
             for a, b in segments(doc):
                 if 100 * (b - a) >= share * sizes[int(doc[a])]:
-                    tokens[int(doc[a])] = to_planes(key[a:b])
+                    tokens[int(doc[a])] = to_steps(key[a:b])
         return docs[["key", "doc_id", "n", "digest"]].assign(tokens=[tokens.get(int(k)) for k in docs["key"]])
 
     return run
@@ -164,7 +163,7 @@ def _prefixes(share: int):
         for b in batches:
             tokens, sets, sizes = [], [], []
             for name, n, raw in zip(*(b.column(c).to_pylist() for c in ("set", "n", "tokens")), strict=True):
-                t = from_planes(raw)
+                t = from_steps(raw)
                 p = t[: max(0, n - -(-share * n // 100) + 1 - (n - len(t)))]
                 tokens.append(p)
                 sets += [name] * len(p)
@@ -178,31 +177,42 @@ def _prefixes(share: int):
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A set -> how many of its tokens fall into each of CELLS parts. The sum of the smaller counts bounds an intersection."""
     for b in batches:
-        counts = [to_planes(np.bincount((from_planes(t) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)) for t in b.column("tokens").to_pylist()]
+        counts = [to_planes(np.bincount((from_steps(t) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)) for t in b.column("tokens").to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column("set"), pa.array(counts, pa.binary())], ["set", "sketch"])
 
 
-def _possible(share: int):
-    """A cell of one block (side 2) or two (sides 0 and 1) -> the pairs of sets of different components whose sizes and
-    sketches allow a link."""
+def _open(share: int):
+    """A cell of one block (side 2) or two (sides 0 and 1) -> its sets whose size and sketch allow a link with a set of another
+    component in it, in smaller cells: sets go together that such possible links connect. A row a set, however many links these
+    are. A cell is named by its sets, so that one that arises from many tokens is compared once."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("n")
-        left, right = (pdf, pdf) if (pdf["side"] == 2).all() else (pdf[pdf["side"] == 0], pdf[pdf["side"] == 1])
-        out = []
-        arrays = [(x["set"].to_numpy(np.int64), x["comp"].to_numpy(np.int64), x["n"].to_numpy(np.int64), np.stack([from_planes(v).astype(np.int32) for v in x["sketch"]])) for x in (left, right) if len(x)]
-        if len(arrays) == 2:
-            (a, ca, na, sa), (b, cb, nb, sb) = arrays
-            for i in range(len(a)):
-                lo, hi = np.searchsorted(nb, -(-share * na[i] // 100)), np.searchsorted(nb, na[i] * 100 // share, side="right")
-                if left is right:
-                    lo = max(lo, i + 1)
-                near = lo + np.flatnonzero(cb[lo:hi] != ca[i])
+        pdf = pdf.sort_values("n", ignore_index=True)
+        name, comp, n = (pdf[c].to_numpy(np.int64) for c in ("set", "comp", "n"))
+        fine = np.stack([from_planes(v).astype(np.uint16) for v in pdf["sketch"]])
+        coarse = fine.reshape(len(fine), -1, COARSE).sum(axis=2, dtype=np.uint16)
+        side = pdf["side"].to_numpy()
+        right = np.flatnonzero(side != 0)
+        sizes, group = n[right], np.arange(len(pdf))
+        for i in np.flatnonzero(side != 1).tolist():
+            lo, hi = np.searchsorted(sizes, -(-share * n[i] // 100)), np.searchsorted(sizes, n[i] * 100 // share, side="right")
+            near = right[lo:hi]
+            near = near[(comp[near] != comp[i]) & ((side[i] != 2) | (near > i))]
+            for sketch in (coarse, fine):
                 if len(near):
-                    bound = np.minimum(sb[near], sa[i]).sum(axis=1)
-                    near = near[(100 + share) * bound >= share * (na[i] + nb[near])]
-                    out += [(min(int(a[i]), x), max(int(a[i]), x)) for x in b[near].tolist()]
-        return pd.DataFrame(out, columns=["hub", "set"]).astype("int64")
+                    bound = np.minimum(sketch[near], sketch[i]).sum(axis=1, dtype=np.int64)
+                    near = near[(100 + share) * bound >= share * (n[i] + n[near])]
+            if (group[near] != group[i]).any():
+                met = np.unique(np.append(group[near], group[i]))
+                group[np.isin(group, met)] = met[0]
+        order = np.lexsort((side, name, group))
+        out = []
+        for a, b in segments(group[order]):
+            if b - a > 1:
+                sets, sides = name[order[a:b]], side[order[a:b]].astype(np.int64)
+                cell = xxhash.xxh3_64_intdigest(sets.tobytes() + sides.tobytes()) >> 1
+                out.append(pd.DataFrame({"cell": cell, "set": sets, "side": sides}))
+        return pd.concat(out) if out else pd.DataFrame({"cell": [], "set": [], "side": []}).astype("int64")
 
     return run
 
@@ -229,17 +239,16 @@ def _links(share: int):
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         groups, trie, out = _Groups(), Trie(share), []
-        rows = [(int(s), int(c), int(n), from_planes(t), int(side)) for s, c, n, t, side in zip(pdf["set"], pdf["comp"], pdf["n"], pdf["tokens"], pdf["side"], strict=True)]
+        rows = [(int(s), int(c), int(n), from_steps(t), int(side)) for s, c, n, t, side in zip(pdf["set"], pdf["comp"], pdf["n"], pdf["tokens"], pdf["side"], strict=True)]
         comp = {r[0]: r[1] for r in rows}
-
-        def search(r: tuple) -> None:
-            for other, _ in trie.similar(r[3], r[2]):
-                if groups.join(comp[other], r[1]):
-                    out.append((r[0], other))
-
+        apart = len(set(comp.values())) - 1
         for r in sorted(rows, key=lambda r: (-r[4], r[2], r[0])):
+            if len(out) == apart:
+                break
             if r[4] != 1:
-                search(r)
+                for other, _ in trie.similar(r[3], r[2]):
+                    if groups.join(comp[other], r[1]):
+                        out.append((r[1], comp[other]))
             if r[4] != 0:
                 trie.add(r[0], r[3], r[2])
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
@@ -248,20 +257,28 @@ def _links(share: int):
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """set, comp: the smallest set that links (a, b) reach from each of nodes (set, comp). Labels move along links to the
-    smaller one and then jump to the label of their label, until none changes; every round is written."""
-    both = links.select(F.col("a").alias("set"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("set"), F.col("a").alias("other")))
-    both = write_table(both, "links")
-    now = write_table(nodes, "labels")
+    """nodes (set, comp) with comp replaced by the smallest that links (a, b: two comps each) reach from it.
+
+    In a round, every component takes the smallest label that it, its label, the labels of its neighbours' labels or the
+    neighbours of those with its label have, all of the round before. So distances to the smallest halve at least, and a
+    chain takes a logarithm of its length. Only linked components take part; every round is written.
+    """
+    edges = links.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(links.select(F.col("b").alias("x"), F.col("a").alias("y")))
+    edges = write_table(edges.where("x <> y").distinct(), "links")
+    if edges.isEmpty():
+        return nodes
+    now = write_table(edges.groupBy("x").agg(F.least("x", F.min("y")).alias("f")), "labels")
     while True:
-        near = both.join(now.select(F.col("set").alias("other"), F.col("comp").alias("near")), "other").groupBy("set").agg(F.min("near").alias("near"))
-        # all sets of a component take the smallest label that any of them sees
-        seen = now.join(near, "set").where("near < comp").groupBy("comp").agg(F.min("near").alias("to"))
-        seen = write_table(seen, "moves")
-        if seen.isEmpty():
-            return now
-        jump = seen.join(seen.select(F.col("comp").alias("to"), F.col("to").alias("on")), "to", "left").select("comp", F.least("to", F.coalesce("on", "to")).alias("to"))
-        now = write_table(now.join(jump, "comp", "left").select("set", F.coalesce("to", "comp").alias("comp")), "labels")
+        over = now.join(now.select(F.col("x").alias("f"), F.col("f").alias("ff")), "f")
+        near = edges.join(over.select(F.col("x").alias("y"), "ff"), "y").groupBy("x").agg(F.min("ff").alias("near"))
+        seen = over.join(near, "x")
+        told = seen.groupBy("f").agg(F.min("near").alias("told")).withColumnRenamed("f", "x")
+        new = seen.join(told, "x", "left").select("x", F.col("f").alias("old"), F.least("ff", "near", "told").alias("f"))
+        new = write_table(new, "labels")
+        now = new.select("x", "f")
+        if new.where("f <> old").isEmpty():
+            break
+    return write_table(nodes.join(now.withColumnRenamed("x", "comp"), "comp", "left").select("set", F.coalesce("f", "comp").alias("comp")), "labels")
 
 
 def jaccard_groups(docs: DataFrame, share: int = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -274,20 +291,23 @@ def jaccard_groups(docs: DataFrame, share: int = SHARE, id_col: str = "doc_id",
     2. Documents with equal sets become one set. Sets are ordered by hash; similar ones share a token of their prefixes.
     3. Stars: every set is compared with the smallest set of its token groups, in cells of bounded size, by a prefix tree of
        ordered sets. Linked sets are merged. Token groups of one component are done.
-    4. What remains - groups with several components - is compared wholly, in blocks of BLOCK_SETS, by counts of tokens that
-       bound every intersection; the few pairs of different components that may be similar go to the tree again.
+    4. What remains - groups with several components - is compared wholly, in blocks: sets of two blocks whose counts of tokens,
+       which bound every intersection, allow no link in them leave; the others are joined by a prefix tree of a block.
 
-    No list of a group's pairs is ever made, and no task holds more than two blocks or a bucket.
+    No list of a group's pairs is made: cells give a row for a set that is still open, and a link for components that they join.
+    A task holds two blocks (BLOCK_SETS sets, about BLOCK_BYTES) or a bucket at most. A group of g sets that stay in several
+    components is g * g / BLOCK_SETS rows of sketches, as every two of its sets must be told apart.
 
     Null and empty texts have empty sets (n_shingles 0), linked with nothing; a text of fewer than 5 words is one shingle.
     Repeated or null ids are told apart by row; a component's smallest id ignores nulls (null, if it has no other); other
-    columns are ignored; an empty table gives no rows. Hashes have 40 bits and the bucket's.
+    columns are ignored; an empty table gives no rows. Shingles are told apart by 64 bits of hash, sets by 128, whatever the
+    number of partitions.
     """
     spark = docs.sparkSession
     rows, bits = keyed_docs(docs, id_col, text_col), bucket_bits(spark)
     chunks = rows.count() // CHUNK_DOCS + 1
     mapped = rows.mapInArrow(_bucketed(bits), MAPPED)
-    found = mapped.groupBy("bucket").applyInPandas(_shared(chunks), SHARED)
+    found = mapped.groupBy("bucket").applyInPandas(_shared(bits, chunks), SHARED)
     sets = write_table(found.groupBy("chunk").applyInPandas(_sets(share), SETS), "sets")
     release(spark)
 
@@ -311,9 +331,8 @@ def jaccard_groups(docs: DataFrame, share: int = SHARE, id_col: str = "doc_id",
     if not rest.isEmpty():
         sketches = alike.select("set", "tokens").mapInArrow(_sketches, "set long, sketch binary")
         cells = _blocks(rest).join(alike.select("set", "n"), "set").join(labels, "set").join(sketches, "set")
-        pairs = cells.groupBy("cell").applyInPandas(_possible(share), "hub long, set long").distinct()
-        pairs = write_table(pairs.join(tried, ["set", "hub"], "left_anti"), "pairs")
-        labels = components(labels, _compare(_stars(pairs), alike, labels, share))
+        cells = write_table(cells.groupBy("cell").applyInPandas(_open(share), "cell long, set long, side int").distinct(), "cells")
+        labels = components(labels, _compare(cells, alike, labels, share))
 
     named = labels.join(alike.select("set", "digest"), "set").select("digest", "comp")
     named = sets.where("tokens is not null and n > 0").groupBy("digest").agg(F.min("doc_id").alias("low")).join(named, "digest")
@@ -341,8 +360,9 @@ def _stars(pairs: DataFrame) -> DataFrame:
 
 def _blocks(posts: DataFrame) -> DataFrame:
     """cell, set, side: every two blocks of about BLOCK_SETS sets of a token's group; groups of the same sets once."""
-    group = posts.groupBy("token").agg(F.count("*").alias("size"), F.sum(F.xxhash64("set").bitwiseAND((1 << 40) - 1)).alias("sum"), F.bit_xor(F.xxhash64("set")).alias("xor"))
-    group = group.groupBy("size", "sum", "xor").agg(F.min("token").alias("token")).select("token", (F.floor(F.col("size") / BLOCK_SETS) + 1).alias("blocks"))
+    group = posts.groupBy("token").agg(F.count("*").alias("size"), F.sum("n").alias("tokens"), F.sum(F.xxhash64("set").bitwiseAND((1 << 40) - 1)).alias("sum"), F.bit_xor(F.xxhash64("set")).alias("xor"))
+    blocks = F.greatest(F.floor(F.col("size") / BLOCK_SETS), F.floor(8 * F.col("tokens") / BLOCK_BYTES)) + 1
+    group = group.groupBy("size", "tokens", "sum", "xor").agg(F.min("token").alias("token")).select("token", blocks.alias("blocks"))
     own = posts.join(group, "token").select("token", "set", "blocks", F.pmod(F.xxhash64("set"), F.col("blocks")).alias("own"))
     pair = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     low, high = F.least("own", "other"), F.greatest("own", "other")
