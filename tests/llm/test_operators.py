@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from promptloom.llm import bwt, rans
+from promptloom.llm import suffix_dedup as suffixes
 from promptloom.llm.common import new_path
-from promptloom.llm.jaccard import jaccard_groups
+from promptloom.llm.jaccard import components, jaccard_groups
 from promptloom.llm.lines import line_dedup, recurring_lines
-from promptloom.llm.packing import pack
-from promptloom.llm.pieces import Pieces, boundary_states, decode, encode
+from promptloom.llm.packing import FAN_IN, _dealt, pack
+from promptloom.llm.pieces import Pieces, boundary_states, decode, encode, multiply
 from promptloom.llm.quality import quality_features, risk_controlled
 from promptloom.llm.sharding import kd_shards
 from promptloom.llm.suffix_dedup import suffix_dedup
@@ -142,6 +143,48 @@ def test_jaccard_repeated_and_null_ids(spark, none):
     assert jaccard_groups(none).collect() == []
 
 
+@pytest.mark.parametrize("order", ["ascending", "shuffled"])
+def test_components_take_few_rounds(spark, monkeypatch, order):
+    n, rounds = 2000, []
+    from promptloom.llm import jaccard
+
+    write = jaccard.write_table
+    monkeypatch.setattr(jaccard, "write_table", lambda df, name: (rounds.append(name), write(df, name))[1])
+    names = list(range(n))
+    if order == "shuffled":
+        random.Random(1).shuffle(names)
+    links = spark.createDataFrame([(names[i], names[i + 1]) for i in range(n - 1) if i != 1200], "a long, b long")
+    got = {r.set: r.comp for r in components(spark.range(n + 3).select(F.col("id").alias("set"), F.col("id").alias("comp")), links).collect()}
+    low, high = names[:1201], names[1201:]
+    assert got == {**{x: min(low) for x in low}, **{x: min(high) for x in high}, **{x: x for x in range(n, n + 3)}}
+    assert rounds.count("labels") <= 15
+
+
+def near_template(seed, n):
+    """Texts that share most of a template and stay unlinked but for some pairs."""
+    r = random.Random(seed)
+    base = [f"t{i}" for i in range(300)]
+    out = []
+    for _ in range(n):
+        w = list(base)
+        for at in r.sample(range(0, 300, 6), 8):
+            w[at] = f"x{r.randrange(10**6)}"
+        out.append(" ".join(w))
+    return out + [out[3].replace("t7 ", "y "), out[5]]
+
+
+def test_jaccard_of_sets_that_share_a_template(spark):
+    texts = near_template(8, 70)
+    want = groups(texts)
+    assert 1 < sum(i != c for i, _, c in want) < len(texts) // 2
+    for partitions in ("3", "37"):
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_groups(table(spark, texts)).collect())
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        assert got == want
+
+
 def test_trie_finds_all_similar_sets():
     r = random.Random(7)
     sets = [sorted(r.sample(range(40), r.randint(1, 25))) for _ in range(150)]
@@ -178,6 +221,24 @@ def test_suffix_dedup(spark, texts):
     assert got == removed(texts, 100)
 
 
+def test_anchors_in_many_surroundings(spark, monkeypatch):
+    """A phrase that is shorter than the strings, and one that is about as long, in texts that have nothing else in common; and
+    passages around it that do recur."""
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(7))
+    line = lambda k: " ".join(word() for _ in range(k))
+    short, long = line(6), line(12)[:95]
+    around = f"{line(9)} {short} {line(9)}"
+    texts = [f"{line(12)} {r.choice([short, long])} {line(12)}" + (f" {around}" if i % 9 == 0 else "") for i in range(160)]
+    want = removed(texts, 100)
+    assert sum(bool(s) for _, s, _ in want) > 10
+    monkeypatch.setattr(suffixes, "HOT_PLACES", 12)
+    for very in (3, 1000):
+        monkeypatch.setattr(suffixes, "VERY", very)
+        got = sorted((x.doc_id, [(s.start, s.end) for s in x.spans], bytes(x.kept)) for x in suffix_dedup(table(spark, texts).repartition(3)).collect())
+        assert got == want
+
+
 def test_suffix_dedup_repeated_ids(spark, none):
     t = corpus()[-1]
     rows = suffix_dedup(table(spark, [t, t, None], [4, 4, None])).collect()
@@ -257,6 +318,46 @@ def test_kd_shards(spark, docs, none):
     assert len(odd) == 3 and len({(r.shard, r.slot) for r in odd}) == 3
 
 
+def naive_kd(rows, n_shards):
+    """rows: dicts with k, text_crc32, row, size and the string dimensions -> row number: shard."""
+    dims = [d for d in rows[0] if d not in ("text_crc32", "row")]
+    span = {d: max(1, max(x[d] for x in rows) - min(x[d] for x in rows)) for d in dims}
+    out = {}
+
+    def split(part, first, n):
+        if n == 1 or not part:
+            out.update({x["row"]: first for x in part})
+            return
+        dim = max(dims, key=lambda d: (max(x[d] for x in part) - min(x[d] for x in part)) / span[d])
+        part = sorted(part, key=lambda x: (x[dim], x["k"], x["text_crc32"], x["row"]))
+        target, below, at = sum(x["size"] for x in part) * (n // 2) // n, 0, 0
+        while below + part[at]["size"] < target:
+            below += part[at]["size"]
+            at += 1
+        at += target - below > below + part[at]["size"] - target
+        split(part[:at], first, n // 2)
+        split(part[at:], first + n // 2, n - n // 2)
+
+    split(rows, 0, n_shards)
+    return out
+
+
+@pytest.mark.parametrize("n_shards", [5, 24])
+def test_kd_shards_are_those_of_a_naive_tree(spark, n_shards):
+    texts = [*corpus(4, 150)[:-2], *corpus(5, 90)]
+    prefix = lambda s: -1 if s is None else int.from_bytes(s.encode()[:7].ljust(7, b"\0"), "big")
+    d = table(spark, texts).coalesce(1)
+    rows = [{"k": x.doc_id, "size": len((x.text or "").encode()) + 8, "d0": prefix(x.source), "d1": prefix(x.lang), "text_crc32": zlib.crc32((x.text or "").encode()), "row": x.doc_id} for x in d.collect()]
+    assert {x.doc_id: x.shard for x in kd_shards(d, n_shards).collect()} == naive_kd(rows, n_shards)
+
+
+def test_kd_shards_split_a_hot_id(spark):
+    d = spark.range(4000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("doc_id"), F.when(F.col("id") % 2 == 0, "same").otherwise(F.concat(F.lit("t"), "id")).alias("text"))
+    got = kd_shards(d, 8).groupBy("shard").agg(F.sum("size").alias("size"), F.count("*").alias("n"), F.max("slot").alias("top")).collect()
+    assert len(got) == 8 and sum(x.n for x in got) == 4000 and all(x.top == x.n - 1 for x in got)
+    assert max(x.size for x in got) - min(x.size for x in got) <= 26
+
+
 def test_kd_shards_balance_with_a_hot_source(spark):
     d = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") % 97).cast("int")).alias("text"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 9)).alias("source"), F.lit("en").alias("lang"))
     sizes = [r["sum(size)"] for r in kd_shards(d, 24).groupBy("shard").sum("size").collect()]
@@ -278,6 +379,14 @@ def test_top_k(spark):
     assert not got and top_k(d.limit(0), d.limit(0)).collect() == []
 
 
+def test_top_k_of_repeated_and_large_vectors(spark):
+    d = spark.createDataFrame([(0, [1.0, 2.0]), (0, [3.0, 1.0]), (1, [1e9, -1e9]), (2, [1e9, 1e9 + 64]), (3, [1e300, 0.0]), (None, [1.0, 1.0]), (20, [0.5, 0.5])], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in top_k(d, d.where("vec_id % 20 = 0"), 2).collect()}
+    high = (1 << 63) - 1
+    assert got[0, 1] == (3, high) and got[0, 2] == (2, 192 * 64 * 10**9 + 64 * (64 * 10**9 + 4096))
+    assert got[20, 1] == (3, high) and got[20, 2] == (2, 32 * (2 * 64 * 10**9 + 4096))
+
+
 def test_line_dedup(spark, none):
     head = [f"User {i} logged in from host {i * 7} today" for i in range(6)]
     texts = [f"{chr(97 + i)}{chr(98 + i)} stays where it is\n{head[i]}\n\nshort line\nAll rights of this page reserved" for i in range(6)] + [None, "", head[0]]
@@ -291,6 +400,12 @@ def test_line_dedup(spark, none):
     assert line_dedup(none).collect() == []
 
 
+def test_line_dedup_of_odd_rows(spark):
+    text, long = "one line that stays here\nand a second one too", "w " * 50_000 + "end"
+    rows = line_dedup(table(spark, [text, text, text, long, f"{long}\nx", long, None], [3, 3, None, None, 5, 6, 6])).collect()
+    assert sorted((r.n_lines, r.n_dropped) for r in rows) == [(1, 0), (1, 1), (1, 1), (2, 0), (2, 0), (2, 2), (2, 2)]
+
+
 def dropped(spark, texts):
     return [r.n_dropped for r in line_dedup(table(spark, texts), find=recurring_lines).orderBy("doc_id").collect()]
 
@@ -359,6 +474,17 @@ def test_token_file(spark, none):
     assert document_checks(read_token_file(spark, empty, checks=True)).collect() == []
 
 
+def test_counts_and_files_of_repeated_and_null_ids(spark):
+    d = table(spark, ["a b", "a b", None, "c", "longer text here"], [2, 2, None, None, 1])
+    counts = collections.Counter((r.doc_id, r.n_bytes) for r in token_counts(d, BYTES, new_path(spark, "cache")).collect())
+    assert counts == {(2, 3): 2, (None, 0): 1, (None, 1): 1, (1, 16): 1}
+    path = new_path(spark, "file")
+    write_token_file(d, path, WORDS, 2)
+    rows = document_checks(read_token_file(spark, path, checks=True)).orderBy("start").collect()
+    assert [r.doc_id for r in rows] == [None, None, 1, 2, 2] and rows[3].ids_crc32 == rows[4].ids_crc32
+    assert [r.start for r in rows] == [0, *np.cumsum([r.n_tokens for r in rows])[:-1]]
+
+
 @pytest.mark.parametrize("keep", [1, 8])
 def test_packing(spark, none, keep):
     lib, texts = Tokenizer.from_file(WORDS), corpus()
@@ -377,6 +503,86 @@ def test_packing(spark, none, keep):
     assert pack(none, WORDS, 1).collect() == [] and len(pack(table(spark, ["a", "a"], [None, None]), WORDS, 1).collect()) == 2
 
 
+def naive_pack(pieces, size, keep, last):
+    """Windows of pieces (doc_id, start, length): best fit, the latest of equal ones; the fullest leaves when none fits."""
+    shut, held, clock = [], [], 0
+    for p in pieces:
+        if p[2] >= size:
+            shut.append([p])
+            continue
+        fits = [w for w in held if w["free"] >= p[2]]
+        if fits:
+            w = min(fits, key=lambda w: (w["free"], -w["at"]))
+        else:
+            if len(held) >= keep:
+                full = min(held, key=lambda w: (w["free"], -w["at"]))
+                held.remove(full)
+                shut.append(full["in"])
+            w = {"free": size, "in": []}
+            held.append(w)
+        clock += 1
+        w["in"].append(p)
+        w["free"], w["at"] = w["free"] - p[2], clock
+        if not w["free"]:
+            held.remove(w)
+            shut.append(w["in"])
+    rest = [w["in"] for w in held]
+    return (shut + rest, []) if last else (shut, rest)
+
+
+@pytest.mark.parametrize("keep", [1, 3, 20])
+def test_packing_is_that_of_a_naive_packer(spark, keep):
+    lib, texts, size = Tokenizer.from_file(WORDS), corpus(2, 120), 96
+    n = [len(lib.encode(t or "", add_special_tokens=False).ids) + 1 for t in texts]
+    pieces = [(i, at, min(size, k - at)) for i, k in enumerate(n) for at in range(0, k, size)]
+    first, rest = naive_pack(pieces, size, keep, False)
+    again, _ = naive_pack(sorted((p for w in rest for p in w), key=lambda p: (-p[2], p[0], p[1])), size, keep, True)
+    got = collections.defaultdict(list)
+    for r in pack(table(spark, texts).coalesce(1), WORDS, 1, size, keep).collect():
+        got[r.sequence_id].append((r.offset, (r.doc_id, r.start, r.length)))
+    assert sorted([p for _, p in sorted(w)] for w in got.values()) == sorted(first + again)
+
+
+@pytest.mark.parametrize("tasks", [3, 8, 9, 64, 130])
+def test_leftovers_of_few_tasks_meet(spark, tasks):
+    n = -(-tasks // FAN_IN)
+    rest = spark.range(0, tasks * 4).select(((F.col("id") % tasks) * (1 << 32) + F.col("id")).alias("sequence_id"), (F.col("id") % tasks).alias("task"))
+    met = _dealt(rest, n).groupBy(F.spark_partition_id().alias("p")).agg(F.count_distinct("task").alias("n"))
+    got = [r.n for r in met.collect()]
+    assert len(got) == n and max(got) <= FAN_IN and sum(got) == tasks
+
+
+def test_max_plus_products_find_the_best_path():
+    """A lattice of weighted pieces: chunks' matrices, combined, against one pass over the whole text."""
+    r = random.Random(12)
+    for _ in range(60):
+        score = {p: r.uniform(-9, -1) for p in {"a", "b", *("".join(r.choice("ab") for _ in range(r.randint(2, 5))) for _ in range(12))}}
+        s = "".join(r.choice("ab") for _ in range(r.randint(1, 60)))
+
+        def reach(start, stop):
+            """Best score of each place at stop or later, by pieces that begin before stop."""
+            best = {start: 0.0}
+            for at in range(start, stop):
+                for k in range(1, 6):
+                    if at in best and s[at : at + k] in score and at + k <= len(s):
+                        best[at + k] = max(best.get(at + k, -np.inf), best[at] + score[s[at : at + k]])
+            return {e: v for e, v in best.items() if e >= stop}
+
+        chunk, matrices, enter = r.choice([1, 2, 3, 7, 20]), [], [0]
+        for p in range(0, len(s), chunk):
+            q = min(len(s), p + chunk)
+            m = {(e, None): {(x, None): v for x, v in (reach(e, q) if e < q else {e: 0.0}).items()} for e in enter}
+            matrices.append(m)
+            enter = sorted({x for row in m.values() for x, _ in row})
+        states = boundary_states(matrices)
+        total = sum(m[a][b] for m, a, b in zip(matrices, states, states[1:], strict=False))
+        assert states[0] == (0, None) and states[-1] == (len(s), None) and total == pytest.approx(reach(0, len(s))[len(s)])
+        if len(matrices) > 2:
+            a, b, c = matrices[:3]
+            left, right = multiply(multiply(a, b), c), multiply(a, multiply(b, c))
+            assert {i: pytest.approx(v) for i, v in left.items()} == right
+
+
 def test_pieces_scan_is_the_librarys_result():
     m, r = Pieces(PIECES), random.Random(2)
     bits = ["the", "ing", " ", "  ", "a", "b", "er", "é", "漢字", "\n", "1", "00", ".", ",", "▁", "😀", "ion", "tion", "un", "s"]

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import collections
 import random
+import re
+import zlib
 
+import duckdb
+import numpy as np
 import pytest
 import test_operators as T
-from pyspark.sql import functions as F
+from test_llm_entry import labelled
 
 import corpus_pipeline as P
+from promptloom.llm.queries import ORACLES
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -28,6 +34,71 @@ def texts(df):
     return {r.doc_id: r.text for r in df.collect()}
 
 
+def without_recurring_lines(docs):
+    """The rules of recurring_lines in plain Python: docs without the lines that they drop."""
+    lines = []  # doc, line, form, tokens of the masked form, leaf, few tokens
+    for d, t in enumerate(docs):
+        for k, x in enumerate(t.split("\n")):
+            c = re.sub(r"[ \t\x0b\f\r]+", " ", x).strip(" ")
+            n = c.count(" ") + 1
+            if n < 4 and not any(ch.isalnum() for ch in c):
+                continue
+            masked = re.sub(r"[^ ]*[0-9][^ ]*", "<*>", c)
+            tokens = masked.split(" ")
+            enough = 100 * sum(x != "<*>" for x in tokens) >= 70 * n
+            lines.append((d, k, masked if enough else c, tokens, (n, *tokens[:3]) if enough and n >= 4 else None, n < 4))
+    forms, leaves, drop = collections.defaultdict(set), collections.defaultdict(list), set()
+    for d, _, form, *_, few in lines:
+        forms[form, few].add(d)
+    for d, k, form, _, leaf, few in lines:
+        has = forms[form, few]
+        if len(has) >= (3 if few else 2) and d != min(has):
+            drop.add((d, k))
+        if leaf:
+            leaves[leaf].append((d, k, form))
+    mixed = {leaf for leaf, v in leaves.items() if len({f for *_, f in v}) > 1 and len({d for d, *_ in v}) >= 3}
+    words = lambda tokens: [(at, x) for at, x in enumerate(tokens) if x != "<*>"]
+    support = collections.defaultdict(set)
+    for d, _, _, tokens, leaf, _ in lines:
+        if leaf in mixed:
+            for w in words(tokens):
+                support[leaf, w].add(d)
+    ways = collections.defaultdict(set)
+    for d, k, _, tokens, leaf, _ in lines:
+        if leaf in mixed:
+            n, often = len(tokens), {w: len(support[leaf, w]) for w in words(tokens) if len(support[leaf, w]) >= 3}
+            if len(often) == len(words(tokens)) and 100 * (len(often) - 1) >= 70 * n:
+                for w in often:
+                    ways[leaf, frozenset(often) - {w}].add((d, k))
+            for least in set(often.values()):
+                top = frozenset(w for w, s in often.items() if s >= least)
+                if 100 * len(top) >= 70 * n:
+                    ways[leaf, top].add((d, k))
+    for has in ways.values():
+        if len({d for d, _ in has}) >= 3:
+            drop |= {(d, k) for d, k in has if d != min(has)[0]}
+    return ["\n".join(x for k, x in enumerate(t.split("\n")) if (d, k) not in drop) for d, t in enumerate(docs)]
+
+
+def packed_whole(rows, docs):
+    """Every id of every document lies in one piece; pieces fill their sequences without gaps."""
+    lib = T.Tokenizer.from_file(T.WORDS)
+    ids = collections.Counter((r.doc_id, np.array([*lib.encode(r.text or "", add_special_tokens=False).ids, 1], "<u4").tobytes()) for r in docs)
+    want = collections.Counter()
+    starts = collections.defaultdict(set)
+    for r in rows:
+        starts[r.doc_id, r.doc_tokens].add((r.start, r.length))
+    for (doc, data), n in ids.items():
+        cuts = sorted(s for s in starts[doc, len(data) // 4] if s[0] + s[1] <= len(data) // 4)
+        assert cuts[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(cuts, [*cuts[1:], (len(data) // 4, 0)], strict=True))
+        want.update({(doc, a, k, zlib.crc32(data[4 * a : 4 * (a + k)])): n for a, k in cuts})
+    assert collections.Counter((r.doc_id, r.start, r.length, r.ids_crc32) for r in rows) == want
+    seqs = collections.defaultdict(list)
+    for r in rows:
+        seqs[r.sequence_id].append((r.offset, r.length))
+    assert all(v[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(v, v[1:], strict=False)) and sum(n for _, n in v) <= 2048 for v in map(sorted, seqs.values()))
+
+
 def test_stages(spark, folder, tmp_path):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     seen = [docs]
@@ -38,7 +109,10 @@ def test_stages(spark, folder, tmp_path):
         seen.append(spark.read.parquet(str(tmp_path / str(i))))
     full, quality, lines, near, passages = map(texts, seen)
     assert set(quality) == {i for i, t in full.items() if not T.counted(t)[5]} and all(quality[i] == full[i] for i in quality)
-    assert all({*(t or "").split("\n")} <= {*(quality[i] or "").split("\n")} for i, t in lines.items())
+    order = sorted(quality)
+    kept = without_recurring_lines([quality[i] or "" for i in order])
+    assert lines == {i: t for i, t in zip(order, kept, strict=True) if t == (quality[i] or "") or T.WORD.search(t)}
+    assert any(lines.get(i) != quality[i] for i in order)
     order = sorted(lines)
     first = {order[i] for i, _, c in T.groups([lines[i] for i in order]) if i == c}
     assert set(near) == first and all(near[i] == lines[i] for i in near)
@@ -46,13 +120,25 @@ def test_stages(spark, folder, tmp_path):
     kept = {order[i]: k.decode("utf-8", "ignore") for i, s, k in T.removed([near[i] for i in order], 100) if not s or k}
     assert passages == kept
     assert all(r.n_chars == len(r.text) for r in seen[-1].collect() if r.text is not None)
-    packed = P.STAGES[-1][1](spark, seen[-1], folder).collect()
-    assert {r.doc_id for r in packed} == set(passages)
+    packed_whole(P.STAGES[-1][1](spark, seen[-1], folder).collect(), seen[-1].collect())
 
 
 def test_run(spark, folder):
-    rows = P.run(spark, folder).collect()
-    assert rows and {"doc_id", "start", "length", "sequence_id", "offset"} <= set(rows[0].asDict())
+    rows, docs = P.run(spark, folder).collect(), spark.read.parquet(f"{folder}/documents.parquet")
+    for _, stage in P.STAGES[:-1]:
+        docs = stage(spark, docs, folder)
+    packed_whole(rows, docs.collect())
+
+
+def test_quality_stage_rejects_by_certified_cutoffs(spark, tmp_path):
+    folder = labelled(spark, tmp_path)
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet/*.parquet'")
+    rows = con.execute(f"SELECT doc_id, kept, base_failed FROM ({ORACLES['op4_quality_rules']})").fetchall()
+    assert sum(not kept and not failed for _, kept, failed in rows) > 200
+    got = P.quality_stage(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)
+    assert {r.doc_id for r in got.collect()} == {i for i, kept, _ in rows if kept}
 
 
 @pytest.mark.parametrize("i", range(len(P.STAGES)))
@@ -61,7 +147,10 @@ def test_stages_take_odd_tables(spark, folder, i):
     rows = [(1, t, "en", "s", 1, 9), (1, t, "en", "s", 1, 9), (None, "x " * 30, None, None, None, None), (2, None, "de", "s", 0, 1), (3, "", None, "s", 0, 1)]
     odd = spark.createDataFrame(rows, SCHEMA + ", key int")
     stage = P.STAGES[i][1]
-    assert len(stage(spark, odd, folder).collect()) <= 2000
+    got = stage(spark, odd, folder).collect()
     assert stage(spark, odd.limit(0), folder).collect() == []
-    if i == 2:
-        assert stage(spark, odd, folder).where(F.col("doc_id") == 1).count() == 1
+    if i == 4:
+        packed_whole(got, odd.collect())
+    else:
+        assert collections.Counter(r.doc_id for r in got) == collections.Counter([[1, 1], [1, None, 2, 3], [1, None, 2, 3], [1, None, 2, 3]][i])
+        assert {r.text for r in got if r.doc_id == 1} == {t} and all(not r.text for r in got if r.doc_id in (2, 3))
