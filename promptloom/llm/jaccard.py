@@ -268,16 +268,13 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     if edges.isEmpty():
         return nodes
     now = write_table(edges.groupBy("x").agg(F.least("x", F.min("y")).alias("f")), "labels")
-    while True:
+    # labels are done when no edge has two: the smallest component always has its own
+    while not edges.join(now, "x").join(now.select(F.col("x").alias("y"), F.col("f").alias("g")), "y").where("f <> g").isEmpty():
         over = now.join(now.select(F.col("x").alias("f"), F.col("f").alias("ff")), "f")
         near = edges.join(over.select(F.col("x").alias("y"), "ff"), "y").groupBy("x").agg(F.min("ff").alias("near"))
         seen = over.join(near, "x")
         told = seen.groupBy("f").agg(F.min("near").alias("told")).withColumnRenamed("f", "x")
-        new = seen.join(told, "x", "left").select("x", F.col("f").alias("old"), F.least("ff", "near", "told").alias("f"))
-        new = write_table(new, "labels")
-        now = new.select("x", "f")
-        if new.where("f <> old").isEmpty():
-            break
+        now = write_table(seen.join(told, "x", "left").select("x", F.least("ff", "near", "told").alias("f")), "labels")
     return write_table(nodes.join(now.withColumnRenamed("x", "comp"), "comp", "left").select("set", F.coalesce("f", "comp").alias("comp")), "labels")
 
 
