@@ -95,6 +95,21 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from promptloom.llm.fingerprints import edited_fingerprints, fingerprint, likeness
+
+    found = edited_fingerprints(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprint("lanes").alias("fingerprint"),
+        fingerprint("edited_lanes").alias("edited_fingerprint"),
+        likeness("lanes", "edited_lanes").alias("near_edited"),
+        likeness("lanes", "next_lanes").alias("near_next"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_token_counts": op2_token_counts,
@@ -107,6 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_file": op9_token_file,
     "op10_packing": op10_packing,
     "op12_whitening": op12_whitening,
+    "op13_fingerprints": op13_fingerprints,
 }
 
 ORACLES: dict[str, str] = {
