@@ -131,3 +131,27 @@ links AS (SELECT a, b FROM near UNION ALL SELECT b, a FROM near),
 reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT l.b, reach.r FROM reach JOIN links l ON l.a = reach.doc_id)
 SELECT n.doc_id, n.n AS n_shingles, min(r) AS component_id FROM n JOIN reach ON n.doc_id = reach.doc_id GROUP BY n.doc_id, n.n
 """
+
+COLLOCATIONS = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), p AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS ws FROM pieces),
+occurrences AS (
+  SELECT lang, size, unnest(list_transform(range(1, len(ws) - size + 2), lambda i: array_to_string(ws[i:i + size - 1], ' '))) AS phrase
+  FROM p, (VALUES (1), (2), (3), (4)) AS sizes(size)
+), f AS (SELECT lang, size, phrase, count(*) AS f FROM occurrences GROUP BY ALL),
+total AS (SELECT lang, sum(f) AS n FROM f WHERE size = 1 GROUP BY lang),
+c AS (SELECT lang, size, phrase, string_split(phrase, ' ') AS ws, f AS a FROM f WHERE size > 1 AND f >= 30),
+cuts AS (SELECT *, unnest(range(1, size)) AS k FROM c),
+scored AS (
+  SELECT u.lang, u.phrase, u.a, k, x.f AS l, y.f AS r, CAST(CAST(2000000 AS HUGEINT) * u.a // (x.f + y.f) AS BIGINT) AS score
+  FROM cuts u JOIN f x ON x.lang = u.lang AND x.phrase = array_to_string(ws[1:k], ' ') JOIN f y ON y.lang = u.lang AND y.phrase = array_to_string(ws[k + 1:], ' ')
+), worst AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+parts AS (SELECT lang, size, ws, a, unnest(range(2, size)) AS m FROM c WHERE size > 2),
+inside AS (SELECT lang, a, unnest(list_transform(range(1, size - m + 2), lambda i: array_to_string(ws[i:i + m - 1], ' '))) AS phrase FROM parts),
+longer AS (SELECT lang, phrase, max(a) AS longer FROM inside GROUP BY ALL),
+kept AS (SELECT w.* FROM worst w LEFT JOIN longer USING (lang, phrase) WHERE longer IS NULL OR CAST(100 AS HUGEINT) * longer < CAST(80 AS HUGEINT) * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT r.lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM ranked r JOIN total ON r.lang = total.lang WHERE rank <= 2000
+"""

@@ -89,6 +89,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from promptloom.llm.collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     from promptloom.llm.whitening import whiten
 
@@ -121,6 +127,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_token_file": op9_token_file,
     "op10_packing": op10_packing,
+    "op11_collocations": op11_collocations,
     "op12_whitening": op12_whitening,
     "op13_fingerprints": op13_fingerprints,
 }
@@ -130,4 +137,5 @@ ORACLES: dict[str, str] = {
     "op4_quality_rules": oracles.QUALITY,
     "op7_top_k": oracles.TOP_K,
     "op8_line_dedup": oracles.LINES,
+    "op11_collocations": oracles.COLLOCATIONS,
 }
