@@ -7,7 +7,7 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from promptloom.schemas import DEFAULT_MAX_TOKENS, DEFAULT_MODEL, MALFORMED_CLASS, OTHER_CLASS, PRICES, RATE_HEADERS, RETRY_SHARE, STATUS_CLASSES
+from promptloom.schemas import DEFAULT_MAX_TOKENS, DEFAULT_MODEL, MALFORMED_CLASS, OTHER_CLASS, PRICES, RATE_HEADERS, RESET_HEADER, RETRY_SHARE, STATUS_CLASSES
 
 
 def col(c: str | Column) -> Column:
@@ -88,6 +88,17 @@ def backoff_envelope_s(attempt: str | Column = "attempt", base: float = 0.5, cap
     return F.least(F.lit(cap), F.lit(base) * F.pow(F.lit(2.0), col(attempt)))
 
 
+def retry_due_s(seed: int = 0) -> Column:
+    """Seconds of the epoch before which an item is not called again after an attempt of the log: the attempt's end, after a 429
+    the pause until its reset header, and a back-off; the last two with jitter that hangs on the item and the attempt alone.
+    Null where the attempt has no time."""
+    end = F.unix_micros("ts") + F.round(F.coalesce("latency_s", F.lit(0.0)) * 1e6).cast("long")
+    jitter = lambda kind: unit_hash("job_id", "item_id", "attempt", F.lit(kind), seed=seed)
+    pause = reset_wait_s(F.try_element_at("headers", F.lit(RESET_HEADER)), end / 1e6, jitter("reset"))
+    pause = F.when(F.col("failure_class") == "throttled", F.coalesce(pause, F.lit(0.0))).otherwise(F.lit(0.0))
+    return (end + F.floor((pause + backoff_envelope_s() * jitter("backoff")) * 1e6)) / 1e6
+
+
 def price(model: str | Column, side: int) -> Column:
     """Dollars per million tokens; unknown models cost what the default does."""
     known = F.create_map(*chain.from_iterable((F.lit(m), F.lit(p[side])) for m, p in PRICES.items()))

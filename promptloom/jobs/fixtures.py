@@ -21,9 +21,10 @@ def shares(**changed: float) -> dict[str, tuple[float, float]]:
     return out
 
 
-def respond_offline(df: DataFrame, seed: int = SEED, attempt: str = "attempt", chars: Column | None = None, **changed: float) -> DataFrame:
+def respond_offline(df: DataFrame, seed: int = SEED, attempt: str = "attempt", chars: Column | None = None, timed: bool = False, **changed: float) -> DataFrame:
     """df (prompts with an attempt) with RESPONSES, for queries and tests without a network: one number in [0, 1), which hangs on
-    the seed, the item and the attempt alone, tells the kind of answer. changed: other shares, as p_429=0.5."""
+    the seed, the item and the attempt alone, tells the kind of answer. timed: with a latency and rate headers, each call a few
+    seconds after it is due; else calls begin when due and take no time. changed: other shares, as p_429=0.5."""
     def u(kind: str) -> str:
         return f"(CAST(conv(substring(md5(concat_ws('|', '{seed}', item_id, {attempt}, '{kind}')), 1, 8), 16, 10) AS BIGINT) / 4294967296.0D)"
 
@@ -32,7 +33,7 @@ def respond_offline(df: DataFrame, seed: int = SEED, attempt: str = "attempt", c
     x = df.withColumn("_u", F.expr(u("kind"))).withColumn("_kind", F.expr(f"CASE {kind} ELSE 'good' END"))
     ok = "_kind IN ('good', 'malformed')"
     half = "greatest(1, max_tokens div 2)"
-    return x.withColumns(
+    x = x.withColumns(
         {
             "http_status": F.expr(f"CASE WHEN {ok} THEN 200 WHEN _kind IN ('429', '500', '400') THEN CAST(_kind AS INT) END"),
             "transport_error": F.expr("CASE _kind WHEN 'error' THEN 'offline' WHEN 'timeout' THEN 'timeout' END"),
@@ -40,9 +41,12 @@ def respond_offline(df: DataFrame, seed: int = SEED, attempt: str = "attempt", c
             "response_text": F.expr("CASE _kind WHEN 'good' THEN concat('reply to ', item_id) WHEN 'malformed' THEN '' END"),
             "input_tokens": F.when(F.expr(ok), F.greatest(F.lit(1), F.floor((F.length("prompt") if chars is None else chars) / 4))).otherwise(F.lit(0)).cast("long"),
             "output_tokens": F.expr(f"CASE WHEN {ok} THEN least(CAST(max_tokens AS BIGINT), {half} + floor({u('length')} * (max_tokens - {half} + 1))) ELSE 0L END"),
-            "latency_s": F.lit(0.0),
+            "latency_s": F.expr(f"round(0.2D + {u('time')}, 6)") if timed else F.lit(0.0),
+            "headers": F.lit(None).cast("map<string,string>"),
+            "ts": F.expr(("timestamp_micros(CAST(round(due_s * 1000000) AS BIGINT)" + (" + seq % 100003 * 1000" if timed else "") + ")") if "due_s" in df.columns else "CAST(NULL AS TIMESTAMP)"),
         }
     ).drop("_u", "_kind")
+    return with_headers(x) if timed else x
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

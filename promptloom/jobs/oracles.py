@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from promptloom.jobs.fixtures import shares
-from promptloom.jobs.queries import FILE_ELEMENTS, FILE_LINES
+from promptloom.jobs.queries import FILE_ELEMENTS, FILE_LINES, LOG_START
 from promptloom.operators.reporting import METRICS
 from promptloom.schemas import BAD_ROW, PRICES, STATUS_CLASSES
 
@@ -205,7 +205,6 @@ SELECT job_id, seq, f / n AS failure_rate FROM y QUALIFY trips AND NOT lag(trips
     "export_filter": f"WITH {JOBS} SELECT o.job_id, item_id, final_class AS failure_class FROM outcomes o JOIN jobrows j ON o.job_id = j.job_id WHERE o.status = 'error' AND NOT running",
     "results_roundtrip": f"WITH {DRAWS}, t AS (SELECT o.*, coalesce(text, '') AS text FROM outcomes o JOIN documents ON doc_id = seq) SELECT job_id, item_id, status, attempt, CASE WHEN status = 'success' THEN input_tokens END AS input_tokens, CASE WHEN status = 'success' THEN md5(text) END AS text_md5, CASE WHEN status <> 'success' THEN final_class END AS failure_class, CASE WHEN status <> 'success' THEN message END AS message, CASE WHEN status <> 'success' THEN http_status END AS http_status FROM t",
     "job_record_json": f"WITH {JOBS} SELECT job_id, ingested, succeeded, failed FROM counts",
-    "offline_responder": f"WITH {DRAWS} SELECT item_id, attempt, http_status, malformed, input_tokens, CAST(output_tokens AS BIGINT) AS output_tokens FROM draws",
     "run_attempts": f"WITH {DRAWS} SELECT item_id, http_status, malformed, input_tokens, CAST(output_tokens AS BIGINT) AS output_tokens, failure_class FROM draws WHERE attempt = 1",
     "quota_per_minute": f"WITH {ATTEMPTS} SELECT job_id, date_trunc('minute', ts) AS minute, count(*) AS requests, count(*) FILTER (http_status = 429) AS throttled FROM attempts GROUP BY ALL",
     "stream_status": f"WITH {DRAWS} SELECT job_id, count(*) FILTER (status = 'success') AS succeeded, count(*) FILTER (status <> 'success') AS failed, CAST(sum(CASE WHEN status = 'success' THEN input_tokens ELSE 0 END) AS BIGINT) AS input_tokens, CAST(sum(CASE WHEN status = 'success' THEN output_tokens ELSE 0 END) AS BIGINT) AS output_tokens FROM outcomes GROUP BY job_id",
@@ -263,5 +262,25 @@ JSON_LINES = f"""{DRAWS}, j AS (SELECT o.job_id, o.status, CASE WHEN status = 's
 ORACLES["export_files"] = f"WITH {JSON_LINES}, {JOBS.removeprefix(DRAWS + ', ')} SELECT CAST(j AS VARCHAR) AS value FROM j JOIN jobrows USING (job_id) WHERE status = 'error' AND NOT running"
 ORACLES["export_array"] = f"""WITH {JSON_LINES}
 SELECT CASE WHEN n = 1 THEN '[' ELSE ',' END || j || CASE WHEN n = m THEN ']' ELSE '' END AS value FROM j"""
-ORACLES["paced_attempts"] = ORACLES["run_attempts"]
 ORACLES["detect_format"] = f"WITH {PROMPTS} SELECT job_id, CASE WHEN min(seq) % 2 = 0 THEN 'array' ELSE 'lines' END AS format FROM prompts GROUP BY job_id"
+
+
+def _log() -> str:
+    """The waves of _budget as a log of attempts with times: each retry when its predecessor's end, back-off and reset allow."""
+    waves = _budget().removeprefix("WITH ").split(" SELECT job_id, item_id, attempt, CASE WHEN failure_class = 'success' THEN NULL")[0]
+    jitter = lambda kind: f"(CAST('0x' || substr(md5('0|' || p.job_id || '|' || p.item_id || '|' || p.attempt || '|{kind}'), 1, 8) AS BIGINT) / 4294967296.0)"
+    end = "(p.ts_us + CAST(round(p.took * 1e6) AS BIGINT))"
+    pause = f"CASE WHEN p.http_status = 429 AND p.seq % 50 <> 0 THEN greatest(0.0, floor(p.ts_us / 1e6) + p.seq % 7 - 2 - {end} / 1e6) + 0.25 * {jitter('reset')} ELSE 0.0 END"
+    due = f"({end} + CAST(floor(({pause} + least(30.0, 0.5 * pow(2.0, p.attempt)) * {jitter('backoff')}) * 1e6) AS BIGINT)) / 1e6"
+    took = f"round(0.2 + {u('time').replace('item_id', 'w.item_id').replace(' attempt', ' w.attempt')}, 6) AS took"
+    later = "CAST(round(due_s * 1e6) AS BIGINT) + seq % 100003 * 1000 AS ts_us"
+    out = f"{waves}, t1 AS (SELECT *, {later} FROM (SELECT w.*, {took}, CAST({LOG_START} AS DOUBLE) AS due_s FROM w1 w))"
+    for k in range(2, 9):
+        out += f", t{k} AS (SELECT *, {later} FROM (SELECT w.*, {took}, {due} AS due_s FROM w{k} w JOIN t{k - 1} p ON w.item_id = p.item_id))"
+    every = " UNION ALL ".join(f"SELECT * FROM t{k}" for k in range(1, 9))
+    return f"{out}, attempts AS (SELECT * EXCLUDE (latency_s), took AS latency_s, make_timestamp(ts_us) AS ts FROM ({every}))"
+
+
+ORACLES["scored_log"] = f"WITH {_log()} SELECT job_id, item_id, attempt, due_s, ts_us, latency_s, http_status, failure_class FROM attempts"
+for _name in ("rolling_latency", "quota_compliance", "header_drift", "reset_lag"):
+    ORACLES[f"scored_{_name}"] = ORACLES[_name].replace(ATTEMPTS, _log())

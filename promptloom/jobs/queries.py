@@ -458,11 +458,6 @@ def job_record_json(spark, d):
     return logs.from_record(logs.to_record(c), c.schema).select("job_id", "ingested", "succeeded", "failed")
 
 
-@query
-def offline_responder(spark, d):
-    return X.draws(spark, d).select("item_id", "attempt", "http_status", "malformed", "input_tokens", "output_tokens")
-
-
 class _DrawResponder:
     """Looks up what the offline columns say, as a responder would answer."""
 
@@ -470,11 +465,11 @@ class _DrawResponder:
         return batch[["o_status", "o_error", "o_malformed", "o_text", "o_in", "o_out"]].set_axis(["http_status", "transport_error", "malformed", "response_text", "input_tokens", "output_tokens"], axis=1).assign(latency_s=0.0)
 
 
-def _called(prompts: DataFrame, max_rps: float | None = None) -> DataFrame:
+def _called(prompts: DataFrame) -> DataFrame:
     """One attempt through the responder's interface."""
     names = {"http_status": "o_status", "transport_error": "o_error", "malformed": "o_malformed", "response_text": "o_text", "input_tokens": "o_in", "output_tokens": "o_out"}
-    x = respond_offline(prompts).drop("latency_s").withColumnsRenamed(names)
-    return run_attempts(x, _DrawResponder, slots=8, max_rps=max_rps, batch=64).drop(*names.values(), "granted_s")
+    x = respond_offline(prompts).drop("latency_s", "headers", "ts").withColumnsRenamed(names)
+    return run_attempts(x, _DrawResponder, slots=8, batch=64).drop(*names.values(), "granted_s")
 
 
 @query
@@ -483,13 +478,6 @@ def run_attempts_once(spark, d):
     return S.classify(x).select("item_id", "http_status", "malformed", "input_tokens", "output_tokens", "failure_class")
 
 
-@query
-def paced_attempts(spark, d):
-    """As run_attempts, under a quota of 4000 calls a second for all tasks."""
-    x = _called(X.prompts(spark, d).withColumn("attempt", F.lit(1)), 4000.0)
-    return S.classify(x).select("item_id", "http_status", "malformed", "input_tokens", "output_tokens", "failure_class")
-
-
 QUERIES["run_attempts"] = QUERIES.pop("run_attempts_once")
 
 
@@ -502,6 +490,40 @@ def score_batch(spark, d):
     return _scored(score(X.prompts(spark, d), respond_offline, work_path(spark, "score")).results)
 
 
+#: When the runs of _log begin, near the end of a day.
+LOG_START = 1768435170.0
+
+
+def _log(spark: SparkSession, d: str) -> DataFrame:
+    """The attempts of a run with times and headers, retries when they are due; as score gives them."""
+    return score(X.prompts(spark, d), lambda df: respond_offline(df, timed=True), work_path(spark, "score"), Policy(start=LOG_START)).attempts
+
+
+@query
+def scored_log(spark, d):
+    return _log(spark, d).select("job_id", "item_id", "attempt", "due_s", F.unix_micros("ts").alias("ts_us"), "latency_s", "http_status", "failure_class")
+
+
+@query
+def scored_rolling_latency(spark, d):
+    return telemetry.rolling_latency(_log(spark, d)).select("job_id", "seq", "mean_latency_s")
+
+
+@query
+def scored_quota_compliance(spark, d):
+    return telemetry.quota_compliance(_log(spark, d), 0.01, 1.5)
+
+
+@query
+def scored_header_drift(spark, d):
+    return telemetry.header_drift(_log(spark, d))
+
+
+@query
+def scored_reset_lag(spark, d):
+    return telemetry.reset_lag(_log(spark, d))
+
+
 @query
 def score_conversations(spark, d):
     """Prompts whose ids are made of two numbers."""

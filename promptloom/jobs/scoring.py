@@ -9,7 +9,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
-from promptloom.functions.scalar import classify, cost_nanos, is_fatal, retry_limit
+from promptloom.functions.scalar import classify, cost_nanos, is_fatal, retry_due_s, retry_limit
+from promptloom.jobs.responders import Caller
+from promptloom.jobs.stops import STOPPED, Stops
 from promptloom.operators.ordered import numbered
 from promptloom.operators.outcomes import ABORTED_MESSAGE, BUDGET_MESSAGE, CANCELLED_MESSAGE, ENDS_ITEM, EXHAUSTED_MESSAGE, ends_item, outcome_columns, pending_prompts, same
 from promptloom.operators.telemetry import spend_reason
@@ -30,7 +32,8 @@ class Policy:
     slice has GROWTH times as many, and a job that is stopped launches no further one (0: all at once). max_items: prompts of a
     job that are taken in, in the order of seq (None: all). spend_cap: dollars at which a job is stopped, by its cost or the
     projection of its cost on all items taken in (None: no cap). cancelled: asked after every step (0, 1, ...) for the jobs to
-    stop. audit: compare what was taken in with the results, and raise if an item is lost or there twice."""
+    stop. audit: compare what was taken in with the results, and raise if an item is lost or there twice. start: the seconds of the
+    epoch at which first attempts are due (None: at once). waits: no retry before it is due (scalar.retry_due_s)."""
 
     budget_share: float = 0.20
     chunk: int = 0
@@ -39,6 +42,8 @@ class Policy:
     spend_cap: float | None = None
     cancelled: Callable[[int], Sequence[str]] | None = None
     audit: bool = True
+    start: float | None = None
+    waits: bool = True
 
 
 @dataclass
@@ -63,9 +68,17 @@ def _stored(spark: SparkSession, df: DataFrame, path: str, by: str | None = None
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _made(df: DataFrame, attempt: Attempt) -> DataFrame:
-    """Attempts, classified. Only rows that may be retried keep their prompt."""
-    made = classify(attempt(df))
+def _made(df: DataFrame, attempt: Attempt, stops: Stops) -> DataFrame:
+    """Attempts, classified, in the columns of the log whatever attempt leaves out. Only rows that may be retried keep their prompt.
+    Rows that were not called, as their job was stopped, wait, with the attempts that they had."""
+    made = attempt(df, stops) if isinstance(attempt, Caller) else attempt(df)
+    for name, kind in (("headers", "map<string,string>"), ("ts", "timestamp"), ("stopped", STOPPED)):
+        if name not in made.columns:
+            made = made.withColumn(name, F.lit(None).cast(kind))
+    made = classify(made)
+    if isinstance(attempt, Caller):
+        left = F.col("stopped").isNotNull()
+        made = made.withColumns({"max_attempts": F.when(left, F.col("attempt") + 1).otherwise(F.col("max_attempts")), "attempt": F.when(left, F.greatest(F.lit(1), F.col("attempt") - 1)).otherwise(F.col("attempt"))})
     return made.withColumn("prompt", F.when(~ends_item(), F.col("prompt")))
 
 
@@ -99,6 +112,7 @@ def _jobs(made: DataFrame, before: DataFrame | None, first: bool, step: int, las
         F.count_if(ends_item()).alias("ended"),
         F.sum(F.when(F.expr("failure_class = 'success'"), cost_nanos())).alias("paid"),
         F.min_by(F.struct("failure_class", "http_status"), F.when(is_fatal(), F.col("seq"))).alias("fatal"),
+        F.max("stopped").alias("halted"),
     )
     if before is None:
         x = x.selectExpr("*", *(f"0L AS {c}" for c in ("n", "done", "nanos", "wants", "used", "grant", "left")), "CAST(NULL AS STRING) AS stop_class", "CAST(NULL AS STRING) AS stop_message")
@@ -107,7 +121,7 @@ def _jobs(made: DataFrame, before: DataFrame | None, first: bool, step: int, las
     rows, ended, spent = (f"coalesce({c}, 0L)" for c in ("rows", "ended", "paid"))
     # the first attempts so far are counted anew; a later wave adds to what was done, as do those that got no retry
     counts = (rows, ended, spent) if first else ("n", f"done + wants - grant + {ended}", f"nanos + {spent}")
-    x = x.selectExpr("job_id", *(f"{c} AS {k}" for c, k in zip(counts, ("n", "done", "nanos"), strict=True)), f"{rows} - {ended} AS wants", "used", "fatal", "stop_class", "stop_message")
+    x = x.selectExpr("job_id", *(f"{c} AS {k}" for c, k in zip(counts, ("n", "done", "nanos"), strict=True)), f"{rows} - {ended} AS wants", "used", "fatal", "halted", "stop_class", "stop_message")
 
     stops: list[tuple[Column, Column, Column]] = []
     jobs = list(policy.cancelled(step)) if policy.cancelled else []
@@ -118,6 +132,7 @@ def _jobs(made: DataFrame, before: DataFrame | None, first: bool, step: int, las
         cost = F.col("nanos") / 1e9
         projected = cost / F.greatest(F.col("done"), F.lit(1)) * F.greatest("n", "done")
         stops.append(((F.col("done") > 0) & ((cost >= policy.spend_cap) | (projected >= policy.spend_cap)), F.lit("fatal_auth"), spend_reason(cost, projected, policy.spend_cap)))
+    stops.append((F.col("halted").isNotNull(), F.col("halted.stop_class"), F.col("halted.stop_message")))
     found = F.when(F.expr("stop_class IS NOT NULL"), F.struct("stop_class", "stop_message"))
     for when, kind, text in stops:
         found = found.when(when, F.struct(kind.alias("stop_class"), text.alias("stop_message")))
@@ -145,7 +160,7 @@ def _settled(jobs: DataFrame, path: str, policy: Policy) -> tuple[DataFrame, Row
 def _later(wave: DataFrame, jobs: DataFrame, total: Row, step: int, last: bool, path: str, policy: Policy) -> tuple[DataFrame, Row]:
     """The rows of jobs and their total after a later wave. Where no retry is left and no job can stop, one count tells all."""
     if not total["left"] and policy.spend_cap is None and not policy.cancelled:
-        seen = wave.selectExpr(f"count_if(NOT {ENDS_ITEM}) AS wants", "count_if(failure_class IN ('fatal_auth', 'fatal_billing')) AS fatal").first()
+        seen = wave.selectExpr(f"count_if(NOT {ENDS_ITEM}) AS wants", "count_if(failure_class IN ('fatal_auth', 'fatal_billing') OR stopped IS NOT NULL) AS fatal").first()
         if not seen["fatal"]:
             return jobs.withColumn("grant", F.lit(0).cast("long")), Row(wants=seen["wants"], grants=0, left=0, partial=None)
     return _settled(_jobs(wave, jobs, False, step, last, policy), f"{path}/jobs/step={step}", policy)
@@ -172,8 +187,13 @@ def _checked(taken: DataFrame, results: DataFrame) -> None:
 
 
 def score(prompts: DataFrame, attempt: Attempt, path: str, policy: Policy | None = None) -> Scored:
-    """prompts: PROMPTS. attempt(df) makes one attempt for each row and adds RESPONSES. Tables below path: slices, attempts of each
-    wave, and a row a job after a step. What is decided between waves follows from these tables alone.
+    """prompts: PROMPTS. attempt(df) makes one attempt for each row of df (prompts, attempt, due_s) and adds RESPONSES; headers and
+    ts may be missing. Tables below path: slices, attempts of each wave, and a row a job after a step. What is decided between
+    waves follows from these tables alone. The attempts of the result are a log as operators/telemetry.py reads it.
+
+    A retry is due after a back-off and, when it was throttled, after the reset that its headers name. A Caller waits until then,
+    and its tasks tell each other of a fatal response or a reached spend cap, so that a wave ends within a few calls: rows that
+    were not called end in the class of the stop.
 
     A wave sees only the rows that the last one left, and the driver holds none of them. A job stops when it is cancelled, at a
     fatal response or when its spending reaches the cap, whichever is seen first after a step: items that wait end in that class
@@ -181,6 +201,8 @@ def score(prompts: DataFrame, attempt: Attempt, path: str, policy: Policy | None
     """
     policy = policy or Policy()
     spark, step = prompts.sparkSession, 0
+    stops = Stops(f"{path}/stops", policy.spend_cap)
+    begin = {"attempt": F.lit(1), "due_s": F.lit(policy.start).cast("double")}
     slices = _slices(prompts, path, policy)
     firsts: list[DataFrame] = []
     taken: list[DataFrame] = []
@@ -189,7 +211,7 @@ def score(prompts: DataFrame, attempt: Attempt, path: str, policy: Policy | None
         if jobs is not None:
             halted = jobs.where("stop_class is not null").select(F.col("job_id").alias("_job"))
             part = part.join(halted, same("job_id", "_job"), "left_anti")
-        firsts.append(_stored(spark, _made(part.withColumn("attempt", F.lit(1)), attempt), f"{path}/attempts/wave=1-{s}"))
+        firsts.append(_stored(spark, _made(part.withColumns(begin), attempt, stops), f"{path}/attempts/wave=1-{s}"))
         taken.append(part.select("job_id", "item_id"))
         begun = jobs.select("job_id", *(F.lit(0).cast("long").alias(c) if c in ("wants", "used", "grant", "left") else c for c in jobs.columns[1:])) if jobs is not None else None
         jobs, total = _settled(_jobs(_union(firsts), begun, True, step, policy.waves <= 1, policy), f"{path}/jobs/step={step}", policy)
@@ -218,8 +240,9 @@ def score(prompts: DataFrame, attempt: Attempt, path: str, policy: Policy | None
             else:
                 waiting = numbered(waiting, ["job_id"], F.floor(F.col("seq") / RANGE_ROWS), order, "_rank")
                 granted = F.col("_rank") <= F.col("grant")
-            again = waiting.where(granted).select(*prompts.columns, (F.col("attempt") + 1).alias("attempt"))
-            wave = _stored(spark, _made(again, attempt), f"{path}/attempts/wave={k + 1}")
+            due = retry_due_s() if policy.waits else F.lit(None).cast("double")
+            again = waiting.where(granted).select(*prompts.columns, (F.col("attempt") + 1).alias("attempt"), due.alias("due_s"))
+            wave = _stored(spark, _made(again, attempt, stops), f"{path}/attempts/wave={k + 1}")
             attempts.append(wave)
             lost = waiting.where(~granted)
         outcomes.append(lost.withColumns(_refused(k == policy.waves)).select(*kept, "status", "final_class", "message"))
@@ -239,7 +262,8 @@ def score(prompts: DataFrame, attempt: Attempt, path: str, policy: Policy | None
     )
     if policy.audit:
         _checked(_union(taken), results)
-    return Scored(results, _union(attempts), ingested, jobs.where("stop_class is not null").select("job_id", "stop_class", F.col("stop_message").alias("abort_reason")))
+    log = _union(attempts).where("stopped IS NULL").drop("stopped")
+    return Scored(results, log, ingested, jobs.where("stop_class is not null").select("job_id", "stop_class", F.col("stop_message").alias("abort_reason")))
 
 
 def resume(prompts: DataFrame, earlier: DataFrame, attempt: Attempt, path: str, policy: Policy | None = None) -> DataFrame:

@@ -43,11 +43,15 @@ RATE_HEADERS = (
     "x-ratelimit-remaining-tokens-per-day",
     "x-ratelimit-reset-tokens-per-day",
 )
+# Fixed value: the header that tells when a throttled caller may go on.
+RESET_HEADER = "x-ratelimit-reset-requests"
 # Fixed value: message of a row without a prompt.
 BAD_ROW = "row missing a string 'prompt' field"
 # Dollars of a job and of all runs, share of retries.
 JOB_SPEND_CAP, LEDGER_CAP, RETRY_SHARE = 0.25, 1.00, 0.20
 
+#: RESPONSES: ts is when the call began, headers what came with the answer. Prompts with RESPONSES, attempt, failure_class and
+#: max_attempts are the log that the studies of operators/telemetry.py read.
 PROMPTS = "job_id string, seq long, item_id string, prompt string, model string, max_tokens int"
-RESPONSES = "http_status int, transport_error string, malformed boolean, response_text string, input_tokens long, output_tokens long, latency_s double"
+RESPONSES = "http_status int, transport_error string, malformed boolean, response_text string, input_tokens long, output_tokens long, latency_s double, headers map<string,string>, ts timestamp"
 RESULTS = "job_id string, seq long, item_id string, status string, response_text string, input_tokens long, output_tokens long, latency_s double, attempt int, failure_class string, message string, http_status int"
