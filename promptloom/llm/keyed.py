@@ -5,7 +5,7 @@ from __future__ import annotations
 import gc
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from promptloom.llm.common import write_table
@@ -17,26 +17,37 @@ _ROOM = 1 << 62
 
 
 def with_key(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """rows with a unique `key` (long). It is the id. Rows whose id is null or repeated get keys above all ids, in the order of
-    their ids (nulls first; equal ones in a fixed order): only these rows are sorted, and written once, so that every stage sees
-    the same keys. Where ids leave no room above, all rows are numbered so. rows have no column `key` of their own."""
-    ids = rows.select(F.col(id_col).cast("long").alias("_id"))
-    odd = ids.groupBy("_id").agg(F.count("*").alias("n")).where((F.col("n") > 1) | F.col("_id").isNull()).select("_id")
+    """rows with a unique `key` (long) in the order of ids. It is the id, where ids are unique. Where some are null or repeated, it is
+    the id times the most often repeated one's count, plus a rank among the rows with the same id (in a fixed order); rows without
+    an id come last. Only rows with repeated or null ids are sorted, and written once, so that every stage sees the same keys. Where
+    such keys need over 62 bits, all rows are numbered in the order of ids. rows have no column `key` of their own."""
+    own = F.col(id_col).cast("long")
+    ids = rows.select(own.alias("_id"))
+    odd = ids.groupBy("_id").agg(F.count("*").alias("n")).where((F.col("n") > 1) | F.col("_id").isNull())
     if odd.isEmpty():
-        return rows.withColumn("key", F.col(id_col).cast("long"))
-    odd, own = write_table(odd, "odd-ids"), F.col(id_col).cast("long")
-    top = ids.agg(F.max("_id")).first()[0]
-    top = -1 if top is None else top
-    named = odd.where("_id is not null")
+        return rows.withColumn("key", own)
+    odd = write_table(odd, "odd-ids")
+    low, top = ids.agg(F.min("_id"), F.max("_id")).first()
+    times = odd.where("_id is not null").agg(F.max("n")).first()[0] or 1
+    order = (own.asc_nulls_last(), F.xxhash64(*rows.columns))
+    if max(abs(low or 0), abs(top or 0)) + 2 >= _ROOM // times:
+        return write_table(rows.orderBy(*order).withColumn("key", F.monotonically_increasing_id()), "keyed")
+    named = odd.where("_id is not null").select("_id")
     named = F.broadcast(named) if named.count() <= BROADCAST_IDS else named
-    if top < _ROOM:
-        plain = rows.where(own.isNotNull()).join(named, own == F.col("_id"), "left_anti").withColumn("key", own)
-        rest = rows.where(own.isNull()).unionByName(rows.join(named, own == F.col("_id"), "left_semi"))
-    else:
-        plain, rest, top = None, rows, -1
-    ordered = rest.orderBy(id_col, F.xxhash64(*rows.columns))
-    rest = write_table(ordered.withColumn("key", F.monotonically_increasing_id() + F.lit(top + 1).cast("long")), "keyed")
-    return rest if plain is None else plain.unionByName(rest)
+    plain = rows.where(own.isNotNull()).join(named, own == F.col("_id"), "left_anti").withColumn("key", own * times)
+    rest = rows.where(own.isNull()).unionByName(rows.join(named, own == F.col("_id"), "left_semi"))
+    rest = write_table(rest.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "keyed")
+    # an _at is a part and a position in it: with the sizes of the parts before, positions have no gaps, and neither have ranks
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    sizes = rest.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("_part", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
+    rest = rest.join(F.broadcast(sizes), part == F.col("_part")).withColumn("_at", place + F.col("_before")).drop("_part", "_before")
+    first = rest.groupBy(own.alias("_id")).agg(F.min("_at").alias("_first"))
+    first = F.broadcast(first) if first.count() <= BROADCAST_IDS else first
+    rest = rest.join(first, own.eqNullSafe(F.col("_id")))
+    key = F.coalesce(own, F.lit((top if top is not None else -1) + 1).cast("long")) * times + F.col("_at") - F.col("_first")
+    return plain.unionByName(rest.withColumn("key", key).drop("_id", "_first", "_at"))
 
 
 def keyed_docs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,9 @@ GRAM, KEY_BITS, CHUNK_ANCHORS, CHUNK_DOCS, CHUNK_BYTES, BLOCK_BYTES = 32, 40, 1
 #: hot, and the offsets of an anchor in a string that stay together then.
 HOT_PLACES, HOT_KEYS, VERY, HOT_OFFSETS, VERY_OFFSETS = 1024, 1 << 20, 16, 18, 1
 
+#: Strings of a block of a text, and anchors of it with equal neighbours at one distance from which on it is taken for periodic.
+BLOCK_STARTS, PERIODIC = 1 << 20, 64
+
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -70,20 +74,82 @@ def owned(h: np.ndarray, at: np.ndarray, least: np.ndarray) -> tuple[np.ndarray,
     return first, np.searchsorted(owner, np.arange(len(at)), side="right") - 1
 
 
+def _repeats(data: np.ndarray, from_: int, count: int, periods: list[int], length: int) -> np.ndarray:
+    """Of the `count` strings from from_ on, which are equal to the one that starts a period earlier, for any of periods."""
+    out = np.zeros(count, bool)
+    for p in periods:
+        lo = max(from_, p)
+        if lo >= from_ + count:
+            continue
+        same = data[lo : from_ + count + length - 1] == data[lo - p : from_ + count + length - 1 - p]
+        differ = np.concatenate([[0], np.cumsum(~same, dtype=np.int64)])
+        out[lo - from_ :] |= differ[length:] == differ[: len(differ) - length]
+    return out
+
+
+def strings(data: np.ndarray, length: int = LENGTH, owners: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes and positions of anchors, first and last string that each owns, starts and ends of spans) of a text of any length, in
+    blocks of BLOCK_STARTS. Without owners, first and last are left out (empty).
+
+    Where a text is periodic, anchors have equal neighbours at the distance of the period. There, strings that are equal to the one a
+    period before are spans at once, as they start earlier in the same text, and only the others have anchors; so a run of any
+    length has a period's anchors."""
+    none = np.zeros(0, np.int64)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+    starts, ends = [none], [none]
+    for lo in range(0, len(data) - length + 1, BLOCK_STARTS):
+        count = min(BLOCK_STARTS, len(data) - length + 1 - lo)
+        h, at, least = anchors(data[lo : lo + count + length - 1], length)
+        gaps = np.diff(at)[h[at[1:]] == h[at[:-1]]]
+        often = np.bincount(gaps, minlength=1)
+        periods = np.flatnonzero(often >= PERIODIC).tolist()
+        if periods:
+            again = _repeats(data, lo, count, periods, length)
+            edge = np.flatnonzero(np.diff(np.concatenate([[0], again.view(np.int8), [0]])))
+            starts.append(edge[::2] + lo)
+            ends.append(edge[1::2] - 1 + length + lo)
+            fresh = np.flatnonzero(~again)
+            first, last = owned(h, at, least)
+            low, high = np.searchsorted(fresh, first), np.searchsorted(fresh, last, side="right")
+            keep = (first <= last) & (low < high)
+            at, first, last = at[keep], fresh[low[keep]], fresh[high[keep] - 1]
+        elif owners:
+            first, last = owned(h, at, least)
+            keep = first <= last
+            at, first, last = at[keep], first[keep], last[keep]
+        else:
+            first = last = at
+        found.append((h[at], at + lo, first + lo, last + lo))
+    if not found:
+        return np.zeros(0, np.uint64), none, none, none, none, none
+    h, at, first, last = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.argsort(at, kind="stable")  # an anchor may own strings of two blocks
+    h, at, first, last = h[order], at[order], first[order], last[order]
+    once = runs(at)
+    first, last = (np.minimum.reduceat(first, once), np.maximum.reduceat(last, once)) if owners and len(once) else (none, none)
+    _, starts_, ends_ = joined_spans(np.zeros(sum(map(len, starts)), np.int64), np.concatenate(starts), np.concatenate(ends))
+    return h[once], at[once], first, last, starts_, ends_
+
+
 def _bytes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
 
 
 ENTRIES = "bucket int, kind int, blob binary, docs binary, at binary"
-ENTRY, KNOWN, SEEN = range(3)
+ENTRY, KNOWN, SEEN, SPAN = range(4)
 
 
 def _anchor_entries(bits: int, length: int):
     """Texts -> for every bucket the anchors in it: ENTRY (hash, document, position) for hashes seen once in a part of the task,
-    SEEN (hash, how often) for others, whose places are KNOWN to recur."""
+    SEEN (hash, how often) for others, whose places are KNOWN to recur. Spans that a text alone tells are SPANs (ends, document,
+    starts)."""
     shift, buckets = np.uint64(64 - bits - KEY_BITS), 1 << bits
 
-    def blobs(keys: list, docs: list, places: list) -> pa.RecordBatch:
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*rows, strict=True)) or [[]] * 5
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["bucket", "kind", "blob", "docs", "at"])
+
+    def blobs(keys: list, docs: list, places: list) -> list[tuple]:
         key = np.concatenate(keys) >> shift
         doc = np.repeat(np.array(docs, np.int64), [len(k) for k in keys]).view(np.uint64)
         at = np.concatenate(places).astype(np.uint64)
@@ -103,24 +169,27 @@ def _anchor_entries(bits: int, length: int):
             for a, b in segments(bucket):
                 own = to_planes(k[a:b] & np.uint64((1 << KEY_BITS) - 1)) if k is not None else None
                 out.append((int(bucket[a]), kind, own, to_planes(d[a:b]) if d is not None else None, to_planes(p[a:b]) if p is not None else None))
-        cols = list(zip(*out, strict=True)) or [[]] * 5
-        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["bucket", "kind", "blob", "docs", "at"])
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, docs, places, size = [], [], [], 0
         for b in batches:
             for key, text in zip(b.column("key").to_pylist(), b.column("text"), strict=True):
-                h, at, _ = anchors(_bytes(text.as_py()), length)
+                h, at, _, _, starts, ends = strings(_bytes(text.as_py()), length, owners=False)
+                if len(starts):
+                    name = np.array([key], np.int64).view(np.uint64)
+                    bucket = int(mix(name)[0] % np.uint64(buckets))
+                    yield packed([(bucket, SPAN, to_planes(ends.view(np.uint64)), to_planes(np.repeat(name, len(starts))), to_planes(starts.view(np.uint64)))])
                 if len(at):
-                    keys.append(mix(h[at]))  # least hashes are small; mixed, they spread over all buckets
+                    keys.append(mix(h))  # least hashes are small; mixed, they spread over all buckets
                     docs.append(key)
                     places.append(at)
                     size += len(at)
                 if size >= CHUNK_ANCHORS:
-                    yield blobs(keys, docs, places)
+                    yield packed(blobs(keys, docs, places))
                     keys, docs, places, size = [], [], [], 0
         if keys:
-            yield blobs(keys, docs, places)
+            yield packed(blobs(keys, docs, places))
 
     return run
 
@@ -144,12 +213,14 @@ def _frame(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
 
 
 def _recurring(chunks: int, hot: int):
-    """A bucket -> the places of anchors whose hash occurs more than once, dealt by the chunks of their documents; and in chunk -1
-    the hashes that have `hot` places or more, with their number."""
+    """A bucket -> the places of anchors whose hash occurs more than once, dealt by the chunks of their documents, and SPANs as they
+    are (with ends); and in chunk -1 the hashes that have `hot` places or more, with their number."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        entry, seen, known = (pdf[pdf["kind"] == k] for k in (ENTRY, SEEN, KNOWN))
+        entry, seen, known, span = (pdf[pdf["kind"] == k] for k in (ENTRY, SEEN, KNOWN, SPAN))
         docs, at, rows = [from_planes(d) for d in known["docs"]], [from_planes(p) for p in known["at"]], []
+        if len(span):
+            rows += _by_chunk(_joined(span["docs"]), _joined(span["at"]), _joined(span["blob"]), chunks)
         if len(entry) or len(seen):
             own = _joined(entry["blob"])
             key = np.concatenate([own, *map(from_planes, seen["blob"])])
@@ -192,21 +263,23 @@ def _slices(bits: int, chunks: int, length: int, hot: dict[int, int]):
     def run(texts: pd.DataFrame, places: pd.DataFrame) -> pd.DataFrame:
         if not len(places) or not len(texts):
             return _frame([], ["bucket", "keys", "docs", "at", "skips", "sizes", "data", "ends"])
+        told, places = places[places["ends"].notna()], places[places["ends"].isna()]
         doc, at = _joined(places["docs"]).view(np.int64), _joined(places["at"]).astype(np.int64)
         order = np.lexsort((at, doc))
         doc, at = doc[order], at[order]
         text = dict(zip(texts["key"].astype("int64"), texts["text"], strict=True))
-        known: set[tuple] = set()
-        keys, docs, firsts, skips, data = [], [], [], [], []
-        span_docs, span_starts, span_ends = [], [], []
+        known: set[bytes] = set()
+        keys, docs, firsts, skips, data = array("Q"), array("q"), array("q"), array("q"), []
+        span_docs, span_starts, span_ends = array("q"), array("q"), array("q")
 
         def new(key: int, name: int, lo: int, skip: int, part: bytes) -> bool:
-            if (key, skip, part) in known:
+            mark = xxhash.xxh3_128_digest(part + skip.to_bytes(8, "little"), key)
+            if mark in known:
                 span_docs.append(name)
                 span_starts.append(lo)
                 span_ends.append(lo + len(part))
                 return False
-            known.add((key, skip, part))
+            known.add(mark)
             return True
 
         def keep(key: int, name: int, lo: int, skip: int, part: bytes) -> None:
@@ -219,11 +292,10 @@ def _slices(bits: int, chunks: int, length: int, hot: dict[int, int]):
         for a, b in segments(doc):
             name = int(doc[a])
             raw = text[name].encode("utf-8", "surrogatepass")
-            h, all_at, least = anchors(np.frombuffer(raw, np.uint8), length)
-            first, last = owned(h, all_at, least)
+            h, all_at, first, last, _, _ = strings(np.frombuffer(raw, np.uint8), length)
             which = np.searchsorted(all_at, at[a:b])
-            which = which[first[which] <= last[which]]
-            mixed = mix(h[all_at[which]])
+            which = which[(which < len(all_at)) & (all_at[np.minimum(which, len(all_at) - 1)] == at[a:b])]  # some own no string
+            mixed = mix(h[which])
             for i, k, short in zip(which.tolist(), mixed.tolist(), (mixed >> shift).tolist(), strict=True):
                 lo, hi, p = int(first[i]), int(last[i]), int(all_at[i])
                 part = raw[lo : hi + length]
@@ -250,6 +322,10 @@ def _slices(bits: int, chunks: int, length: int, hot: dict[int, int]):
             key, bucket, data = key[by], bucket[by], [data[i] for i in by]
             for a, b in segments(bucket):
                 out.append((int(bucket[a]), to_planes(key[a:b], 8), to_planes(d[a:b]), to_planes(f[a:b]), to_planes(s[a:b]), to_planes(size[a:b]), b"".join(data[a:b]), None))
+        if len(told):
+            span_docs.extend(_joined(told["docs"]).view(np.int64).tolist())
+            span_starts.extend(_joined(told["at"]).tolist())
+            span_ends.extend(_joined(told["ends"]).tolist())
         if span_docs:
             where = int(mix(np.array([texts["chunk"].iloc[0]], np.uint64))[0] % np.uint64(1 << bits))
             out.append((where, None, to_planes(np.array(span_docs, np.int64).view(np.uint64)), to_planes(np.array(span_starts, np.uint64)), None, None, None, to_planes(np.array(span_ends, np.uint64))))
@@ -379,10 +455,11 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
        up to `length`. The first string of each class stays, the others are spans.
     4. Spans meet the texts of their chunk again.
 
-    A chunk has about CHUNK_BYTES of text, a transform about BLOCK_BYTES or one anchor's different stretches, fewer than
-    VERY * HOT_PLACES. Places are shipped in byte planes; texts are shuffled twice. Null and empty texts have no bytes and no
-    spans; texts shorter than `length` lose nothing; repeated or null ids are told apart by row and come after other ids (see
-    with_key); an empty table gives no rows; other columns are ignored.
+    A chunk has about CHUNK_BYTES of text, or one document; a transform about BLOCK_BYTES or one anchor's different stretches, fewer
+    than VERY * HOT_PLACES. Texts are searched for anchors in blocks; where one repeats itself within a string's length, however
+    long, its strings but the first ones are spans at once (strings). Places are shipped in byte planes; texts are shuffled twice.
+    Null and empty texts have no bytes and no spans; texts shorter than `length` lose nothing; rows with the same id are told apart
+    and keep the order of ids, null ids come last (see with_key); an empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     rows, bits = keyed_docs(docs, id_col, text_col), bucket_bits(spark)

@@ -18,6 +18,7 @@ from promptloom.llm import bwt, rans
 from promptloom.llm import suffix_dedup as suffixes
 from promptloom.llm.common import new_path
 from promptloom.llm.jaccard import components, jaccard_groups
+from promptloom.llm.keyed import with_key
 from promptloom.llm.lines import line_dedup, recurring_lines
 from promptloom.llm.packing import FAN_IN, _dealt, pack
 from promptloom.llm.pieces import Pieces, boundary_states, decode, encode, multiply
@@ -387,6 +388,87 @@ def test_top_k_of_repeated_and_large_vectors(spark):
     assert got[20, 1] == (3, high) and got[20, 2] == (2, 32 * (2 * 64 * 10**9 + 4096))
 
 
+def test_suffix_dedup_keeps_the_order_of_ids(spark):
+    """Rows with one id, before and after other ids: the smaller id is earlier, and of one id's rows one is first."""
+    r = random.Random(8)
+    line = lambda k: " ".join("".join(r.choice("abcdefgh") for _ in range(7)) for _ in range(k))
+    shared, late = line(25), line(25)
+    rows = [(5, f"{line(9)} {shared}"), (5, f"{line(9)} {shared}"), (10, f"{line(9)} {shared}"), (3, f"{line(5)} {late}"), (12, f"{late} {line(4)}"), (12, f"{late} {line(3)}"), (None, f"{line(2)} {late}")]
+    got = [(x.doc_id, sum(s.end - s.start for s in x.spans)) for x in suffix_dedup(table(spark, [t for _, t in rows], [i for i, _ in rows]).repartition(3)).collect()]
+    lost = {i: sorted(n for d, n in got if d == i) for i, _ in rows}
+    assert lost[3] == [0] and lost[5][0] == 0 and lost[5][1] >= 199 and lost[10][0] >= 199
+    assert all(n >= 199 for n in (*lost[12], *lost[None]))
+    ids = [i for i, _ in rows]
+    kept = {x.doc_id: x.n_dropped for x in line_dedup(table(spark, ["a line that all of these share"] * 7, ids)).where("n_dropped = 0").collect()}
+    assert kept == {3: 0}
+
+
+def test_keys_keep_the_order_of_ids(spark):
+    ids = [7, -3, 7, None, 0, None, 7, 9, -3]
+    for more in ([], [1 << 62]):  # the last ones leave no room for multiples
+        rows = with_key(table(spark, [str(i) for i in range(len(ids + more))], ids + more).drop("key").repartition(4)).orderBy("key").collect()
+        found = [x.doc_id for x in rows]
+        assert found == [*sorted(i for i in ids + more if i is not None), None, None] and len({x.key for x in rows}) == len(rows)
+
+
+def test_strings_of_periodic_texts(monkeypatch):
+    """Every string that is not a span at once has its first start in an anchor's range, whatever the blocks; spans are right."""
+    monkeypatch.setattr(suffixes, "BLOCK_STARTS", 500)
+    monkeypatch.setattr(suffixes, "PERIODIC", 4)
+    for seed in range(12):
+        r = random.Random(seed)
+        raw = b""
+        for _ in range(6):
+            unit = bytes(r.randrange(97, 123) for _ in range(r.choice([1, 2, 3, 7, 30, 60, 150])))
+            raw += unit * r.choice([1, 3, 300 // len(unit) + 1, 1500 // len(unit) + 1]) + bytes(r.randrange(97, 123) for _ in range(r.randrange(300)))
+        _, at, first, last, starts, ends = suffixes.strings(np.frombuffer(raw, np.uint8))
+        again = np.zeros(len(raw), bool)
+        for a, b in removed([raw.decode()], 100)[0][1]:
+            again[a:b] = True
+        assert all(again[a:b].all() for a, b in zip(starts, ends, strict=True))
+        owned = np.zeros(len(raw), bool)
+        for a, b in zip(first, last, strict=True):
+            owned[a : b + 1] = True
+        seen = set()
+        for i in range(len(raw) - 99):
+            assert raw[i : i + 100] in seen or owned[i]
+            seen.add(raw[i : i + 100])
+        assert set(at) <= set(suffixes.strings(np.frombuffer(raw, np.uint8), owners=False)[1])
+    monkeypatch.undo()
+    for unit in (b"x", b"ab"):  # a few anchors, whatever the length
+        long = np.frombuffer(unit * ((4 << 20) // len(unit)), np.uint8)
+        _, at, _, _, starts, ends = suffixes.strings(long)
+        assert len(at) <= len(unit) and starts.tolist() == [len(unit)] and ends.tolist() == [len(long)]
+
+
+def test_suffix_dedup_of_long_periodic_texts(spark):
+    texts = ["x" * 3_000_000, "-=" * 1_000_000 + "end", "x" * 150]
+    got = {r.doc_id: ([(s.start, s.end) for s in r.spans], len(r.kept)) for r in suffix_dedup(table(spark, texts)).collect()}
+    assert got == {0: ([(1, 3_000_000)], 1), 1: ([(2, 2_000_000)], 5), 2: ([(0, 150)], 0)}
+
+
+def test_trie_leaves_what_is_joined():
+    r = random.Random(4)
+    sets = [sorted(r.sample(range(40), r.randint(10, 14))) for _ in range(150)]
+    group = list(range(150))
+
+    def of(g):
+        while group[g] != g:
+            g = group[g]
+        return g
+
+    trie, plain = Trie(60, of), Trie(60)
+    for i, s in enumerate(sets):
+        t = np.array(s, np.uint64)
+        near = {j for j, _ in plain.similar(t, len(s))}
+        for j, _ in trie.similar(t, len(s), i):
+            assert j in near and of(i) != of(j)
+            group[max(of(i), of(j))] = min(of(i), of(j))
+        assert all(of(j) == of(i) for j in near)
+        trie.add(i, t, len(s), i)
+        plain.add(i, t, len(s))
+
+
 def test_line_dedup(spark, none):
     head = [f"User {i} logged in from host {i * 7} today" for i in range(6)]
     texts = [f"{chr(97 + i)}{chr(98 + i)} stays where it is\n{head[i]}\n\nshort line\nAll rights of this page reserved" for i in range(6)] + [None, "", head[0]]
