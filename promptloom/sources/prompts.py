@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from decimal import Decimal
 from urllib.parse import unquote
 
 import pandas as pd
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from promptloom.schemas import BAD_ROW
+from promptloom.sources.arrays import array_elements
 
 CHECKED = "seq long, ok boolean, is_object boolean, has_id boolean, item_id string, prompt string, error string, line string"
 
@@ -29,11 +31,28 @@ def _check(text: str) -> tuple:
     return True, True, "id" in raw, str(raw["id"]) if "id" in raw else None, prompt if isinstance(prompt, str) else None, None
 
 
-def _checked(keep: list[str]):
+def _check_element(text: str) -> tuple:
+    """As _check, of an array's element: no line of its own, so that its syntax errors are its file's; numbers keep their digits."""
+
+    def constant(name: str) -> None:
+        raise ValueError(f"{name} is no JSON")
+
+    try:
+        raw = json.loads(text, parse_float=Decimal, parse_constant=constant)
+    except ValueError as e:
+        raise ValueError(f"syntax error in an array: {e}") from e
+    if not isinstance(raw, dict):
+        return True, False, False, None, None, None
+    prompt = raw.get("prompt")
+    return True, True, "id" in raw, str(raw["id"]) if "id" in raw else None, prompt if isinstance(prompt, str) else None, None
+
+
+def _checked(keep: list[str], check: Callable[[str], tuple] = _check):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            b = b[b["line"].fillna("").str.strip() != ""]
-            rows = [_check(x.strip()) for x in b["line"]]
+            if check is _check:
+                b = b[b["line"].fillna("").str.strip() != ""]
+            rows = [check(x.strip()) for x in b["line"]]
             out = pd.DataFrame(rows, columns=["ok", "is_object", "has_id", "item_id", "prompt", "error"], index=b.index)
             yield pd.concat([b[[*keep, "seq"]], out, b["line"]], axis=1)
 
@@ -78,20 +97,11 @@ def read_prompt_lines(spark: SparkSession, path: str) -> DataFrame:
     return split_rows(check_lines(number_lines(spark, path)))
 
 
-def array_elements(texts: DataFrame, text_col: str = "value") -> DataFrame:
-    """A JSON array in each row -> (seq, line) of its elements, and file, if there is one. A row is one task's; a syntax error
-    fails the query."""
-    keep = [c for c in ("file",) if c in texts.columns]
-    v = texts.select(*keep, F.parse_json(F.col(text_col)).alias("v"))
-    cells = v.lateralJoin(v.sparkSession.tvf.variant_explode(F.col("v").outer()).alias("e"))
-    return cells.select(*keep, F.col("e.pos").cast("long").alias("seq"), F.to_json("e.value").alias("line"))
-
-
 def read_prompt_array(spark: SparkSession, path: str) -> DataFrame:
-    """Files that are one JSON array each -> split_rows with file; seq is the position in it. A file must fit a string (2 GB), as
-    an array can't be split."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    return split_rows(check_lines(array_elements(files)))
+    """Files that are one JSON array each, of any size -> split_rows with file; seq is the position in it. A syntax error fails the
+    query. Numbers that are ids keep their digits, 1.0 as well as 1e2; of a key that comes twice the last one counts."""
+    rows = array_elements(spark, path).select("file", "seq", "line").mapInPandas(_checked(["file"], _check_element), f"file string, {CHECKED}")
+    return split_rows(rows)
 
 
 #: Characters in which a file's first mark is looked for.
