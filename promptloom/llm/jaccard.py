@@ -235,22 +235,31 @@ class _Groups:
 
 def _links(share: int):
     """A cell -> a link for every two components of it that similar sets connect. Sets of side 1 are in the tree; those of side
-    0 search it; where a cell has one side (2), every set searches those before it."""
+    0 search it; where a cell has one side (2), every set searches those before it. Tokens are ordered by how many of the cell's
+    sets have them, so that sets share the beginnings of their paths; what a search has joined to its set's component, it leaves."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        groups, trie, out = _Groups(), Trie(share), []
-        rows = [(int(s), int(c), int(n), from_steps(t), int(side)) for s, c, n, t, side in zip(pdf["set"], pdf["comp"], pdf["n"], pdf["tokens"], pdf["side"], strict=True)]
-        comp = {r[0]: r[1] for r in rows}
-        apart = len(set(comp.values())) - 1
-        for r in sorted(rows, key=lambda r: (-r[4], r[2], r[0])):
+        groups, out = _Groups(), []
+        trie = Trie(share, groups.find)
+        name, comp, n, side = (pdf[c].astype("int64").tolist() for c in ("set", "comp", "n", "side"))
+        tokens = list(map(from_steps, pdf["tokens"]))
+        every = np.concatenate(tokens)
+        known, at, often = np.unique(every, return_inverse=True, return_counts=True)
+        rank = np.empty(len(known), np.int64)
+        rank[np.lexsort((known, -often))] = np.arange(len(known))
+        ends = np.cumsum([0, *map(len, tokens)])
+        of = dict(zip(name, comp, strict=True))
+        apart = len(set(comp)) - 1
+        for i in sorted(range(len(name)), key=lambda i: (-side[i], n[i], name[i])):
             if len(out) == apart:
                 break
-            if r[4] != 1:
-                for other, _ in trie.similar(r[3], r[2]):
-                    if groups.join(comp[other], r[1]):
-                        out.append((r[1], comp[other]))
-            if r[4] != 0:
-                trie.add(r[0], r[3], r[2])
+            t = np.sort(rank[at[ends[i] : ends[i + 1]]])
+            if side[i] != 1:
+                for other, _ in trie.similar(t, n[i], comp[i]):
+                    if groups.join(of[other], comp[i]):
+                        out.append((comp[i], of[other]))
+            if side[i] != 0:
+                trie.add(name[i], t, n[i], comp[i])
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     return run
