@@ -2,39 +2,36 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from promptloom.llm.common import write_table
 from promptloom.llm.keyed import keyed_docs
 
-#: Tokens that lead to a leaf; documents in which a template must occur; tokens that a line must have to be dropped; per cent of
-#: a leaf's lines that must agree for a token to be fixed, and of a template's tokens that must be fixed.
-LEADING, MIN_DOCS, MIN_TOKENS, AGREE, FIXED = 3, 3, 4, 50, 70
-#: In recurring_lines: documents in which an exact or masked line must occur, from MIN_TOKENS tokens on and below.
+#: Tokens that lead to a leaf; documents in which a generalised template must occur; tokens from which on a line is long; per cent
+#: of a template's tokens that must be fixed.
+LEADING, MIN_DOCS, MIN_TOKENS, FIXED = 3, 3, 4, 70
+#: Documents in which an exact or masked line must occur, from MIN_TOKENS tokens on and below.
 TWICE, SHORT_DOCS = 2, 3
 FIELD = "<*>"
 #: Leaves (8 bytes each) up to which they are sent to all executors; more are joined by a shuffle.
 BROADCAST_LEAVES = 1_000_000
 
 
-def _parsed(rows: DataFrame, wide: bool = False) -> DataFrame:
-    """key, line_no, form (the line with its variable fields masked), n (tokens), leaf; only lines of MIN_TOKENS or more. If wide,
-    shorter ones with a letter or digit, too, and lines in which fields leave under FIXED % of words stay unmasked and in no leaf."""
+def _parsed(rows: DataFrame) -> DataFrame:
+    """key, line_no, form (the line with its variable fields masked), n (tokens), leaf of the lines that have MIN_TOKENS tokens, or
+    fewer and a letter or digit. Short lines, and those in which fields leave under FIXED % of words, are in no leaf; the latter
+    stay unmasked."""
     lines = rows.select("key", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     clean = F.trim(F.col("line"))
     clean = F.when(clean.contains("  ") | clean.rlike(r"[\t\x0b\f\r]"), F.trim(F.regexp_replace(clean, r"[ \t\x0b\f\r]+", " "))).otherwise(clean)
     lines = lines.select("key", "line_no", clean.alias("c"))
     lines = lines.select("key", "line_no", "c", (F.char_length("c") - F.char_length(F.replace(F.col("c"), F.lit(" "), F.lit(""))) + 1).alias("n"))
     long = F.col("n") >= MIN_TOKENS
-    lines = lines.where(long | F.col("c").rlike(r"[\p{L}\p{N}]") if wide else long)
+    lines = lines.where(long | F.col("c").rlike(r"[\p{L}\p{N}]"))
     masked = F.when(F.col("c").rlike("[0-9]"), F.regexp_replace("c", "[^ ]*[0-9][^ ]*", FIELD)).otherwise(F.col("c"))
     lines = lines.select("key", "line_no", "n", "c", masked.alias("form"))
     leaf = F.xxhash64("n", F.substring_index("form", " ", LEADING))
-    if not wide:
-        return lines.drop("c").withColumn("leaf", leaf)
     words = F.when(F.col("form").contains(FIELD), F.size(F.array_remove(F.split("form", " "), FIELD))).otherwise(F.col("n"))
     lines = lines.withColumn("enough", 100 * words >= FIXED * F.col("n"))
     return lines.select("key", "line_no", "n", F.when(F.col("enough"), F.col("form")).otherwise(F.col("c")).alias("form"), F.when(F.col("enough") & long, leaf).alias("leaf"))
@@ -45,38 +42,15 @@ def _in_documents(lines: DataFrame, *by: str, least: int | Column = MIN_DOCS) ->
     return lines.select(*by, "key").distinct().groupBy(*by).agg(F.min("key").alias("first"), F.count("*").alias("docs")).where(F.col("docs") >= least).drop("docs")
 
 
-def _mixed(rows: DataFrame, narrow: DataFrame, wide: bool = False) -> DataFrame:
+def _mixed(rows: DataFrame, narrow: DataFrame) -> DataFrame:
     """key, line_no, leaf, n, tokens of the lines in leaves that have several forms, in MIN_DOCS or more documents."""
     several = narrow.groupBy("leaf").agg(F.min("form").alias("a"), F.max("form").alias("b"), F.min("key").alias("c"), F.max("key").alias("d")).where("a <> b and c <> d").select("leaf")
     leaves = write_table(several.join(_in_documents(narrow, "leaf"), "leaf", "left_semi"), "leaves")
     leaves_here = F.broadcast(leaves) if leaves.count() <= BROADCAST_LEAVES else leaves
-    mixed = _parsed(rows, wide).join(leaves_here, "leaf", "left_semi").select("key", "line_no", "leaf", "n", F.split("form", " ").alias("tokens"))
+    mixed = _parsed(rows).join(leaves_here, "leaf", "left_semi").select("key", "line_no", "leaf", "n", F.split("form", " ").alias("tokens"))
     return write_table(mixed, "mixed-leaves")
 
 
-def line_templates(rows: DataFrame) -> DataFrame:
-    """key, line_no of the lines to drop from rows (key, text).
-
-    Two scans: the first leaves narrow rows of hashes, which tell the leaves and masked lines that recur; the second takes the
-    lines of leaves with several forms, finds for each position of a leaf the token most of its lines have, and keeps the
-    fixed ones as the leaf's template.
-    """
-    narrow = write_table(_parsed(rows).select("key", "line_no", "leaf", F.xxhash64("form").alias("form")), "lines")
-    mixed = _mixed(rows, narrow)
-
-    votes = mixed.select("leaf", F.posexplode("tokens").alias("at", "token")).groupBy("leaf", "at", "token").agg(F.count("*").alias("votes"))
-    size = mixed.groupBy("leaf").agg(F.count("*").alias("lines"), F.max("n").alias("n"))
-    best = votes.groupBy("leaf", "at").agg(F.max(F.struct("votes", "token")).alias("top"))
-    fixed = best.join(size, "leaf").where(100 * F.col("top.votes") >= AGREE * F.col("lines")).groupBy("leaf").agg(F.max("n").alias("n"), F.collect_list(F.struct("at", F.col("top.token").alias("token"))).alias("fixed"))
-    templates = fixed.where(100 * F.size("fixed") >= FIXED * F.col("n")).select("leaf", "fixed")
-    matches = F.forall("fixed", lambda f: F.get("tokens", f["at"]) == f["token"])
-    matched = write_table(mixed.join(templates, "leaf").where(matches).select("key", "line_no", "leaf"), "matched")
-
-    by_form = narrow.join(_in_documents(narrow, "form"), "form").where("key <> first").select("key", "line_no")
-    by_leaf = matched.join(_in_documents(matched, "leaf"), "leaf").where("key <> first").select("key", "line_no")
-    return by_form.unionByName(by_leaf)
-
-
 def _template_words(mixed: DataFrame) -> DataFrame:
     """key, line_no, template (a hash of leaf and fixed words) of each way to leave words of a line open that may recur.
 
@@ -100,11 +74,12 @@ def _template_words(mixed: DataFrame) -> DataFrame:
 
 
 def recurring_lines(rows: DataFrame) -> DataFrame:
-    """key, line_no of the lines to drop from rows (key, text); as line_templates, but a leaf may have any number of templates,
-    each found by the documents that it occurs in; lines under MIN_TOKENS tokens count too, in SHORT_DOCS documents; and longer
-    exact or masked lines recur in TWICE. Lines with too many fields recur by their unmasked text only."""
-    narrow = write_table(_parsed(rows, wide=True).select("key", "line_no", "leaf", F.xxhash64("form").alias("form"), (F.col("n") < MIN_TOKENS).alias("short")), "lines")
-    mixed = _mixed(rows, narrow.where("leaf is not null"), wide=True)
+    """key, line_no of the lines to drop from rows (key, text).
+
+    Two scans: the first leaves narrow rows of hashes, which tell the leaves and the exact or masked lines that recur; the second
+    takes the lines of leaves with several forms, of which every template that occurs in MIN_DOCS documents is found."""
+    narrow = write_table(_parsed(rows).select("key", "line_no", "leaf", F.xxhash64("form").alias("form"), (F.col("n") < MIN_TOKENS).alias("short")), "lines")
+    mixed = _mixed(rows, narrow.where("leaf is not null"))
     found = write_table(_template_words(mixed), "templates")
     again = _in_documents(narrow, "form", "short", least=F.when(F.col("short"), SHORT_DOCS).otherwise(TWICE)).drop("short")
     by_form = narrow.join(again, "form").where("key <> first").select("key", "line_no")
@@ -112,22 +87,21 @@ def recurring_lines(rows: DataFrame) -> DataFrame:
     return by_form.unionByName(by_template)
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", find: Callable[[DataFrame], DataFrame] = line_templates) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """key, doc_id, n_lines, n_dropped, text (what is kept) for each row of docs; key as in keyed_docs.
 
     Lines (between line feeds) are parsed by a tree of fixed depth: token count, then LEADING leading tokens, tokens with digits
-    taken as variable fields. A line's template is its masked form or, where most lines of its leaf agree in at least FIXED %
-    of their tokens, the leaf's generalised template, which leaves the other tokens open. Lines of at least MIN_TOKENS tokens
-    whose template occurs in MIN_DOCS or more documents are dropped from all but the first of these (the smallest id).
-
-    Null and empty texts have one empty line and stay so; a text loses whole lines only; ties cannot arise, as ids are unique
-    (repeated or null ones are numbered); an empty table gives no rows; other columns are ignored.
-
-    find tells the lines to drop: line_templates by the rules above, which are those of the SQL of op8_line_dedup;
-    recurring_lines, which the pipeline takes, by wider ones.
+    taken as variable fields. A line's templates are its masked form and, within its leaf, the generalised ones that leave some of
+    its words open (_template_words): a leaf may have any number of these, each found by the documents that have it, so other
+    lines can't hide one. A line is dropped from all but the first document (the smallest id) that has its template: exact or
+    masked ones of MIN_TOKENS tokens or more in TWICE documents, shorter ones in SHORT_DOCS, generalised ones in MIN_DOCS. Fields
+    are no fixed words: a line in which they leave under FIXED % of words recurs by its unmasked text only.
+
+    Null and empty texts have one empty line and stay so; a text loses whole lines only; rows with repeated or null ids are told
+    apart and keep the order of ids; an empty table gives no rows; other columns are ignored.
     """
     rows = keyed_docs(docs, id_col, text_col)
-    drop = find(rows).groupBy("key").agg(F.array_sort(F.collect_set("line_no")).alias("drop"))
+    drop = recurring_lines(rows).groupBy("key").agg(F.array_sort(F.collect_set("line_no")).alias("drop"))
     out = rows.join(drop, "key", "left").withColumn("lines", F.split("text", "\n"))
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("drop"))
     text = F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get("lines", i)), "\n"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from promptloom.llm.lines import AGREE, FIELD, FIXED, LEADING, MIN_DOCS, MIN_TOKENS
+from promptloom.llm.lines import FIELD, FIXED, LEADING, MIN_DOCS, MIN_TOKENS, SHORT_DOCS, TWICE
 from promptloom.llm.quality import CUTOFFS, ERROR, RISK, RULES
 
 TOP_K = """
@@ -89,26 +89,30 @@ LINES = rf"""
 WITH d AS (SELECT doc_id AS key, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS all_lines FROM documents),
 l0 AS (SELECT key, unnest(range(len(all_lines))) AS line_no, unnest(all_lines) AS line FROM d),
 l1 AS (SELECT key, line_no, trim(regexp_replace(line, '[ \t\x0b\f\r]+', ' ', 'g'), ' ') AS c FROM l0),
+l2 AS (SELECT key, line_no, c, string_split(c, ' ') AS plain, string_split(regexp_replace(c, '[^ ]*[0-9][^ ]*', '{FIELD}', 'g'), ' ') AS tokens FROM l1),
 l AS (
-  SELECT key, line_no, len(string_split(c, ' ')) AS n, regexp_replace(c, '[^ ]*[0-9][^ ]*', '{FIELD}', 'g') AS form
-  FROM l1 WHERE len(string_split(c, ' ')) >= {MIN_TOKENS}
+  SELECT *, len(plain) AS n, len(list_filter(tokens, lambda t: t <> '{FIELD}')) AS m FROM l2
+  WHERE len(plain) >= {MIN_TOKENS} OR regexp_matches(c, '[\p{{L}}\p{{N}}]')
 ), p AS (
-  SELECT *, string_split(form, ' ') AS tokens, n || ' ' || array_to_string(string_split(form, ' ')[1:{LEADING}], ' ') AS leaf FROM l
-), rec_form AS (SELECT form, min(key) AS first FROM p GROUP BY form HAVING count(DISTINCT key) >= {MIN_DOCS}),
-leaves AS (SELECT leaf, count(*) AS lines, max(n) AS n FROM p GROUP BY leaf HAVING count(DISTINCT key) >= {MIN_DOCS} AND count(DISTINCT form) > 1),
+  SELECT key, line_no, n, m, tokens, CASE WHEN 100 * m >= {FIXED} * n THEN array_to_string(tokens, ' ') ELSE c END AS form,
+    CASE WHEN 100 * m >= {FIXED} * n AND n >= {MIN_TOKENS} THEN n || ' ' || array_to_string(tokens[1:{LEADING}], ' ') END AS leaf FROM l
+), rec_form AS (SELECT form, min(key) AS first FROM p GROUP BY form HAVING count(DISTINCT key) >= CASE WHEN max(n) < {MIN_TOKENS} THEN {SHORT_DOCS} ELSE {TWICE} END),
+leaves AS (SELECT leaf FROM p WHERE leaf IS NOT NULL GROUP BY leaf HAVING count(DISTINCT key) >= {MIN_DOCS} AND count(DISTINCT form) > 1),
 mixed AS (SELECT p.* FROM p JOIN leaves USING (leaf)),
-tok AS (SELECT leaf, unnest(range(len(tokens))) AS pos, unnest(tokens) AS token FROM mixed),
-votes AS (SELECT leaf, pos, token, count(*) AS votes FROM tok GROUP BY ALL),
-best AS (SELECT leaf, pos, token, votes FROM votes QUALIFY row_number() OVER (PARTITION BY leaf, pos ORDER BY votes DESC, token DESC) = 1),
-fixed AS (SELECT b.leaf, pos, token FROM best b JOIN leaves s ON b.leaf = s.leaf WHERE 100 * votes >= {AGREE} * lines),
-tmpl AS (SELECT f.leaf, count(*) AS k FROM fixed f JOIN leaves s ON f.leaf = s.leaf GROUP BY f.leaf HAVING 100 * count(*) >= {FIXED} * max(s.n)),
-hits AS (
-  SELECT m.key, m.line_no, m.leaf FROM mixed m JOIN tmpl t ON m.leaf = t.leaf JOIN fixed f ON f.leaf = m.leaf AND m.tokens[f.pos + 1] = f.token
-  GROUP BY m.key, m.line_no, m.leaf, t.k HAVING count(*) = t.k
-), rec_leaf AS (SELECT leaf, min(key) AS first FROM hits GROUP BY leaf HAVING count(DISTINCT key) >= {MIN_DOCS}),
+words AS (SELECT * FROM (SELECT key, line_no, leaf, n, m, unnest(range(len(tokens))) AS pos, unnest(tokens) AS token FROM mixed) WHERE token <> '{FIELD}'),
+support AS (SELECT leaf, pos, token, count(DISTINCT key) AS docs FROM words GROUP BY ALL HAVING count(DISTINCT key) >= {MIN_DOCS}),
+known AS (SELECT w.*, docs FROM words w JOIN support USING (leaf, pos, token)),
+lists AS (SELECT key, line_no, leaf, n, m, list({{'pos': pos, 'token': token, 'docs': docs}} ORDER BY pos) AS ws FROM known GROUP BY ALL),
+ways AS (
+  SELECT key, line_no, leaf, n, unnest(list_concat(
+    list_transform(ws, lambda w: list_filter(ws, lambda x: x.docs >= w.docs)),
+    CASE WHEN len(ws) = m THEN list_transform(ws, lambda w: list_filter(ws, lambda x: x.pos <> w.pos)) ELSE [] END)) AS fixed FROM lists
+), templates AS (
+  SELECT DISTINCT key, line_no, leaf, list_transform(fixed, lambda x: x.pos || ' ' || x.token) AS fixed FROM ways WHERE 100 * len(fixed) >= {FIXED} * n
+), rec_template AS (SELECT leaf, fixed, min(key) AS first FROM templates GROUP BY ALL HAVING count(DISTINCT key) >= {MIN_DOCS}),
 dropped AS (
   SELECT key, line_no FROM p JOIN rec_form USING (form) WHERE key <> first
-  UNION SELECT key, line_no FROM hits JOIN rec_leaf USING (leaf) WHERE key <> first
+  UNION SELECT key, line_no FROM templates JOIN rec_template USING (leaf, fixed) WHERE key <> first
 ), gone AS (SELECT key, list(line_no) AS drop FROM dropped GROUP BY key)
 SELECT d.key AS doc_id, CAST(len(all_lines) AS BIGINT) AS n_lines, CAST(coalesce(len(drop), 0) AS BIGINT) AS n_dropped,
   sha256(array_to_string(list_filter(all_lines, lambda x, i: drop IS NULL OR NOT list_contains(drop, i - 1)), chr(10))) AS kept_sha256

@@ -19,7 +19,7 @@ from promptloom.llm import suffix_dedup as suffixes
 from promptloom.llm.common import new_path
 from promptloom.llm.jaccard import components, jaccard_groups
 from promptloom.llm.keyed import with_key
-from promptloom.llm.lines import line_dedup, recurring_lines
+from promptloom.llm.lines import line_dedup
 from promptloom.llm.packing import FAN_IN, _dealt, pack
 from promptloom.llm.pieces import Pieces, boundary_states, decode, encode, multiply
 from promptloom.llm.quality import quality_features, risk_controlled
@@ -474,7 +474,7 @@ def test_line_dedup(spark, none):
     texts = [f"{chr(97 + i)}{chr(98 + i)} stays where it is\n{head[i]}\n\nshort line\nAll rights of this page reserved" for i in range(6)] + [None, "", head[0]]
     got = {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in line_dedup(table(spark, texts)).collect()}
     assert got[0] == (5, 0, texts[0])
-    assert all(got[i] == (5, 2, f"{chr(97 + i)}{chr(98 + i)} stays where it is\n\nshort line") for i in range(1, 6))
+    assert all(got[i] == (5, 3, f"{chr(97 + i)}{chr(98 + i)} stays where it is\n") for i in range(1, 6))
     assert got[6] == got[7] == (1, 0, "") and got[8] == (1, 1, "")
     names = ["ann", "bob", "cid", "dan"]
     made = [f"the cat sat on the mat with {x} again and slept" for x in names] + ["the cat sat under seven big trees while rain came down"]
@@ -489,7 +489,7 @@ def test_line_dedup_of_odd_rows(spark):
 
 
 def dropped(spark, texts):
-    return [r.n_dropped for r in line_dedup(table(spark, texts), find=recurring_lines).orderBy("doc_id").collect()]
+    return [r.n_dropped for r in line_dedup(table(spark, texts)).orderBy("doc_id").collect()]
 
 
 def test_other_lines_of_a_leaf_hide_no_template(spark, none):
@@ -505,7 +505,7 @@ def test_other_lines_of_a_leaf_hide_no_template(spark, none):
     often = ["the cat sat " + " ".join(f"{w}{chr(97 + i)}" for w in "pqrs") + f" {x} " + " ".join(f"{w}{chr(97 + i)}" for w in "uvw") for x in names for i in range(9)]
     assert sum(dropped(spark, often)) == 27 and sum(dropped(spark, made + often)[:4]) == 3
     assert dropped(spark, made[:2] + other) == [0] * 11
-    assert line_dedup(none, find=recurring_lines).collect() == []
+    assert line_dedup(none).collect() == []
 
 
 def test_short_lines_and_lines_of_two_documents_recur(spark):
