@@ -13,6 +13,9 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from promptloom.jobs.workdir import work_path
 
 ORDER = ("ts", "seq", "attempt")
 
@@ -41,6 +44,31 @@ def numbered(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence
     return running_totals(df, keys, bucket, order, {name: F.lit(1).cast("long")})
 
 
+def percentiles(df: DataFrame, keys: Sequence[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """keys, and for each name in shares the exact percentile of value, interpolated between neighbours, nulls left out.
+
+    No group is held by a task: values are counted, sorted by range and written; running totals of the counts tell which values
+    hold the two ranks that a percentile lies between. What is gathered for a group is these values."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    path = work_path(df.sparkSession, "values")
+    counts.orderBy(*keys, value).withColumn("_part", F.spark_partition_id()).write.parquet(path)
+    placed = df.sparkSession.read.schema(T.StructType([*counts.schema.fields, T.StructField("_part", T.IntegerType())])).parquet(path)
+    upto = running_totals(placed, keys, F.col("_part"), [value], {"_upto": F.col("_c")})
+    names = {k: f"_q{i}" for i, k in enumerate(keys)}
+    total = placed.groupBy(*keys).agg(F.sum("_c").alias("_n")).select("_n", *(F.col(k).alias(n) for k, n in names.items()))
+    met = reduce(and_, (F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()))
+    ranked = upto.join(total, met).drop(*names.values())
+    at = {name: F.lit(p) * (F.col("_n") - 1) for name, p in shares.items()}
+    holds = lambda i: F.max(F.when((F.col("_upto") - F.col("_c") <= i) & (i < F.col("_upto")), F.col(value)))
+    found = ranked.groupBy(*keys).agg(F.max("_n").alias("_n"), *(x for name, a in at.items() for x in (holds(F.floor(a)).alias(f"_lo_{name}"), holds(F.ceil(a)).alias(f"_hi_{name}"))))
+
+    def between(name: str) -> Column:
+        lo, hi, a = F.col(f"_lo_{name}"), F.col(f"_hi_{name}"), at[name]
+        return F.when(lo == hi, lo).otherwise((F.ceil(a) - a) * lo + (a - F.floor(a)) * hi).alias(name)
+
+    return found.select(*keys, *map(between, shares))
+
+
 def rolling(df: DataFrame, keys: Sequence[str], n: str, size: int, aggs: dict[str, Column], chunk: int = 100_000) -> DataFrame:
     """df with aggregates over the last `size` rows by the row number n. Rows are cut into chunks of numbers; a chunk's last
     size - 1 rows are repeated in front of the next one."""

@@ -2,21 +2,33 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from promptloom.functions.scalar import cost_nanos, is_breaker_failure, rate_headers
-from promptloom.operators.ordered import ORDER, by_hour, numbered, rolling, running_totals
+from promptloom.operators.ordered import ORDER, by_hour, numbered, percentiles, rolling, running_totals
 from promptloom.schemas import JOB_SPEND_CAP
 
 
 def latency_profile(classified: DataFrame, by: tuple[str, ...] = ("condition", "outcome"), exact: bool = True) -> DataFrame:
-    """by, n, p50, p95, mean of latency_s. Exact percentiles keep the distinct values of a group; the others a bounded sketch."""
-    if exact:
-        pct = [F.percentile("latency_s", F.lit(p)) for p in (0.5, 0.95)]
-    else:
-        pct = [F.percentile_approx("latency_s", p, 10_000) for p in (0.5, 0.95)]
-    return classified.groupBy(*by).agg(F.count("*").alias("n"), F.round(pct[0], 6).alias("p50"), F.round(pct[1], 6).alias("p95"), F.round(F.avg("latency_s"), 6).alias("mean"))
+    """by, n, p50, p95, mean of latency_s. Exact percentiles are found by ranks (ordered.percentiles), the others by a bounded
+    sketch."""
+    rest = [F.count("*").alias("n"), F.round(F.avg("latency_s"), 6).alias("mean")]
+    if not exact:
+        return classified.groupBy(*by).agg(*rest, *(F.round(F.percentile_approx("latency_s", p, 10_000), 6).alias(k) for k, p in (("p50", 0.5), ("p95", 0.95)))).select(*by, "n", "p50", "p95", "mean")
+    found = _beside(classified.groupBy(*by).agg(*rest), percentiles(classified, by, "latency_s", {"p50": 0.5, "p95": 0.95}), by)
+    return found.select(*by, "n", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"), "mean")
+
+
+def _beside(groups: DataFrame, more: DataFrame, by: Sequence[str]) -> DataFrame:
+    """groups with the other columns of more; null keys are equal."""
+    more = more.withColumnsRenamed({k: f"_r_{k}" for k in by})
+    met = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in by))
+    return groups.join(more, met, "left").drop(*(f"_r_{k}" for k in by))
 
 
 def rolling_latency(classified: DataFrame, size: int = 200) -> DataFrame:
@@ -124,7 +136,9 @@ def reset_lag(attempts: DataFrame) -> DataFrame:
     h = rate_headers()
     lag = F.try_element_at(h, F.lit("x-ratelimit-reset-requests")).try_cast("double") - F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
     x = attempts.where("http_status = 429").select("job_id", lag.alias("lag")).where("lag is not null")
-    return x.groupBy("job_id").agg(F.count("*").alias("n"), F.round(F.percentile("lag", F.lit(0.5)), 6).alias("median"), F.round(F.min("lag"), 6).alias("least"), F.round(F.max("lag"), 6).alias("most"), F.round(F.avg((F.col("lag") < 0).cast("double")), 6).alias("past_share"))
+    rest = x.groupBy("job_id").agg(F.count("*").alias("n"), F.round(F.min("lag"), 6).alias("least"), F.round(F.max("lag"), 6).alias("most"), F.round(F.avg((F.col("lag") < 0).cast("double")), 6).alias("past_share"))
+    found = _beside(rest, percentiles(x, ["job_id"], "lag", {"median": 0.5}), ["job_id"])
+    return found.select("job_id", "n", F.round("median", 6).alias("median"), "least", "most", "past_share")
 
 
 def quota_per_minute(classified: DataFrame) -> DataFrame:

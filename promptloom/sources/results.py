@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+from collections.abc import Callable
+
+from py4j.java_gateway import JavaObject
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,6 +14,8 @@ from pyspark.sql import types as T
 from promptloom.jobs.workdir import work_path
 from promptloom.schemas import RESULTS
 
+#: The folder of a log whose files are named after the runs that are whole.
+COMMITS = "_commits"
 SUCCESS_KEYS = ("item_id", "status", "response_text", "input_tokens", "output_tokens", "latency_s", "attempt")
 ERROR_KEYS = ("item_id", "status", "failure_class", "message", "attempt", "http_status")
 
@@ -20,18 +27,40 @@ def result_line() -> Column:
     return F.when(F.col("status") == "success", good).otherwise(bad)
 
 
-def write_results(results: DataFrame, path: str) -> None:
-    """Append JSON lines, a folder for each job. Rows are rebalanced by job: those of a small job are together, in one file; a job
-    with more than a task's share of bytes is split."""
-    results.select("job_id", result_line().alias("value")).hint("rebalance", "job_id").write.mode("append").partitionBy("job_id").text(path)
+def _fs(spark: SparkSession, path: str) -> tuple[JavaObject, Callable[[str], JavaObject]]:
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    return place(path).getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def write_results(results: DataFrame, path: str, run: str | None = None) -> None:
+    """Append JSON lines, a folder for each run and job, and then the run's name to the log's commits, which readers obey. A run that
+    is in there is not written again; one that broke off is, and until then none of its rows is seen. So a driver that is started
+    anew with the same name doubles and loses nothing. Without a name every call is a run of its own.
+
+    Rows are rebalanced by job: those of a small job are together, in one file; a job with more than a task's share of bytes is
+    split."""
+    run = run or uuid.uuid4().hex
+    if not re.fullmatch(r"[\w.-]+", run):
+        raise ValueError(f"a run's name has letters, digits, points and dashes only, unlike {run!r}")
+    spark = results.sparkSession
+    fs, place = _fs(spark, path)
+    commit = place(f"{path}/{COMMITS}/{run}")
+    if fs.exists(commit):
+        return
+    results.select("job_id", result_line().alias("value")).hint("rebalance", "job_id").write.mode("overwrite").partitionBy("job_id").text(f"{path}/run={run}")
+    fs.create(commit, True).close()
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """RESULTS without seq of a folder of write_results; an empty table for a missing one."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+    """RESULTS without seq of the committed runs of write_results; an empty table where there are none."""
+    fs, place = _fs(spark, path)
+    commits = place(f"{path}/{COMMITS}")
+    runs = sorted(f.getPath().getName() for f in fs.listStatus(commits)) if fs.exists(commits) else []
+    filled = lambda folder: any(f.getPath().getName().startswith("job_id=") for f in fs.listStatus(place(folder)))
+    folders = [f for f in (f"{path}/run={r}" for r in runs) if fs.exists(place(f)) and filled(f)]
+    if not folders:
         return spark.createDataFrame([], RESULTS).drop("seq")
-    lines = spark.read.schema("value string, job_id string").text(path).select("job_id", F.col("value").alias("line"), F.monotonically_increasing_id().alias("seq"))
+    lines = spark.read.schema("value string, job_id string").option("basePath", path).text(folders).select("job_id", F.col("value").alias("line"), F.monotonically_increasing_id().alias("seq"))
     parsed = F.from_json("line", T._parse_datatype_string(RESULTS))
     # Spark's parser takes some torn lines for whole; those that end like an object and parse are decided here, map-only
     whole = lines.mapInPandas(_whole_objects, "job_id string, line string")

@@ -93,10 +93,10 @@ def results(spark):
 
 def test_result_log_shapes_and_torn_tail(spark, tmp_path):
     path = str(tmp_path / "log")
-    logs.write_results(results(spark), path)
+    logs.write_results(results(spark), path, "r")
     text = [json.loads(x[0]) for x in spark.read.text(path).select("value").collect()]
     assert {frozenset(x) for x in text} == {frozenset(logs.SUCCESS_KEYS), frozenset(logs.ERROR_KEYS)}
-    with open(f"{path}/job_id=j/torn.txt", "w") as f:
+    with open(f"{path}/run=r/job_id=j/torn.txt", "w") as f:
         f.write('{"item_id": "torn", "status": "suc\n\n')
     back = logs.read_results(spark, path).collect()
     assert sorted((r.job_id, r.item_id, r.status, r.http_status) for r in back) == [("j", "a", "success", None), ("j", "b", "error", None), ("k", "c", "error", 400)]
