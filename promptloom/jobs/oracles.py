@@ -207,7 +207,9 @@ SELECT job_id, seq, f / n AS failure_rate FROM y QUALIFY trips AND NOT lag(trips
     "job_record_json": f"WITH {JOBS} SELECT job_id, ingested, succeeded, failed FROM counts",
     "run_attempts": f"WITH {DRAWS} SELECT item_id, http_status, malformed, input_tokens, CAST(output_tokens AS BIGINT) AS output_tokens, failure_class FROM draws WHERE attempt = 1",
     "quota_per_minute": f"WITH {ATTEMPTS} SELECT job_id, date_trunc('minute', ts) AS minute, count(*) AS requests, count(*) FILTER (http_status = 429) AS throttled FROM attempts GROUP BY ALL",
-    "stream_status": f"WITH {DRAWS} SELECT job_id, count(*) FILTER (status = 'success') AS succeeded, count(*) FILTER (status <> 'success') AS failed, CAST(sum(CASE WHEN status = 'success' THEN input_tokens ELSE 0 END) AS BIGINT) AS input_tokens, CAST(sum(CASE WHEN status = 'success' THEN output_tokens ELSE 0 END) AS BIGINT) AS output_tokens FROM outcomes GROUP BY job_id",
+    "stream_status": f"""WITH {DRAWS}, e AS (SELECT job_id, string_agg(k || '=' || c, ',' ORDER BY k) AS errors FROM (SELECT job_id, final_class AS k, count(*) AS c FROM outcomes WHERE status <> 'success' GROUP BY ALL) GROUP BY job_id)
+SELECT o.job_id, count(*) FILTER (status = 'success') AS succeeded, count(*) FILTER (status <> 'success') AS failed, CAST(sum(CASE WHEN status = 'success' THEN input_tokens ELSE 0 END) AS BIGINT) AS input_tokens,
+  CAST(sum(CASE WHEN status = 'success' THEN output_tokens ELSE 0 END) AS BIGINT) AS output_tokens, coalesce(max(errors), '') AS errors FROM outcomes o LEFT JOIN e ON o.job_id = e.job_id GROUP BY o.job_id""",
     "stream_quota": f"WITH {ATTEMPTS} SELECT job_id, date_trunc('minute', ts) AS minute, count(*) AS requests, count(*) FILTER (http_status = 429) AS throttled FROM attempts GROUP BY ALL",
     "stream_dedupe": f"WITH {ATTEMPTS} SELECT job_id, item_id FROM attempts",
     "stream_prompts": f"WITH {FILE_ROWS} SELECT seq, regexp_replace(item_id, '^(offset|line)-.*', '\\1') AS item_id, md5(prompt) AS prompt_md5, failure_class FROM rows",

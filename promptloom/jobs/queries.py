@@ -585,10 +585,13 @@ def _written(spark: SparkSession, df: DataFrame, name: str) -> str:
 
 @query
 def stream_status(spark, d):
-    src = _written(spark, _outcomes(spark, d).select("job_id", "status", "input_tokens", "output_tokens"), "results")
-    out = feeds.run_available(feeds.stream_status(feeds.stream_table(spark, src)), work_path(spark, "stream"), "complete")
-    newest = out.agg(F.max("batch").alias("batch"))
-    return out.join(newest, "batch").drop("batch")
+    """Several batches, of which each gives the jobs that it changed."""
+    o = _outcomes(spark, d).select("job_id", "seq", "status", F.col("final_class").alias("failure_class"), "input_tokens", "output_tokens")
+    src = work_path(spark, "results")
+    o.repartitionByRange(6, "seq").write.parquet(src)
+    out = feeds.last_rows(feeds.run_available(feeds.stream_status(feeds.stream_table(spark, src, 2)), work_path(spark, "stream"), "update"), "job_id")
+    named = F.transform(F.array_sort(F.map_entries("errors")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return out.withColumn("errors", F.array_join(named, ","))
 
 
 @query

@@ -21,6 +21,8 @@ STATUS_CLASSES = {
 # Other statuses and transport failures; malformed bodies with status 200; attempts of an item at most.
 OTHER_CLASS, MALFORMED_CLASS = ("transient", 5), ("transient", 2)
 MAX_WAVES = 8
+# Classes of failed items.
+ERROR_CLASSES = ("throttled", "transient", "invalid_input", "fatal_auth", "fatal_billing", "transient_exhausted", "cancelled")
 # Model -> dollars per million input and output tokens.
 PRICES = {
     "mistral-3-14B": (0.20, 0.20),

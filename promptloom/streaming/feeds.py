@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from promptloom.schemas import ERROR_CLASSES
 from promptloom.sources.prompts import check_lines, split_rows
 
 
@@ -48,9 +49,22 @@ def stream_score(prompts: DataFrame, score: Callable[[DataFrame, str], DataFrame
 
 
 def stream_status(results: DataFrame) -> DataFrame:
-    """job_id, succeeded, failed, input_tokens, output_tokens so far; the state is a row a job."""
-    ok = F.col("status") == "success"
-    return results.groupBy("job_id").agg(F.count_if(ok).alias("succeeded"), F.count_if(~ok).alias("failed"), F.sum(F.when(ok, F.col("input_tokens")).otherwise(0)).alias("input_tokens"), F.sum(F.when(ok, F.col("output_tokens")).otherwise(0)).alias("output_tokens"))
+    """job_id, succeeded, failed, input_tokens, output_tokens, errors (class -> how many) so far; the state is a row a job, as classes
+    are a fixed list (what is not in it counts as other). In update mode a batch gives the jobs that it changed: last_rows tells
+    how all stand."""
+    ok = F.coalesce(F.col("status") == "success", F.lit(False))
+    kind = F.when(~ok, F.when(F.col("failure_class").isin(*ERROR_CLASSES), F.col("failure_class")).otherwise("other"))
+    classes = (*ERROR_CLASSES, "other")
+    sums = [F.sum(F.when(ok, F.col(c)).otherwise(0)).alias(c) for c in ("input_tokens", "output_tokens")]
+    per = results.groupBy("job_id").agg(F.count_if(ok).alias("succeeded"), F.count_if(~ok).alias("failed"), *sums, *(F.count_if(kind == c).alias(f"_{c}") for c in classes))
+    errors = F.map_filter(F.map_from_arrays(F.array(*map(F.lit, classes)), F.array(*(F.col(f"_{c}") for c in classes))), lambda _, n: n > 0)
+    return per.select("job_id", "succeeded", "failed", "input_tokens", "output_tokens", errors.alias("errors"))
+
+
+def last_rows(written: DataFrame, *keys: str) -> DataFrame:
+    """What run_available wrote in update mode: each key's row of the last batch that has it. Null keys are equal."""
+    rest = [c for c in written.columns if c not in keys and c != "batch"]
+    return written.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_r")).select(*keys, "_r.*")
 
 
 def stream_quota_usage(attempts: DataFrame, late: str = "10 minutes", size: str = "60 seconds", slide: str | None = None) -> DataFrame:
