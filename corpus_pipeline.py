@@ -52,7 +52,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates, the document with the smallest id. Rows with repeated or null ids are different documents,
-    after the others; null and empty texts are like nothing and stay."""
+    in the order of ids, null ones last; null and empty texts are like nothing and stay."""
     rows = _rows(docs)
     groups = jaccard_groups(rows.select(F.col("key").alias("row"), "text"), id_col="row")
     first = groups.where("doc_id = component_id").select(F.col("doc_id").alias("key"))
@@ -61,8 +61,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that occur earlier; bytes that are no whole character after a cut go with them, and so do
-    documents of which nothing is left. Rows with repeated or null ids are different documents, after the others; null and empty
-    texts stay, empty."""
+    documents of which nothing is left. Rows with repeated or null ids are different documents, in the order of ids, null ones
+    last; null and empty texts stay, empty."""
     rows = _rows(docs)
     out = suffix_dedup(rows.select(F.col("key").alias("row"), "text"), id_col="row")
     kept = F.col("kept").cast("string")
