@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from promptloom.schemas import BAD_ROW
 from promptloom.sources.arrays import array_elements
+from promptloom.sources.heads import file_heads, readable
 
 CHECKED = "seq long, ok boolean, is_object boolean, has_id boolean, item_id string, prompt string, error string, line string"
 
@@ -104,13 +105,23 @@ def read_prompt_array(spark: SparkSession, path: str) -> DataFrame:
     return split_rows(rows)
 
 
-#: Characters in which a file's first mark is looked for.
+#: Bytes in which a file's first mark is looked for; those that are white space.
 HEAD = 64
+_BLANK = "".join(chr(i) for i in range(256) if chr(i).isspace())
 
 
 def detect_format(spark: SparkSession, path: str) -> DataFrame:
-    """file, format: array where the first non-blank character of the first HEAD is [, else lines. Of each file its first lines'
-    beginnings are gathered, HEAD of each at most. Spark reads no empty files; they come from the listing that it makes anyway."""
+    """file, format: array where the first non-blank byte of the first HEAD is [, else lines. Only these bytes are read, and files are
+    listed in tasks; where only Spark's readers know the path's file system, its lines are scanned (_format_of_lines)."""
+    if not readable(path):
+        return _format_of_lines(spark, path)
+    first = F.substring(F.ltrim(F.decode("head", "ISO-8859-1"), F.lit(_BLANK)), 1, 1)
+    return file_heads(spark, path, HEAD).select("file", F.when(first == "[", "array").otherwise("lines").alias("format"))
+
+
+def _format_of_lines(spark: SparkSession, path: str) -> DataFrame:
+    """As detect_format, from the beginnings of a file's first lines, HEAD of each at most, in characters. Spark reads no empty files;
+    they come from the listing that it makes anyway."""
     text = spark.read.text(path)
     files = spark.createDataFrame([(re.sub("^file:/+", "/", f), re.sub("^file:/+", "/", unquote(f))) for f in text.inputFiles()], "_file string, name string")
     own = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/")

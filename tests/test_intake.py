@@ -8,6 +8,7 @@ import os
 from pyspark.sql import functions as F
 
 from promptloom.sources import prompts as intake
+from promptloom.sources.heads import file_heads
 from promptloom.sources import results as logs
 
 
@@ -54,6 +55,22 @@ def test_arrays_of_many_files_keep_file_and_position(spark, tmp_path):
     assert sorted((os.path.basename(r.file), r.seq, r.item_id, len(r.prompt or "")) for r in rows) == sorted((f"a{i}.json", k, f"{i}-{k}" if k < 4 else "offset-4", 3000 if k < 4 else 0) for i in range(3) for k in range(5))
 
 
+def test_heads_of_many_files(spark, tmp_path):
+    """Each file once, whatever the tasks; only the first bytes, also of patterns and folders in folders."""
+    for i in range(60):
+        folder = tmp_path / f"part={i % 3}"
+        folder.mkdir(exist_ok=True)
+        (folder / f"{i} ü.json").write_bytes((b"\xa0\x85 [" if i % 2 else b"{") + b"\xff" * 100_000)
+    (tmp_path / "part=0" / "_SUCCESS").write_text("")
+    for tasks in (1, 7):
+        rows = file_heads(spark, str(tmp_path), 64, tasks).collect()
+        assert len(rows) == len({r.file for r in rows}) == 60 and all(len(r["head"]) == 64 for r in rows)
+    for path in (str(tmp_path), f"file://{tmp_path}", f"{tmp_path}/part=*", f"{tmp_path}/*/*.json"):
+        kinds = intake.detect_format(spark, path).collect()
+        assert len(kinds) == 60 and all((r.format == "array") == (int(os.path.basename(r.file).split()[0]) % 2 == 1) for r in kinds)
+    assert intake.detect_format(spark, f"{tmp_path}/part=1/1 ü.json").count() == 1 and intake.detect_format(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_format_is_told_by_the_first_64_characters(spark, tmp_path):
     for name, text in {"a": "\n" * 63 + "[", "b": "\n" * 64 + "[", "c": " \r\n\t[1]", "d": "x" * 70_000 + "\n[", "e e": "\n\n"}.items():
         (tmp_path / f"{name}.json").write_text(text)
