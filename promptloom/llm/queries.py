@@ -102,7 +102,7 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from promptloom.llm.fingerprints import edited_fingerprints, fingerprint, likeness
+    from promptloom.llm.fingerprints import edited_fingerprints, fingerprint
 
     found = edited_fingerprints(table(spark, sf_dir, "documents"))
     return found.select(
@@ -111,8 +111,8 @@ def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("edited", 256).alias("edited_sha256"),
         fingerprint("lanes").alias("fingerprint"),
         fingerprint("edited_lanes").alias("edited_fingerprint"),
-        likeness("lanes", "edited_lanes").alias("near_edited"),
-        likeness("lanes", "next_lanes").alias("near_next"),
+        "near_edited",
+        "near_next",
     )
 
 
