@@ -18,51 +18,88 @@ FIELD = "<*>"
 BROADCAST_LEAVES = 1_000_000
 
 
+def _lines(rows: DataFrame) -> DataFrame:
+    """key, line_no, c (the line with single spaces between its tokens and none around), n (tokens)."""
+    text = F.col("text")
+    text = F.when(text.contains("  ") | text.rlike(r"[\t\x0b\f\r]"), F.regexp_replace(text, r"[ \t\x0b\f\r]+", " ")).otherwise(text)
+    lines = rows.select("key", F.posexplode(F.split(text, "\n")).alias("line_no", "line")).select("key", "line_no", F.trim("line").alias("c"))
+    return lines.withColumn("n", F.char_length("c") - F.char_length(F.replace(F.col("c"), F.lit(" "), F.lit(""))) + 1)
+
+
+def _masked(c: Column) -> Column:
+    return F.when(c.rlike("[0-9]"), F.regexp_replace(c, "[^ ]*[0-9][^ ]*", FIELD)).otherwise(c)
+
+
+def _leaf(form: Column) -> Column:
+    return F.xxhash64("n", F.substring_index(form, " ", LEADING))
+
+
+def _words(form: Column) -> Column:
+    """Tokens of a form that are not fields."""
+    return F.when(form.contains(FIELD), F.size(F.array_remove(F.split(form, " "), FIELD))).otherwise(F.col("n"))
+
+
 def _parsed(rows: DataFrame) -> DataFrame:
     """key, line_no, form (the line with its variable fields masked), n (tokens), leaf of the lines that have MIN_TOKENS tokens, or
     fewer and a letter or digit. Short lines, and those in which fields leave under FIXED % of words, are in no leaf; the latter
     stay unmasked."""
-    lines = rows.select("key", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    clean = F.trim(F.col("line"))
-    clean = F.when(clean.contains("  ") | clean.rlike(r"[\t\x0b\f\r]"), F.trim(F.regexp_replace(clean, r"[ \t\x0b\f\r]+", " "))).otherwise(clean)
-    lines = lines.select("key", "line_no", clean.alias("c"))
-    lines = lines.select("key", "line_no", "c", (F.char_length("c") - F.char_length(F.replace(F.col("c"), F.lit(" "), F.lit(""))) + 1).alias("n"))
-    long = F.col("n") >= MIN_TOKENS
-    lines = lines.where(long | F.col("c").rlike(r"[\p{L}\p{N}]"))
-    masked = F.when(F.col("c").rlike("[0-9]"), F.regexp_replace("c", "[^ ]*[0-9][^ ]*", FIELD)).otherwise(F.col("c"))
-    lines = lines.select("key", "line_no", "n", "c", masked.alias("form"))
-    leaf = F.xxhash64("n", F.substring_index("form", " ", LEADING))
-    words = F.when(F.col("form").contains(FIELD), F.size(F.array_remove(F.split("form", " "), FIELD))).otherwise(F.col("n"))
-    lines = lines.withColumn("enough", 100 * words >= FIXED * F.col("n"))
-    return lines.select("key", "line_no", "n", F.when(F.col("enough"), F.col("form")).otherwise(F.col("c")).alias("form"), F.when(F.col("enough") & long, leaf).alias("leaf"))
-
-
-def _in_documents(lines: DataFrame, *by: str, least: int | Column = MIN_DOCS) -> DataFrame:
+    lines, long = _lines(rows), F.col("n") >= MIN_TOKENS
+    lines = lines.where(long | F.col("c").rlike(r"[\p{L}\p{N}]")).withColumn("form", _masked(F.col("c")))
+    lines = lines.withColumn("enough", 100 * _words(F.col("form")) >= FIXED * F.col("n"))
+    form, leaf = F.when(F.col("enough"), F.col("form")).otherwise(F.col("c")), F.when(F.col("enough") & long, _leaf(F.col("form")))
+    return lines.select("key", "line_no", "n", form.alias("form"), leaf.alias("leaf"))
+
+
+def _in_documents(lines: DataFrame, by: str, least: int) -> DataFrame:
     """by, first (the smallest key) of what at least so many documents have; counted by document before the shuffle."""
-    return lines.select(*by, "key").distinct().groupBy(*by).agg(F.min("key").alias("first"), F.count("*").alias("docs")).where(F.col("docs") >= least).drop("docs")
+    return lines.select(by, "key").distinct().groupBy(by).agg(F.min("key").alias("first"), F.count("*").alias("docs")).where(F.col("docs") >= least).drop("docs")
 
 
-def _mixed(rows: DataFrame, narrow: DataFrame) -> DataFrame:
-    """key, line_no, leaf, n, tokens of the lines in leaves that have several forms, in MIN_DOCS or more documents."""
-    several = narrow.groupBy("leaf").agg(F.min("form").alias("a"), F.max("form").alias("b"), F.min("key").alias("c"), F.max("key").alias("d")).where("a <> b and c <> d").select("leaf")
-    leaves = write_table(several.join(_in_documents(narrow, "leaf"), "leaf", "left_semi"), "leaves")
-    leaves_here = F.broadcast(leaves) if leaves.count() <= BROADCAST_LEAVES else leaves
-    mixed = _parsed(rows).join(leaves_here, "leaf", "left_semi").select("key", "line_no", "leaf", "n", F.split("form", " ").alias("tokens"))
-    return write_table(mixed, "mixed-leaves")
+def _small(leaves: DataFrame) -> DataFrame:
+    return F.broadcast(leaves) if leaves.count() <= BROADCAST_LEAVES else leaves
 
 
-def _template_words(mixed: DataFrame) -> DataFrame:
-    """key, line_no, template (a hash of leaf and fixed words) of each way to leave words of a line open that may recur.
+def _mixed_leaves(narrow: DataFrame) -> DataFrame:
+    """The leaves that have several forms, in MIN_DOCS or more documents."""
+    ends = narrow.groupBy("leaf").agg(*(f(c).alias(f"{k}_{c}") for k, f in (("lo", F.min), ("hi", F.max)) for c in ("form", "key")))
+    several = write_table(ends.where("lo_form <> hi_form and lo_key <> hi_key").select("leaf"), "leaves")
+    return write_table(_in_documents(narrow.join(_small(several), "leaf", "left_semi"), "leaf", MIN_DOCS).select("leaf"), "leaves")
+
+
+def _forms(rows: DataFrame, leaves: DataFrame) -> DataFrame:
+    """form (its hash), leaf, n, m (words), tokens of each form in these leaves, once. Only leading tokens are masked before the
+    leaves are known."""
+    lines = _lines(rows).where(F.col("n") >= MIN_TOKENS).withColumn("leaf", _leaf(_masked(F.substring_index("c", " ", LEADING))))
+    lines = lines.join(leaves, "leaf", "left_semi").select("leaf", "n", _masked(F.col("c")).alias("text"))
+    lines = lines.select(F.xxhash64("text").alias("form"), "leaf", "n", "text").dropDuplicates(["form"])
+    forms = write_table(lines.select("form", "leaf", "n", _words(F.col("text")).alias("m"), F.split("text", " ").alias("tokens")), "forms")
+    return forms.where(100 * F.col("m") >= FIXED * F.col("n"))
+
+
+def _support(of: DataFrame, owners: DataFrame, *by: str) -> DataFrame:
+    """by, first, docs: the documents that have a form of which `of` (form, by) tells something.
+
+    A document with one form in a leaf is counted with all others of that form, once for each; only those with several are told
+    apart."""
+    alone = owners.where("forms = 1").groupBy("form").agg(F.min("key").alias("first"), F.count("*").alias("docs"))
+    alone = of.join(alone, "form").groupBy(*by).agg(F.min("first").alias("first"), F.sum("docs").alias("docs"))
+    others = of.join(owners.where("forms > 1").select("form", "key"), "form").select(*by, "key").distinct()
+    others = others.groupBy(*by).agg(F.min("key").alias("first"), F.count("*").alias("docs"))
+    return alone.unionByName(others).groupBy(*by).agg(F.min("first").alias("first"), F.sum("docs").alias("docs"))
+
+
+def _template_words(forms: DataFrame, owners: DataFrame) -> DataFrame:
+    """form, template (a hash of leaf and fixed words) of each way to leave words of a form open that may recur.
 
     A word is fixed by its place. Words that under MIN_DOCS documents of the leaf have at their place are open in every way;
     then the rarest of the others, one more step of support each time, and besides each single word of a line that has no rare ones. Fields are open
     always; the fixed words are at least FIXED % of the tokens. Support counts documents and has no share in it, so other lines
     of a leaf can't outvote a template.
     """
-    words = mixed.select("key", "line_no", "leaf", "n", F.size(F.array_remove("tokens", FIELD)).alias("m"), F.posexplode("tokens").alias("at", "token")).where(F.col("token") != FIELD)
-    words = words.select("key", "line_no", "leaf", "n", "m", F.xxhash64("at", "token").alias("word"))
-    support = words.select("leaf", "word", "key").distinct().groupBy("leaf", "word").agg(F.count("*").alias("docs")).where(F.col("docs") >= MIN_DOCS)
-    line = Window.partitionBy("key", "line_no")
+    words = forms.select("form", "leaf", "n", "m", F.posexplode("tokens").alias("at", "token")).where(F.col("token") != FIELD)
+    words = words.select("form", "leaf", "n", "m", F.xxhash64("at", "token").alias("word"))
+    support = _support(words.select("form", "leaf", "word"), owners, "leaf", "word").where(F.col("docs") >= MIN_DOCS).drop("first")
+    line = Window.partitionBy("form")
     down = line.orderBy(F.desc("docs"))  # words of equal support are taken at once
     both = {"all": line, "top": down}
     words = words.join(support, ["leaf", "word"])
@@ -70,21 +107,30 @@ def _template_words(mixed: DataFrame) -> DataFrame:
     enough = lambda c: 100 * c >= FIXED * F.col("n")
     one_open = F.when((F.col("n_all") == F.col("m")) & enough(F.col("n_all") - 1), F.xxhash64("leaf", F.col("all").bitwiseXOR(F.col("word"))))
     rest_open = F.when(enough(F.col("n_top")), F.xxhash64("leaf", "top"))
-    return words.select("key", "line_no", F.explode(F.array(one_open, rest_open)).alias("template")).where("template is not null").distinct()
+    return words.select("form", F.explode(F.array(one_open, rest_open)).alias("template")).where("template is not null").distinct()
+
+
+def _by_template(rows: DataFrame, narrow: DataFrame) -> DataFrame:
+    """form, first: for each template of a form that MIN_DOCS documents have, the first of them."""
+    leaves = _small(_mixed_leaves(narrow))
+    owners = narrow.join(leaves, "leaf", "left_semi").select("leaf", "form", "key").distinct()
+    owners = write_table(owners.select("form", "key", F.count("*").over(Window.partitionBy("leaf", "key")).alias("forms")), "owners")
+    found = write_table(_template_words(_forms(rows, leaves), owners), "templates")
+    again = _support(found, owners, "template").where(F.col("docs") >= MIN_DOCS)
+    return found.join(again, "template").select("form", "first")
 
 
 def recurring_lines(rows: DataFrame) -> DataFrame:
     """key, line_no of the lines to drop from rows (key, text).
 
     Two scans: the first leaves narrow rows of hashes, which tell the leaves and the exact or masked lines that recur; the second
-    takes the lines of leaves with several forms, of which every template that occurs in MIN_DOCS documents is found."""
+    takes the forms of leaves with several, each once, of which every template that occurs in MIN_DOCS documents is found."""
     narrow = write_table(_parsed(rows).select("key", "line_no", "leaf", F.xxhash64("form").alias("form"), (F.col("n") < MIN_TOKENS).alias("short")), "lines")
-    mixed = _mixed(rows, narrow.where("leaf is not null"))
-    found = write_table(_template_words(mixed), "templates")
-    again = _in_documents(narrow, "form", "short", least=F.when(F.col("short"), SHORT_DOCS).otherwise(TWICE)).drop("short")
-    by_form = narrow.join(again, "form").where("key <> first").select("key", "line_no")
-    by_template = found.join(_in_documents(found, "template"), "template").where("key <> first").select("key", "line_no")
-    return by_form.unionByName(by_template)
+    # the smallest and the largest key tell whether TWICE documents have it
+    twice = narrow.where("not short").groupBy("form").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first <> last").drop("last")
+    firsts = twice.unionByName(_in_documents(narrow.where("short"), "form", SHORT_DOCS)).unionByName(_by_template(rows, narrow.where("leaf is not null")))
+    rules = firsts.groupBy("form").agg(F.min("first").alias("lo"), F.max("first").alias("hi"))
+    return narrow.join(rules, "form").where("key <> lo or key <> hi").select("key", "line_no")
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
