@@ -102,12 +102,12 @@ def _packed(pieces: Iterator[tuple], size: int, keep: int, level: int, last: boo
 
 def _first(tokenizer: str, end_id: int, size: int, keep: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        batched, end, step = token_ids(tokenizer).batches, np.array([end_id], "<u4").tobytes(), 4 * size
+        known, end, step = token_ids(tokenizer), np.array([end_id], "<u4").tobytes(), 4 * size
 
         def pieces() -> Iterator[tuple]:
             for b in batches:
                 docs = iter(b.column("doc_id").to_pylist())
-                for flat, offsets in batched(b.column("text").to_pylist()):
+                for flat, offsets in known.batches(b.column("text").to_pylist()):
                     data, cut = flat.astype("<u4").tobytes(), (4 * offsets).tolist()
                     for x, y in zip(cut[:-1], cut[1:], strict=True):
                         ids, doc = data[x:y] + end, next(docs)
@@ -115,7 +115,10 @@ def _first(tokenizer: str, end_id: int, size: int, keep: int):
                             part = ids[at : at + step]
                             yield doc, at // 4, len(part) // 4, len(ids) // 4, part
 
-        yield from _batches(_packed(pieces(), size, keep, 0, False))
+        try:
+            yield from _batches(_packed(pieces(), size, keep, 0, False))
+        finally:
+            known.forget()
 
     return run
 

@@ -133,6 +133,12 @@ class TokenIds:
             return np.asarray(self.encode(first), dtype="<u4").tobytes() + b"".join(map(self.memo.__getitem__, words))
         return np.asarray(self.encode(text), dtype="<u4").tobytes()
 
+    def forget(self) -> None:
+        """Let go of the words remembered, so that an idle worker holds no more than the tokenizer."""
+        if self.kind != "whole":
+            self.memo.clear()
+            self.memo.before = {}
+
     def batches(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(ids, offsets) of some texts after others: text i has ids[offsets[i]:offsets[i + 1]]. Where white space is dropped,
         words are split and told apart by Arrow, so that each distinct word of a few megabytes is looked up once."""
