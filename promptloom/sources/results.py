@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from py4j.java_gateway import JavaObject
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ from pyspark.sql import types as T
 
 from promptloom.jobs.workdir import work_path
 from promptloom.schemas import RESULTS
+from promptloom.sources.slices import slices
 
 #: The folder of a log whose files are named after the runs that are whole.
 COMMITS = "_commits"
@@ -63,21 +66,19 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.schema("value string, job_id string").option("basePath", path).text(folders).select("job_id", F.col("value").alias("line"), F.monotonically_increasing_id().alias("seq"))
     parsed = F.from_json("line", T._parse_datatype_string(RESULTS))
     # Spark's parser takes some torn lines for whole; those that end like an object and parse are decided here, map-only
-    whole = lines.mapInPandas(_whole_objects, "job_id string, line string")
+    whole = lines.select("job_id", "line").mapInArrow(_whole_objects, "job_id string, line string")
     return whole.select("job_id", parsed.alias("r")).select("job_id", *(f"r.{c.split()[0]}" for c in RESULTS.split(", ")[2:]))
 
 
-def _whole_objects(batches):
-    import json
-
+def _whole_objects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def whole(x: str) -> bool:
         try:
             return isinstance(json.loads(x), dict)
         except ValueError:
             return False
 
-    for b in batches:
-        yield b.loc[b["line"].map(whole).astype(bool), ["job_id", "line"]]
+    for c in slices(batches, "line"):
+        yield c.filter(pa.array([whole(x) for x in c.column("line").to_pylist()], pa.bool_()))
 
 
 def export_results(results: DataFrame, reports: DataFrame, include: str = "all", partial: bool = False) -> DataFrame:
