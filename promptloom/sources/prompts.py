@@ -8,13 +8,14 @@ from collections.abc import Callable, Iterator
 from decimal import Decimal
 from urllib.parse import unquote
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from promptloom.schemas import BAD_ROW
 from promptloom.sources.arrays import array_elements
 from promptloom.sources.heads import file_heads, readable
+from promptloom.sources.slices import slices
 
 CHECKED = "seq long, ok boolean, is_object boolean, has_id boolean, item_id string, prompt string, error string, line string"
 
@@ -49,13 +50,18 @@ def _check_element(text: str) -> tuple:
 
 
 def _checked(keep: list[str], check: Callable[[str], tuple] = _check):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+    names = [*keep, *(c.split()[0] for c in CHECKED.split(", "))]
+    found = {"ok": pa.bool_(), "is_object": pa.bool_(), "has_id": pa.bool_(), "item_id": pa.string(), "prompt": pa.string(), "error": pa.string()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c in slices(batches, "line"):
+            lines = c.column("line").to_pylist()
             if check is _check:
-                b = b[b["line"].fillna("").str.strip() != ""]
-            rows = [check(x.strip()) for x in b["line"]]
-            out = pd.DataFrame(rows, columns=["ok", "is_object", "has_id", "item_id", "prompt", "error"], index=b.index)
-            yield pd.concat([b[[*keep, "seq"]], out, b["line"]], axis=1)
+                full = [bool(x and x.strip()) for x in lines]
+                c, lines = c.filter(pa.array(full, pa.bool_())), [x for x, f in zip(lines, full, strict=True) if f]
+            rows = [check(x.strip()) for x in lines]
+            cols = {name: pa.array([r[i] for r in rows], kind) for i, (name, kind) in enumerate(found.items())}
+            yield pa.RecordBatch.from_arrays([cols[n] if n in cols else c.column(n) for n in names], names)
 
     return run
 
@@ -63,7 +69,7 @@ def _checked(keep: list[str], check: Callable[[str], tuple] = _check):
 def check_lines(lines: DataFrame) -> DataFrame:
     """(seq, line) -> CHECKED after file, if there is one; blank lines left out; vectorized, without a shuffle."""
     keep = [c for c in ("file",) if c in lines.columns]
-    return lines.select(*keep, "seq", "line").mapInPandas(_checked(keep), ", ".join([*(f"{c} string" for c in keep), CHECKED]))
+    return lines.select(*keep, "seq", "line").mapInArrow(_checked(keep), ", ".join([*(f"{c} string" for c in keep), CHECKED]))
 
 
 def split_rows(checked: DataFrame, place: Column | None = None) -> DataFrame:
@@ -101,7 +107,7 @@ def read_prompt_lines(spark: SparkSession, path: str) -> DataFrame:
 def read_prompt_array(spark: SparkSession, path: str) -> DataFrame:
     """Files that are one JSON array each, of any size -> split_rows with file; seq is the position in it. A syntax error fails the
     query. Numbers that are ids keep their digits, 1.0 as well as 1e2; of a key that comes twice the last one counts."""
-    rows = array_elements(spark, path).select("file", "seq", "line").mapInPandas(_checked(["file"], _check_element), f"file string, {CHECKED}")
+    rows = array_elements(spark, path).select("file", "seq", "line").mapInArrow(_checked(["file"], _check_element), f"file string, {CHECKED}")
     return split_rows(rows)
 
 
