@@ -18,9 +18,12 @@ from pyspark.sql import functions as F
 
 from promptloom.llm.common import shuffle_partitions, write_table
 from promptloom.llm.keyed import keyed_docs
+from promptloom.sources.slices import slices
 
 #: Characters of a chunk; longer texts are cut.
 CHUNK = 16_384
+#: Pairs of pieces that a worker remembers.
+PAIRS = 1 << 16
 MARK = "▁"
 State = tuple[int, str | None]  # where the next piece starts; the piece before, or None after a place that no piece crosses
 Matrix = dict[State, dict[State, float]]
@@ -39,7 +42,7 @@ class Pieces:
         self.longest = max(map(len, self.ids))
         self.crossing = any(MARK in p.lstrip(MARK) for p in self.ids)
         self.bytes = [bytes([int(p[3:5], 16)]) if self.lib.is_byte(i) else b"" if self.lib.is_control(i) else p.replace(MARK, " ").encode() for i, p in enumerate(names)]
-        self.pair_ok = lru_cache(1 << 18)(self._pair_ok)
+        self.pair_ok = lru_cache(PAIRS)(self._pair_ok)
 
     def normal(self, text: str) -> str:
         return self.lib.normalize(text)
@@ -190,11 +193,9 @@ ENCODED = "key long, doc_id long, part int, ids binary"
 def _whole(model: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lib = pieces_of(model).lib
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                c = b.slice(at, 256)
-                ids = [np.array(x, "<u4").tobytes() for x in lib.encode(c.column("text").to_pylist(), num_threads=1)]
-                yield pa.RecordBatch.from_arrays([c.column("key"), c.column("doc_id"), pa.array([0] * len(ids), pa.int32()), pa.array(ids, pa.binary())], ["key", "doc_id", "part", "ids"])
+        for c in slices(batches, "text"):
+            ids = [np.array(x, "<u4").tobytes() for x in lib.encode(c.column("text").to_pylist(), num_threads=1)]
+            yield pa.RecordBatch.from_arrays([c.column("key"), c.column("doc_id"), pa.array([0] * len(ids), pa.int32()), pa.array(ids, pa.binary())], ["key", "doc_id", "part", "ids"])
 
     return run
 
@@ -207,7 +208,7 @@ def _cut(model: str, chunk: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = pieces_of(model)
-        for b in batches:
+        for b in slices(batches, "text"):
             for key, doc, text in zip(*(b.column(c).to_pylist() for c in ("key", "doc_id", "text")), strict=True):
                 s = m.normal(text)
                 rows = []
@@ -226,14 +227,16 @@ ENTRIES = "key long, part int, from_at long, from_piece string, to_at long, to_p
 
 
 def _matrices(model: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.float64())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = pieces_of(model)
-        for b in batches:
+        for b in slices(batches, "text"):
             rows = []
-            for r in b.itertuples():
-                for (a, x), row in m.matrix(r.text, r.p, r.q).items():
-                    rows += [(r.key, r.part, r.base + a, x, r.base + c, y, score) for (c, y), score in row.items()]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in ENTRIES.split(", ")])
+            for key, part, base, p, q, text in zip(*(b.column(c).to_pylist() for c in ("key", "part", "base", "p", "q", "text")), strict=True):
+                for (a, x), row in m.matrix(text, p, q).items():
+                    rows += [(key, part, base + a, x, base + c, y, score) for (c, y), score in row.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], [c.split()[0] for c in ENTRIES.split(", ")])
 
     return run
 
@@ -251,12 +254,12 @@ def _states(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _backtrace(model: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = pieces_of(model)
-        clean = lambda x: x if isinstance(x, str) else None
-        for b in batches:
-            ids = [np.array(m.between(r.text, r.q, (r.from_at - r.base, clean(r.from_piece)), (r.to_at - r.base, clean(r.to_piece))), "<u4").tobytes() for r in b.itertuples()]
-            yield b[["key", "doc_id", "part"]].assign(ids=ids)
+        for b in slices(batches, "text"):
+            states = zip(*(b.column(c).to_pylist() for c in ("text", "q", "base", "from_at", "from_piece", "to_at", "to_piece")), strict=True)
+            ids = [np.array(m.between(text, q, (at - base, piece), (to - base, then)), "<u4").tobytes() for text, q, base, at, piece, to, then in states]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("key", "doc_id", "part")), pa.array(ids, pa.binary())], ["key", "doc_id", "part", "ids"])
 
     return run
 
@@ -277,9 +280,9 @@ def encode(docs: DataFrame, model: str, chunk: int = CHUNK, id_col: str = "doc_i
     whole = rows.where(~long).mapInArrow(_whole(model), ENCODED)
     chunks = write_table(rows.where(long).mapInArrow(_cut(model, chunk), CHUNKS).repartition(F.col("key"), F.col("part")), "chunks")
     # a number of partitions, as adaptive execution would put the few bytes of all matrices into one task
-    entries = chunks.mapInPandas(_matrices(model), ENTRIES).repartition(shuffle_partitions(docs.sparkSession), "key")
+    entries = chunks.mapInArrow(_matrices(model), ENTRIES).repartition(shuffle_partitions(docs.sparkSession), "key")
     states = entries.groupBy("key").applyInPandas(_states, ENTRIES.rsplit(", ", 1)[0])
-    parts = chunks.join(states, ["key", "part"]).mapInPandas(_backtrace(model), ENCODED)
+    parts = chunks.join(states, ["key", "part"]).mapInArrow(_backtrace(model), ENCODED)
     return whole.unionByName(parts)
 
 
@@ -290,7 +293,7 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pieces_of(model).bytes
-        for b in batches:
+        for b in slices(batches, "ids"):
             data = []
             for part, raw in zip(b.column("part").to_pylist(), b.column("ids").to_pylist(), strict=True):
                 x = b"".join(map(table.__getitem__, np.frombuffer(raw, "<u4").tolist()))

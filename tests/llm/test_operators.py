@@ -685,3 +685,20 @@ def test_pieces_encode_and_decode(spark, docs, none):
         assert np.frombuffer(b"".join(r.ids for r in parts[i]), "<u4").tolist() == m.lib.encode(t or "")
         assert b"".join(r.data for r in parts[i]).decode() == (t or "")
     assert encode(none, PIECES).collect() == []
+
+
+def test_pieces_work_in_small_slices():
+    """op6: what a worker encodes, cuts or decodes goes on in small batches, however large the one is that Spark gave it."""
+    import pyarrow as pa
+
+    from promptloom.llm import pieces
+
+    m, text = Pieces(PIECES), "the inging of tion " * 300
+    docs = pa.record_batch({"key": pa.array(range(2000), pa.int64()), "doc_id": pa.array(range(2000), pa.int64()), "text": [text] * 2000})
+    done = list(pieces._whole(PIECES)(iter([docs])))
+    assert sum(b.num_rows for b in done) == 2000 and len(done) > 9 and max(b.num_rows for b in done) < 200
+    assert all(np.frombuffer(x, "<u4").tolist() == m.lib.encode(text) for x in {x for b in done for x in b.column("ids").to_pylist()})
+    cut = list(pieces._cut(PIECES, 1000)(iter([docs.slice(0, 400)])))
+    chunks = pa.Table.from_batches(cut).combine_chunks().to_batches()
+    found = list(pieces._matrices(PIECES)(iter(chunks)))
+    assert chunks[0].num_rows == 400 * 6 and len(found) > 1 and {(k, p) for b in found for k, p in zip(b.column("key").to_pylist(), b.column("part").to_pylist(), strict=True)} == {(k, p) for k in range(400) for p in range(6)}
