@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import batched
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -19,6 +19,10 @@ NO_LANG = "und"
 #: Words of a chunk, bytes that are split at once, and the share of all contexts (one in so many for each bucket, one in MOST_HOT at
 #: least) from which on a prefix is dealt by its extensions.
 CHUNK_WORDS, SLICE_BYTES, HOT_PER_BUCKET, MOST_HOT = 1 << 21, 4 << 20, 4, 1 << 16
+#: Contexts of a bucket on average, at most (of up to 2^20 buckets), and phrases that a task gives at once.
+BUCKET_CONTEXTS, PHRASES_AT_ONCE = 1 << 20, 1 << 15
+#: A row of chunks is megabytes: Spark's Parquet looks at the size of a row group after 100 rows only, and reads whole row groups.
+ROW_BY_ROW = {"parquet.block.row.count.limit": "1", "parquet.enable.dictionary": "false"}
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz\n\n\n\n\n\n\n\n\n ")
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -50,7 +54,7 @@ def _slices(raw: bytes) -> Iterator[bytes]:
     yield raw[at:]
 
 
-CHUNK = "lang string, words binary, counts binary, first binary, second binary, third binary, fourth binary, times binary"
+CHUNK = "lang string, n long, words binary, counts binary, first binary, second binary, third binary, fourth binary, times binary"
 
 
 def _contexts(x: np.ndarray, open_end: bool) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
@@ -86,8 +90,8 @@ def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = np.concatenate(parts)
         counts, cols, times = _contexts(x, not end)
         words = list(numbers)
-        row = (lang, b" ".join(words[1:]), to_planes(np.append(counts, np.zeros(len(words) - len(counts), np.int64))[1:].view(np.uint64)), to_steps(cols[0].view(np.uint64)), *(to_planes(c.view(np.uint64)) for c in cols[1:]), to_planes(times.view(np.uint64)))
-        kinds = [pa.string()] + [pa.binary()] * (len(row) - 1)
+        row = (lang, len(times), b" ".join(words[1:]), to_planes(np.append(counts, np.zeros(len(words) - len(counts), np.int64))[1:].view(np.uint64)), to_steps(cols[0].view(np.uint64)), *(to_planes(c.view(np.uint64)) for c in cols[1:]), to_planes(times.view(np.uint64)))
+        kinds = [pa.string(), pa.int64()] + [pa.binary()] * (len(row) - 2)
         carried = [] if end else [words[i] for i in x[len(x) - LONGEST + 1 :].tolist()]
         return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names), carried
 
@@ -123,39 +127,50 @@ def _hash(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word) or 1
 
 
-def _read(row: dict) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    """Of a chunk: hashes of its words (0 for none), contexts as columns of numbers, times."""
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows one at a time: a batch has up to 64 MB."""
+    for b in batches:
+        for i in range(b.num_rows):
+            yield b.slice(i, 1).to_pylist()[0]
+
+
+def _names(row: dict) -> np.ndarray:
+    """Hashes of a chunk's words (0 for none)."""
     words = row["words"].split(b" ") if row["words"] else []
     names = np.zeros(len(words) + 1, np.uint64)
     names[1:] = np.fromiter(map(_hash, words), np.uint64, len(words))
-    cols = [from_steps(row["first"]), *(from_planes(row[c]) for c in ("second", "third", "fourth"))]
-    return names, [c.astype(np.int64) for c in cols], from_planes(row["times"])
+    return names
+
+
+def _numbers(row: dict, depth: int = LONGEST) -> list[np.ndarray]:
+    """The first `depth` columns of a chunk's contexts, as numbers of words."""
+    return [(from_planes if k else from_steps)(row[c]).astype(np.int32) for k, c in enumerate(("first", "second", "third", "fourth")[:depth])]
 
 
-def _prefixes(lang: str, cols: list[np.ndarray]) -> list[np.ndarray]:
+def _read(row: dict) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Of a chunk: hashes of its words, contexts as columns of numbers, times."""
+    return _names(row), _numbers(row), from_planes(row["times"])
+
+
+def _prefixes(lang: str, cols: Iterator[np.ndarray]) -> Iterator[np.ndarray]:
     """For hashed contexts, a hash of lang and the first 1, 2, ... words of each."""
-    at, out = np.full(len(cols[0]), _hash(lang.encode()), np.uint64), []
+    at = np.full(1, _hash(lang.encode()), np.uint64)
     for c in cols:
         at = mix(at * _SPREAD + c)
-        out.append(at)
-    return out
+        yield at
 
 
 def _heavy(most: int):
     """A chunk -> its prefixes of up to LONGEST - 1 words that a share of 1 / most of its contexts has, with the number of these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                names, cols, _ = _read(row)
-                n, found, often = len(cols[0]), [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-                for p in _prefixes(row["lang"], [names[c] for c in cols[: LONGEST - 1]]):
-                    first = runs(p)  # contexts are sorted, so those of a prefix are neighbours
-                    size = np.diff(np.append(first, n))
-                    found.append(p[first][size * most >= n])
-                    often.append(size[size * most >= n])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(often)), pa.array(np.full(sum(map(len, often)), 0))], ["prefix", "n", "total"])
-                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([0], pa.int64()), pa.array([n], pa.int64())], ["prefix", "n", "total"])
+        for row in _rows(batches):
+            names = _names(row)
+            for p in _prefixes(row["lang"], (names[c] for c in _numbers(row, LONGEST - 1))):
+                first = runs(p)  # contexts are sorted, so those of a prefix are neighbours
+                size = np.diff(np.append(first, len(p)))
+                often = size * most >= len(p)
+                yield pa.RecordBatch.from_arrays([pa.array(p[first][often].view(np.int64)), pa.array(size[often])], ["prefix", "n"])
 
     return run
 
@@ -175,24 +190,27 @@ def _dealt(bits: int, hot: np.ndarray):
     kinds = [pa.int32(), pa.string()] + [pa.binary()] * 6
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                names, cols, times = _read(row)
-                prefixes = _prefixes(row["lang"], [names[c] for c in cols])
-                by, still = prefixes[0], np.ones(len(times), bool)
-                for shorter, longer in zip(prefixes[:-1], prefixes[1:], strict=True):
-                    still = still & _among(shorter, hot)
-                    by = np.where(still, longer, by)
-                bucket = (by >> np.uint64(64 - bits)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                bucket, cols, times = bucket[order], [c[order] for c in cols], times[order]
-                out = []
-                for lo, hi in segments(bucket):
-                    used, refs = np.unique(np.concatenate([np.zeros(1, np.int64), *(c[lo:hi] for c in cols)]), return_inverse=True)
-                    refs = refs[1:].reshape(LONGEST, -1).astype(np.uint64)
-                    out.append((int(bucket[lo]), row["lang"], to_planes(names[used], 8), *(to_planes(r) for r in refs), to_planes(times[lo:hi])))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], columns)
+        for row in _rows(batches):
+            names, cols, times = _read(row)
+            by, still = np.zeros(len(times), np.uint64), np.ones(len(times), bool)
+            for p in _prefixes(row["lang"], (names[c] for c in cols)):
+                np.copyto(by, p, where=still)
+                still &= _among(p, hot)
+                if not still.any():
+                    break
+            bucket = (by >> np.uint64(64 - bits)).astype(np.int32)
+            del by, p
+            order = np.argsort(bucket, kind="stable")
+            bucket, times = bucket[order], times[order]
+            for k in range(LONGEST):
+                cols[k] = cols[k][order]
+            out = []
+            for lo, hi in segments(bucket):
+                used, refs = np.unique(np.concatenate([np.zeros(1, np.int32), *(c[lo:hi] for c in cols)]), return_inverse=True)
+                refs = refs[1:].reshape(LONGEST, -1).astype(np.uint64)
+                out.append((int(bucket[lo]), row["lang"], to_planes(names[used], 8), *(to_planes(r) for r in refs), to_planes(times[lo:hi])))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], columns)
 
     return run
 
@@ -205,48 +223,49 @@ def _grown(hot: np.ndarray, least: int):
     one range; an extension's are a part of it. Ranges are followed depth first, as long as they hold `least` occurrences. Those of
     hot prefixes lie in several buckets: they are followed however few are here, and their counts are parts of a sum."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out_lang, out_words, out_times = [], [], []
-        for lang, rows in pdf.groupby("lang", sort=False):
-            cols = [[] for _ in range(LONGEST)]
-            for row in rows.itertuples(index=False):
-                names = from_planes(row.names)
-                for k, c in enumerate((row.first, row.second, row.third, row.fourth)):
-                    cols[k].append(names[from_planes(c).astype(np.int64)])
-            cols = [np.concatenate(c) for c in cols]
-            times = np.concatenate([from_planes(t) for t in rows["times"]]).astype(np.int64)
-            order = np.lexsort(cols[::-1])
-            cols, times = [c[order] for c in cols], times[order]
-            parts = [_among(p, hot) for p in _prefixes(lang, cols[: LONGEST - 1])] + [np.zeros(len(times), bool)]
-
-            def grow(lo: int, hi: int, prefix: list[int]) -> None:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[str, list[list[np.ndarray]]] = {}
+        for row in _rows(batches):
+            names, own = from_planes(row["names"]), parts.setdefault(row["lang"], [[] for _ in range(LONGEST + 1)])
+            for k, c in enumerate(("first", "second", "third", "fourth")):
+                own[k].append(names[from_planes(row[c]).astype(np.int64)])
+            own[LONGEST].append(from_planes(row["times"]).astype(np.int64))
+        for lang in list(parts):
+            own, cols = parts.pop(lang), []
+            while own:
+                cols.append(np.concatenate(own.pop(0)))
+            order = np.lexsort(cols[LONGEST - 1 :: -1])
+            for k in range(LONGEST + 1):
+                cols[k] = cols[k][order]
+            times = cols.pop()
+            del order
+            apart = [*(_among(p, hot) for p in _prefixes(lang, cols[: LONGEST - 1])), np.zeros(len(times), bool)]
+
+            def grow(lo: int, hi: int, prefix: list[int]) -> Iterator[tuple[list[int], int]]:
                 depth = len(prefix)
                 words = cols[depth][lo:hi]
                 first = runs(words)
                 often = np.add.reduceat(times[lo:hi], first)
-                going = np.flatnonzero((words[first] > 0) & ((often >= least) | parts[depth][lo + first]))
+                going = np.flatnonzero((words[first] > 0) & ((often >= least) | apart[depth][lo + first]))
                 ends = np.append(first[1:], hi - lo)
                 for s, e, w, t in zip(first[going].tolist(), ends[going].tolist(), words[first[going]].view(np.int64).tolist(), often[going].tolist(), strict=True):
                     phrase = [*prefix, w]
                     if depth:
-                        out_lang.append(lang)
-                        out_words.append(phrase)
-                        out_times.append(t)
+                        yield phrase, t
                     if depth + 1 < LONGEST:
-                        grow(lo + s, lo + e, phrase)
+                        yield from grow(lo + s, lo + e, phrase)
 
-            grow(0, len(times), [])
-        return pd.DataFrame({"lang": pd.Series(out_lang, dtype=object), "w": pd.Series(out_words, dtype=object), "a": pd.Series(out_times, dtype="int64")})
+            for found in batched(grow(0, len(times), []), PHRASES_AT_ONCE):
+                phrases, often = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(phrases, pa.list_(pa.int64())), pa.array(often, pa.int64())], ["lang", "w", "a"])
 
     return run
 
 
 def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for row in b.select(["lang", "words", "counts"]).to_pylist():
-            words = row["words"].split(b" ") if row["words"] else []
-            names = np.fromiter(map(_hash, words), np.uint64, len(words)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([row["lang"]] * len(words), pa.string()), pa.array(names), pa.array(words, pa.binary()).cast(pa.string()), pa.array(from_planes(row["counts"]).astype(np.int64))], ["lang", "hash", "word", "n"])
+    for row in _rows(batches):
+        words = row["words"].split(b" ") if row["words"] else []
+        yield pa.RecordBatch.from_arrays([pa.array([row["lang"]] * len(words), pa.string()), pa.array(_names(row)[1:].view(np.int64)), pa.array(words, pa.binary()).cast(pa.string()), pa.array(from_planes(row["counts"]).astype(np.int64))], ["lang", "hash", "word", "n"])
 
 
 def phrase_counts(docs: DataFrame, least: int = LEAST, lang_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -254,18 +273,19 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, lang_col: str = "lang", t
     occur at least `least` times."""
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(NO_LANG)).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    chunks = write_table(texts.mapInArrow(_chunked, CHUNK), "contexts")
+    chunks = write_table(texts.mapInArrow(_chunked, CHUNK), "contexts", ROW_BY_ROW)
     words = chunks.select("lang", "words", "counts").mapInArrow(_vocabulary, "lang string, hash long, word string, n long")
     words = write_table(words.groupBy("lang", "hash").agg(F.min("word").alias("word"), F.sum("n").alias("n")), "words")
-    bits = bucket_bits(spark)
+    total = chunks.agg(F.sum("n")).first()[0] or 0
+    bits = max(bucket_bits(spark), min(20, (total // BUCKET_CONTEXTS).bit_length()))
     most = min(HOT_PER_BUCKET << bits, MOST_HOT)
-    heavy = chunks.mapInArrow(_heavy(most), "prefix long, n long, total long").groupBy("prefix").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
-    heavy = write_table(heavy, "prefixes")
-    total = heavy.agg(F.sum("total")).first()[0] or 0
+    heavy = chunks.select("lang", "words", "first", "second", "third").mapInArrow(_heavy(most), "prefix long, n long")
+    heavy = write_table(heavy.groupBy("prefix").agg(F.sum("n").alias("n")), "prefixes")
     # no more than `most` for each length of prefix, as their contexts are different ones
-    found = heavy.where(F.col("n") * most >= total).where("n > 0").select("prefix").toPandas()["prefix"].to_numpy(np.int64)
+    found = heavy.where(F.col("n") * most >= total).select("prefix").toPandas()["prefix"].to_numpy(np.int64)
     hot = np.sort(found.view(np.uint64))
-    grown = chunks.mapInArrow(_dealt(bits, hot), PROJECTED).groupBy("bucket").applyInPandas(_grown(hot, least), GROWN)
+    dealt = chunks.drop("n", "counts").mapInArrow(_dealt(bits, hot), PROJECTED)
+    grown = dealt.groupBy("bucket").applyInArrow(_grown(hot, least), GROWN)
     phrases = write_table(grown.groupBy("lang", "w").agg(F.sum("a").alias("a")).where(F.col("a") >= least), "phrases")
     release(spark)
     return words, phrases

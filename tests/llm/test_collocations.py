@@ -9,6 +9,7 @@ import re
 import duckdb
 import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from promptloom.llm import collocations as phrases
@@ -105,3 +106,38 @@ def test_heavy_prefixes_are_found():
     prefixes = names.loc[names["n"] > 0, "prefix"].to_numpy().astype("int64").view("uint64")
     dealt = pd.concat([b.to_pandas() for b in phrases._dealt(6, phrases.np.sort(prefixes))(iter([chunk]))])
     assert dealt["bucket"].nunique() > 40
+
+
+def test_loads_of_tasks_are_bounded(spark, monkeypatch):
+    """Row groups of chunks hold a row; buckets follow the number of contexts, not the partitions; phrases go in small batches."""
+    docs = rows(7)
+    chunks, bits, write, dealt = [], [], phrases.write_table, phrases._dealt
+
+    def written(df, name, *options):
+        out = write(df, name, *options)
+        if name == "contexts":
+            chunks.extend(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(phrases, "write_table", written)
+    monkeypatch.setattr(phrases, "_dealt", lambda b, hot: bits.append(b) or dealt(b, hot))
+    monkeypatch.setattr(phrases, "BUCKET_CONTEXTS", 4)
+    monkeypatch.setattr(phrases, "PHRASES_AT_ONCE", 3)
+    assert found(phrases.collocations(spark.createDataFrame(docs, SCHEMA).coalesce(1))) == expected(docs)
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in chunks]
+    groups = [f.row_group(i) for f in files for i in range(f.num_row_groups)]
+    assert len(groups) > 2 and {g.num_rows for g in groups} == {1}
+    assert bits[0] > phrases.bucket_bits(spark)
+
+
+def test_rows_of_a_large_batch_are_taken_one_at_a_time(monkeypatch):
+    """A bucket's rows may come in any number of batches, and its phrases go in batches of PHRASES_AT_ONCE."""
+    docs = [d for d in rows(5) if d[2] == "en"]
+    chunk = next(phrases._chunked(iter([pa.RecordBatch.from_pandas(pd.DataFrame({"lang": ["en"] * len(docs), "text": [d[1] or "" for d in docs]}))])))
+    hot = phrases.np.zeros(0, "uint64")
+    bucket = pa.Table.from_batches(list(phrases._dealt(1, hot)(iter([chunk])))).to_batches(max_chunksize=1)
+    whole = [r for b in phrases._grown(hot, 30)(iter(bucket)) for r in b.to_pylist()]
+    monkeypatch.setattr(phrases, "PHRASES_AT_ONCE", 5)
+    parts = list(phrases._grown(hot, 30)(iter(bucket)))
+    assert [r for b in parts for r in b.to_pylist()] == whole
+    assert len(whole) > 20 and {b.num_rows for b in parts[:-1]} == {5}
